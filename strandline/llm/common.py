@@ -26,23 +26,6 @@ _MULTIPLIERS = np.array(
 )
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash. It forgets everything once it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(31))
@@ -65,11 +48,73 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_set(hashes: WordHashes, text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text, A-Z lower-cased."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), width))
+_SPACE = b" \t\n\v\f\r"
+_SPAN = 1 << 18
+_PRIME = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(_SPAN, _PRIME, dtype=np.uint64))
+_INVERSES = np.cumprod(np.full(_SPAN, pow(_PRIME, -1, 1 << 64), dtype=np.uint64))
+
+
+class Words:
+    """64-bit hashes of the words of a column of texts, as one array.
+
+    A word's hash is a polynomial in its bytes; differences of running sums give that of every word
+    of a column at once. ``offsets[i]`` is the place of the first word of text i.
+    """
+
+    _codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, column: pa.Array, lower: bool = True, spaces: bytes = _SPACE):
+        column = column.cast(pa.large_string()).fill_null("")
+        self.chars = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        self.data = np.frombuffer(data, dtype=np.uint8)[self.chars[0] : self.chars[-1]] if data else np.empty(0, dtype=np.uint8)
+        self.chars = self.chars - self.chars[0]
+        inside = np.ones(256, dtype=bool)
+        inside[list(spaces)] = False
+        inside = inside[self.data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        filled = self.chars[1:] > self.chars[:-1]
+        for marks, at in ((first, self.chars[:-1][filled]), (last, self.chars[1:][filled] - 1)):
+            marks[at] = inside[at]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.offsets = np.searchsorted(self.starts, self.chars)
+        codes = self._codes.copy()
+        if lower:
+            codes[65:91] = codes[97:123]
+        self.hashes = self._hashed(codes, lower)
+
+    def _hashed(self, codes: np.ndarray, lower: bool) -> np.ndarray:
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            start = self.starts[i]
+            j = int(np.searchsorted(self.ends, start + _SPAN, "right"))
+            if j <= i:  # a word longer than a span
+                word = self.data[start : self.ends[i]].tobytes()
+                out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+                i += 1
+                continue
+            span = self.data[start : self.ends[j - 1]]
+            sums = np.zeros(len(span) + 1, dtype=np.uint64)
+            np.cumsum(codes[span] * _POWERS[: len(span)], out=sums[1:])
+            a, b = self.starts[i:j] - start, self.ends[i:j] - start
+            out[i:j] = (sums[b] - sums[a]) * _INVERSES[a]
+            i = j
+        return mix(out)
+
+    def of_each(self) -> Iterator[np.ndarray]:
+        """The word hashes of each text."""
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield self.hashes[a:b]
+
+    def shingles(self, width: int) -> Iterator[np.ndarray]:
+        """The shingle hashes of each text, in order, repeats included."""
+        windows = shingle_hashes(self.hashes, width)
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield windows[a : b - width + 1] if b - a >= width else shingle_hashes(self.hashes[a:b], width)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -77,7 +122,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def batches(rows: Iterable[pa.RecordBatch], max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``max_bytes`` (or one row), so long texts don't pile up in Python."""
     for batch in rows:
         if batch.num_rows == 0:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, shingle_hashes, utf8
+from .common import Words, batches
 
 _BITS = 1 << 22
 
@@ -35,11 +35,11 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, bytes]], width: int, share: float):
         self.width, self.share = width, share
-        hashes = WordHashes()
         self.ids, self.texts, self.need, partitions, pairs = [], [], [], [], []
-        for item_id, text in items:
+        column = pa.array([text.decode() for _, text in items], pa.string())
+        for (item_id, text), shingles in zip(items, Words(column).shingles(width), strict=True):
             words = text.lower().split()
-            shingles = np.unique(shingle_hashes(hashes.of(words), width))
+            shingles = np.unique(shingles)
             n = len(shingles)
             if n == 0:
                 continue
@@ -58,15 +58,13 @@ class ItemIndex:
         self.bits = np.zeros(_BITS, dtype=bool)
         self.bits[self.hash & np.uint64(_BITS - 1)] = True
 
-    def matches(self, hashes: WordHashes, text: bytes | None) -> list[tuple[object, int, int]]:
-        """(item_id, n_item, n_found) of the items that the text contains."""
-        if not text or not len(self.hash):
-            return []
-        words = text.lower().split()
-        shingles = shingle_hashes(hashes.of(words), self.width)
-        at = np.flatnonzero(self.bits[shingles & np.uint64(_BITS - 1)])
-        if not len(at):
-            return []
+    def matches(self, column: pa.Array) -> Iterator[list[tuple[object, int, int]]]:
+        """(item_id, n_item, n_found) of the items that each text contains."""
+        for i, shingles in enumerate(Words(column).shingles(self.width)):
+            at = np.flatnonzero(self.bits[shingles & np.uint64(_BITS - 1)])
+            yield self._contained(column[i].as_py().encode(), shingles, at) if len(at) else []
+
+    def _contained(self, text: bytes, shingles: np.ndarray, at: np.ndarray) -> list[tuple[object, int, int]]:
         first, last = np.searchsorted(self.hash, shingles[at], "left"), np.searchsorted(self.hash, shingles[at], "right")
         at, first, last = at[last > first], first[last > first], last[last > first]
         rows = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])) if len(at) else at
@@ -74,7 +72,7 @@ class ItemIndex:
         if not len(probed):
             return []
         large_enough = (1 << (self.partition[probed] - 1)) * self.share <= len(shingles)
-        found = _texts_of(words, self.width, at)
+        found = _texts_of(text.lower().split(), self.width, at)
         out = []
         for item in np.unique(probed[large_enough]).tolist():
             n_found = len(self.texts[item] & found)
@@ -118,9 +116,8 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches(rows):
-                hits = [(i, *m) for i, text in enumerate(utf8(batch.column(1))) for m in shared.value.matches(hashes, text)]
+                hits = [(i, *m) for i, found in enumerate(shared.value.matches(batch.column(1))) for m in found]
                 if hits:
                     at, ids, n_item, n_found = map(list, zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids), pa.array(n_item, pa.int64()), pa.array(n_found, pa.int64())], names=["doc_id", "item_id", "n_item", "n_found"])
@@ -140,9 +137,8 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(rows: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches(rows):
-                yield batch.filter(pa.array([not shared.value.matches(hashes, text) for text in utf8(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in shared.value.matches(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, cut, mix, shingle_set, utf8
+from .common import Words, batches, cut, mix
 from .components import components
 
 BINS = 160
@@ -90,11 +90,9 @@ def _signed(docs: DataFrame, width: int, rows: int) -> DataFrame:
     n_bands = BINS // rows
 
     def sign(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(batch_rows):
             sizes, digests, bands, sigs = [], [], [], []
-            for text in utf8(batch.column(1)):
-                shingles = shingle_set(hashes, text, width)
+            for shingles in map(np.unique, Words(batch.column(1)).shingles(width)):
                 sizes.append(len(shingles))
                 if len(shingles):
                     sig = signature(shingles)
@@ -121,9 +119,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(batch_rows):
-            values = [shingle_set(hashes, text, width).tobytes() for text in utf8(batch.column(1))]
+            values = [np.unique(shingles).tobytes() for shingles in Words(batch.column(1)).shingles(width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.mapInArrow(sets, f"doc_id {kind}, shingles binary")

@@ -15,12 +15,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, cut, utf8
+from .common import Words, batches, cut, utf8
 from .labelled import held_out, training_rows
 from .rules import measure
 
@@ -51,13 +50,14 @@ def _counts(text: bytes, which: bytes) -> int:
     return len(text) - len(text.translate(None, which))
 
 
-def features(hashes: WordHashes, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct coordinates, values) for each row of text, n_chars."""
     texts = utf8(batch.column("text"))
-    m = measure(hashes, texts, pc.utf8_length(batch.column("text")).to_pylist())
-    for i, (text, n_chars) in enumerate(zip(texts, batch.column("n_chars").to_pylist(), strict=True)):
+    m = {name: values.tolist() for name, values in measure(batch.column("text")).items()}
+    hashes = Words(batch.column("text")).of_each()
+    for i, (text, n_chars, own) in enumerate(zip(texts, batch.column("n_chars").to_pylist(), hashes, strict=True)):
         text = text or b""
-        words = np.unique(hashes.of(text.lower().split()) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        words = np.unique(own >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         n, chars, lines = max(1, m["n_words"][i]), max(1, m["word_chars"][i]), max(1, m["n_lines"][i])
         stats = {
             "capitals": m["n_upper"][i] / chars,
@@ -139,9 +139,8 @@ def train(
     shards = max(1, -(-n // SHARD_ROWS))
 
     def extract(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(batch_rows):
-            at, x = zip(*features(hashes, batch), strict=True)
+            at, x = zip(*features(batch), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), batch.column("place"), batch.column("y"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
                 names=["shard", "place", "y", "at", "x"],
@@ -173,9 +172,8 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(rows):
-            margins = np.array([shared.value.margin(at, x)[0] for at, x in features(hashes, batch)])
+            margins = np.array([shared.value.margin(at, x)[0] for at, x in features(batch)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))))], names=["doc_id", "score"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, shingle_hashes, utf8
+from .common import Words, batches, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 _SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
@@ -29,7 +29,7 @@ RULES = {
     "symbols": "100 * n_symbols > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "capitals": "100 * n_upper > 50 * word_chars",
 }
 
@@ -45,41 +45,42 @@ def mask(policy: str) -> int:
     return sum(1 << list(RULES).index(rule) for rule in POLICIES[policy])
 
 
-def _repeat_words(words: np.ndarray) -> int:
+def _repeat_words(windows: np.ndarray, n_words: int) -> int:
     """Words inside 3-word windows that the text has at least twice."""
-    if len(words) < 4:
+    if n_words < 4:
         return 0
-    windows = shingle_hashes(words, 3)
-    values, counts = np.unique(windows, return_counts=True)
-    if len(values) == len(windows):
+    ordered = np.sort(windows)
+    repeated = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(repeated):
         return 0
-    again = np.isin(windows, values[counts > 1])
-    covered = np.zeros(len(words), dtype=bool)
+    again = np.isin(windows, repeated)
+    covered = np.zeros(n_words, dtype=bool)
     for i in range(3):
         covered[i : i + len(again)] |= again
     return int(covered.sum())
 
 
-def measure(hashes: WordHashes, texts: list[bytes | None], chars: list[int | None]) -> dict[str, list[int]]:
-    """The measurements of whole texts; ``chars`` has their lengths in code points."""
-    out: dict[str, list[int]] = {name: [] for name in MEASURES}
-    for text, n_chars in zip(texts, chars, strict=True):
-        text = text or b""
-        words = text.split()
-        lines = [line for line in text.split(b"\n") if line.strip()]
-        spaces = len(text) - sum(map(len, words))
-        row = (
-            len(words),
-            (n_chars or 0) - spaces,
-            len(text) - len(text.translate(None, _SYMBOLS)),
-            len(lines) - len(set(lines)),
-            _repeat_words(hashes.of(words)),
-            len(lines),
-            len(text) - len(text.translate(None, _CAPITALS)),
-        )
-        for name, value in zip(MEASURES, row, strict=True):
-            out[name].append(value)
-    return out
+def measure(column: pa.Array) -> dict[str, np.ndarray]:
+    """The measurements of a column of whole texts."""
+    words = Words(column, lower=False)
+    n_words = np.diff(words.offsets)
+    in_words = np.concatenate([[0], np.cumsum(words.ends - words.starts)])[words.offsets]
+    n_chars = np.array(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), dtype=np.int64)
+    bytes_of = lambda chars: np.diff(np.concatenate([[0], np.cumsum(np.isin(words.data, np.frombuffer(chars, dtype=np.uint8), kind="table"))])[words.chars])
+    n_lines, n_dup_lines = [], []
+    for text in utf8(column):
+        lines = [line for line in (text or b"").split(b"\n") if line.strip()]
+        n_lines.append(len(lines))
+        n_dup_lines.append(len(lines) - len(set(lines)))
+    return {
+        "n_words": n_words,
+        "word_chars": n_chars - (np.diff(words.chars) - np.diff(in_words)),
+        "n_symbols": bytes_of(_SYMBOLS),
+        "n_dup_lines": np.array(n_dup_lines, dtype=np.int64),
+        "n_repeat_words": np.array([_repeat_words(w, n) for w, n in zip(words.shingles(3), n_words.tolist(), strict=True)], dtype=np.int64),
+        "n_lines": np.array(n_lines, dtype=np.int64),
+        "n_upper": bytes_of(_CAPITALS),
+    }
 
 
 def fail_bits() -> Column:
@@ -93,10 +94,8 @@ def passes(bits: Column, policy: str) -> Column:
 
 
 def _measured(rows: Iterable[pa.RecordBatch], text_at: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches(rows):
-        column = batch.column(text_at)
-        values = measure(hashes, utf8(column), pc.utf8_length(column).to_pylist())
+        values = measure(batch.column(text_at))
         kept = batch.columns if keep else [batch.column(0)]
         arrays = [*kept, *(pa.array(values[name], pa.int64()) for name in MEASURES)]
         names = [*(f"_in{i}" for i in range(len(kept))), *MEASURES]

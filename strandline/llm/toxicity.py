@@ -15,22 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, mix, utf8
+from .common import Words, batches, mix
 from .labelled import held_out, training_rows
 
 #: Size of the hash space.
 BITS = 22
-_EDGES = b".,;:!?\"'()[]{}*"
+#: What separates words here: white space and punctuation.
+_BETWEEN = b" \t\n\v\f\r.,;:!?\"'()[]{}*"
 #: Documented bounds of the sample: rows in all, and rows that one task learns from.
-MOST_ROWS, SHARD_ROWS = 16_384, 4_096
+MOST_ROWS, SHARD_ROWS = 32_768, 16_384
 
 
-def features(hashes: WordHashes, text: bytes | None) -> np.ndarray:
-    """Hashed features of a text, repeats included."""
-    words = hashes.of([w.strip(_EDGES) for w in (text or b"").lower().split()])
-    pairs = words[:-1] * np.uint64(3) + words[1:] * np.uint64(0x9E3779B97F4A7C15)
-    skips = words[:-2] * np.uint64(5) + words[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mix(np.concatenate([words, pairs, skips])) >> np.uint64(64 - BITS)).astype(np.int64)
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """Hashed features of each text, repeats included."""
+    found = Words(column, spaces=_BETWEEN)
+    words = found.hashes
+    place = lambda x: (mix(x) >> np.uint64(64 - BITS)).astype(np.int64)
+    one = place(words)
+    two = place(words[:-1] * np.uint64(3) + words[1:] * np.uint64(0x9E3779B97F4A7C15))
+    skip = place(words[:-2] * np.uint64(5) + words[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
+        yield np.concatenate([one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]])
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -63,11 +68,11 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     most_rows: int = MOST_ROWS,
-    epochs: int = 4,
-    alpha: float = 0.3,
+    epochs: int = 8,
+    alpha: float = 2.5,
     beta: float = 1.0,
-    l1: float = 1.0,
-    l2: float = 1.0,
+    l1: float = 4.0,
+    l2: float = 0.0,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and bias; without labels no weights and bias 0."""
     rows, n = training_rows(docs, labels, id_col, label_col, most_rows, {"text": text_col})
@@ -75,9 +80,8 @@ def train(
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("_id", F.lit("shard")), F.lit(shards)))
 
     def learn(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = WordHashes()
         ordered = table.sort_by([("order", "ascending")])
-        seen = [(np.unique(features(hashes, t)), y) for t, y in zip(utf8(ordered.column("text").combine_chunks()), ordered.column("y").to_pylist(), strict=True)]
+        seen = [(np.unique(f), y) for f, y in zip(features(ordered.column("text").combine_chunks()), ordered.column("y").to_pylist(), strict=True)]
         at, w, bias = ftrl(seen, epochs, alpha, beta, l1, l2)
         return pa.table([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), [bias], [len(seen)]], names=["at", "w", "bias", "n"])
 
@@ -101,14 +105,12 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         at, w, bias = shared.value
         dense = np.zeros(1 << BITS, dtype=np.float32)
         dense[at] = w
         for batch in batches(rows):
             out = []
-            for text in utf8(batch.column(1)):
-                found = features(hashes, text)
+            for found in features(batch.column(1)):
                 found = np.unique(found[dense[found] != 0])
                 out.append(bias + float(dense[found].sum(dtype=np.float64)))
             p = 1 / (1 + np.exp(-np.clip(np.array(out), -35, 35)))
