@@ -9,9 +9,9 @@
    are the bucket's star around the hub, so a bucket of n members gives n - 1 of them.
 3. Edges that the signatures and set sizes don't rule out are confirmed on the full sets, each
    member's most similar hub first; edges inside a component found so far need no test.
-4. What stars leave over is searched exactly: in buckets that still hold several components,
-   members outside the largest one are compared with all others, signature against signature, in
-   square chunks of bounded size, and likely pairs are confirmed on the full sets.
+4. What stars leave over is searched exactly: where a hub's star still holds several components,
+   members outside the largest one are compared with all others of the star on the full sets, in
+   square chunks of bounded size. Any two texts that share a bucket are in the star of its hub.
 
 The number of rows per band is the largest at which a pair at the threshold shares no bucket with a
 probability below 1e-7.
@@ -37,7 +37,7 @@ BINS = 160
 _TRIES = 64
 #: Standard deviations by which a signature's estimate may fall short of the threshold.
 _SIGMAS = 5.0
-_CHUNK = 512
+_CHUNK = 256
 
 
 def _sequences() -> np.ndarray:
@@ -160,14 +160,15 @@ class _Search:
             .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         )
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """doc_id and shingles of the documents named."""
+        ids = cut(ids)
+        named = F.broadcast(ids) if ids.count() <= self.most_broadcast else ids
+        return _sets(self.docs.join(named, "doc_id", "left_semi"), self.width).dropDuplicates(["doc_id"])
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose full sets are similar enough."""
-        ids = cut(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct())
-        n = ids.count()
-        if n == 0:
-            return pairs.select("u", "v")
-        named = F.broadcast(ids) if n <= self.most_broadcast else ids
-        sets = cut(_sets(self.docs.join(named, "doc_id", "left_semi"), self.width).dropDuplicates(["doc_id", "shingles"]))
+        sets = self.sets(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct())
         both = pairs.select("u", "v").join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
         kind, percent = pairs.schema["u"].dataType.simpleString(), self.percent
 
@@ -197,39 +198,58 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("_cu", "u") != F.coalesce("_cv", "v")).drop("_cu", "_cv")
 
 
-def _left_over(search: _Search, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs across components that share a bucket of three or more, hub or not."""
-    placed = members.join(labels.toDF("rep", "_c"), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
-    per_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    mixed = per_comp.groupBy("bucket").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", "k").alias("major")).filter("n > 2 AND top < n")
-    rows = placed.select("bucket", "rep", "comp").join(mixed, "bucket").join(search.classes.select("rep", F.col("n").alias("size"), "sig"), "rep")
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    sets = [*left, *right]
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(counts > 1) - 1  # what one set alone has is in no intersection
+    shared = counts[where] > 1
+    row, column = row[shared], column[where[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(*np.searchsorted(column, (first, first + 4096)))
+        marks = np.zeros((len(sets), 4096), dtype=np.float32)
+        marks[row[part], column[part] - first] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return out
+
+
+def _left_over(search: _Search, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (u, v) across components between members of one hub's star, from their full sets."""
+    placed = stars.join(labels.toDF("u", "_c"), "u", "left").select(F.col("v").alias("hub"), F.col("u").alias("rep"), F.coalesce("_c", "u").alias("comp"))
+    per_comp = placed.groupBy("hub", "comp").agg(F.count("*").alias("k"))
+    mixed = per_comp.groupBy("hub").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", "k").alias("major")).filter("top < n")
+    rows = cut(placed.join(mixed, "hub"))
+    n_rows = rows.count()
+    sets = search.sets(rows.select(F.col("rep").alias("doc_id")).distinct()).toDF("rep", "shingles")
     n_m, n_r = F.ceil(F.col("n") / _CHUNK), F.ceil((F.col("n") - F.col("top")) / _CHUNK)
     chunk = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    base = ["bucket", "rep", "comp", "size", "sig"]
-    minor = rows.filter("comp <> major").select(*base, F.lit(True).alias("minor"), chunk(n_r, "r").alias("a"), upto(n_m).alias("b"))
-    every = rows.select(*base, F.lit(False).alias("minor"), chunk(n_m, "m").alias("b"), upto(n_r).alias("a")).select(*minor.columns)
-    # Small buckets travel together: a group holds a few thousand rows or one square of chunks.
-    n_rows = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pack = F.pmod(F.xxhash64("bucket"), F.lit(max(1, n_rows // 2000)))
-    chunks = minor.unionAll(every).withColumn("pack", pack)
-    s, kind = search.percent / 100, members.schema["rep"].dataType.simpleString()
+    # Small stars travel together: a group holds some hundred rows or one square of chunks.
+    pack = F.pmod(F.xxhash64("hub"), F.lit(max(1, n_rows // _CHUNK))).alias("pack")
+    minor = rows.filter("comp <> major").select("hub", "rep", "comp", pack, F.lit(True).alias("minor"), chunk(n_r, "r").alias("a"), upto(n_m).alias("b"))
+    every = rows.select("hub", "rep", "comp", pack, F.lit(False).alias("minor"), chunk(n_m, "m").alias("b"), upto(n_r).alias("a")).select(*minor.columns)
+    percent, kind = search.percent, stars.schema["u"].dataType.simpleString()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in group.groupby("bucket", sort=False):
+        out: set[tuple] = set()
+        for _, g in group.groupby("hub", sort=False):
             left, right = g[g["minor"]], g[~g["minor"]]
             if not len(left) or not len(right):
                 continue
-            sig_l, sig_r = (np.frombuffer(b"".join(x["sig"]), dtype=np.uint16).reshape(-1, BINS) for x in (left, right))
-            comp_r, size_r, rep_r = right["comp"].to_numpy(), right["size"].to_numpy(), right["rep"].to_numpy()
-            for rep, comp, size, sig in zip(left["rep"], left["comp"], left["size"], sig_l, strict=True):
-                low, high = np.minimum(size, size_r), np.maximum(size, size_r)
-                need = s - _SIGMAS * np.sqrt(s * (1 - s) / np.minimum(low, BINS))
-                good = (comp_r != comp) & (low >= s * high - 1e-9) & ((sig_r == sig).mean(axis=1) >= need)
-                out += [(min(rep, x), max(rep, x)) for x in rep_r[good]]
-        return pd.DataFrame(sorted(set(out)), columns=["u", "v"])
-
+            sets_l, sets_r = ([np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in (left, right))
+            common = _common(sets_l, sets_r)
+            size_l, size_r = (np.array([len(x) for x in side], dtype=np.float64) for side in (sets_l, sets_r))
+            good = 100 * common >= percent * (size_l[:, None] + size_r - common)
+            good &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()
+            rep_l, rep_r = left["rep"].to_numpy(), right["rep"].to_numpy()
+            out |= {(min(rep_l[i], rep_r[j]), max(rep_l[i], rep_r[j])) for i, j in zip(*np.nonzero(good), strict=True)}
+        return pd.DataFrame(sorted(out), columns=["u", "v"])
+
+    chunks = minor.unionAll(every).join(sets, "rep")
     return chunks.groupBy("pack", "a", "b").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
 
 
@@ -258,7 +278,7 @@ def near_duplicates(
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
     scored = members.join(score, "rep")
     hubs = scored.groupBy("bucket").agg(F.max_by("rep", F.struct("score", F.xxhash64("rep"))).alias("v"))
-    stars = members.select(F.col("rep").alias("u"), "bucket").join(hubs, "bucket").filter("u <> v").select("u", "v").distinct()
+    stars = cut(members.select(F.col("rep").alias("u"), "bucket").join(hubs, "bucket").filter("u <> v").select("u", "v").distinct())
     edges = cut(search.likely(stars))
 
     best = edges.withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("share"), "v"))).filter("_r = 1")
@@ -268,11 +288,9 @@ def near_duplicates(
     if more.count():
         links = links.unionAll(more)
         labels = cut(components(links))
-    tested = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = cut(_left_over(search, members, labels).join(tested, ["u", "v"], "left_anti"))
-    rest_links = cut(search.confirmed(rest))
-    if rest_links.count():
-        labels = cut(components(links.unionAll(rest_links)))
+    rest = cut(_left_over(search, stars, labels))
+    if rest.count():
+        labels = cut(components(links.unionAll(rest)))
 
     of_class = search.classes.select("digest", "rep").join(labels.toDF("rep", "_c"), "rep", "left").select("digest", F.coalesce("_c", "rep").alias("component_id"))
     found = search.signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
