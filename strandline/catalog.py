@@ -256,40 +256,13 @@ def top_drivers(s, d):
     return M.top_drivers(M.macro_correlations(panel(s, d), X.indicators(s, d)))
 
 
-def _states(s: SparkSession, d: str) -> DataFrame:
-    macro = P.drop_unfinished(X.indicators(s, d), AS_OF)
-    return M.classify_states(macro, X.components(s))
-
-
-@query(None)
-def classify_states(s, d):
-    return _states(s, d)
-
-
-@query(None)
-def transition_matrix(s, d):
-    return M.transition_matrix(_states(s, d))
-
-
-@query(None)
-def state_performance(s, d):
-    return M.state_performance(panel(s, d), _states(s, d))
-
-
-@query(None)
-def factor_attribution(s, d):
-    return M.factor_attribution(panel(s, d), _states(s, d))
-
-
-@query(None)
-def outlook(s, d):
-    states = _states(s, d)
-    return M.outlook(states, M.transition_matrix(states))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_states  # noqa: F401  registers its queries
+
     return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_states  # noqa: F401
+
     return {name: sql for name, (_, sql) in _FOUND.items() if sql is not None}
