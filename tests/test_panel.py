@@ -9,7 +9,7 @@ from strandline import catalog
 from strandline.operators import macro, panel, performance
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["perf_stats", "returns", "asof_backward", "factor_vs_reference", "regime_performance", "corr_matrix", "macro_correlations", "block_ranks", "classify_states", "factor_attribution", "vol_target"]
+CHECKED = ["perf_stats", "returns", "asof_backward", "factor_vs_reference", "regime_performance", "corr_matrix", "macro_correlations", "block_ranks", "classify_states", "factor_attribution", "vol_target", "concentration", "diversification_ratio"]
 
 
 def rows(df):
