@@ -257,12 +257,12 @@ def top_drivers(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_exposure, catalog_states  # noqa: F401  they register their queries
+    from . import catalog_exposure, catalog_more, catalog_states  # noqa: F401  they register their queries
 
     return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_exposure, catalog_states  # noqa: F401
+    from . import catalog_exposure, catalog_more, catalog_states  # noqa: F401
 
     return {name: sql for name, (_, sql) in _FOUND.items() if sql is not None}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.normal import norm_cdf
 from .performance import join_regimes, pair_with_reference
 
 LAGS = (0, 1, 3, 6, 12)
@@ -55,6 +56,12 @@ def macro_corr_by_regime(panel: DataFrame, macro: DataFrame, regimes: DataFrame,
     return pairs.groupBy("regime", "series", "indicator").agg(F.corr("ret", "f").alias("corr"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def strongest_by_regime(corr: DataFrame) -> DataFrame:
+    """The single largest correlation by size of each regime; ties go to the series and indicator by name."""
+    w = W.partitionBy("regime").orderBy(F.desc(F.round(F.abs("corr"), 9)), "series", "indicator")
+    return corr.filter(F.col("corr").isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def top_drivers(corr: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` strongest indicators of each series on changes at lag 0, by absolute correlation."""
     now = corr.filter((F.col("basis") == "chg") & (F.col("lag") == 0) & F.col("corr").isNotNull())
@@ -79,15 +86,6 @@ def trend(macro: DataFrame, smooth: int = 3, lag: int = 6) -> DataFrame:
     return smoothed.withColumn("trend", F.col("smooth") - F.lag("smooth", lag).over(w))
 
 
-def norm_cdf(z: Column) -> Column:
-    """Standard normal distribution by formula 7.1.26 of Abramowitz and Stegun (error below 1.5e-7); null stays null."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1.0 - poly * F.exp(-x * x)
-    return 0.5 * (1.0 + F.when(z < 0, -erf).otherwise(erf))
-
-
 def composite_score(trends: DataFrame, components: DataFrame) -> DataFrame:
     """axis, month, score: mean of the available signed trends over their volatility, made to have volatility 1.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.normal import norm_cdf
 from .panel import complete_months, drawdown, returns
 
 REFERENCE = "Reference"
@@ -180,6 +181,19 @@ def sleeve_table(panel: DataFrame, market: DataFrame, rf: float = 0.0) -> DataFr
     )
 
 
+def psr(returns_: DataFrame, sr0: float = 0.0) -> DataFrame:
+    """Monthly Sharpe (population volatility) and the probability that the true one exceeds ``sr0``.
+
+    Skew and kurtosis widen the error; null for fewer than three months or where the error has no root.
+    """
+    known = returns_.filter(F.col("ret").isNotNull())
+    sr = F.avg("ret") / F.nullif(F.stddev_pop("ret"), F.lit(0.0))
+    stats = known.groupBy("series").agg(F.count("*").alias("months"), sr.alias("sr"), F.skewness("ret").alias("g3"), F.kurtosis("ret").alias("k"))
+    spread = 1 - F.col("g3") * F.col("sr") + (F.col("k") + 2) / 4 * F.col("sr") * F.col("sr")
+    z = F.when((F.col("months") >= 3) & (spread > 0), (F.col("sr") - sr0) * F.sqrt(F.col("months") - 1) / F.sqrt(spread))
+    return stats.select("series", "months", "sr", norm_cdf(z).alias("psr"))
+
+
 def active_stats(returns_: DataFrame, bench: DataFrame) -> DataFrame:
     """Active return, tracking error and information ratio against bench (month, bench)."""
     rows = returns_.filter(F.col("ret").isNotNull()).join(F.broadcast(bench), "month").withColumn("a", F.col("ret") - F.col("bench"))

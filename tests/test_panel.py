@@ -10,6 +10,7 @@ from strandline.operators import macro, panel, performance
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["perf_stats", "returns", "asof_backward", "factor_vs_reference", "regime_performance", "corr_matrix", "macro_correlations", "block_ranks", "classify_states", "factor_attribution", "vol_target", "concentration", "diversification_ratio"]
+CHECKED += ["corr_by_regime", "rolling_beats", "trend_overlay", "sleeve_table", "psr", "yoy", "trend", "flag_share_by_state", "strongest_by_regime", "resample_month_end"]
 
 
 def rows(df):
@@ -19,7 +20,7 @@ def rows(df):
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "lineitem", "part"):
+    for t in ("region", "nation", "customer", "orders", "lineitem", "part", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF)
     want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
