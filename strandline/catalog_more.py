@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import _d, _r, panel, query
+from .catalog_exposure import _WEIGHTS, _weights
 from .catalog_states import _CDF, _STATES, _states
+from .operators import exposure as E
 from .operators import macro as M
 from .operators import panel as P
 from .operators import performance as A
@@ -105,3 +107,44 @@ def strongest_by_regime(s, d):
 def resample_month_end(s, d):
     """The events cover whole months without a gap, so the calendar adds no rows."""
     return P.resample_month_end(X.table(s, d, "events"), "event_type", "ts", "value")
+
+
+@query(
+    f"""{_STATES}, lt AS (SELECT * FROM st ORDER BY month DESC LIMIT 1), pb AS (SELECT month, lag(state, 6) OVER (ORDER BY month) AS prior_state FROM st),
+  nx AS (SELECT tm.* FROM tm JOIN lt ON from_state = lt.state)
+  SELECT strftime(lt.month, '%Y-%m-%d') AS as_of, lt.state, {_r("growth_score", "inflation_score")}, prior_state,
+  (SELECT count(*) FROM st WHERE month > coalesce((SELECT max(month) FROM st WHERE state <> (SELECT state FROM lt)), DATE '1900-01-01')) AS months_in_state,
+  {_r("(SELECT p FROM nx WHERE to_state = from_state) AS stay_prob", "(SELECT CASE WHEN p < 1 THEN 1 / (1 - p) ELSE p / 0.0 END FROM nx WHERE to_state = from_state) AS expected_duration")},
+  (SELECT to_state FROM nx WHERE to_state <> from_state AND n > 0 ORDER BY n DESC, CASE to_state WHEN 'Reflation' THEN 0 WHEN 'Stagflation' THEN 1 WHEN 'Deflationary bust' THEN 2 ELSE 3 END LIMIT 1) AS likely_next
+  FROM lt JOIN pb USING (month)""",
+    macro=True,
+)
+def state_card(s, d):
+    states = _states(s, d)
+    return M.state_card(states, M.transition_matrix(states))
+
+
+@query(
+    f"""{_STATES}, mo AS (SELECT state, lead(growth_score, 3) OVER (ORDER BY month) - growth_score AS dg, lead(inflation_score, 3) OVER (ORDER BY month) - inflation_score AS di FROM st)
+  SELECT state, count(*) AS n, {_r(*(f"quantile_cont({c}, {p / 100}) AS {axis}_p{p}" for axis, c in (("growth", "dg"), ("inflation", "di")) for p in (10, 25, 75, 90)))}
+  FROM mo WHERE dg IS NOT NULL GROUP BY state HAVING count(*) >= 15""",
+    macro=True,
+)
+def empirical_cone(s, d):
+    return M.empirical_cone(_states(s, d))
+
+
+@query(
+    f"""{_WEIGHTS}, pm AS (SELECT portfolio, month, sum(weight * ret) AS ret FROM wt JOIN rt USING (series) WHERE ret IS NOT NULL GROUP BY portfolio, month HAVING count(*) = 2),
+  ep AS (SELECT regime, s, portfolio, month, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY regime, portfolio ORDER BY month)) AS lvl FROM pm JOIN rg ON month BETWEEN s AND e),
+  ed AS (SELECT *, lvl / max(lvl) OVER (PARTITION BY regime, portfolio ORDER BY month) - 1 AS dd FROM ep)
+  SELECT regime AS episode, portfolio, count(*) AS n_months, {_r("arg_max(lvl, month) - 1 AS cum_return", "min(dd) AS max_drawdown", "min(ret) AS worst_month")} FROM ed GROUP BY regime, s, portfolio
+  HAVING count(*) >= 2 AND min(month) <= last_day(s + to_months(CASE WHEN s = last_day(s) THEN 2 ELSE 1 END))"""
+)
+def episode_replay(s, d):
+    return E.episode_replay(E.portfolio_returns(_weights(s, d), panel(s, d)), X.regimes(s))
+
+
+@query(f"{_WEIGHTS}{_STATES} SELECT portfolio, state, {_r('sum(weight * mean_ret) AS mean_ret')}, sum(weight * mean_ret) = min(sum(weight * mean_ret)) OVER (PARTITION BY portfolio) AS is_worst FROM wt JOIN sp USING (series) GROUP BY portfolio, state HAVING count(*) = 2", macro=True)
+def portfolio_state_means(s, d):
+    return E.portfolio_state_means(_weights(s, d), M.state_performance(panel(s, d), _states(s, d)))

@@ -79,3 +79,27 @@ def inverse_variance_weights(panel: DataFrame, by: tuple[str, ...] = ()) -> Data
     """portfolio, series, weight in proportion to the inverse variance of the series' returns."""
     own = panel.filter(F.col("ret").isNotNull()).groupBy(*by, "series").agg((1 / F.nullif(F.var_samp("ret"), F.lit(0.0))).alias("inv")).filter(F.col("inv").isNotNull())
     return own.select(*by, F.lit("inverse variance").alias("portfolio"), "series", (F.col("inv") / F.sum("inv").over(W.partitionBy(*by))).alias("weight"))
+
+
+def episode_replay(returns_: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Cumulative return, drawdown and worst month of portfolio returns inside each episode (regime, start, end).
+
+    The drawdown is of the compounded returns, without a base. Left out are episodes of fewer than two
+    months and those whose data begin after the second month-end from the episode's start.
+    """
+    rows = returns_.join(F.broadcast(episodes), F.col("month").between(F.col("start"), F.col("end")))  # a literal table
+    path = W.partitionBy("regime", "portfolio").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("lvl", F.exp(F.sum(F.log1p("ret")).over(path))).withColumn("dd", F.col("lvl") / F.max("lvl").over(path) - 1)
+    months = F.when(F.col("start") == F.last_day("start"), 2).otherwise(1)
+    stats = rows.groupBy(F.col("regime").alias("episode"), "start", "portfolio").agg(
+        F.count("*").alias("n_months"), F.min("month").alias("_first"), (F.max_by("lvl", "month") - 1).alias("cum_return"), F.min("dd").alias("max_drawdown"), F.min("ret").alias("worst_month")
+    )
+    return stats.filter((F.col("n_months") >= 2) & (F.col("_first") <= F.last_day(F.add_months("start", months)))).drop("_first", "start")
+
+
+def portfolio_state_means(weights: DataFrame, state_means: DataFrame) -> DataFrame:
+    """portfolio, state, mean_ret and whether it is the portfolio's worst, for states in which all its series have a mean."""
+    held = weights.withColumn("_n", F.count("*").over(W.partitionBy("portfolio")))
+    means = held.join(state_means.select("state", "series", F.col("mean_ret").alias("_m")), "series").groupBy("portfolio", "state")
+    rows = means.agg(F.sum(F.col("weight") * F.col("_m")).alias("mean_ret"), F.count("*").alias("_k"), F.max("_n").alias("_n")).filter("_k = _n")
+    return rows.select("portfolio", "state", "mean_ret", (F.col("mean_ret") == F.min("mean_ret").over(W.partitionBy("portfolio"))).alias("is_worst"))

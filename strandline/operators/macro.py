@@ -186,3 +186,30 @@ def momentum_signs(states: DataFrame, m: int = 6, h: int = 6) -> DataFrame:
         out = out.withColumn(f"{axis}_velocity", (F.col(f"{axis}_score") - F.lag(f"{axis}_score", m).over(w)) / m)
         out = out.withColumn(f"{axis}_ahead", F.col(f"{axis}_score") + h * F.col(f"{axis}_velocity"))
     return out
+
+
+def state_card(states: DataFrame, transitions: DataFrame, lag: int = 6) -> DataFrame:
+    """One row on the latest month: its state and spell, the state ``lag`` months before, and where it tends to go.
+
+    The expected duration is 1 / (1 - p) of the probability p of staying, infinite for p = 1. Of equally
+    frequent next states the first in the order of STATES is named; none if no other ever followed.
+    """
+    w = W.orderBy("month")  # one row for each month, so one partition holds them
+    seen = states.withColumn("prior_state", F.lag("state", lag).over(w)).withColumn("_from", F.when(~F.col("state").eqNullSafe(F.lag("state").over(w)), F.col("month")))
+    spell = seen.withColumn("_place", F.row_number().over(w)).withColumn("_start", F.when(F.col("_from").isNotNull(), F.col("_place")))
+    last = F.max_by(F.struct("month", "state", "growth_score", "inflation_score", "prior_state", "_place"), "month")
+    now = spell.agg(last.alias("l"), F.max("_start").alias("_s")).filter(F.col("l").isNotNull())
+    stays, other = F.col("from_state") == F.col("to_state"), (F.col("from_state") != F.col("to_state")) & (F.col("n") > 0)
+    order = -F.array_position(F.array(*map(F.lit, STATES)), F.col("to_state"))
+    moves = transitions.groupBy(F.col("from_state").alias("state")).agg(F.max(F.when(stays, F.col("p"))).alias("stay_prob"), F.max_by("to_state", F.when(other, F.struct(F.col("n"), order))).alias("likely_next"))
+    p = F.col("stay_prob")
+    card = now.select(F.col("l.month").alias("as_of"), "l.state", "l.growth_score", "l.inflation_score", "l.prior_state", (F.col("l._place") - F.col("_s") + 1).cast("long").alias("months_in_state"))
+    return card.join(moves, "state", "left").withColumn("expected_duration", F.when(p < 1, 1 / (1 - p)).when(p == 1, F.lit(float("inf"))))
+
+
+def empirical_cone(states: DataFrame, h: int = 3, least: int = 15) -> DataFrame:
+    """Percentiles 10, 25, 75 and 90 of the moves of both scores over ``h`` months, by state, of ``least`` moves at least."""
+    w = W.orderBy("month")
+    moved = states.select("state", *((F.lead(f"{a}_score", h).over(w) - F.col(f"{a}_score")).alias(a) for a in ("growth", "inflation"))).filter(F.col("growth").isNotNull())
+    cells = [F.percentile(a, F.lit(p / 100)).alias(f"{a}_p{p}") for a in ("growth", "inflation") for p in (10, 25, 75, 90)]
+    return moved.groupBy("state").agg(F.count("*").alias("n"), *cells).filter(F.col("n") >= least)

@@ -10,7 +10,7 @@ from strandline.operators import macro, panel, performance
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["perf_stats", "returns", "asof_backward", "factor_vs_reference", "regime_performance", "corr_matrix", "macro_correlations", "block_ranks", "classify_states", "factor_attribution", "vol_target", "concentration", "diversification_ratio"]
-CHECKED += ["corr_by_regime", "rolling_beats", "trend_overlay", "sleeve_table", "psr", "yoy", "trend", "flag_share_by_state", "strongest_by_regime", "resample_month_end"]
+CHECKED += ["corr_by_regime", "rolling_beats", "trend_overlay", "sleeve_table", "psr", "yoy", "trend", "flag_share_by_state", "strongest_by_regime", "resample_month_end", "state_card", "empirical_cone", "episode_replay", "portfolio_state_means"]
 
 
 def rows(df):
