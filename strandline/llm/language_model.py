@@ -11,7 +11,7 @@ its exact count, every pair of context and word too.
 Jobs, each a pass over the texts:
 1. counts of words (64-bit hashes), summed by key; the frequent ones are broadcast;
 2. pairs of two of the ``dense`` most frequent words, as rows of a small matrix, and the histogram
-   for the weights, from one word type in ``em_types`` over all documents;
+   for the weights, from the held-out counts of all words;
 3. every other pair goes, with its document's place in a batch, to a block of keys. A block sees all
    occurrences of its pairs and so knows their counts; it sends one partial sum for each document
    and batch back. Pairs that are frequent everywhere are in the matrix and are scored where they stand.
@@ -158,7 +158,17 @@ def _runs(key: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None) -> t
     return key[first], doc[first], n.astype(np.uint32), mixed[first], None if more is None else more[first]
 
 
-def _blocks(docs: DataFrame, model: Frequent, em_types: int, n_blocks: int, score: bool) -> DataFrame:
+def _packed(values: np.ndarray) -> bytes:
+    """The values byte by byte, all their lowest bytes first: high bytes are mostly zero and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes | None, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data or b"", dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> DataFrame:
     """Rows for the blocks; with ``score`` all pairs and the sums known on the spot, else what the weights need."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -191,7 +201,7 @@ def _blocks(docs: DataFrame, model: Frequent, em_types: int, n_blocks: int, scor
                 s = np.bincount(cell[train & (role == 1)], minlength=(m.dense + 1) * m.dense).astype(np.uint32).reshape(m.dense + 1, m.dense)
                 for r in np.flatnonzero(c.any(axis=1)).tolist():
                     yield _row(batch_id, -1 - r, hk=c[r].tobytes(), hn=s[r].tobytes())
-            sent = ~on_spot & (role > 0) & (mix(tokens) % np.uint64(em_types) == 0)
+            sent = ~on_spot & (role > 0)
             doc = np.zeros_like(doc)  # the weights need counts, not documents
         tag = (doc << np.uint32(2)) | role
         h, t = sent & known, sent & tail
@@ -205,7 +215,7 @@ def _blocks(docs: DataFrame, model: Frequent, em_types: int, n_blocks: int, scor
             hs, ts = slice(h_cuts[b], h_cuts[b + 1]), slice(t_cuts[b], t_cuts[b + 1])
             if first or hs.stop > hs.start or ts.stop > ts.start:
                 yield _row(
-                    batch_id, b, hk=hk[hs].tobytes(), hd=hd[hs].tobytes(), hn=hn[hs].tobytes(), tk=tk[ts].tobytes(), tc=tc[ts].tobytes(), td=td[ts].tobytes(), tn=tn[ts].tobytes(),
+                    batch_id, b, hk=_packed(hk[hs]), hd=_packed(hd[hs]), hn=_packed(hn[hs]), tk=_packed(tk[ts]), tc=_packed(tc[ts]), td=_packed(td[ts]), tn=_packed(tn[ts]),
                     n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None,
                 )
                 first = False
@@ -265,7 +275,7 @@ def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
     kinds = {"hk": np.uint64, "hd": np.uint32, "hn": np.uint32, "tk": np.uint64, "tc": np.uint32, "td": np.uint32, "tn": np.uint32}
     out = {}
     for name, kind in kinds.items():
-        parts = [np.frombuffer(x or b"", dtype=kind) for x in table.column(name).to_pylist()]
+        parts = [_unpacked(x, kind) for x in table.column(name).to_pylist()]
         out[name] = np.concatenate(parts)
         if name in ("hk", "tk"):
             out[f"{name[0]}_row"] = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
@@ -325,9 +335,9 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, v: int, rounds: int = 40) -> n
     return weights
 
 
-def _fit(docs: DataFrame, m: Frequent, em_types: int) -> Frequent:
+def _fit(docs: DataFrame, m: Frequent) -> Frequent:
     """Fill in the matrix of pairs and the mixture weights."""
-    n_blocks = max(1, m.n // (_BLOCK * em_types))
+    n_blocks = max(1, m.n // _BLOCK)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def reduce_block(key: tuple, table: pa.Table) -> pa.Table:
@@ -344,7 +354,7 @@ def _fit(docs: DataFrame, m: Frequent, em_types: int) -> Frequent:
         none = pa.nulls(len(n), pa.binary())
         return pa.table([pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(cells[:, 2]), pa.array(n), none, none], names=names)
 
-    found = _blocks(docs, m, em_types, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, "block bigint, pair bigint, word bigint, n double, c binary, s binary")
+    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, "block bigint, pair bigint, word bigint, n double, c binary, s binary")
     # At most dense + 1 rows of the matrix, and the cells of the histogram.
     rows = found.groupBy("block", "pair", "word").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.first("s").alias("s")).toPandas()
     m.c_pair, m.s_pair = np.zeros((m.dense + 1, m.dense)), np.zeros((m.dense + 1, m.dense))
@@ -352,16 +362,14 @@ def _fit(docs: DataFrame, m: Frequent, em_types: int) -> Frequent:
         m.c_pair[-1 - r.block], m.s_pair[-1 - r.block] = (np.frombuffer(x, dtype=np.uint64) for x in (r.c, r.s))
     cells, n = rows.loc[rows["block"] >= 0, ["block", "pair", "word"]].to_numpy(np.int64).reshape(-1, 3), rows.loc[rows["block"] >= 0, "n"].to_numpy(np.float64)
     if m.dense:
-        word_of = np.empty(m.k, dtype=np.uint64)
-        word_of[m.place] = m.hash
-        r, w = np.nonzero(m.s_pair * (mix(word_of[: m.dense]) % np.uint64(em_types) == 0))
+        r, w = np.nonzero(m.s_pair)
         more, n_more = _cells(m, np.where(r == m.dense, m.start, r), m.c_pair[r, w], m.s_pair[r, w], m.c[w], m.s[w], m.s_pair[r, w])
         cells, n = np.concatenate([cells, more]), np.concatenate([n, n_more])
     m.weights = fit_weights(cells, n, m.v)
     return m
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contexts: int = 1 << 18, dense: int = 512, em_types: int = 16) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contexts: int = 1 << 18, dense: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``.
 
     Rows whose crc32(doc_id) mod 10 is not 0 are learned from; remainder 1 is held out while the
@@ -370,11 +378,11 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Without training rows every count is 0. Other columns are not read.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("fold", F.pmod(crc32_of(F.col("doc_id")), F.lit(10)).cast("int"))
-    model = _fit(named, _frequent(named, contexts, dense), em_types)
+    model = _fit(named, _frequent(named, contexts, dense))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_blocks = max(1, model.n // _BLOCK)
     kind = named.schema["doc_id"].dataType.simpleString()
-    rows = _blocks(named, model, em_types, n_blocks, score=True)
+    rows = _blocks(named, model, n_blocks, score=True)
 
     def score_block(key: tuple, table: pa.Table) -> pa.Table:
         m = shared.value

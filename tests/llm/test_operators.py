@@ -167,6 +167,52 @@ def test_language_model_base_score(spark, odd):
     assert all(r.train_tokens == n and r.score < 0 for r in rows)
 
 
+def plain_scores(data, rounds=40):
+    """Deleted interpolation, word by word; estimates are rounded for the weights only, as _cells does."""
+    c, s, pairs, held_pairs = Counter(), Counter(), Counter(), Counter()
+    texts = [(i, zlib.crc32(str(i).encode()) % 10, [None, *words(t), b"\n"]) for i, t in data]
+    for _, fold, t in texts:
+        for count, pair in ((c, pairs), (s, held_pairs)):
+            if fold == 1 or (fold and count is c):
+                count.update(t)
+                pair.update(zip(t, t[1:]))
+    n, n_held, v = (sum(x.values()) - x[None] for x in (c, s, dict.fromkeys(c, 1) | {None: 1}))
+    bucket = lambda w: "start" if w is None else int(math.log2(max(c[w], 1)))
+    rounded = lambda p: 10 ** (round(40 * math.log10(p)) / 40) if p else 0.0
+    cells = Counter()
+    for (a, b), k in held_pairs.items():
+        cells[bucket(a), rounded((pairs[a, b] - k) / max(c[a] - s[a], 1)), rounded((c[b] - s[b]) / max(n - n_held, 1))] += k
+    weights = {}
+    for name in {name for name, _, _ in cells}:
+        w = [1 / 3] * 3
+        for _ in range(rounds):
+            total = [0.0] * 3
+            for (cell, p, q), k in cells.items():
+                if cell == name:
+                    share = [w[0] * p, w[1] * q, w[2] / (v + 1)]
+                    total = [x + k * y / sum(share) for x, y in zip(total, share)]
+            w = [max(x / sum(total), 1e-6) for x in total]
+            w = [x / sum(w) for x in w]
+        weights[name] = w
+    out = {}
+    for i, _, t in texts:
+        out[i] = 0.0
+        for a, b in zip(t, t[1:]):
+            x, y, z = weights.get(bucket(a), [1 / 3] * 3)
+            out[i] += math.log10(x * pairs[a, b] / max(c[a], 1) + y * c[b] / n + z / (v + 1))
+    return out
+
+
+@pytest.mark.parametrize("dense", [512, 3])
+def test_language_model_score_equals_a_plain_model(spark, dense):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10 for w in words(r.text)}
+    docs = spark.createDataFrame([(r.doc_id, " ".join(w.decode() for w in words(r.text) if w in seen)) for r in docs.collect()], "doc_id bigint, text string")
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r.score for r in language_model.language_model_scores(docs, dense=dense).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     held = [r for r in language_model.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
