@@ -4,9 +4,9 @@ p(w | v) = a[b] * c(v, w) / c(v) + m[b] * c(w) / N + z[b] / (V + 1), where b is
 context's frequency c(v), and the mixture weights (a, m, z)[b] are found by expectation-maximisation
 on held-out counts: those of one training document in nine, taken out of the counts meanwhile.
 
-Histories are classified: the ``contexts`` most frequent words and the start of a text are contexts of
-their own, all other words share one. Words to be predicted are never cut off: every distinct word has
-its exact count, every pair of context and word too.
+Every word and the start of a text is a history of its own. Nothing is cut off: every distinct word
+has its exact count, every pair of context and word too. The counts of the ``contexts`` most frequent words
+are broadcast; those of the others, the rare ones, are found in blocks, with the same result.
 
 Jobs, each a pass over the texts:
 1. counts of words (64-bit hashes), summed by key; the frequent ones are broadcast;
@@ -14,7 +14,8 @@ Jobs, each a pass over the texts:
    for the weights, from the held-out counts of all words;
 3. every other pair goes, with its document's place in a batch, to a block of keys. A block sees all
    occurrences of its pairs and so knows their counts; it sends one partial sum for each document
-   and batch back. Pairs that are frequent everywhere are in the matrix and are scored where they stand.
+   and batch back. Pairs that are frequent everywhere are in the matrix and are scored where they stand;
+4. pairs of two rare words meet the context's count in a second block, to which the first sends both.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Words, batches, crc32_of, mix
 
@@ -33,12 +35,23 @@ _END = np.uint64(0x656E64)  # stands for the end of a text
 _BATCH = 1_000_000
 _BLOCK = 3_000_000
 _PARTS = 4
-_CLASSES = 34  # 32 of frequency, other words, start
+_CLASSES = 33  # 32 of frequency, start
 _LEAST = 1e-6
 _STEP = 40  # histogram steps for a factor of ten
 _NONE = -99_999
 
-_BLOCK_SCHEMA = "batch bigint, block bigint, hk binary, hd binary, hn binary, tk binary, tc binary, td binary, tn binary, n_docs bigint, base binary, score binary, n_tokens binary, n_known binary"
+_BLOCK_SCHEMA = "batch bigint, block bigint, hk binary, hd binary, hn binary, tk binary, tc binary, td binary, tn binary, uk binary, uc binary, ud binary, un binary, xk binary, xc binary, xd binary, xn binary, n_docs bigint, base binary, score binary, n_tokens binary, n_known binary"
+_KINDS = {
+    "hk": np.uint64, "hd": np.uint32, "hn": np.uint32,  # both frequent
+    "tk": np.uint64, "tc": np.uint32, "td": np.uint32, "tn": np.uint32,  # a rare word
+    "uk": np.uint64, "uc": np.uint32, "ud": np.uint32, "un": np.uint32,  # a rare context (key)
+    "xk": np.uint64, "xc": np.uint64, "xd": np.uint32, "xn": np.uint32,  # both rare
+}
+_SECOND = {
+    "wk": np.uint64, "wc": np.int64, "ws": np.int64,  # counts of rare words
+    "xv": np.uint64, "cp": np.int64, "sp": np.int64, "cw": np.int64, "sw": np.int64, "xd": np.uint32, "xn": np.uint32, "xb": np.int64,  # pairs of two
+}
+_SECOND_SCHEMA = "".join(f", {name} binary" for name in _SECOND)
 
 
 def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
@@ -57,6 +70,10 @@ def _bin(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 1024, counts, 1024 + (np.log2(np.maximum(counts, 1)) * 64).astype(np.int64))
 
 
+def _class(c: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), 31)
+
+
 class Frequent:
     """The broadcast part of the model: frequent words and the totals."""
 
@@ -68,12 +85,11 @@ class Frequent:
         self.hash, self.place = words[by_hash], by_hash
         self.n, self.n_held, self.v = n, n_held, v
         self.k, self.dense = len(words), min(dense, len(words))
-        self.other, self.start = self.k, self.k + 1
-        self.c_context = np.concatenate([self.c, [n - self.c.sum(), docs]]).astype(np.float64)
-        self.s_context = np.concatenate([self.s, [n_held - self.s.sum(), docs_held]]).astype(np.float64)
-        classes = np.minimum(np.log2(np.maximum(self.c_context, 1)).astype(np.int64), 31)
-        classes[self.other], classes[self.start] = 32, 33
-        self.classes = classes
+        self.start = self.k
+        self.c_context = np.append(self.c, docs).astype(np.float64)
+        self.s_context = np.append(self.s, docs_held).astype(np.float64)
+        self.classes = _class(self.c_context)
+        self.classes[self.start] = 32
         self.c_pair = self.s_pair = self.weights = None
 
     def places(self, tokens: np.ndarray) -> np.ndarray:
@@ -85,11 +101,11 @@ class Frequent:
 
     def dense_row(self, context: np.ndarray) -> np.ndarray:
         """Row of the matrix of a context, or -1; the start is the last."""
-        return np.where(context < self.dense, context, np.where(context == self.start, self.dense, -1))
+        return np.where((context >= 0) & (context < self.dense), context, np.where(context == self.start, self.dense, -1))
 
-    def log10(self, c_pair: np.ndarray, context: np.ndarray, c_word: np.ndarray) -> np.ndarray:
-        a, m, z = self.weights[self.classes[context]].T
-        return np.log10(a * c_pair / np.maximum(self.c_context[context], 1) + m * c_word / max(self.n, 1) + z / (self.v + 1))
+    def log10(self, c_pair: np.ndarray, c_context: np.ndarray, classes: np.ndarray, c_word: np.ndarray) -> np.ndarray:
+        a, m, z = self.weights[classes].T
+        return np.log10(a * c_pair / np.maximum(c_context, 1) + m * c_word / max(self.n, 1) + z / (self.v + 1))
 
     def base(self, c_word: np.ndarray) -> np.ndarray:
         return np.log10((c_word + 0.1) / (self.n + 0.1 * (self.v + 1)))
@@ -179,7 +195,6 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         role = np.repeat(np.array(roles, dtype=np.uint32), lengths)
         place = m.places(tokens)
         context = np.roll(place, 1)
-        context[context < 0] = m.other
         context[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = m.start
         row = m.dense_row(context)
         on_spot = (row >= 0) & (place >= 0) & (place < m.dense)
@@ -189,7 +204,7 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         if score:
             c_word = np.where(known, m.c[place], 0).astype(np.float64) if m.k else np.zeros(len(tokens))
             lp = np.zeros(len(tokens))
-            lp[on_spot] = m.log10(m.c_pair[row[on_spot], place[on_spot]], context[on_spot], c_word[on_spot])
+            lp[on_spot] = m.log10(m.c_pair[row[on_spot], place[on_spot]], m.c_context[context[on_spot]], m.classes[context[on_spot]], c_word[on_spot])
             add = lambda w: np.bincount(doc, weights=w, minlength=len(texts))
             sums = {"base": add(np.where(known, m.base(c_word), 0)), "score": add(lp), "n_tokens": lengths.astype(np.float64), "n_known": add(known & (c_word > 0))}
             sent = ~on_spot
@@ -203,28 +218,33 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
                     yield _row(batch_id, -1 - r, hk=c[r].tobytes(), hn=s[r].tobytes())
             sent = ~on_spot & (role > 0)
             doc = np.zeros_like(doc)  # the weights need counts, not documents
-        tag = (doc << np.uint32(2)) | role
-        h, t = sent & known, sent & tail
+        # Of a rare word, whether the second block of its own pairs with rare words asks for its count.
+        asked = tail & np.roll(tail, -1) & (score | (role == 1))
+        tag = (doc << np.uint32(3)) | (asked.astype(np.uint32) << np.uint32(2)) | role
+        rare_context = context < 0
+        before = np.roll(tokens, 1)
+        h, t, u, x = sent & known & ~rare_context, sent & tail & ~rare_context, sent & known & rare_context, sent & tail & rare_context
         key = (place[h].astype(np.uint64) << np.uint64(32)) | context[h].astype(np.uint64)
         hk, hd, hn, h_mixed, _ = _runs(key, tag[h])
-        # A rare word's pairs stay together: its own count is found in its block.
-        tk, td, tn, t_mixed, tc = _tail_runs(tokens[t], tag[t], context[t].astype(np.uint32))
-        h_cuts, t_cuts = (np.searchsorted(_block_of(x, n_blocks), np.arange(n_blocks + 1)) for x in (h_mixed, t_mixed))
+        # A rare word's pairs stay together, on either side: its own count is found in its block.
+        runs = {"t": _tail_runs(tokens[t], tag[t], context[t].astype(np.uint32)), "u": _tail_runs(before[u], tag[u], place[u].astype(np.uint32)), "x": _tail_runs(tokens[x], tag[x], before[x])}
+        columns, cuts = {"hk": hk, "hd": hd, "hn": hn}, {"h": h_mixed}
+        for kind, (key, of_doc, n, cuts[kind], other) in runs.items():
+            columns |= {f"{kind}k": key, f"{kind}c": other, f"{kind}d": of_doc, f"{kind}n": n}
+        cuts = {kind: np.searchsorted(_block_of(mixed, n_blocks), np.arange(n_blocks + 1)) for kind, mixed in cuts.items()}
         first = score
         for b in range(n_blocks):
-            hs, ts = slice(h_cuts[b], h_cuts[b + 1]), slice(t_cuts[b], t_cuts[b + 1])
-            if first or hs.stop > hs.start or ts.stop > ts.start:
-                yield _row(
-                    batch_id, b, hk=_packed(hk[hs]), hd=_packed(hd[hs]), hn=_packed(hn[hs]), tk=_packed(tk[ts]), tc=_packed(tc[ts]), td=_packed(td[ts]), tn=_packed(tn[ts]),
-                    n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None,
-                )
+            own = {kind: slice(cut[b], cut[b + 1]) for kind, cut in cuts.items()}
+            if first or any(o.stop > o.start for o in own.values()):
+                parts = {name: _packed(values[own[name[0]]]) for name, values in columns.items()}
+                yield _row(batch_id, b, **parts, n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None)
                 first = False
 
     def _row(batch_id: int, block: int, ids: pa.Array | None = None, n_docs: int = 0, **parts: bytes) -> pa.RecordBatch:
         columns = [pa.array([batch_id]), pa.array([block], pa.int64())]
-        columns += [pa.array([parts.get(k)], pa.binary()) for k in ("hk", "hd", "hn", "tk", "tc", "td", "tn")]
+        columns += [pa.array([parts.get(k)], pa.binary()) for k in _KINDS]
         columns += [pa.array([n_docs], pa.int64()), *(pa.array([parts.get(k)], pa.binary()) for k in ("base", "score", "n_tokens", "n_known"))]
-        names = ["batch", "block", "hk", "hd", "hn", "tk", "tc", "td", "tn", "n_docs", "base", "score", "n_tokens", "n_known"]
+        names = ["batch", "block", *_KINDS, "n_docs", "base", "score", "n_tokens", "n_known"]
         if score:
             none = pa.array([None], pa.list_(id_type))
             columns.append(none if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
@@ -250,8 +270,6 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
             yield from emit(m, batch_id, texts, roles, pa.concat_arrays(ids))
 
     id_kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(id_kind)
     return docs.select("doc_id", "text", "fold").mapInArrow(send, _BLOCK_SCHEMA + (f", ids array<{id_kind.simpleString()}>" if score else ""))
 
@@ -272,16 +290,15 @@ def _tail_runs(key: np.ndarray, doc: np.ndarray, context: np.ndarray) -> tuple[n
 
 def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
     """The entries of a block in parts, all entries of a key in the same one, to bound the memory."""
-    kinds = {"hk": np.uint64, "hd": np.uint32, "hn": np.uint32, "tk": np.uint64, "tc": np.uint32, "td": np.uint32, "tn": np.uint32}
     out = {}
-    for name, kind in kinds.items():
+    for name, kind in _KINDS.items():
         parts = [_unpacked(x, kind) for x in table.column(name).to_pylist()]
         out[name] = np.concatenate(parts)
-        if name in ("hk", "tk"):
+        if name[1] == "k":
             out[f"{name[0]}_row"] = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    part_of = {k: (mix(out[f"{k}k"]) % np.uint64(_PARTS)).astype(np.uint8) for k in "ht"}
+    part_of = {k: (mix(out[f"{k}k"]) % np.uint64(_PARTS)).astype(np.uint8) for k in "htux"}
     for i in range(_PARTS):
-        at = {k: part_of[k] == i for k in "ht"}
+        at = {k: part_of[k] == i for k in "htux"}
         yield {name: values[at[name[0]]] for name, values in out.items()}
 
 
@@ -294,30 +311,72 @@ def _summed(keys: np.ndarray, n: np.ndarray, role: np.ndarray) -> tuple[np.ndarr
 
 
 def _known_counts(m: Frequent, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """c and s of pair and word, context, n, tag and row of all entries of a block; frequent words first."""
+    """c and s of pair, word and context of all entries of a block, kind by kind; those of two rare words, the last, lack the context's."""
     place, h_context = (g["hk"] >> np.uint64(32)).astype(np.int64), (g["hk"] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    h_role, t_role = g["hd"] & np.uint32(3), g["td"] & np.uint32(3)
-    hc, hs = _summed(g["hk"], g["hn"], h_role)
-    t_context = g["tc"].astype(np.int64)
-    tc_word, ts_word = _summed(g["tk"], g["tn"], t_role)
-    tc, ts = _summed(mix(g["tk"]) ^ mix(g["tc"].astype(np.uint64) + np.uint64(1)), g["tn"], t_role)
+    role = {k: g[f"{k}d"] & np.uint32(3) for k in "htux"}
+    hc, hs = _summed(g["hk"], g["hn"], role["h"])
+    (tc, ts), (uc, us), (xc, xs) = (_summed(mix(g[f"{k}k"]) ^ mix(g[f"{k}c"].astype(np.uint64) + np.uint64(1)), g[f"{k}n"], role[k]) for k in "tux")
+    # Each occurrence of a rare word is an entry of t or x, and its own pairs are in u or x.
+    rare, rare_n, rare_tag = (np.concatenate([g[f"t{k}"], g[f"x{k}"]]) for k in "knd")
+    words, where = np.unique(rare, return_inverse=True)
+    c = np.bincount(where, weights=rare_n * ((rare_tag & np.uint32(3)) > 0), minlength=len(words))
+    s = np.bincount(where, weights=rare_n * ((rare_tag & np.uint32(3)) == 1), minlength=len(words))
+    asked = np.bincount(where, weights=(rare_tag >> np.uint32(2)) & np.uint32(1), minlength=len(words)) > 0
+    t_at, x_at, u_at = where[: len(tc)], where[len(tc) :], np.searchsorted(words, g["uk"])
+    t_context, u_place = g["tc"].astype(np.int64), g["uc"].astype(np.int64)
+    none = np.zeros(len(xc))
+    return {
+        "c_pair": np.concatenate([hc, tc, uc, xc]), "s_pair": np.concatenate([hs, ts, us, xs]),
+        "c_word": np.concatenate([m.c[place], c[t_at], m.c[u_place], c[x_at]]), "s_word": np.concatenate([m.s[place], s[t_at], m.s[u_place], s[x_at]]),
+        "c_context": np.concatenate([m.c_context[h_context], m.c_context[t_context], c[u_at], none]),
+        "s_context": np.concatenate([m.s_context[h_context], m.s_context[t_context], s[u_at], none]),
+        "classes": np.concatenate([m.classes[h_context], m.classes[t_context], _class(c[u_at]), none.astype(np.int64)]),
+        "n": np.concatenate([g[f"{k}n"] for k in "htux"]).astype(np.float64), "tag": np.concatenate([g[f"{k}d"] for k in "htux"]),
+        "row": np.concatenate([g[f"{k}_row"] for k in "htux"]), "rare": np.repeat([False, True, False, True], [len(hc), len(tc), len(uc), len(xc)]),
+        "first": len(hc) + len(tc) + len(uc), "words": words[asked], "c": c[asked], "s": s[asked],
+    }
+
+
+def _to_second(parts: list[dict[str, np.ndarray]], n_blocks: int) -> dict[int, dict[str, bytes]]:
+    """Pairs of two rare words and the counts of such contexts, by the context's block."""
+    whole = {name: np.concatenate([p[name] for p in parts]).astype(kind) for name, kind in _SECOND.items()}
+    to = {key: _block_of(mix(whole[key]), n_blocks).astype(np.int64) for key in ("wk", "xv")}
+    order = {key: np.argsort(b, kind="stable") for key, b in to.items()}
+    cuts = {key: np.searchsorted(b[order[key]], np.arange(n_blocks + 1)) for key, b in to.items()}
+    out = {}
+    for b in np.union1d(to["wk"], to["xv"]).tolist():
+        at = {key: order[key][cuts[key][b] : cuts[key][b + 1]] for key in to}
+        out[b] = {name: _packed(values[at["wk" if name[0] == "w" else "xv"]]) for name, values in whole.items()}
+    return out
+
+
+def _for_second(g: dict[str, np.ndarray], k: dict[str, np.ndarray], batch: np.ndarray, held: bool) -> dict[str, np.ndarray]:
+    at = np.arange(k["first"], len(k["n"]))
+    if held:
+        at = at[(k["tag"][at] & np.uint32(3)) == 1]
     return {
-        "c_pair": np.concatenate([hc, tc]), "s_pair": np.concatenate([hs, ts]),
-        "c_word": np.concatenate([m.c[place], tc_word]), "s_word": np.concatenate([m.s[place], ts_word]),
-        "context": np.concatenate([h_context, t_context]), "n": np.concatenate([g["hn"], g["tn"]]).astype(np.float64),
-        "tag": np.concatenate([g["hd"], g["td"]]), "row": np.concatenate([g["h_row"], g["t_row"]]), "rare": np.arange(len(hc) + len(tc)) >= len(hc),
+        "wk": k["words"], "wc": k["c"], "ws": k["s"], "xv": g["xc"][at - k["first"]], "cp": k["c_pair"][at], "sp": k["s_pair"][at], "cw": k["c_word"][at], "sw": k["s_word"][at],
+        "xd": k["tag"][at], "xn": k["n"][at], "xb": batch[k["row"][at]],
     }
 
 
-def _cells(m: Frequent, context: np.ndarray, c_pair: np.ndarray, s_pair: np.ndarray, c_word: np.ndarray, s_word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _met(table: pa.Table) -> dict[str, np.ndarray]:
+    """The pairs of a second block with their contexts' counts, cc and sc."""
+    g = {name: np.concatenate([_unpacked(x, kind) for x in table.column(name).to_pylist()]) for name, kind in _SECOND.items()}
+    order = np.argsort(g["wk"])  # a word has one block, so its count comes once
+    at = order[np.searchsorted(g["wk"], g["xv"], sorter=order)]
+    return g | {"cc": g["wc"][at].astype(np.float64), "sc": g["ws"][at].astype(np.float64)}
+
+
+def _cells(m: Frequent, classes: np.ndarray, c_context: np.ndarray, s_context: np.ndarray, c_pair: np.ndarray, s_pair: np.ndarray, c_word: np.ndarray, s_word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Histogram cells (class, step of the pair's estimate, step of the word's) and held-out counts."""
 
     def step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.rint(_STEP * np.log10(np.maximum(p, 1e-300))), _NONE).astype(np.int64)
 
-    pair = (c_pair - s_pair) / np.maximum(m.c_context[context] - m.s_context[context], 1)
+    pair = (c_pair - s_pair) / np.maximum(c_context - s_context, 1)
     word = (c_word - s_word) / max(m.n - m.n_held, 1)
-    cells, where = np.unique(np.stack([m.classes[context], step(pair), step(word)], axis=1), axis=0, return_inverse=True)
+    cells, where = np.unique(np.stack([classes, step(pair), step(word)], axis=1), axis=0, return_inverse=True)
     return cells, np.bincount(where.ravel(), weights=n, minlength=len(cells))
 
 
@@ -341,20 +400,35 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def reduce_block(key: tuple, table: pa.Table) -> pa.Table:
-        names = ["block", "pair", "word", "n", "c", "s"]
         if (block := key[0].as_py()) < 0:
             c, s = (np.sum([np.frombuffer(x, dtype=np.uint32) for x in table.column(k).to_pylist()], axis=0, dtype=np.uint64) for k in ("hk", "hn"))
-            return pa.table([[block], [0], [0], [0.0], pa.array([c.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=names)
-        parts = []
+            return rows_of([block], [0], [0], [0.0], c=[c.tobytes()], s=[s.tobytes()], to=block)
+        parts, pairs = [], []
+        batch = table.column("batch").to_numpy()
         for g in _gathered(table):
             k = _known_counts(shared.value, g)
-            held = (k["tag"] & np.uint32(3)) == 1
-            parts.append(_cells(shared.value, *(k[x][held] for x in ("context", "c_pair", "s_pair", "c_word", "s_word", "n"))))
+            held = np.flatnonzero((k["tag"][: k["first"]] & np.uint32(3)) == 1)
+            parts.append(_cells(shared.value, *(k[x][held] for x in ("classes", "c_context", "s_context", "c_pair", "s_pair", "c_word", "s_word", "n"))))
+            pairs.append(_for_second(g, k, batch, held=True))
         cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        none = pa.nulls(len(n), pa.binary())
-        return pa.table([pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(cells[:, 2]), pa.array(n), none, none], names=names)
-
-    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, "block bigint, pair bigint, word bigint, n double, c binary, s binary")
+        out = [rows_of(*cells.T, n, to=-1 - block)]
+        return pa.concat_tables(out + [rows_of([0], [0], [0], [0.0], to=b, **{name: [x] for name, x in row.items()}) for b, row in _to_second(pairs, n_blocks).items()])
+
+    def rows_of(block: Iterable, pair: Iterable, word: Iterable, n: Iterable, to: int, **binary: list[bytes]) -> pa.Table:
+        columns = {"block": pa.array(block, pa.int64()), "pair": pa.array(pair, pa.int64()), "word": pa.array(word, pa.int64()), "n": pa.array(n, pa.float64())}
+        none = [None] * len(columns["n"])
+        columns |= {name: pa.array(binary.get(name, none), pa.binary()) for name in ("c", "s", *_SECOND)}
+        return pa.table(columns | {"to": pa.array([to] * len(none), pa.int64())})
+
+    def second_block(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table.select(["block", "pair", "word", "n", "c", "s"])
+        g = _met(table)
+        cells, n = _cells(shared.value, _class(g["cc"]), g["cc"], g["sc"], g["cp"], g["sp"], g["cw"], g["sw"], g["xn"])
+        return rows_of(*cells.T, n, to=0).select(["block", "pair", "word", "n", "c", "s"])
+
+    schema = "block bigint, pair bigint, word bigint, n double, c binary, s binary"
+    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, f"{schema}{_SECOND_SCHEMA}, to bigint").groupBy("to").applyInArrow(second_block, schema)
     # At most dense + 1 rows of the matrix, and the cells of the histogram.
     rows = found.groupBy("block", "pair", "word").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.first("s").alias("s")).toPandas()
     m.c_pair, m.s_pair = np.zeros((m.dense + 1, m.dense)), np.zeros((m.dense + 1, m.dense))
@@ -363,7 +437,8 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
     cells, n = rows.loc[rows["block"] >= 0, ["block", "pair", "word"]].to_numpy(np.int64).reshape(-1, 3), rows.loc[rows["block"] >= 0, "n"].to_numpy(np.float64)
     if m.dense:
         r, w = np.nonzero(m.s_pair)
-        more, n_more = _cells(m, np.where(r == m.dense, m.start, r), m.c_pair[r, w], m.s_pair[r, w], m.c[w], m.s[w], m.s_pair[r, w])
+        context = np.where(r == m.dense, m.start, r)
+        more, n_more = _cells(m, m.classes[context], m.c_context[context], m.s_context[context], m.c_pair[r, w], m.s_pair[r, w], m.c[w], m.s[w], m.s_pair[r, w])
         cells, n = np.concatenate([cells, more]), np.concatenate([n, n_more])
     m.weights = fit_weights(cells, n, m.v)
     return m
@@ -381,19 +456,22 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     model = _fit(named, _frequent(named, contexts, dense))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_blocks = max(1, model.n // _BLOCK)
-    kind = named.schema["doc_id"].dataType.simpleString()
+    kind, id_type = named.schema["doc_id"].dataType.simpleString(), to_arrow_type(named.schema["doc_id"].dataType)
     rows = _blocks(named, model, n_blocks, score=True)
 
     def score_block(key: tuple, table: pa.Table) -> pa.Table:
         m = shared.value
         first = np.concatenate([[0], np.cumsum(table.column("n_docs").to_numpy())])
         sums = {name: np.zeros(first[-1]) for name in ("base", "score", "n_known", "entries")}
+        batch, pairs = table.column("batch").to_numpy(), []
         for g in _gathered(table):
             k = _known_counts(m, g)
-            place = first[k["row"]] + (k["tag"] >> np.uint32(2)).astype(np.int64)
+            place = first[k["row"]] + (k["tag"] >> np.uint32(3)).astype(np.int64)
+            one_known = np.arange(len(place)) < k["first"]  # the others are scored in the second block
+            pairs.append(_for_second(g, k, batch, held=False))
             for name, value in (
                 ("base", np.where(k["rare"], k["n"] * m.base(k["c_word"]), 0)),
-                ("score", k["n"] * m.log10(k["c_pair"], k["context"], k["c_word"])),
+                ("score", np.where(one_known, k["n"] * m.log10(k["c_pair"], k["c_context"], k["classes"], k["c_word"]), 0)),
                 ("n_known", np.where(k["rare"] & (k["c_word"] > 0), k["n"], 0)),
                 ("entries", None),
             ):
@@ -404,23 +482,55 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
             parts["docs"].append(at.astype(np.uint32).tobytes())
             for name in ("base", "score", "n_known"):
                 parts[name].append(sums[name][a:b][at].tobytes())
-        columns = [table.column("batch"), *(pa.array(parts[p], pa.binary()) for p in parts)]
-        columns += [table.column(c) for c in ("base", "score", "n_tokens", "n_known", "ids")]
-        return pa.table(columns, names=["batch", "docs", "base", "score", "n_known", "base0", "score0", "n_tokens0", "n_known0", "ids"])
-
-    def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        here = sums_of(table.column("batch"), parts, {c: table.column(c) for c in ("base", "score", "n_tokens", "n_known")} | {"ids": table.column("ids").cast(pa.list_(id_type))}, to=-1 - batch)
+        return pa.concat_tables([here, *(sums_of([0], {}, {}, to=[b], **{name: [x] for name, x in row.items()}) for b, row in _to_second(pairs, n_blocks).items())])
+
+    def sums_of(batch: Iterable, parts: dict[str, list[bytes]], whole: dict[str, pa.Array], to: Iterable | None = None, **pairs: list[bytes]) -> pa.Table:
+        columns = {"batch": pa.chunked_array([pa.array(batch, pa.int64())]) if isinstance(batch, list) else batch}
+        none = [None] * len(columns["batch"])
+        columns |= {name: pa.array(parts.get(name, none), pa.binary()) for name in ("docs", "base", "score", "n_known")}
+        columns |= {f"{name}0": whole.get(name, pa.array(none, pa.binary())) for name in ("base", "score", "n_tokens", "n_known")}
+        columns["ids"] = whole.get("ids", pa.array(none, pa.list_(id_type)))
+        if to is not None:
+            columns |= {name: pa.array(pairs.get(name, none), pa.binary()) for name in _SECOND} | {"to": pa.array(to, pa.int64())}
+        return pa.table(columns)
+
+    def second_block(key: tuple, table: pa.Table) -> pa.Table:
+        m = shared.value
+        if key[0].as_py() < 0:
+            ids, sums = whole_sums(table)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type))
+            return sums_of([-1 - key[0].as_py()], {}, {c: pa.array([x.tobytes()], pa.binary()) for c, x in sums.items()} | {"ids": ids})
+        g = _met(table)
+        lp = g["xn"] * m.log10(g["cp"], g["cc"], _class(g["cc"]), g["cw"])
+        order = np.lexsort((g["xd"], g["xb"]))
+        batch, doc, lp = g["xb"][order], (g["xd"] >> np.uint32(3))[order], lp[order]
+        at = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(batch) else np.empty(0, dtype=np.int64)
+        parts = {"docs": [], "base": [], "score": [], "n_known": []}
+        for a, b in zip(at.tolist(), np.append(at[1:], len(batch)).tolist(), strict=True):
+            docs_here, where = np.unique(doc[a:b], return_inverse=True)
+            parts["docs"].append(docs_here.tobytes())
+            parts["score"].append(np.bincount(where, weights=lp[a:b]).tobytes())
+            for name in ("base", "n_known"):
+                parts[name].append(np.zeros(len(docs_here)).tobytes())
+        return sums_of(batch[at].tolist(), parts, {})
+
+    def whole_sums(table: pa.Table) -> tuple[list, dict[str, np.ndarray]]:
         whole = next(r for r in table.select(["base0", "score0", "n_tokens0", "n_known0", "ids"]).to_pylist() if r["base0"] is not None)
         sums = {c: np.frombuffer(whole[f"{c}0"], dtype=np.float64).copy() for c in ("base", "score", "n_tokens", "n_known")}
         for r in table.select(["docs", "base", "score", "n_known"]).to_pylist():
-            at = np.frombuffer(r["docs"], dtype=np.uint32)
+            at = np.frombuffer(r["docs"] or b"", dtype=np.uint32)
             for c in ("base", "score", "n_known"):
-                sums[c][at] += np.frombuffer(r[c], dtype=np.float64)
+                sums[c][at] += np.frombuffer(r[c] or b"", dtype=np.float64)
+        return whole["ids"], sums
+
+    def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        ids, sums = whole_sums(table)
         as_long = lambda x: pa.array(np.rint(x).astype(np.int64))
-        return pa.table([pa.array(whole["ids"], table.schema.field("ids").type.value_type), as_long(sums["n_tokens"]), as_long(sums["n_known"]), pa.array(sums["base"]), pa.array(sums["score"])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([pa.array(ids, id_type), as_long(sums["n_tokens"]), as_long(sums["n_known"]), pa.array(sums["base"]), pa.array(sums["score"])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    partial = rows.groupBy("block").applyInArrow(
-        score_block, f"batch bigint, docs binary, base binary, score binary, n_known binary, base0 binary, score0 binary, n_tokens0 binary, n_known0 binary, ids array<{kind}>"
-    )
+    schema = f"batch bigint, docs binary, base binary, score binary, n_known binary, base0 binary, score0 binary, n_tokens0 binary, n_known0 binary, ids array<{kind}>"
+    partial = rows.groupBy("block").applyInArrow(score_block, f"{schema}{_SECOND_SCHEMA}, to bigint").groupBy("to").applyInArrow(second_block, schema)
     scored = partial.groupBy("batch").applyInArrow(add_up, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     held_out = F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -213,6 +213,17 @@ def test_language_model_score_equals_a_plain_model(spark, dense):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
 
 
+@pytest.mark.parametrize("block", [3_000_000, 2_000])
+def test_every_word_is_a_history_of_its_own(spark, monkeypatch, block):
+    """Words beyond the broadcast ones, and words that no training text has."""
+    monkeypatch.setattr(language_model, "_BLOCK", block)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()])
+    for contexts in (40, 1 << 18):
+        got = {r.doc_id: r.score for r in language_model.language_model_scores(docs, contexts=contexts, dense=5).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     held = [r for r in language_model.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
