@@ -5,7 +5,8 @@ k = n - ceil(share * n) + 1 smallest shingle hashes (a bottom-k MinHash whose si
 item). A document that contains ``share`` of the item lacks fewer than k of its shingles, so it
 has at least one of the sketch: the search loses nothing, however long the document is. Items are
 partitioned by n, and a document probes only the partitions that it is large enough to contain.
-Candidates are verified by exact containment of the shingles' words.
+Candidates are verified by exact containment of the shingles' words. An item of n < 5 words is compared
+with the windows of n words of each document, one more pass over its hashes for each such n in a block.
 
 The test items are the stated query set: they are taken in blocks of bounded size, each broadcast,
 and the documents are read once for each block, without a shuffle.
@@ -35,16 +36,20 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, bytes]], width: int, share: float):
         self.width, self.share = width, share
+        shorter: dict[int, list[tuple[object, bytes]]] = {}
+        for item_id, text in items:
+            if 0 < (n := len(text.split())) < width:
+                shorter.setdefault(n, []).append((item_id, text))
+        self.shorter = [ItemIndex(own, n, share) for n, own in sorted(shorter.items())]
+        items = [(item_id, text) for item_id, text in items if len(text.split()) >= width]
         self.ids, self.texts, self.need, partitions, pairs = [], [], [], [], []
         column = pa.array([text.decode() for _, text in items], pa.string())
         for (item_id, text), shingles in zip(items, Words(column).shingles(width), strict=True):
             words = text.lower().split()
             shingles = np.unique(shingles)
             n = len(shingles)
-            if n == 0:
-                continue
             need = -(-n * round(share * 1000) // 1000)
-            self.texts.append(_texts_of(words, width, range(max(1, len(words) - width + 1))))
+            self.texts.append(_texts_of(words, width, range(len(words) - width + 1)))
             self.need.append(need)
             self.ids.append(item_id)
             partitions.append(n.bit_length())
@@ -60,7 +65,12 @@ class ItemIndex:
 
     def matches(self, column: pa.Array) -> Iterator[list[tuple[object, int, int]]]:
         """(item_id, n_item, n_found) of the items that each text contains."""
-        for i, shingles in enumerate(Words(column).shingles(self.width)):
+        words = Words(column)
+        for found in zip(*(index._matches(words, column) for index in [self, *self.shorter]), strict=True):
+            yield [match for of_width in found for match in of_width]
+
+    def _matches(self, words: Words, column: pa.Array) -> Iterator[list[tuple[object, int, int]]]:
+        for i, shingles in enumerate(words.shingles(self.width)):
             at = np.flatnonzero(self.bits[shingles & np.uint64(_BITS - 1)])
             yield self._contained(column[i].as_py().encode(), shingles, at) if len(at) else []
 
@@ -105,7 +115,7 @@ def contaminated(
     """doc_id, item_id, n_item, n_found, containment: a row for each document and item it contains.
 
     Null and empty texts contain nothing and are contained in nothing; an item of fewer than
-    ``width`` words is one shingle, found only in a document of the same words; null ids and
+    ``width`` words is one shingle, found in any document that has these words in a row; null ids and
     repeated rows are kept; empty tables give no rows. Other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -94,6 +94,18 @@ def test_containment_equals_brute_force(spark):
     assert decontamination.drop_contaminated(docs, items).count() == docs.count() - len({d for d, _ in want})
 
 
+def test_short_items_are_found_inside_documents(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "gamma beta"), (4, "beta gamma delta"), (5, "x y z w"), (6, "beta gamma delta eps zeta"), (7, ""), (8, None), (9, "beta gamma")]
+    docs = [(1, "so alpha\nBETA gamma delta eps zeta eta", "a"), (2, "beta gamma", "a"), (3, "alpha", "a"), (4, "beta x gamma y z w x y z", "a"), (5, "u x y z w", "a"), (6, None, "a")]
+    has = lambda t, w: bool(w) and any(t[i : i + len(w)] == w for i in range(len(t)))
+    want = sorted((d, i, 1, 1) for d, t, _ in docs for i, w in items if has(words(t), words(w)))
+    table_of = spark.createDataFrame(items, "item_id bigint, text string")
+    for block_bytes in (4_000_000, 20):
+        got = decontamination.contaminated(table(spark, docs), table_of, block_bytes=block_bytes)
+        assert sorted((r.doc_id, r.item_id, r.n_item, r.n_found) for r in got.collect()) == want
+    assert {r.doc_id for r in decontamination.drop_contaminated(table(spark, docs), table_of).collect()} == {4, 6}
+
+
 def test_shards_hold_near_equal_bytes(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for d in (docs, odd):
