@@ -277,3 +277,66 @@ def test_pipeline_keeps_what_it_should(spark):
 def test_base_hash_of_no_spans(spark):
     got = queries.op5_secret_scan(spark, SF).filter("n_assign + n_access + n_hex = 0").first()
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def plain_v1(text):
+    w = (text or "").encode().split()
+    windows = Counter(zip(w, w[1:], w[2:]))
+    again = {i + j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in (text or "").encode().split(b"\n") if x.strip()]
+    chars = sum(len(x.decode()) for x in w)
+    few, symbols, capitals = len(w) < 50, sum((text or "").count(c) for c in "#*$%&|<>"), len(re.findall("[A-Z]", text or ""))
+    return not (few or 2 * len(again) > len(w) or 4 * symbols > len(w) or 2 * (len(lines) - len(set(lines))) > len(lines) or 2 * capitals > chars)
+
+
+def plain_copies(rows):
+    """doc_id -> copies by the rules of operator 9, for tables of one salt."""
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in rows}
+    total = Counter()
+    for r in rows:
+        total[r.source] += size[r.doc_id]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(total))}
+    order = sorted(total, key=lambda s: (total[s] * 3 / weight[s], s))
+    level = {s: (sum(total.values()) - 3 * sum(total[t] for t in order[:i])) / sum(weight[t] for t in order[i:]) for i, s in enumerate(order)}
+    stops = {s: 3 * total[s] <= weight[s] * level[s] for s in total}
+    top = max(level[s] for s in total if not stops[s])
+    out = Counter()
+    for s in total:
+        rate = (3.0 * total[s] if stops[s] else weight[s] * top) / total[s]
+        offset = int(hashlib.md5(f"0|={s}".encode()).hexdigest()[:8], 16) / 2**32
+        own = sorted((r.doc_id for r in rows if r.source == s), key=lambda i: (size[i], i))
+        for place, i in enumerate(own, 1):
+            out[i] = min(3, math.floor(place * rate + offset) - math.floor((place - 1) * rate + offset))
+    return +out
+
+
+def test_pipeline_equals_plain_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = docs
+    good = {i for i, r in rows.items() if plain_v1(r.text)}
+    sets = {i: shingles(rows[i].text, 5) for i in good}
+    root = {i: i for i in good}
+    for i in sorted(good):
+        for j in sorted(good):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    items = [shingles(r.text, 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert min(map(len, items)) > 1
+    single = set(root.values())
+    clean = {i for i in single if not any(10 * len(s & sets[i]) >= 8 * len(s) for s in items)}
+    for want, (_, stage) in zip((good, single, clean), corpus_pipeline.STAGES[:3], strict=True):
+        kept = stage(spark, kept, SF)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert clean < single < good < rows.keys()
+    copies = plain_copies([rows[i] for i in clean])
+    mixed = corpus_pipeline.STAGES[3][1](spark, kept, SF)
+    assert Counter(r.doc_id for r in mixed.collect()) == copies
+    final = corpus_pipeline.run(spark, SF).collect()
+    text = {i: rows[i].text.encode() for i in copies}
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in final) == Counter({(i, len(text[i]) + 1, zlib.crc32(text[i])): n for i, n in copies.items()})
+    total, most = sum(r["size"] for r in final), max(r["size"] for r in final)
+    for k in range(8):
+        own = [r for r in final if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r["size"] for r in own) - total / 8) < 2 * most
