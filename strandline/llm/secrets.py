@@ -42,6 +42,8 @@ PATTERNS = {
     "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 }
 _HEX = re.compile(r"[0-9a-f]{16,}")
+#: The first run of a token: where a match fails at its first "eyJ", it fails at every later one of the same run.
+_JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,10 +56,12 @@ def _crc32_matches(m: re.Match) -> bool:
 
 
 def _header_is_json(m: re.Match) -> bool:
+    """The first part is a JSON object that names an algorithm; what cannot be parsed, however deeply nested, is none."""
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+    except (ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 VALID = {
@@ -89,10 +93,14 @@ def scan(keywords: ahocorasick.Automaton, text: str) -> list[tuple[str, int, int
     for kind, at in starts.items():
         done = 0
         for start in sorted(at):
-            if start >= done and (m := PATTERNS[kind].match(text, start)):
+            if start < done:
+                continue
+            if m := PATTERNS[kind].match(text, start):
                 done = m.end()
                 if VALID[kind](m):
                     spans.append((kind, start, done))
+            elif kind == "jwt" and (run := _JWT_RUN.match(text, start)):
+                done = run.end()
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -124,7 +132,11 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by [KIND]; nulls stay."""
+    """``docs``, all columns, with every span of ``text_col`` replaced by [KIND].
+
+    Overlapping spans are replaced together, each by its own mark. Null and empty texts and texts without
+    a secret stay as they are; repeated rows and null ids are kept; an empty table gives no rows.
+    """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
