@@ -1,11 +1,11 @@
 """Sharding by sampled splitters (operator 3): DataFrame functions only.
 
-1. Size-weighted draws of the key (hash of the text, doc_id): a record is drawn about
+1. Size-weighted draws of the key (hash of the text, hash of the doc_id): a record is drawn about
    ``size * draws / total`` times, with a fixed rounding offset from its own hash, so the sample has
    about ``draws`` rows at any input size and is the same in every run.
 2. Quantiles of the draws are the splitters of ``ranges`` key ranges.
 3. A range with more than ``rows_per_cell`` records (skewed keys, huge inputs) is subdivided by a
-   hash of doc_id into cells.
+   hash of doc_id, size and text into cells; rows without a doc_id by their place in the input.
 4. Exact bytes and rows of the cells, summed in order, give every record its exact byte position;
    the position decides the shard, so shards differ by less than two of the largest records.
 
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-_NO_ID = -(2**63)
-
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -34,7 +32,8 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_hash"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"),
+        F.xxhash64(F.col(id_col)).alias("_id"),
+        F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_row"),
     )
 
 
@@ -70,16 +69,16 @@ def shard_by_bytes(
     """Place every record: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``bytes``: shard sizes differ by less than two of the largest records. A record's size is its
-    text's UTF-8 bytes plus 1. A null text counts as empty (size 1, crc32 0); a null doc_id
-    sorts first; repeated rows are placed one by one; an empty table gives no rows. Other columns
-    of ``docs`` are ignored.
+    text's UTF-8 bytes plus 1. A null text counts as empty (size 1, crc32 0); doc_id may be of any type
+    that can be hashed, or null; repeated rows are placed one by one; an empty table gives no rows.
+    Other columns of ``docs`` are ignored.
     """
     sized = cut(_sizes(docs, id_col, text_col))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     splitters = sampled_splitters(sized, total, ranges, draws) if total else []
     ranged = sized.withColumn("_range", _range_of(splitters))
     subs = ranged.groupBy("_range").agg(F.ceil(F.count("*") / rows_per_cell).alias("_subs"))  # at most `ranges` rows
-    celled = ranged.join(F.broadcast(subs), "_range").withColumn("_sub", F.pmod(F.xxhash64("_id", "size"), F.col("_subs")))
+    celled = ranged.join(F.broadcast(subs), "_range").withColumn("_sub", F.pmod(F.xxhash64("_id", "size", "_hash", "_row"), F.col("_subs")))
 
     # One row for each cell: `ranges` of them and one more for each rows_per_cell records at most.
     before = W.orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
