@@ -10,8 +10,12 @@
 3. Edges that the signatures and set sizes don't rule out are confirmed on the full sets, each
    member's most similar hub first; edges inside a component found so far need no test.
 4. What stars leave over is searched exactly: where a hub's star still holds several components,
-   members outside the largest one are compared with all others of the star on the full sets, in
-   square chunks of bounded size. Any two texts that share a bucket are in the star of its hub.
+   members outside the largest one are compared with all others of the star on the full sets. In a
+   large star only pairs that share one of their rarest shingles are compared: of two sets at the
+   threshold t each has at most (1 - t) n shingles that the other lacks, so they meet in the first
+   n - ceil(t n) + 1 of each, whatever the order. Two texts that share a bucket are in its hub's star.
+
+A class is named by a number of its own, so that texts that share a doc_id are told apart.
 
 The number of rows per band is the largest at which a pair at the threshold shares no bucket with a
 probability below 1e-7.
@@ -38,6 +42,8 @@ _TRIES = 64
 #: Standard deviations by which a signature's estimate may fall short of the threshold.
 _SIGMAS = 5.0
 _CHUNK = 256
+#: Stars of more members than this are searched by their rarest shingles.
+_LARGE_STAR = 1024
 
 
 def _sequences() -> np.ndarray:
@@ -85,6 +91,10 @@ def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _signed(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, bands, sig (16 bits of each bin)."""
     n_bands = BINS // rows
@@ -96,7 +106,7 @@ def _signed(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 sizes.append(len(shingles))
                 if len(shingles):
                     sig = signature(shingles)
-                    digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    digests.append(_digest(shingles))
                     bands.append(band_hashes(sig, rows))
                     sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
                 else:
@@ -116,19 +126,19 @@ def _signed(docs: DataFrame, width: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """rep, shingles of ``docs`` (rep, digest, text): the rows whose set is the one of the digest."""
 
     def sets(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
-            values = [np.unique(shingles).tobytes() for shingles in Words(batch.column(1)).shingles(width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["doc_id", "shingles"])
+            values = [np.unique(shingles) for shingles in Words(batch.column("text")).shingles(width)]
+            own = pa.array([_digest(v) == d for v, d in zip(values, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([v.tobytes() for v in values], pa.binary())], names=["rep", "shingles"]).filter(own)
 
-    return docs.mapInArrow(sets, f"doc_id {kind}, shingles binary")
+    return docs.select("rep", "digest", "text").mapInArrow(sets, "rep bigint, shingles binary")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
     """``pairs`` (u, v, n_u, n_v, sig_u, sig_v) as u, v and the share of equal bins."""
-    kind = pairs.schema["u"].dataType.simpleString()
 
     def agree(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
@@ -136,7 +146,7 @@ def _agreement(pairs: DataFrame) -> DataFrame:
             share = (a == b).mean(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("n_u"), batch.column("n_v"), pa.array(share, pa.float64())], names=["u", "v", "n_u", "n_v", "share"])
 
-    return pairs.mapInArrow(agree, f"u {kind}, v {kind}, n_u bigint, n_v bigint, share double")
+    return pairs.mapInArrow(agree, "u bigint, v bigint, n_u bigint, n_v bigint, share double")
 
 
 def _likely(share: Column, n: Column, percent: int) -> Column:
@@ -154,23 +164,28 @@ class _Search:
     def __init__(self, docs: DataFrame, width: int, percent: int, most_broadcast: int):
         self.docs, self.width, self.percent, self.most_broadcast = docs, width, percent, most_broadcast
         self.signed = cut(_signed(docs, width, rows_per_band(percent)))
-        self.classes = cut(
-            self.signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-            .groupBy("digest")
-            .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        )
-
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """doc_id and shingles of the documents named."""
-        ids = cut(ids)
-        named = F.broadcast(ids) if ids.count() <= self.most_broadcast else ids
-        return _sets(self.docs.join(named, "doc_id", "left_semi"), self.width).dropDuplicates(["doc_id"])
+        self.known = self.signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        first = lambda *names: [F.first(c).alias("n" if c == "n_shingles" else c) for c in names]
+        classes = self.known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), *first("n_shingles", "bands", "sig"))
+        self.classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+
+    def same_ids(self) -> DataFrame:
+        """Edges (u, v) between the classes of rows that share a doc_id."""
+        several = self.known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+        reps = self.known.join(several, "doc_id").select("doc_id", "digest").distinct().join(self.classes.select("digest", "rep"), "digest")
+        return reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+
+    def sets(self, reps: DataFrame) -> DataFrame:
+        """rep and shingles of the classes named."""
+        wanted = cut(reps.join(self.classes.select("rep", "first_id", "digest"), "rep"))
+        named = F.broadcast(wanted) if wanted.count() <= self.most_broadcast else wanted
+        return _sets(self.docs.join(named, F.col("doc_id") == F.col("first_id")), self.width).dropDuplicates(["rep"])
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose full sets are similar enough."""
-        sets = self.sets(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct())
+        sets = self.sets(pairs.select(F.col("u").alias("rep")).unionAll(pairs.select("v")).distinct())
         both = pairs.select("u", "v").join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-        kind, percent = pairs.schema["u"].dataType.simpleString(), self.percent
+        percent = self.percent
 
         def test(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches(batch_rows):
@@ -181,7 +196,7 @@ class _Search:
                     good.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-        return both.select("u", "v", "set_u", "set_v").mapInArrow(test, f"u {kind}, v {kind}").distinct()
+        return both.select("u", "v", "set_u", "set_v").mapInArrow(test, "u bigint, v bigint").distinct()
 
     def with_signatures(self, pairs: DataFrame) -> DataFrame:
         c = self.classes.select("rep", "n", "sig")
@@ -223,8 +238,40 @@ def _left_over(search: _Search, stars: DataFrame, labels: DataFrame) -> DataFram
     per_comp = placed.groupBy("hub", "comp").agg(F.count("*").alias("k"))
     mixed = per_comp.groupBy("hub").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", "k").alias("major")).filter("top < n")
     rows = cut(placed.join(mixed, "hub"))
+    large = rows.filter(F.col("n") > _LARGE_STAR)
+    found = _squares(search, rows.filter(F.col("n") <= _LARGE_STAR))
+    return found if large.isEmpty() else found.unionAll(_by_rarest(search, large)).distinct()
+
+
+def _by_rarest(search: _Search, rows: DataFrame) -> DataFrame:
+    """Links between members of large stars (hub, rep, comp, major), by prefix filtering in the star's own order of shingles."""
+
+    def spread(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(batch_rows):
+            sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            size = pa.array(np.array([len(x) for x in sets], dtype=np.int64))
+            columns = [*(batch.column(c).take(at) for c in ("hub", "rep", "comp", "minor")), size.take(at), pa.array(np.concatenate(sets) if sets else np.empty(0, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hub", "rep", "comp", "minor", "size", "shingle"])
+
+    sets = search.sets(rows.select("rep").distinct())
+    members = rows.select("hub", "rep", "comp", (F.col("comp") != F.col("major")).alias("minor")).join(sets, "rep")
+    terms = cut(members.select("hub", "rep", "comp", "minor", "shingles").mapInArrow(spread, "hub bigint, rep bigint, comp bigint, minor boolean, size bigint, shingle bigint"))
+    often = terms.groupBy("hub", "shingle").agg(F.count("*").alias("freq")).filter("freq > 1")  # what one member alone has comes first and matches nothing
+    member = W.partitionBy("hub", "rep")
+    place = F.col("size") - F.count("*").over(member) + F.row_number().over(member.orderBy("freq", "shingle"))
+    length = F.col("size") - F.ceil(F.col("size") * search.percent / 100) + 1
+    prefix = cut(terms.join(often, ["hub", "shingle"]).withColumn("place", place).filter(F.col("place") <= length).drop("place", "freq"))
+    left, right = (prefix.select("hub", "shingle", F.col("rep").alias(a), F.col("comp").alias(f"c_{a}"), F.col("size").alias(f"n_{a}"), F.col("minor").alias(f"minor_{a}")) for a in "uv")
+    met = left.filter("minor_u").join(right, ["hub", "shingle"]).filter("c_u <> c_v AND (NOT minor_v OR u < v)").filter(_comparable(search.percent))
+    pairs = cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return search.confirmed(search.likely(pairs).select("u", "v"))
+
+
+def _squares(search: _Search, rows: DataFrame) -> DataFrame:
+    """Links between members of stars (hub, rep, comp, n, top, major), the minor ones against all, in square chunks."""
     n_rows = rows.count()
-    sets = search.sets(rows.select(F.col("rep").alias("doc_id")).distinct()).toDF("rep", "shingles")
+    sets = search.sets(rows.select("rep").distinct())
     n_m, n_r = F.ceil(F.col("n") / _CHUNK), F.ceil((F.col("n") - F.col("top")) / _CHUNK)
     chunk = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -232,7 +279,7 @@ def _left_over(search: _Search, stars: DataFrame, labels: DataFrame) -> DataFram
     pack = F.pmod(F.xxhash64("hub"), F.lit(max(1, n_rows // _CHUNK))).alias("pack")
     minor = rows.filter("comp <> major").select("hub", "rep", "comp", pack, F.lit(True).alias("minor"), chunk(n_r, "r").alias("a"), upto(n_m).alias("b"))
     every = rows.select("hub", "rep", "comp", pack, F.lit(False).alias("minor"), chunk(n_m, "m").alias("b"), upto(n_r).alias("a")).select(*minor.columns)
-    percent, kind = search.percent, stars.schema["u"].dataType.simpleString()
+    percent = search.percent
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple] = set()
@@ -250,7 +297,7 @@ def _left_over(search: _Search, stars: DataFrame, labels: DataFrame) -> DataFram
         return pd.DataFrame(sorted(out), columns=["u", "v"])
 
     chunks = minor.unionAll(every).join(sets, "rep")
-    return chunks.groupBy("pack", "a", "b").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
+    return chunks.groupBy("pack", "a", "b").applyInPandas(compare, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(
@@ -259,15 +306,15 @@ def near_duplicates(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    most_broadcast: int = 2_000_000,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``.
 
     Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more
     are linked; a component's id is its smallest doc_id. A text of fewer words is one shingle. Null
     and empty texts, texts without words and rows without a doc_id are linked with nothing and kept
-    (component_id is their doc_id). Rows that repeat a doc_id are one node. An empty table gives no
-    rows. Other columns are not read.
+    (component_id is their doc_id). Rows that share a doc_id are linked, whatever their texts. An empty table
+    gives no rows. Other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     search = _Search(narrow, width, percent, most_broadcast)
@@ -282,7 +329,7 @@ def near_duplicates(
     edges = cut(search.likely(stars))
 
     best = edges.withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("share"), "v"))).filter("_r = 1")
-    links = cut(search.confirmed(best))
+    links = cut(search.confirmed(best).unionAll(search.same_ids()))
     labels = cut(components(links))
     more = cut(search.confirmed(cut(_across(edges.join(best.select("u", "v"), ["u", "v"], "left_anti"), labels))))
     if more.count():
@@ -292,26 +339,34 @@ def near_duplicates(
     if rest.count():
         labels = cut(components(links.unionAll(rest)))
 
-    of_class = search.classes.select("digest", "rep").join(labels.toDF("rep", "_c"), "rep", "left").select("digest", F.coalesce("_c", "rep").alias("component_id"))
+    named = labels.toDF("rep", "_c").join(search.classes.select("rep", "first_id"), "rep")
+    firsts = cut(named.groupBy("_c").agg(F.min("first_id").alias("component_id")))
+    firsts = F.broadcast(firsts) if firsts.count() <= most_broadcast else firsts
+    linked = labels.toDF("rep", "_c").join(firsts, "_c").select("rep", "component_id")
+    of_class = search.classes.select("digest", "rep", "first_id").join(linked, "rep", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id"))
     found = search.signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: its smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    Of rows that repeat a doc_id the one with the largest hash of the text stays; rows without a doc_id and rows
+    without words stay; an empty table gives no rows; columns of any name and ids of any type pass through.
     """
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    dropped = cut(found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct())
-    n = dropped.count()
-    kept = docs.join(F.broadcast(dropped) if n <= 2_000_000 else dropped, docs[id_col] == F.col("_dropped"), "left_anti")
-    repeated = cut(docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter(f"_n > 1 AND {id_col} IS NOT NULL").select(F.col(id_col).alias("_repeated")))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept[id_col] == F.col("_repeated"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == F.col("_repeated"), "left_anti").unionAll(once)
+    named = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
+    own_id, own_text = (F.col(f"_in{docs.columns.index(c)}") for c in (id_col, text_col))
+    plain = named.select(own_id.alias("doc_id"), own_text.alias("text"))
+    dropped = cut(near_duplicates(plain, width=width, percent=percent, most_broadcast=most_broadcast).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    kept = named.join(small(dropped), own_id == F.col("_dropped"), "left_anti")
+    repeated = cut(plain.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_repeated")))
+    if not repeated.isEmpty():
+        again = kept.join(small(repeated), own_id == F.col("_repeated"), "left_semi")
+        once = again.groupBy(own_id.alias("_id")).agg(F.max_by(F.struct(*named.columns), F.xxhash64(own_text)).alias("_row")).select("_row.*")
+        kept = kept.join(small(repeated), own_id == F.col("_repeated"), "left_anti").unionAll(once)
+    return kept.toDF(*docs.columns)
 
 
 def shingle_links_sql(width: int, percent: int) -> str:
