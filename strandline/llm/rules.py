@@ -116,7 +116,11 @@ def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_documents(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text passes the policy; one pass, no shuffle."""
+    """The rows of ``docs``, all columns, whose text passes the policy; one pass, no shuffle.
+
+    A null or empty text has no words and so fails ``few_words``; null ids and repeated rows are judged
+    one by one; an empty table gives no rows; columns of any name pass through.
+    """
     named = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
     at = docs.columns.index(text_col)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in named.schema), *(f"{m} bigint" for m in MEASURES)])
@@ -127,20 +131,16 @@ def keep_documents(docs: DataFrame, policy: str, text_col: str = "text") -> Data
 def ablations(ledger: DataFrame, policy: str) -> DataFrame:
     """What each rule of a policy does: rule, n_failed, n_alone (kept again without the rule), n_rejected, n_docs.
 
-    One aggregation of the ledger to a row for each distinct mask; no text is read.
+    One aggregation of the ledger to a row for each distinct mask; no text is read. Rows count
+    one by one, whatever their doc_id; an empty ledger gives a row of zeros for each rule.
     """
-    bits = ledger.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
-    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(1 << list(RULES).index(r)).alias("bit")) for r in POLICIES[policy])))
-    return (
-        bits.withColumn("r", rules)
-        .groupBy(F.col("r.rule").alias("rule"))
-        .agg(
-            F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
-            F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_alone"),
-            F.sum(F.when(F.col("bits") != 0, F.col("n")).otherwise(0)).alias("n_rejected"),
-            F.sum("n").alias("n_docs"),
-        )
-    )
+    masked = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
+    bits = ledger.groupBy(masked.alias("bits")).agg(F.count("*").alias("n"))  # 2^rules rows at most
+    where = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    bit = {rule: F.lit(1 << list(RULES).index(rule)) for rule in POLICIES[policy]}
+    counted = [F.struct(F.lit(rule).alias("rule"), where(F.col("bits").bitwiseAND(b) != 0).alias("n_failed"), where(F.col("bits") == b).alias("n_alone")) for rule, b in bit.items()]
+    total = bits.agg(F.array(*counted).alias("r"), where(F.col("bits") != 0).alias("n_rejected"), where(F.lit(True)).alias("n_docs"))
+    return total.withColumn("r", F.explode("r")).select("r.rule", "r.n_failed", "r.n_alone", "n_rejected", "n_docs")
 
 
 _W = r"[^\x20\x09-\x0D]+"
