@@ -68,8 +68,8 @@ def mix_sources(
     """doc_id, source, size, source_size, target, copies, taken and the columns ``keep`` by row.
 
     A null text has size 0 and so takes nothing; a null source is a source of its own, the last; a
-    null doc_id is ranked like an empty one; repeated rows are drawn one by one; an empty table
-    gives no rows. Reruns give the same rows: every draw comes from md5. Only the named columns of
+    null doc_id is ranked like an empty one; repeated rows are drawn one by one, those of one
+    doc_id in the order of their text's hash; an empty table gives no rows. Reruns give the same rows: every draw comes from md5. Only the named columns of
     ``docs`` are read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -78,6 +78,7 @@ def mix_sources(
         F.col(source_col).alias("source"),
         size.alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"),
+        _draw(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
         *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
     if not keep:
@@ -102,7 +103,7 @@ def mix_sources(
         .join(targets, "_source")
         .select("_source", "size", "_salt", (F.col("_at_size") + F.col("_at_salt")).alias("_before"), "source_size", "target", "rate")
     )
-    place = F.col("_before") + F.row_number().over(W.partitionBy("_source", "size", "_salt").orderBy("doc_id"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_source", "size", "_salt").orderBy("doc_id", "_text"))
     offset = _draw(F.concat(F.lit(f"{seed}|"), F.col("_source"))) / F.lit(float(1 << 32))
     return (
         rows.join(starts, ["_source", "size", "_salt"])
@@ -115,7 +116,11 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, all columns, each repeated as often as the mix takes it."""
+    """The rows of ``docs``, all columns, each repeated as often as the mix takes it.
+
+    Null and empty texts have no words and are not taken; a null source is a source of its own; repeated
+    rows and null ids are drawn one by one; an empty table gives no rows; columns of any name pass through.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names, strict=True))
     mixed = mix_sources(docs.toDF(*names), own[id_col], own[text_col], own[source_col], tuple(names), seed)
@@ -126,7 +131,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The same rows in DuckDB SQL over the table `documents`.
 MIX_SQL = f"""
 WITH rows0 AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+  SELECT doc_id, source, coalesce(text, '') AS t, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
          coalesce('=' || source, '') AS g FROM documents),
 k AS (SELECT greatest(1, least(4096, CAST(ceil(count(*) / 16384.0) AS BIGINT))) AS salts FROM rows0),
 rows1 AS (
@@ -145,7 +150,7 @@ tg AS (
          ELSE weight * max(CASE WHEN NOT stops THEN lvl END) OVER () END AS target FROM st),
 pl AS (
   SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY r.g ORDER BY r.size, r.salt, r.doc_id) AS place,
+         row_number() OVER (PARTITION BY r.g ORDER BY r.size, r.salt, r.doc_id NULLS FIRST, CAST('0x' || substr(md5(r.t), 1, 8) AS BIGINT)) AS place,
          CAST('0x' || substr(md5('0|' || r.g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS off
   FROM rows1 r JOIN tg t ON r.g = t.g),
 cp AS (
