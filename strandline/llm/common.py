@@ -142,10 +142,13 @@ def crc32_text(value: object) -> int:
 
 
 def can_checkpoint(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder only where none is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Keep the cluster's spark.checkpoint.dir; where none is set, a local session gets a folder, a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
