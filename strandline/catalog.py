@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,11 +227,21 @@ def momentum_score(s, d):
     return A.momentum_score(panel(s, d)).select("series", "month", "score")
 
 
-@query(f"SELECT series, block, {_r('score')}, {_r('rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2.0 AS rank')} FROM (SELECT series, CAST(floor((p - 1) / 12) AS BIGINT) AS block, avg(ret) / nullif(stddev_samp(ret), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) AS p FROM rc) GROUP BY ALL HAVING count(*) >= 6) WHERE score IS NOT NULL")
+_BLOCKS = """(SELECT *, count(score) OVER (PARTITION BY block) AS k, count(*) OVER (PARTITION BY block) AS n FROM (
+  SELECT series, CAST(floor((p - 1) / 12) AS BIGINT) AS block, {score} AS score FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) AS p FROM rc) GROUP BY ALL HAVING count(*) >= 6))"""
+_RANKED = f"SELECT series, block, {_r('score')}, {_r('rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2.0 AS rank')} FROM {_BLOCKS} WHERE k = n"
+
+
+@query(_RANKED.format(score="avg(ret) / nullif(stddev_samp(ret), 0)"))
 def block_ranks(s, d):
     return A.block_ranks(panel(s, d))
 
 
+@query(_RANKED.format(score="exp(sum(ln(1 + ret))) - 1"))
+def block_ranks_by_return(s, d):
+    return A.block_ranks(panel(s, d), metric="return")
+
+
 @query(f"SELECT indicator, {_d('month')}, {_r('value', 'value - lag(value) OVER (PARTITION BY indicator ORDER BY month) AS chg')} FROM ind", macro=True)
 def changes(s, d):
     return M.changes(X.indicators(s, d))
@@ -251,18 +262,38 @@ def macro_beta(s, d):
     return M.macro_beta(panel(s, d), X.indicators(s, d))
 
 
-@query(f"SELECT series, indicator, {_r('corr')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(abs(corr), 12) DESC, indicator) AS rank FROM mc WHERE basis = 'chg' AND lag = 0 AND corr IS NOT NULL) WHERE rank <= 3", macro=True)
+_DRIVEN = "(SELECT split_part(series, ' | ', 2) AS factor, indicator, avg(corr) AS mean_corr FROM mc WHERE basis = 'chg' AND lag = 0 AND corr IS NOT NULL GROUP BY ALL)"
+
+
+@query(
+    f"""SELECT factor, side, rank, indicator, {_r("mean_corr")} FROM (SELECT *, 'positive' AS side, row_number() OVER (PARTITION BY factor ORDER BY round(mean_corr, 12) DESC, indicator) AS rank FROM {_DRIVEN}
+  UNION ALL SELECT *, 'negative', row_number() OVER (PARTITION BY factor ORDER BY round(mean_corr, 12), indicator) FROM {_DRIVEN}) WHERE rank <= 3""",
+    macro=True,
+)
 def top_drivers(s, d):
     return M.top_drivers(M.macro_correlations(panel(s, d), X.indicators(s, d)))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_exposure, catalog_more, catalog_states  # noqa: F401  they register their queries
+@query(f"SELECT indicator, series, {_r('corr')} FROM (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY round(abs(corr), 12) DESC, series) AS p FROM mc WHERE basis = 'chg' AND lag = 0 AND corr IS NOT NULL) WHERE p = 1", macro=True)
+def most_sensitive(s, d):
+    return M.most_sensitive(M.macro_correlations(panel(s, d), X.indicators(s, d)))
 
-    return {name: f for name, (f, _) in _FOUND.items()}
 
+@query(f"SELECT series, indicator, {_r('beta', 'r2')}, n FROM (SELECT series, indicator, regr_slope(ret, f) AS beta, regr_r2(ret, f) AS r2, count(*) AS n FROM cf WHERE lag = 0 AND basis = 'chg' GROUP BY ALL HAVING count(*) >= 36) ORDER BY round(r2, 12) DESC, series, indicator LIMIT 10", macro=True)
+def top_betas(s, d):
+    return M.top_betas(M.macro_beta(panel(s, d), X.indicators(s, d)))
 
-def oracle_sql() -> dict[str, str]:
-    from . import catalog_exposure, catalog_more, catalog_states  # noqa: F401
 
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql is not None}
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    """All registered queries; the modules register theirs when they are imported."""
+    for name in ("exposure", "states", "more", "shape", "files", "history", "race", "inference", "regression", "search"):
+        import_module(f".catalog_{name}", __package__)
+    return _FOUND
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}

@@ -34,14 +34,16 @@ sp AS (SELECT state, series, count(*) AS n, avg(ret) AS mean_ret, pow(1 + avg(re
   FROM rt JOIN st USING (month) WHERE ret IS NOT NULL GROUP BY state, series HAVING count(*) >= 3)
 """
 
+_PRIMARY = " ".join(f"JOIN (SELECT sm.month, ind.value, sm.smooth FROM sm JOIN ind USING (indicator, month) WHERE indicator = '{i}') {n} USING (month)" for i, n in (("order_count", "gs"), ("unit_price", "fs")))
+
 
 def _states(s, d):
     return M.classify_states(P.drop_unfinished(X.indicators(s, d), AS_OF), X.components(s))
 
 
-@query(f"{_STATES} SELECT {_d('month')}, {_r('growth_score', 'inflation_score', 'p_goldilocks', 'p_reflation', 'p_stagflation', 'p_deflationary_bust')}, growth_up, inflation_up, state FROM st", macro=True)
+@query(f"{_STATES} SELECT {_d('month')}, {_r('growth_score', 'inflation_score', 'p_goldilocks', 'p_reflation', 'p_stagflation', 'p_deflationary_bust', 'gs.value AS growth_value', 'gs.smooth AS growth_smooth', 'fs.value AS inflation_value', 'fs.smooth AS inflation_smooth')}, growth_up, inflation_up, state FROM st {_PRIMARY} WHERE month >= DATE '1998-01-31'", macro=True)
 def classify_states(s, d):
-    return _states(s, d)
+    return M.classify_states(P.drop_unfinished(X.indicators(s, d), AS_OF), X.components(s), "1998-01-31")
 
 
 @query(f"{_STATES} SELECT from_state, to_state, n, {_r('p')} FROM tm", macro=True)
@@ -124,12 +126,60 @@ def lead_improvement(s, d):
     return M.lead_improvement(M.macro_correlations(panel(s, d), X.indicators(s, d)))
 
 
-@query(f"SELECT series, {_d('month')}, {_r('exposure', 'exposure * ret AS managed', 'coalesce(abs(exposure - lag(exposure) OVER (PARTITION BY series ORDER BY month)), 0) AS turnover')} FROM (SELECT *, CASE WHEN k >= 6 AND vol > 0 THEN least(1.0, 0.10 / vol) ELSE 1.0 END AS exposure FROM (SELECT *, stddev_samp(ret) OVER w * sqrt(12.0) AS vol, count(ret) OVER w AS k FROM rt WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)))")
+_EXPOSED = "SELECT series, {d}, {r} FROM ({rows})".replace("{d}", _d("month")).replace(
+    "{r}", _r("exposure", "exposure * ret + (1 - exposure) * cash AS managed", "coalesce(abs(exposure - lag(exposure) OVER (PARTITION BY series ORDER BY month)), 0) AS turnover")
+)
+
+
+@query(
+    _EXPOSED.format(
+        rows="""SELECT *, 0.0 AS cash, CASE WHEN k >= 6 AND vol > 0 THEN least(1.0, 0.10 / vol) ELSE 1.0 END AS exposure FROM (SELECT *, stddev_samp(ret) OVER w * sqrt(12.0) AS vol, count(ret) OVER w AS k
+  FROM rt WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"""
+    )
+)
 def vol_target(s, d):
     return A.vol_target(panel(s, d)).select("series", "month", "exposure", "managed", "turnover")
 
 
-@query(f"SELECT series, {_r('avg(CASE WHEN p <= n // 2 THEN ret END) / stddev_samp(CASE WHEN p <= n // 2 THEN ret END) * sqrt(12.0) AS first_half', 'avg(CASE WHEN p > n // 2 THEN ret END) / stddev_samp(CASE WHEN p > n // 2 THEN ret END) * sqrt(12.0) AS second_half')} FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) AS p, count(*) OVER (PARTITION BY series) AS n FROM rt WHERE ret IS NOT NULL) GROUP BY series")
+#: Cash earns a little, and nothing is known of it in two Decembers.
+_CASH = f"(SELECT month, CASE WHEN month(month) = 12 AND year(month) IN (1997, 1999) THEN 0.0 ELSE {X.RF} + month(month) / 10000.0 END AS cash FROM (SELECT DISTINCT month FROM rt))"
+
+
+def _cash(p):
+    months = p.select("month").distinct().filter("NOT (month(month) = 12 AND year(month) IN (1997, 1999))")
+    return months.select("month", (F.lit(X.RF) + F.month("month") / 10000.0).alias("cash"))
+
+
+@query(
+    _EXPOSED.format(
+        rows=f"""SELECT * FROM (SELECT *, CASE WHEN k >= 6 AND vol > 0 THEN least(1.0, 0.12 / vol) ELSE 1.0 END AS exposure FROM (SELECT *, stddev_samp(ret) OVER w * sqrt(12.0) AS vol, count(ret) OVER w AS k
+  FROM rt JOIN {_CASH} USING (month) WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))) WHERE month >= DATE '1997-01-31'"""
+    )
+)
+def vol_target_with_cash(s, d):
+    p, start = panel(s, d), F.lit("1997-01-31").cast("date")
+    own, before = p.filter(F.col("month") >= start), p.filter(F.col("month") < start)
+    return A.vol_target(own, 0.12, cash=_cash(p), history=before).select("series", "month", "exposure", "managed", "turnover")
+
+
+_GATED = """SELECT *, coalesce(lag(sig) OVER (PARTITION BY series ORDER BY month), 1.0) AS exposure FROM (
+  SELECT *, CASE WHEN count(*) OVER w = 12 AND t IS NOT NULL THEN CASE WHEN exp(sum(ln(1 + ret)) OVER w) - 1 > t THEN 1.0 ELSE 0.0 END END AS sig FROM rt JOIN {cash} USING (month) WHERE ret IS NOT NULL
+  WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+
+
+@query(_EXPOSED.format(rows=_GATED.format(cash=f"(SELECT *, 0.05 AS t FROM {_CASH})")))
+def absolute_momentum(s, d):
+    p = panel(s, d)
+    return A.trend_overlay(p, "absmom", threshold=0.05, cash=_cash(p)).select("series", "month", "exposure", "managed", "turnover")
+
+
+@query(_EXPOSED.format(rows=_GATED.format(cash=f"(SELECT *, CASE WHEN count(*) OVER v = 12 THEN exp(sum(ln(1 + cash)) OVER v) - 1 END AS t FROM {_CASH} WINDOW v AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))")))
+def tbill_gate(s, d):
+    p = panel(s, d)
+    return A.tbill_gate(p, _cash(p)).select("series", "month", "exposure", "managed", "turnover")
+
+
+@query(f"SELECT series, {_r('avg(CASE WHEN p <= n // 2 THEN ret END) / nullif(stddev_samp(CASE WHEN p <= n // 2 THEN ret END), 0) * sqrt(12.0) AS first_half', 'avg(CASE WHEN p > n // 2 THEN ret END) / nullif(stddev_samp(CASE WHEN p > n // 2 THEN ret END), 0) * sqrt(12.0) AS second_half')} FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) AS p, count(*) OVER (PARTITION BY series) AS n FROM rt WHERE ret IS NOT NULL) GROUP BY series")
 def half_split_sharpe(s, d):
     return A.half_split_sharpe(panel(s, d))
 

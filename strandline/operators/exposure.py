@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .panel import normalise_category
+from .performance import join_regimes
+
 #: Shares above which a category is flagged, in percent, by dimension: fixed values.
 THRESHOLDS = {"sector": 30.0, "country": 35.0, "stock": 5.0}
 
 
-def look_through(weights: DataFrame, lookup: DataFrame) -> DataFrame:
-    """portfolio, dim, category, pct: weights (portfolio, series, weight) through lookup (series, dim, category, weight_pct)."""
-    rows = weights.join(lookup, "series")
+def look_through(weights: DataFrame, lookup: DataFrame, aliases: DataFrame | None = None, home: dict[str, str] | None = None) -> DataFrame:
+    """portfolio, dim, category, pct: weights (portfolio, series, weight) through lookup (series, dim, category, weight_pct).
+
+    ``aliases`` (alias, name) makes variants of a category one. ``home`` names, by region, the country that a series
+    of the region is wholly in where the lookup has no countries for it.
+    """
+    rows = weights.join(full_lookup(weights.select("series").distinct(), lookup, aliases, home), "series")
     return rows.groupBy("portfolio", "dim", "category").agg(F.sum(F.col("weight") * F.col("weight_pct")).alias("pct"))
 
 
+def full_lookup(series: DataFrame, lookup: DataFrame, aliases: DataFrame | None = None, home: dict[str, str] | None = None) -> DataFrame:
+    """The lookup with a whole country for each of ``series`` that has none and stands in a region of ``home``, and aliases made one."""
+    found = lookup.select("series", "dim", "category", "weight_pct")
+    for region, country in (home or {}).items():
+        bare = series.filter(F.split("series", r" \| ", 2)[0] == region).join(lookup.filter("dim = 'country'").select("series"), "series", "left_anti")
+        found = found.unionByName(bare.select("series", F.lit("country").alias("dim"), F.lit(country).alias("category"), F.lit(100.0).alias("weight_pct")))
+    return found if aliases is None else normalise_category(found, "category", aliases)
+
+
 def concentration(exposure: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """hhi, its inverse, largest and three largest shares and how many are above the dimension's threshold."""
+    """hhi, its inverse, largest and three largest shares and which, and how many, are above the dimension's threshold."""
     limit = F.lit(None).cast("double")
     for dim, most in (THRESHOLDS if thresholds is None else thresholds).items():
         limit = F.when(F.col("dim") == dim, F.lit(most)).otherwise(limit)
@@ -25,7 +41,8 @@ def concentration(exposure: DataFrame, thresholds: dict[str, float] | None = Non
     ranked = exposure.withColumn("_r", F.row_number().over(w)).withColumn("_over", F.coalesce(F.col("pct") > limit, F.lit(False)))
     hhi = F.sum(F.pow(F.col("pct") / 100, 2))
     return ranked.groupBy("portfolio", "dim").agg(
-        hhi.alias("hhi"), (1 / hhi).alias("effective_n"), F.max("pct").alias("top1"), F.sum(F.when(F.col("_r") <= 3, F.col("pct"))).alias("top3"), F.count_if("_over").alias("n_flagged")
+        hhi.alias("hhi"), (1 / hhi).alias("effective_n"), F.max("pct").alias("top1"), F.sum(F.when(F.col("_r") <= 3, F.col("pct"))).alias("top3"), F.count_if("_over").alias("n_flagged"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_over"), F.col("category")))), ", ").alias("flagged"),
     )
 
 
@@ -35,20 +52,6 @@ def effective_bets(exposure: DataFrame) -> DataFrame:
     return by_dim.groupBy("portfolio").agg(F.exp(F.avg(-F.log("hhi"))).alias("effective_bets"), F.count("*").alias("n_dims"))
 
 
-def covariance_pairs(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """i, j, cov (sample) and n from value pairs i < j (x, y): one pass, both triangles and the diagonal.
-
-    A series' own variance is taken on the months it shares with any other, so pass complete months.
-    """
-    stats = pairs.groupBy(*by, "i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.count("*").alias("n"))
-    cells = F.array(
-        F.struct(F.col("i"), F.col("j"), F.col("cov")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("cov")),
-        F.struct(F.col("i"), F.col("i").alias("j"), F.col("vx").alias("cov")), F.struct(F.col("j").alias("i"), F.col("j"), F.col("vy").alias("cov")),
-    )
-    flat = stats.select(*by, "n", F.explode(cells).alias("c")).select(*by, "c.i", "c.j", "c.cov", "n")
-    return flat.groupBy(*by, "i", "j").agg(F.max("cov").alias("cov"), F.max("n").alias("n"))
-
-
 def risk_contributions(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """portfolio, series, contribution w_i (Sw)_i / s and its share; they add up to the portfolio's volatility s."""
     left = weights.select("portfolio", F.col("series").alias("i"), F.col("weight").alias("wi"))
@@ -87,7 +90,7 @@ def episode_replay(returns_: DataFrame, episodes: DataFrame) -> DataFrame:
     The drawdown is of the compounded returns, without a base. Left out are episodes of fewer than two
     months and those whose data begin after the second month-end from the episode's start.
     """
-    rows = returns_.join(F.broadcast(episodes), F.col("month").between(F.col("start"), F.col("end")))  # a literal table
+    rows = join_regimes(returns_, episodes)
     path = W.partitionBy("regime", "portfolio").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("lvl", F.exp(F.sum(F.log1p("ret")).over(path))).withColumn("dd", F.col("lvl") / F.max("lvl").over(path) - 1)
     months = F.when(F.col("start") == F.last_day("start"), 2).otherwise(1)

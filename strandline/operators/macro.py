@@ -62,11 +62,32 @@ def strongest_by_regime(corr: DataFrame) -> DataFrame:
     return corr.filter(F.col("corr").isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _now(corr: DataFrame) -> DataFrame:
+    return corr.filter((F.col("basis") == "chg") & (F.col("lag") == 0) & F.col("corr").isNotNull())
+
+
 def top_drivers(corr: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` strongest indicators of each series on changes at lag 0, by absolute correlation."""
-    now = corr.filter((F.col("basis") == "chg") & (F.col("lag") == 0) & F.col("corr").isNotNull())
-    w = W.partitionBy("series").orderBy(F.desc(F.round(F.abs("corr"), 12)), "indicator")
-    return now.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("series", "indicator", "corr", "rank")
+    """The ``n`` most positive and most negative indicators of each factor, by the mean correlation of its series.
+
+    On changes at lag 0; the factor is the part of the series' name after the separator. Ties go to the indicator's name.
+    """
+    mean = _now(corr).withColumn("factor", F.split("series", r" \| ", 2)[1]).groupBy("factor", "indicator").agg(F.avg("corr").alias("mean_corr"))
+    key = F.round("mean_corr", 12)
+    place = lambda order: F.row_number().over(W.partitionBy("factor").orderBy(order, "indicator"))
+    ranked = mean.withColumn("positive", place(key.desc())).withColumn("negative", place(key.asc()))
+    side = F.explode(F.array(F.struct(F.lit("positive").alias("side"), F.col("positive").alias("rank")), F.struct(F.lit("negative").alias("side"), F.col("negative").alias("rank"))))
+    return ranked.withColumn("s", side).filter(F.col("s.rank") <= n).select("factor", "s.side", "s.rank", "indicator", "mean_corr")
+
+
+def most_sensitive(corr: DataFrame) -> DataFrame:
+    """The series with the largest absolute correlation with each indicator, on changes at lag 0; ties go to the first by name."""
+    w = W.partitionBy("indicator").orderBy(F.desc(F.round(F.abs("corr"), 12)), "series")
+    return _now(corr).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("indicator", "series", "corr")
+
+
+def top_betas(betas: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` pairs of largest r2; ties go to the names."""
+    return betas.filter(F.col("beta").isNotNull()).orderBy(F.desc(F.round("r2", 12)), "series", "indicator").limit(n)
 
 
 def lead_improvement(corr: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -89,10 +110,10 @@ def trend(macro: DataFrame, smooth: int = 3, lag: int = 6) -> DataFrame:
 def composite_score(trends: DataFrame, components: DataFrame) -> DataFrame:
     """axis, month, score: mean of the available signed trends over their volatility, made to have volatility 1.
 
-    ``components`` (axis, indicator, sign, is_primary) is a small table; months without the primary are null.
+    ``components`` has axis, indicator, sign, is_primary; months without the primary are null.
     """
     sd = F.stddev_samp("trend").over(W.partitionBy("indicator"))
-    z = trends.withColumn("z", F.col("trend") / F.nullif(sd, F.lit(0.0))).join(F.broadcast(components), "indicator")
+    z = trends.withColumn("z", F.col("trend") / F.nullif(sd, F.lit(0.0))).join(components, "indicator")
     scores = z.groupBy("axis", "month").agg(F.avg(F.col("sign") * F.col("z")).alias("s"), F.max(F.when(F.col("is_primary"), F.col("z"))).alias("p"))
     masked = scores.withColumn("s", F.when(F.col("p").isNotNull(), F.col("s")))
     return masked.select("axis", "month", (F.col("s") / F.nullif(F.stddev_samp("s").over(W.partitionBy("axis")), F.lit(0.0))).alias("score"))
@@ -112,8 +133,17 @@ def quadrant(scores: DataFrame) -> DataFrame:
     )
 
 
-def classify_states(macro: DataFrame, components: DataFrame) -> DataFrame:
-    return quadrant(composite_score(trend(macro), components))
+def classify_states(macro: DataFrame, components: DataFrame, start: str | None = None) -> DataFrame:
+    """Scores, probabilities and labels by month, with the value and smoothed value of each axis' primary indicator.
+
+    Everything is scored on the full history; ``start`` cuts the result afterwards.
+    """
+    trends = trend(macro)
+    primary = components.filter("is_primary").join(trends, "indicator").groupBy("month")
+    of = lambda axis, c: F.max(F.when(F.col("axis") == axis, F.col(c))).alias(f"{axis}_{c}")
+    values = primary.agg(*(of(axis, c) for axis in ("growth", "inflation") for c in ("value", "smooth")))
+    states = quadrant(composite_score(trends, components)).join(values, "month")
+    return states.filter(F.col("month") >= F.lit(start).cast("date")) if start else states
 
 
 def transition_matrix(states: DataFrame) -> DataFrame:
@@ -122,7 +152,7 @@ def transition_matrix(states: DataFrame) -> DataFrame:
     counts = moved.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     names = F.array(*map(F.lit, STATES))
     grid = states.sparkSession.range(1).select(F.explode(names).alias("from_state")).withColumn("to_state", F.explode(names))
-    full = grid.join(F.broadcast(counts), ["from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = grid.join(counts, ["from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.withColumn("p", F.col("n") / F.nullif(F.sum("n").over(W.partitionBy("from_state")), F.lit(0)))
 
 
@@ -144,14 +174,14 @@ def outlook(states: DataFrame, transitions: DataFrame, h: int = 3) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(s).alias("state"), F.col(p).alias("p")) for s, p in PROBABILITIES.items()))
     now = last.select(F.explode(pairs).alias("x")).select("x.state", "x.p")
     for _ in range(h):
-        step = now.join(F.broadcast(transitions.select("from_state", "to_state", F.col("p").alias("t"))), F.col("state") == F.col("from_state"))
+        step = now.join(transitions.select("from_state", "to_state", F.col("p").alias("t")), F.col("state") == F.col("from_state"))
         now = step.groupBy("to_state").agg(F.sum(F.col("p") * F.coalesce("t", F.lit(0.0))).alias("p")).withColumnRenamed("to_state", "state")
     return now
 
 
 def state_performance(panel: DataFrame, states: DataFrame, least: int = 3) -> DataFrame:
     """Months, mean return, (1 + mean)^12 - 1 and volatility by state and series; months pool, so nothing is compounded."""
-    rows = panel.filter(F.col("ret").isNotNull()).join(F.broadcast(states.select("month", "state")), "month")
+    rows = panel.filter(F.col("ret").isNotNull()).join(states.select("month", "state"), "month")
     m = F.avg("ret")
     stats = rows.groupBy("state", "series").agg(F.count("*").alias("n"), m.alias("mean_ret"), (F.pow(1 + m, 12.0) - 1).alias("annualised"), (F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("ann_vol"))
     return stats.filter(F.col("n") >= least)
@@ -167,7 +197,7 @@ def state_leaders(perf: DataFrame, n: int = 3) -> DataFrame:
 
 def factor_attribution(panel: DataFrame, states: DataFrame, least: int = 3) -> DataFrame:
     """Mean excess over the Reference and hit rate by state and factor: regions' means weighted by their months."""
-    rows = pair_with_reference(panel).withColumn("e", F.col("ret") - F.col("ref")).join(F.broadcast(states.select("month", "state")), "month")
+    rows = pair_with_reference(panel).withColumn("e", F.col("ret") - F.col("ref")).join(states.select("month", "state"), "month")
     regions = rows.groupBy("state", "region", "factor").agg(F.count("*").alias("n"), F.avg("e").alias("m"), F.avg((F.col("e") > 0).cast("double")).alias("h")).filter(F.col("n") >= least)
     weighted = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     return regions.groupBy("state", "factor").agg(F.sum("n").alias("n_obs"), weighted("m").alias("mean_excess"), weighted("h").alias("hit_rate"), F.count("*").alias("n_regions"))
@@ -175,7 +205,7 @@ def factor_attribution(panel: DataFrame, states: DataFrame, least: int = 3) -> D
 
 def flag_share_by_state(states: DataFrame, flags: DataFrame) -> DataFrame:
     """Share of each state's months in which flag (month, flag) is set."""
-    return states.join(F.broadcast(flags), "month").groupBy("state").agg(F.avg(F.col("flag").cast("double")).alias("share"), F.count("*").alias("n"))
+    return states.join(flags, "month").groupBy("state").agg(F.avg(F.col("flag").cast("double")).alias("share"), F.count("*").alias("n"))
 
 
 def momentum_signs(states: DataFrame, m: int = 6, h: int = 6) -> DataFrame:

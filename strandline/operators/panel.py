@@ -29,13 +29,13 @@ def split_key(df: DataFrame) -> DataFrame:
 def factor_bucket(name: Column) -> Column:
     """Factor type named in an index's name; the first match counts, else Reference."""
     lower = F.lower(name)
-    return F.when(lower.contains("momentum"), "Momentum").when(lower.contains("value"), "Enhanced Value").when(lower.contains("quality"), "Quality").otherwise("Reference")
+    return F.when(lower.contains("momentum"), "Momentum").when(lower.contains("enhanced value"), "Enhanced Value").when(lower.contains("quality"), "Quality").otherwise("Reference")
 
 
 def normalise_category(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """Replace the aliases of a category; ``aliases`` (alias, name) is a small table of variants."""
+    """Replace the aliases of a category by the names that ``aliases`` (alias, name) has for them."""
     names = aliases.select(F.col("alias").alias(column), F.col("name").alias("_name"))
-    return df.join(F.broadcast(names), column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
+    return df.join(names, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
 
 
 def month_stamp(df: DataFrame, date: str = "date") -> DataFrame:
@@ -68,8 +68,8 @@ def complete_months(panel: DataFrame, value: str = "level", by: tuple[str, ...]
     known = panel.filter(F.col(value).isNotNull())
     n_series = known.groupBy(*by).agg(F.countDistinct("series").alias("_n"))
     months = known.groupBy(*by, "month").agg(F.count("*").alias("_k"))
-    full = months.join(F.broadcast(n_series), list(by)) if by else months.crossJoin(F.broadcast(n_series))  # one row
-    return known.join(F.broadcast(full.filter("_k = _n").select(*by, "month")), [*by, "month"], "left_semi")
+    full = months.join(n_series, list(by)) if by else months.crossJoin(F.broadcast(n_series))  # one row
+    return known.join(full.filter("_k = _n").select(*by, "month"), [*by, "month"], "left_semi")
 
 
 def common_window(panel: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list
 
 def validate_weights(weights: DataFrame, known: DataFrame) -> DataFrame:
     """portfolio, problem: unknown or negative weights and sums off 100 % by over 0.01 points; none if valid."""
-    unknown = weights.join(F.broadcast(known.select("series").distinct()), "series", "left_anti").select("portfolio", F.lit("unknown").alias("problem"))
+    unknown = weights.join(known.select("series").distinct(), "series", "left_anti").select("portfolio", F.lit("unknown").alias("problem"))
     negative = weights.filter("weight < 0").select("portfolio", F.lit("negative").alias("problem"))
     sums = weights.groupBy("portfolio").agg(F.sum("weight").alias("s")).filter(F.abs(F.col("s") - 1) > 0.0001).select("portfolio", F.lit("sum").alias("problem"))
     return unknown.unionAll(negative).unionAll(sums).distinct()
@@ -199,16 +199,91 @@ def checked_weights(weights: DataFrame, known: DataFrame) -> DataFrame:
     return weights
 
 
+def join_month(a: DataFrame, b: DataFrame, how: str = "inner", by: tuple[str, ...] = ()) -> DataFrame:
+    """Two tables side by side on the month (and ``by``), whatever day of it each is stamped with."""
+    return a.join(b, [*by, "month"], how)
+
+
+def intersect_months(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``a`` in months that ``b`` has too."""
+    return a.join(b.select(*by, "month").distinct(), [*by, "month"], "left_semi")
+
+
+def exclude_band_join(states: DataFrame, band: int, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Every row beside every earlier or later one of its key that is more than ``band`` months away.
+
+    ``pos`` numbers the months of a key; the other row's columns have the prefix ``o_``. The query months (``is_query``
+    where that column is given) are the left side, so the size is queries times months and no square of the rows.
+    """
+    left = states.filter("is_query") if "is_query" in states.columns else states
+    right = states.select(*by, *(F.col(c).alias(f"o_{c}") for c in ("pos", *columns)))
+    apart = F.abs(F.col("pos") - F.col("o_pos")) > band
+    return left.join(right, list(by)).filter(apart) if by else left.join(right, apart)
+
+
 def missing_members(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of ``a`` that ``b`` has not."""
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
 
 
+def common_members(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of ``a`` that ``b`` has too."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in both tables."""
+    return a.select(key).intersect(b.select(key))
+
+
 def key_symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys on one side only, and the side."""
     only = lambda x, y, side: x.select(key).distinct().exceptAll(y.select(key).distinct()).withColumn("side", F.lit(side))
     return only(a, b, "left").unionAll(only(b, a, "right"))
 
 
+def append_proxies(panel: DataFrame, proxies: DataFrame) -> DataFrame:
+    """The panel and the rows of ``proxies`` on the panel's own months only."""
+    return panel.unionByName(intersect_months(proxies, panel).select(*panel.columns))
+
+
+def stack_runs(runs: dict[str, DataFrame], label: str = "run") -> DataFrame:
+    """Runs one below the other, named in the column ``label``; columns that a run lacks are null."""
+    named = [df.withColumn(label, F.lit(name)) for name, df in runs.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def hold_forward(weights: DataFrame, months: DataFrame, key: str = "rule") -> DataFrame:
+    """``months`` (key, month) with the weights of the latest refit before or in them: one row for each series held.
+
+    The refit is found by the as-of sort on (key, month) alone; its weights are then joined by refit.
+    """
+    refits = weights.select(key, "month").distinct().withColumn("refit_month", F.col("month"))
+    held = asof_backward(months.select(key, "month").distinct(), refits, [key], ["refit_month"])
+    return held.join(weights.withColumnRenamed("month", "refit_month"), [key, "refit_month"])
+
+
+def quality_checks(rules: dict[str, DataFrame]) -> DataFrame:
+    """check, violations: how many rows break each rule; a rule is the table of its violations."""
+    counts = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in rules.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
+def outside(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Rows whose value is out of a plausible range."""
+    return df.filter(~F.col(value).between(low, high))
+
+
+def off_sums(df: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
+    """Groups whose values do not sum into a range."""
+    return df.groupBy(*by).agg(F.sum(value).alias("total")).filter(~F.col("total").between(low, high))
+
+
+def off_counts(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Groups that have not exactly ``n`` rows."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") != n)
+
+
 def key_uniqueness(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.countDistinct(*keys).alias("n_keys")).withColumn("is_unique", F.col("n_rows") == F.col("n_keys"))
 

@@ -61,8 +61,13 @@ def factor_vs_reference(panel: DataFrame) -> DataFrame:
 
 
 def join_regimes(panel: DataFrame, regimes: DataFrame) -> DataFrame:
-    """The panel once for each regime (regime, start, end) that holds the month, ends included; regimes are a small table."""
-    return panel.join(F.broadcast(regimes), F.col("month").between(F.col("start"), F.col("end")))
+    """The panel once for each regime (regime, start, end) that holds the month, ends included; regimes may overlap.
+
+    Regimes are written out by month, so that the range join is an equi-join of any size.
+    """
+    months = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
+    spread = regimes.withColumn("month", F.explode(F.transform(months, F.last_day))).filter(F.col("month").between(F.col("start"), F.col("end")))
+    return panel.join(spread, "month")
 
 
 def regime_performance(panel: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -95,16 +100,16 @@ def excess_by_factor(perf: DataFrame) -> DataFrame:
     return perf.filter(F.col("excess_vs_ref").isNotNull()).groupBy("regime", "factor").agg(F.avg("excess_vs_ref").alias("mean_excess"), F.count("*").alias("n_regions"))
 
 
-def pair_self_join(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
+def pair_self_join(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = (), chunks: int = 16) -> DataFrame:
     """All unordered pairs of series (i < j) on the same month, values x and y.
 
-    Months are gathered into one row of sorted series each and pairs are made inside the row, so the panel is
-    shuffled once and not joined with itself.
+    The left side is dealt by series over ``chunks`` keys of each month and the right side copied to all of
+    them, so that no task holds a month's square and parallelism does not end at the number of months.
     """
-    month = panel.filter(F.col(value).isNotNull()).groupBy(*by, "month").agg(F.array_sort(F.collect_list(F.struct("series", F.col(value).alias("v")))).alias("s"))
-    left = month.select(*by, "month", "s", F.posexplode("s").alias("p", "i"))
-    pairs = left.select(*by, "month", F.col("i"), F.explode(F.expr("slice(s, p + 2, greatest(size(s) - p - 1, 0))")).alias("j"))
-    return pairs.select(*by, "month", F.col("i.series").alias("i"), F.col("j.series").alias("j"), F.col("i.v").alias("x"), F.col("j.v").alias("y"))
+    known = panel.filter(F.col(value).isNotNull())
+    left = known.select(*by, "month", F.col("series").alias("i"), F.col(value).alias("x"), F.pmod(F.hash("series"), F.lit(chunks)).alias("_chunk"))
+    right = known.select(*by, "month", F.col("series").alias("j"), F.col(value).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    return left.join(right, [*by, "month", "_chunk"]).filter("i < j").select(*by, "month", "i", "j", "x", "y")
 
 
 def corr_pairs(panel: DataFrame, by: tuple[str, ...] = (), complete: bool = True) -> DataFrame:
@@ -161,7 +166,7 @@ def sleeve_table(panel: DataFrame, market: DataFrame, rf: float = 0.0) -> DataFr
     path = W.partitionBy("series").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
     rows = (
         panel.filter(F.col("ret").isNotNull())
-        .join(F.broadcast(market), "month")
+        .join(market, "month")
         .withColumn("e", F.col("ret") - rf)
         .withColumn("lvl", F.exp(F.sum(F.log1p("ret")).over(path)))
         .withColumn("dd", F.col("lvl") / F.max("lvl").over(path) - 1)
@@ -196,7 +201,7 @@ def psr(returns_: DataFrame, sr0: float = 0.0) -> DataFrame:
 
 def active_stats(returns_: DataFrame, bench: DataFrame) -> DataFrame:
     """Active return, tracking error and information ratio against bench (month, bench)."""
-    rows = returns_.filter(F.col("ret").isNotNull()).join(F.broadcast(bench), "month").withColumn("a", F.col("ret") - F.col("bench"))
+    rows = returns_.filter(F.col("ret").isNotNull()).join(bench, "month").withColumn("a", F.col("ret") - F.col("bench"))
     return rows.groupBy("series").agg(
         (F.avg("a") * 12).alias("active"), _volatility("a").alias("tracking_error"), (F.avg("a") * F.sqrt(F.lit(12.0)) / F.nullif(F.stddev_samp("a"), F.lit(0.0))).alias("information_ratio")
     )
@@ -207,7 +212,7 @@ def rolling_beats(returns_: DataFrame, bench: DataFrame, window: int = 36) -> Da
     w = W.partitionBy("series").orderBy("month").rowsBetween(1 - window, 0)
     ratio = lambda c: F.avg(c).over(w) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))
     logs = lambda c: F.sum(F.log1p(c)).over(w)
-    rows = returns_.filter(F.col("ret").isNotNull()).join(F.broadcast(bench), "month")
+    rows = returns_.filter(F.col("ret").isNotNull()).join(bench, "month")
     rolled = rows.select("series", F.count("*").over(w).alias("k"), (ratio("ret") > ratio("bench")).alias("beats"), (logs("ret") > logs("bench")).alias("ahead"))
     full = rolled.filter(F.col("k") == window)
     return full.groupBy("series").agg(F.count("*").alias("n_windows"), F.avg(F.col("beats").cast("double")).alias("beats"), F.avg(F.col("ahead").cast("double")).alias("ahead"))
@@ -217,60 +222,107 @@ def half_split_sharpe(returns_: DataFrame) -> DataFrame:
     """Sharpe of the first and of the second half of each series' months."""
     place, n = F.row_number().over(W.partitionBy("series").orderBy("month")), F.count("*").over(W.partitionBy("series"))
     rows = returns_.filter(F.col("ret").isNotNull()).withColumn("first", place <= F.floor(n / 2))
-    ratio = lambda keep: F.avg(F.when(keep, F.col("ret"))) / F.stddev_samp(F.when(keep, F.col("ret"))) * F.sqrt(F.lit(12.0))
+    ratio = lambda keep: F.avg(F.when(keep, F.col("ret"))) / F.nullif(F.stddev_samp(F.when(keep, F.col("ret"))), F.lit(0.0)) * F.sqrt(F.lit(12.0))
     return rows.groupBy("series").agg(ratio(F.col("first")).alias("first_half"), ratio(~F.col("first")).alias("second_half"))
 
 
-def vol_target(returns_: DataFrame, target: float = 0.10, window: int = 12, most: float = 1.0) -> DataFrame:
+def _with_history(returns_: DataFrame, history: DataFrame | None, cash: DataFrame | None) -> DataFrame:
+    """series, month, ret, _own (not of the history) and cash: what the uninvested part earns, 0 where it is unknown."""
+    rows = returns_.filter(F.col("ret").isNotNull()).withColumn("_own", F.lit(True))
+    if history is not None:
+        rows = rows.unionByName(history.filter(F.col("ret").isNotNull()).select("series", "month", "ret", F.lit(False).alias("_own")), allowMissingColumns=True)
+    if cash is None:
+        return rows.withColumn("cash", F.lit(0.0))
+    return rows.join(cash.select("month", F.col("cash").alias("_cash")), "month", "left").withColumn("cash", F.coalesce("_cash", F.lit(0.0))).drop("_cash")
+
+
+def _managed(rows: DataFrame) -> DataFrame:
+    """The own months of ``rows`` (exposure) with the managed return and the turnover of the exposure's changes."""
+    w = W.partitionBy("series").orderBy("month")
+    own = rows.filter("_own").withColumn("managed", F.col("exposure") * F.col("ret") + (1 - F.col("exposure")) * F.col("cash"))
+    return own.withColumn("turnover", F.coalesce(F.abs(F.col("exposure") - F.lag("exposure").over(w)), F.lit(0.0))).drop("_own", "cash")
+
+
+def vol_target(returns_: DataFrame, target: float = 0.10, window: int = 12, most: float = 1.0, cash: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """Exposure min(most, target over trailing volatility), the managed return and its turnover.
 
     The volatility is that of the ``window`` months before; with fewer than max(3, window // 2) of
-    them, or no movement, the exposure is full. Cash earns nothing.
+    them, or no movement, the exposure is full. The rest earns cash (month, cash), nothing where that is
+    unknown; ``history`` (series, month, ret) before the first month only feeds the volatility.
     """
-    w = W.partitionBy("series").orderBy("month")
-    before = w.rowsBetween(-window, -1)
+    before = W.partitionBy("series").orderBy("month").rowsBetween(-window, -1)
     vol = F.stddev_samp("ret").over(before) * F.sqrt(F.lit(12.0))
     known = F.count("ret").over(before) >= max(3, window // 2)
-    rows = returns_.filter(F.col("ret").isNotNull()).withColumn("exposure", F.when(known & (vol > 0), F.least(F.lit(most), target / vol)).otherwise(F.lit(most)))
-    turned = F.coalesce(F.abs(F.col("exposure") - F.lag("exposure").over(w)), F.lit(0.0))
-    return rows.withColumn("managed", F.col("exposure") * F.col("ret")).withColumn("turnover", turned)
+    rows = _with_history(returns_, history, cash)
+    return _managed(rows.withColumn("exposure", F.when(known & (vol > 0), F.least(F.lit(most), target / vol)).otherwise(F.lit(most))))
 
 
-def trend_overlay(returns_: DataFrame, window: int = 10) -> DataFrame:
-    """Invested while the last month's level is above its own moving average; invested until there is one."""
-    w = W.partitionBy("series").orderBy("month")
-    level = F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = returns_.filter(F.col("ret").isNotNull()).withColumn("lvl", level)
-    trailing = w.rowsBetween(1 - window, 0)
-    signal = F.when(F.count("*").over(trailing) == window, (F.col("lvl") > F.avg("lvl").over(trailing)).cast("double"))
-    return rows.withColumn("_s", signal).withColumn("exposure", F.coalesce(F.lag("_s").over(w), F.lit(1.0))).withColumn("managed", F.col("exposure") * F.col("ret")).drop("_s", "lvl")
+def trend_overlay(
+    returns_: DataFrame, mode: str = "sma", window: int | None = None, threshold: float | DataFrame = 0.0, cash: DataFrame | None = None, history: DataFrame | None = None
+) -> DataFrame:
+    """Invested while last month's signal holds, else in cash (month, cash); invested until there is a signal.
 
-
-def momentum_score(returns_: DataFrame, lookback: int = 12, skip: int = 1) -> DataFrame:
+    ``sma``: the compounded level is above its mean of ``window`` (10) months. ``absmom``: the return of ``window`` (12)
+    months is above ``threshold``, a number or a table (month, threshold); where it is unknown there is no signal.
+    """
+    if mode not in ("sma", "absmom"):
+        raise ValueError(f"unknown trend mode {mode!r}: sma or absmom")
+    n = window or (10 if mode == "sma" else 12)
+    w = W.partitionBy("series").orderBy("month")
+    trailing = w.rowsBetween(1 - n, 0)
+    rows = _with_history(returns_, history, cash)
+    if mode == "sma":
+        rows = rows.withColumn("_l", F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(W.unboundedPreceding, 0))))
+        above = F.col("_l") > F.avg("_l").over(trailing)
+    else:
+        given = isinstance(threshold, DataFrame)
+        rows = rows.join(threshold.select("month", F.col("threshold").alias("_l")), "month", "left") if given else rows.withColumn("_l", F.lit(float(threshold)))
+        above = F.exp(F.sum(F.log1p("ret")).over(trailing)) - 1 > F.col("_l")
+    signal = F.when(F.count("*").over(trailing) == n, above.cast("double"))
+    return _managed(rows.withColumn("_s", signal).withColumn("exposure", F.coalesce(F.lag("_s").over(w), F.lit(1.0))).drop("_s", "_l"))
+
+
+def tbill_gate(returns_: DataFrame, cash: DataFrame, window: int = 12, history: DataFrame | None = None) -> DataFrame:
+    """The overlay whose threshold is what cash (month, cash) earned over the same ``window`` months; unknown cash earned nothing."""
+    months = returns_.select("month").distinct() if history is None else returns_.select("month").unionAll(history.select("month")).distinct()
+    w = W.orderBy("month").rowsBetween(1 - window, 0)  # one row for each month
+    known = months.join(cash, "month", "left").withColumn("cash", F.coalesce("cash", F.lit(0.0)))
+    earned = F.when(F.count("*").over(w) == window, F.exp(F.sum(F.log1p("cash")).over(w)) - 1)
+    return trend_overlay(returns_, "absmom", window, known.select("month", earned.alias("threshold")), cash, history)
+
+
+def momentum_score(returns_: DataFrame, lookback: int = 12, skip: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Compounded return over ``lookback`` months, the last ``skip`` left out, known at the end of each month."""
-    w = W.partitionBy("series").orderBy("month").rowsBetween(1 - lookback - skip, -skip)
+    w = W.partitionBy(*by, "series").orderBy("month").rowsBetween(1 - lookback - skip, -skip)
     score = F.when(F.count("ret").over(w) == lookback, F.exp(F.sum(F.log1p("ret")).over(w)) - 1)
     return returns_.filter(F.col("ret").isNotNull()).withColumn("score", score)
 
 
-def momentum_weights(returns_: DataFrame, k: int = 6, lookback: int = 12, skip: int = 1) -> DataFrame:
+def momentum_weights(returns_: DataFrame, k: int = 6, lookback: int = 12, skip: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Equal weights on the ``k`` best scores of each month; ties go to the first series by name."""
-    scored = momentum_score(returns_, lookback, skip).filter(F.col("score").isNotNull())
-    place = F.row_number().over(W.partitionBy("month").orderBy(F.desc("score"), "series"))
+    scored = momentum_score(returns_, lookback, skip, by).filter(F.col("score").isNotNull())
+    place = F.row_number().over(W.partitionBy(*by, "month").orderBy(F.desc("score"), "series"))
     top = scored.withColumn("_r", place).filter(F.col("_r") <= k)
-    return top.withColumn("w", 1.0 / F.count("*").over(W.partitionBy("month"))).select("month", "series", "score", "w")
+    return top.withColumn("w", 1.0 / F.count("*").over(W.partitionBy(*by, "month"))).select(*by, "month", "series", "score", "w")
+
 
+def average_rank(value: Column, over: list[str], *, best_first: bool = True) -> Column:
+    """Rank within a group, ties sharing the mean of their places."""
+    w = W.partitionBy(*over)
+    ties = F.count("*").over(W.partitionBy(*over, value))
+    return F.rank().over(w.orderBy(value.desc() if best_first else value.asc())) + (ties - 1) / 2.0
 
-def block_ranks(returns_: DataFrame, block: int = 12) -> DataFrame:
-    """Sharpe of each series in each block of complete months and its average-tie rank, best 1."""
+
+def block_ranks(returns_: DataFrame, block: int = 12, metric: str = "sharpe") -> DataFrame:
+    """Sharpe or compounded return of each series in each block of complete months and its average-tie rank, best 1.
+
+    A last block of fewer than max(2, block // 2) months is left out, and a block in which a series has no score.
+    """
+    score = {"sharpe": F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)), "return": F.exp(F.sum(F.log1p("ret"))) - 1}
+    if metric not in score:
+        raise ValueError(f"unknown metric {metric!r}: sharpe or return")
     rows = complete_months(returns_, "ret")
     place = F.row_number().over(W.partitionBy("series").orderBy("month"))
-    scores = (
-        rows.withColumn("block", F.floor((place - 1) / block))
-        .groupBy("series", "block")
-        .agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("score"), F.count("*").alias("n"))
-        .filter((F.col("n") >= max(2, block // 2)) & F.col("score").isNotNull())
-    )
-    w = W.partitionBy("block")
-    ties = F.count("*").over(W.partitionBy("block", "score"))
-    return scores.withColumn("rank", F.rank().over(w.orderBy(F.desc("score"))) + (ties - 1) / 2.0).select("series", "block", "score", "rank")
+    scores = rows.withColumn("block", F.floor((place - 1) / block)).groupBy("series", "block").agg(score[metric].alias("score"), F.count("*").alias("n")).filter(F.col("n") >= max(2, block // 2))
+    whole = scores.withColumn("_k", F.count("score").over(W.partitionBy("block"))).withColumn("_n", F.count("*").over(W.partitionBy("block"))).filter("_k = _n")
+    return whole.withColumn("rank", average_rank(F.col("score"), ["block"])).select("series", "block", "score", "rank")

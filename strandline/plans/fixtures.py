@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import SEPARATOR
+from ..operators.panel import SEPARATOR, literal_ranges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,21 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with month, price and the columns of their order, customer and place that panels use."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    place = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed: 25 nations
-    joined = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
-    )
+    """Line items with month, price and the columns of their order, customer and place that panels use.
+
+    An order's customer and place are found first, so that line items, the largest table, are shuffled once.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_shipdate")
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "r_name", "n_name", "c_mktsegment")
     factor = F.when(F.col("c_mktsegment") == "BUILDING", "Reference").otherwise(F.col("c_mktsegment"))
     amount = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-    return joined.select(
+    date = F.col("l_shipdate").cast("date")
+    return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("r_name").alias("region"), factor.alias("factor"), F.concat_ws(SEPARATOR, "r_name", factor).alias("series"),
-        F.last_day(F.col("l_shipdate").cast("date")).alias("month"), F.col("l_shipdate").cast("date").alias("date"), "n_name", "l_partkey", amount.alias("amount"),
+        F.last_day(date).alias("month"), date.alias("date"), "n_name", "l_partkey", amount.alias("amount"),
     )
 
 
@@ -63,8 +62,6 @@ PORTFOLIOS = {
 
 
 def regimes(spark: SparkSession) -> DataFrame:
-    from ..operators.panel import literal_ranges
-
     return literal_ranges(spark, REGIMES)
 
 
@@ -85,3 +82,22 @@ def look_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.select("series", both.alias("d"), "amount").groupBy("series", "d.dim", "d.category").agg(F.sum("amount").cast("double").alias("v"))
     totals = rows.groupBy("series").agg(F.sum("amount").cast("double").alias("t"))
     return sums.join(totals, "series").select("series", "dim", "category", (F.col("v") / F.col("t") * 100).alias("weight_pct"))
+
+
+#: Long-short differences of segments' mean returns, by the name of the research factor.
+FACTORS = {"hml": ("MACHINERY", "FURNITURE"), "mom": ("AUTOMOBILE", "HOUSEHOLD")}
+#: Monthly return of cash.
+RF = 0.002
+
+
+def research_factors(panel: DataFrame) -> DataFrame:
+    """month, mkt_rf, hml, mom, rf from the panel's returns; a month without one of the segments lacks its factor."""
+    segment = lambda name: F.avg(F.when(F.col("factor") == name, F.col("ret")))
+    sides = [(segment(a) - segment(b)).alias(name) for name, (a, b) in FACTORS.items()]
+    return panel.filter(F.col("ret").isNotNull()).groupBy("month").agg((F.avg("ret") - RF).alias("mkt_rf"), *sides, F.lit(RF).alias("rf"))
+
+
+#: The same factors in SQL, after the panel's tables.
+FACTORS_SQL = ", fc AS (SELECT month, avg(ret) - {rf} AS mkt_rf, {sides}, CAST({rf} AS DOUBLE) AS rf FROM rt WHERE ret IS NOT NULL GROUP BY month)".format(
+    rf=RF, sides=", ".join(f"avg(ret) FILTER (WHERE factor = '{a}') - avg(ret) FILTER (WHERE factor = '{b}') AS {n}" for n, (a, b) in FACTORS.items())
+)
