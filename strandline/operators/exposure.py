@@ -106,3 +106,44 @@ def portfolio_state_means(weights: DataFrame, state_means: DataFrame) -> DataFra
     means = held.join(state_means.select("state", "series", F.col("mean_ret").alias("_m")), "series").groupBy("portfolio", "state")
     rows = means.agg(F.sum(F.col("weight") * F.col("_m")).alias("mean_ret"), F.count("*").alias("_k"), F.max("_n").alias("_n")).filter("_k = _n")
     return rows.select("portfolio", "state", "mean_ret", (F.col("mean_ret") == F.min("mean_ret").over(W.partitionBy("portfolio"))).alias("is_worst"))
+
+
+def zone_exposure(weights: DataFrame, lookup: DataFrame, zones: DataFrame) -> DataFrame:
+    """portfolio, zone, share: what portfolios hold in zones (zone, country) through the countries of their series.
+
+    A series without countries takes those of its region's Reference; unmapped countries are "Rest of world"; proxies
+    (region Asset) and series that even so have none add nothing.
+    """
+    countries = lookup.filter("dim = 'country'").select(F.col("series").alias("sheet"), "category", "weight_pct")
+    sheets = countries.select("sheet").distinct()
+    region = F.split("series", r" \| ", 2)[0]
+    held = weights.filter(region != "Asset").join(sheets.withColumn("series", F.col("sheet")), "series", "left").withColumn("sheet", F.coalesce("sheet", F.concat(region, F.lit(" | Reference"))))
+    rows = held.join(countries, "sheet").join(zones.select("zone", F.col("country").alias("category")), "category", "left")
+    return rows.groupBy("portfolio", F.coalesce("zone", F.lit("Rest of world")).alias("zone")).agg((F.sum(F.col("weight") * F.col("weight_pct")) / 100).alias("share"))
+
+
+def bucket_exposure(weights: DataFrame) -> DataFrame:
+    """portfolio, bucket, share: what portfolios hold by the factor in their series' names."""
+    return weights.groupBy("portfolio", F.split("series", r" \| ", 2)[1].alias("bucket")).agg(F.sum("weight").alias("share"))
+
+
+def archetype_weights(spec: DataFrame, series: DataFrame, prefix: str = "Proxy | ") -> DataFrame:
+    """portfolio, series, weight of archetypes (portfolio, key, weight) on the series that there are.
+
+    The key "equity_equal" is spread over all series of the prefix; other keys name a series. Archetypes that do not add up
+    to one within 0.01, since a series is missing, are left out.
+    """
+    names = series.select("series").distinct()
+    equity = names.filter(F.col("series").startswith(prefix))
+    n = equity.agg(F.count("*").alias("_n"))
+    spread = spec.filter("key = 'equity_equal'").crossJoin(F.broadcast(n)).crossJoin(equity).select("portfolio", "series", (F.col("weight") / F.col("_n")).alias("weight"))  # archetypes times series
+    named = spec.filter("key <> 'equity_equal'").withColumnRenamed("key", "series").join(names, "series").select("portfolio", "series", "weight")
+    rows = spread.unionAll(named).groupBy("portfolio", "series").agg(F.sum("weight").alias("weight"))
+    good = rows.groupBy("portfolio").agg(F.sum("weight").alias("s")).filter(F.abs(F.col("s") - 1) < 0.01).select("portfolio")
+    return rows.join(good, "portfolio", "left_semi")
+
+
+def benchmark_table(stats: DataFrame, weights: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Performance (of the portfolios' returns, by series) beside the number of holdings above 1 % and the independent bets DR squared."""
+    holdings = weights.groupBy("portfolio").agg(F.count_if(F.col("weight") > 0.01).alias("n_holdings"))
+    return stats.withColumnRenamed("series", "portfolio").join(holdings, "portfolio").join(ratios.select("portfolio", "dr2"), "portfolio")

@@ -326,3 +326,74 @@ def block_ranks(returns_: DataFrame, block: int = 12, metric: str = "sharpe") ->
     scores = rows.withColumn("block", F.floor((place - 1) / block)).groupBy("series", "block").agg(score[metric].alias("score"), F.count("*").alias("n")).filter(F.col("n") >= max(2, block // 2))
     whole = scores.withColumn("_k", F.count("score").over(W.partitionBy("block"))).withColumn("_n", F.count("*").over(W.partitionBy("block"))).filter("_k = _n")
     return whole.withColumn("rank", average_rank(F.col("score"), ["block"])).select("series", "block", "score", "rank")
+
+
+def factor_table(factors: DataFrame) -> DataFrame:
+    """months, yearly mean and volatility, t of the mean, population skew and excess kurtosis and worst month of each factor (factor, month, value)."""
+    mean, sd = F.avg("value"), F.stddev_samp("value")
+    return factors.filter("value IS NOT NULL").groupBy("factor").agg(
+        F.count("*").alias("months"), (mean * 12).alias("mean_ann"), _volatility("value").alias("ann_vol"), (mean / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.count("*"))).alias("t_mean"),
+        F.skewness("value").alias("skew"), F.kurtosis("value").alias("exkurt"), F.min("value").alias("worst_month"),
+    )
+
+
+def downside(e: str) -> Column:
+    """Root mean square of the months below zero."""
+    return F.sqrt(F.avg(F.pow(F.least(F.col(e), F.lit(0.0)), 2)))
+
+
+def certainty_equivalent(e: str, gamma: float) -> Column:
+    """Yearly mean less half of gamma times the variance."""
+    return (F.avg(e) - gamma / 2.0 * F.var_samp(e)) * 12
+
+
+def ratios(returns_: DataFrame, factors: DataFrame, gammas: tuple[int, ...] = (1, 3, 5, 10), by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Sharpe, downside deviation, Sortino, beta, Treynor and certainty equivalents of returns in excess of cash (factors: month, rf, mkt_rf).
+
+    Sortino is null without a month below zero, Treynor where beta is not positive.
+    """
+    rows = returns_.filter("ret IS NOT NULL").join(factors.select("month", "rf", "mkt_rf"), "month").withColumn("e", F.col("ret") - F.col("rf"))
+    beta, mean = F.covar_samp("e", "mkt_rf") / F.nullif(F.var_samp("mkt_rf"), F.lit(0.0)), F.avg("e") * 12
+    stats = rows.groupBy(*by).agg(
+        F.count("*").alias("months"), mean.alias("mean_excess"), (F.avg("e") / F.nullif(F.stddev_samp("e"), F.lit(0.0)) * F.sqrt(F.lit(12.0))).alias("sharpe"),
+        (downside("e") * F.sqrt(F.lit(12.0))).alias("downside_dev"), beta.alias("beta"), *(certainty_equivalent("e", g).alias(f"cer_{g}") for g in gammas),
+    )
+    return stats.withColumn("sortino", F.col("mean_excess") / F.nullif(F.col("downside_dev"), F.lit(0.0))).withColumn("treynor", F.when(F.col("beta") > 0, F.col("mean_excess") / F.col("beta")))
+
+
+def subperiods(returns_: DataFrame, spans: DataFrame, rf: float = 0.0, least_sharpe: int = 12, least_return: int = 15) -> DataFrame:
+    """span, series, months, sharpe of the excess over ``rf`` and cumulative return inside each span (regime, start, end).
+
+    The Sharpe is null for fewer than ``least_sharpe`` months, the return for fewer than ``least_return``.
+    """
+    rows = join_regimes(returns_.filter("ret IS NOT NULL"), spans).withColumn("e", F.col("ret") - rf)
+    n = F.count("*")
+    sharpe = F.avg("e") / F.nullif(F.stddev_samp("e"), F.lit(0.0)) * F.sqrt(F.lit(12.0))
+    return rows.groupBy(F.col("regime").alias("span"), "series").agg(
+        n.alias("months"), F.when(n >= least_sharpe, sharpe).alias("sharpe"), F.when(n >= least_return, F.exp(F.sum(F.log1p("ret"))) - 1).alias("cum_return")
+    )
+
+
+def menu_facts(panel: DataFrame, since: str) -> DataFrame:
+    """sample (full or since), factor, mean_gap of yearly growth to the Reference, wins, n_regions, spread between the best and worst series."""
+    sample = F.explode(F.array_compact(F.array(F.lit("full"), F.when(F.col("month") >= F.lit(since).cast("date"), "since"))))
+    growth = panel.filter("ret IS NOT NULL").withColumn("sample", sample).groupBy("sample", "region", "factor").agg((F.exp(F.sum(F.log1p("ret")) * 12 / F.count("*")) - 1).alias("g"))
+    refs = growth.filter(F.col("factor") == REFERENCE).select("sample", "region", F.col("g").alias("r"))
+    gaps = growth.filter(F.col("factor") != REFERENCE).join(refs, ["sample", "region"]).groupBy("sample", "factor")
+    spread = growth.groupBy("sample").agg((F.max("g") - F.min("g")).alias("spread"))
+    return gaps.agg(F.avg(F.col("g") - F.col("r")).alias("mean_gap"), F.count_if(F.col("g") > F.col("r")).alias("wins"), F.count("*").alias("n_regions")).join(spread, "sample")
+
+
+def factor_pair_corr(panel: DataFrame, a: str, b: str) -> DataFrame:
+    """n_regions and the mean over regions of the correlation of factors ``a`` and ``b``, raw and in excess of the Reference."""
+    pair = pair_with_reference(panel.filter(F.col("factor").isin(a, b, REFERENCE)))
+    side = lambda name: pair.filter(F.col("factor") == name).select("region", "month", F.col("ret").alias(name), "ref")
+    rows = side(a).join(side(b).drop("ref"), ["region", "month"])
+    by = rows.groupBy("region").agg(F.corr(a, b).alias("raw"), F.corr(F.col(a) - F.col("ref"), F.col(b) - F.col("ref")).alias("excess"))
+    return by.agg(F.count("*").alias("n_regions"), F.avg("raw").alias("raw"), F.avg("excess").alias("excess"))
+
+
+def region_neutral_premium(panel: DataFrame, fee_gap: float = 0.0) -> DataFrame:
+    """series "premium", month, ret: mean over regions of (mean factor less Reference less the yearly fee gap over twelve)."""
+    region = pair_with_reference(panel).groupBy("region", "month").agg((F.avg("ret") - F.first("ref") - fee_gap / 12).alias("e"))
+    return region.groupBy("month").agg(F.avg("e").alias("ret")).withColumn("series", F.lit("premium"))
