@@ -10,10 +10,11 @@
 3. Edges that the signatures and set sizes don't rule out are confirmed on the full sets, each
    member's most similar hub first; edges inside a component found so far need no test.
 4. What stars leave over is searched exactly: where a hub's star still holds several components,
-   members outside the largest one are compared with all others of the star on the full sets. In a
-   large star only pairs that share one of their rarest shingles are compared: of two sets at the
-   threshold t each has at most (1 - t) n shingles that the other lacks, so they meet in the first
-   n - ceil(t n) + 1 of each, whatever the order. Two texts that share a bucket are in its hub's star.
+   members outside the largest one are compared with all others of the star on the full sets, in
+   square chunks. In a large star where it is less work, only pairs that share one of their rarest
+   shingles are compared: of two sets at the threshold t each has at most (1 - t) n shingles that the
+   other lacks, so they meet in the first n - ceil(t n) + 1 of each, whatever the order. How many pairs
+   that makes is counted before. Two texts that share a bucket are in its hub's star.
 
 A class is named by a number of its own, so that texts that share a doc_id are told apart.
 
@@ -42,8 +43,10 @@ _TRIES = 64
 #: Standard deviations by which a signature's estimate may fall short of the threshold.
 _SIGMAS = 5.0
 _CHUNK = 256
-#: Stars of more members than this are searched by their rarest shingles.
+#: Stars of more members than this may be searched by their rarest shingles.
 _LARGE_STAR = 1024
+#: What a pair that is made and tested by itself costs, in pairs of a square chunk.
+_PAIR_COST = 50
 
 
 def _sequences() -> np.ndarray:
@@ -239,12 +242,17 @@ def _left_over(search: _Search, stars: DataFrame, labels: DataFrame) -> DataFram
     mixed = per_comp.groupBy("hub").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.max_by("comp", "k").alias("major")).filter("top < n")
     rows = cut(placed.join(mixed, "hub"))
     large = rows.filter(F.col("n") > _LARGE_STAR)
-    found = _squares(search, rows.filter(F.col("n") <= _LARGE_STAR))
-    return found if large.isEmpty() else found.unionAll(_by_rarest(search, large)).distinct()
+    if large.isEmpty():
+        return _squares(search, rows)
+    prefix = cut(_rarest(search, large))
+    pairs = prefix.groupBy("hub", "shingle").agg((F.count_if("minor") * F.count("*")).alias("pairs")).groupBy("hub").agg(F.sum("pairs").alias("pairs"))
+    work = large.select("hub", "n", "top").distinct().join(pairs, "hub", "left").filter(F.coalesce("pairs", F.lit(0)) * _PAIR_COST <= (F.col("n") - F.col("top")) * F.col("n"))
+    sparse = cut(work.select("hub"))
+    return _squares(search, rows.join(sparse, "hub", "left_anti")).unionAll(_sharing(search, prefix.join(sparse, "hub", "left_semi"))).distinct()
 
 
-def _by_rarest(search: _Search, rows: DataFrame) -> DataFrame:
-    """Links between members of large stars (hub, rep, comp, major), by prefix filtering in the star's own order of shingles."""
+def _rarest(search: _Search, rows: DataFrame) -> DataFrame:
+    """hub, rep, comp, minor, size, shingle: of members of stars (hub, rep, comp, major) the shingles, rarest in the star first, that a partner must share one of."""
 
     def spread(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
@@ -261,7 +269,11 @@ def _by_rarest(search: _Search, rows: DataFrame) -> DataFrame:
     member = W.partitionBy("hub", "rep")
     place = F.col("size") - F.count("*").over(member) + F.row_number().over(member.orderBy("freq", "shingle"))
     length = F.col("size") - F.ceil(F.col("size") * search.percent / 100) + 1
-    prefix = cut(terms.join(often, ["hub", "shingle"]).withColumn("place", place).filter(F.col("place") <= length).drop("place", "freq"))
+    return terms.join(often, ["hub", "shingle"]).withColumn("place", place).filter(F.col("place") <= length).drop("place", "freq")
+
+
+def _sharing(search: _Search, prefix: DataFrame) -> DataFrame:
+    """Links between members, one of them minor, that share a shingle of ``prefix``."""
     left, right = (prefix.select("hub", "shingle", F.col("rep").alias(a), F.col("comp").alias(f"c_{a}"), F.col("size").alias(f"n_{a}"), F.col("minor").alias(f"minor_{a}")) for a in "uv")
     met = left.filter("minor_u").join(right, ["hub", "shingle"]).filter("c_u <> c_v AND (NOT minor_v OR u < v)").filter(_comparable(search.percent))
     pairs = cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())

@@ -94,9 +94,10 @@ def variants(n, seed):
     return out
 
 
-@pytest.mark.parametrize("large", [1024, 2])
-def test_large_stars_lose_no_link(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "cost"), [(1024, 50), (2, 0), (2, 50), (2, 1)])
+def test_large_stars_lose_no_link(spark, monkeypatch, large, cost):
     monkeypatch.setattr(near_dedup, "_LARGE_STAR", large)
+    monkeypatch.setattr(near_dedup, "_PAIR_COST", cost)
     rows = [(f"d{i:03}", t) for i, t in enumerate(variants(150, 5))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), width=3, percent=85).collect()
     assert {r.doc_id: r.component_id for r in got} == components_of(rows, 3, 85)
