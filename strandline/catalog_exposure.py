@@ -8,6 +8,7 @@ from .operators import exposure as E
 from .operators import panel as P
 from .operators import performance as A
 from .plans import fixtures as X
+from .plans.scratch import settled
 
 _VALID = ("one region", "sixty forty")
 _ROWS = [(p, s, w) for p in _VALID for s, w in X.PORTFOLIOS[p].items()]
@@ -47,7 +48,7 @@ def _exposure(s, d):
 
 
 def _covariance(s, d):
-    return V.shrink_constant_correlation(V.covariance_pairs(panel(s, d)))
+    return settled(V.shrink_constant_correlation(settled(V.covariance_pairs(panel(s, d)))))
 
 
 @query(f"{_EXPOSURE} SELECT portfolio, dim, category, {_r('pct')} FROM xp")
