@@ -174,6 +174,15 @@ def _runs(key: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None) -> t
     return key[first], doc[first], n.astype(np.uint32), mixed[first], None if more is None else more[first]
 
 
+#: Columns in the order of their hash.
+_SORTED = ("tk", "uk", "xk")
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Each value less the one before it; the sum of unsigned steps is the value again."""
+    return np.diff(values, prepend=np.zeros(1, dtype=values.dtype))
+
+
 def _packed(values: np.ndarray) -> bytes:
     """The values byte by byte, all their lowest bytes first: high bytes are mostly zero and compress."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
@@ -231,14 +240,14 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         columns, cuts = {"hk": hk, "hd": hd, "hn": hn}, {"h": h_mixed}
         for kind, (key, of_doc, n, cuts[kind], other) in runs.items():
             columns |= {f"{kind}k": key, f"{kind}c": other, f"{kind}d": of_doc, f"{kind}n": n}
-        cuts = {kind: np.searchsorted(_block_of(mixed, n_blocks), np.arange(n_blocks + 1)) for kind, mixed in cuts.items()}
-        first = score
-        for b in range(n_blocks):
-            own = {kind: slice(cut[b], cut[b + 1]) for kind, cut in cuts.items()}
-            if first or any(o.stop > o.start for o in own.values()):
-                parts = {name: _packed(values[own[name[0]]]) for name, values in columns.items()}
-                yield _row(batch_id, b, **parts, n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None)
-                first = False
+        block_of = {kind: _block_of(mixed, n_blocks) for kind, mixed in cuts.items()}
+        present = np.unique(np.concatenate([*block_of.values(), np.zeros(int(score), dtype=np.uint64)]))  # only blocks that get an entry, and one for the sums
+        cuts = {kind: (np.searchsorted(b, present, "left"), np.searchsorted(b, present, "right")) for kind, b in block_of.items()}
+        for i, b in enumerate(present.tolist()):
+            own = {kind: slice(low[i], high[i]) for kind, (low, high) in cuts.items()}
+            parts = {name: _packed(_steps(values[own[name[0]]]) if name in _SORTED else values[own[name[0]]]) for name, values in columns.items()}
+            first = score and i == 0
+            yield _row(batch_id, b, **parts, n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None)
 
     def _row(batch_id: int, block: int, ids: pa.Array | None = None, n_docs: int = 0, **parts: bytes) -> pa.RecordBatch:
         columns = [pa.array([batch_id]), pa.array([block], pa.int64())]
@@ -279,13 +288,13 @@ def _block_of(mixed: np.ndarray, n_blocks: int) -> np.ndarray:
 
 
 def _tail_runs(key: np.ndarray, doc: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
-    mixed = mix(key)
-    order = np.lexsort((context, mixed))
-    mixed, key, doc, context = mixed[order], key[order], doc[order], context[order]
+    """Entries in the order of the word's hash, which is as good as a mixed one, so that only its steps need be sent."""
+    order = np.lexsort((context, key))
+    key, doc, context = key[order], doc[order], context[order]
     if not len(key):
-        return key, doc, np.empty(0, dtype=np.uint32), mixed, context
+        return key, doc, np.empty(0, dtype=np.uint32), key, context
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])]))
-    return key[first], doc[first], np.diff(np.append(first, len(key))).astype(np.uint32), mixed[first], context[first]
+    return key[first], doc[first], np.diff(np.append(first, len(key))).astype(np.uint32), key[first], context[first]
 
 
 def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
@@ -293,6 +302,7 @@ def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
     out = {}
     for name, kind in _KINDS.items():
         parts = [_unpacked(x, kind) for x in table.column(name).to_pylist()]
+        parts = [np.cumsum(x, dtype=kind) for x in parts] if name in _SORTED else parts
         out[name] = np.concatenate(parts)
         if name[1] == "k":
             out[f"{name[0]}_row"] = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
