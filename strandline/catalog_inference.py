@@ -1 +1,317 @@
-"""stub"""
+"""Queries on tests of races, with the same draws and rows in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .catalog import _d, _r, panel, query
+from .catalog_states import _CDF, _STATES, _states
+from .operators import covariance as V
+from .operators import inference as I
+from .operators import macro as M
+from .operators import panel as P
+from .operators import performance as A
+from .operators import walkforward as R
+from .plans import fixtures as X
+from .plans.scratch import settled
+
+REPS = 499
+
+#: Contestants: the regions' mean of each factor, and the mean of all series.
+_CN = "cn AS (SELECT factor AS series, month, avg(ret) AS ret FROM rc GROUP BY factor, month UNION ALL SELECT '1/N', month, avg(ret) FROM rc GROUP BY month)"
+_PAIRS = f""", {_CN}, pq AS (SELECT x.series AS x_name, y.series AS y_name, x.month, x.ret AS x, y.ret AS y, row_number() OVER (PARTITION BY x.series, y.series ORDER BY x.month) - 1 AS pos
+  FROM cn x JOIN cn y ON x.month = y.month AND y.series = '1/N' AND x.series <> '1/N')"""
+_GAPS = """
+gm AS (SELECT x_name, y_name, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x * x) AS mxx, avg(y * y) AS myy FROM pq GROUP BY ALL),
+gd AS (SELECT *, sqrt(mxx - mx * mx) AS sx, sqrt(myy - my * my) AS sy, greatest(3, CAST(round_even(pow(n, 1 / 3.0), 0) AS BIGINT)) AS b, greatest(1, CAST(floor(4 * pow(n / 100.0, 2 / 9.0)) AS BIGINT)) AS m FROM gm),
+gw AS (SELECT *, mx / sx - my / sy AS delta, mxx / pow(sx, 3) AS wx, -myy / pow(sy, 3) AS wy, -mx / (2 * pow(sx, 3)) AS wxx, my / (2 * pow(sy, 3)) AS wyy FROM gd WHERE n >= 24),
+iu AS (SELECT pq.x_name, pq.y_name, pos, n, m, wx * (x - mx) + wy * (y - my) + wxx * (x * x - mxx) + wyy * (y * y - myy) AS u FROM pq JOIN gw USING (x_name, y_name)),
+hg AS (SELECT a.x_name, a.y_name, max(a.n) AS n, sum(a.u * b.u * CASE WHEN a.pos = b.pos THEN 1 WHEN (a.pos - b.pos) / a.m <= 0.5 THEN 2 * (1 - 6 * pow((a.pos - b.pos) / a.m, 2) + 6 * pow((a.pos - b.pos) / a.m, 3)) ELSE 4 * pow(1 - (a.pos - b.pos) / a.m, 3) END) AS g
+  FROM iu a JOIN iu b ON a.x_name = b.x_name AND a.y_name = b.y_name AND b.pos BETWEEN a.pos - a.m AND a.pos GROUP BY ALL),
+gp AS (SELECT gw.*, sqrt(g) / gw.n AS se FROM gw JOIN hg USING (x_name, y_name))"""
+
+
+def _draws(seeds: str, of: str, keys: str) -> str:
+    """Blocks' draws for every key of a table that has n and b."""
+    return f"""(SELECT {keys}, seed, rep, n, b, blk, blk * b + o AS pos, (start + o) % n AS src FROM (SELECT *, unnest(range(0, least(b, n - blk * b))) AS o FROM (
+  SELECT {keys}, seed, rep, n, b, blk, CAST('0x' || substr(md5(seed || '|' || rep || '|' || blk), 1, 8) AS BIGINT) % n AS start FROM (SELECT {keys}, n, b, unnest(range(0, CAST(ceil(n / b) AS BIGINT))) AS blk FROM {of}), (VALUES {seeds}) s(seed), range({REPS}) r(rep))))"""
+
+
+def _boot(seeds: str = "(7)") -> str:
+    return f"""
+bs AS (SELECT i.x_name, i.y_name, seed, rep, n, b, blk, sum(pq.x) AS x, sum(pq.y) AS y, sum(pq.x * pq.x) AS xx, sum(pq.y * pq.y) AS yy FROM {_draws(seeds, "gw", "x_name, y_name")} i JOIN pq ON pq.x_name = i.x_name AND pq.y_name = i.y_name AND pq.pos = src GROUP BY ALL),
+bm AS (SELECT x_name, y_name, seed, rep, n, b, sum(x) / max(n) AS mx, sum(y) / max(n) AS my, sum(xx) / max(n) AS mxx, sum(yy) / max(n) AS myy FROM bs GROUP BY ALL),
+bw AS (SELECT *, mx / sx - my / sy AS dd, mxx / pow(sx, 3) AS wx, -myy / pow(sy, 3) AS wy, -mx / (2 * pow(sx, 3)) AS wxx, my / (2 * pow(sy, 3)) AS wyy FROM (SELECT *, sqrt(mxx - mx * mx) AS sx, sqrt(myy - my * my) AS sy FROM bm)),
+bv AS (SELECT w.x_name, w.y_name, w.seed, w.rep, max(dd) AS dd, sum(pow(wx * (s.x - w.b * mx) + wy * (s.y - w.b * my) + wxx * (s.xx - w.b * mxx) + wyy * (s.yy - w.b * myy), 2)) / max(w.b) / max(w.n // w.b) / max(w.n) AS var
+  FROM bw w JOIN bs s USING (x_name, y_name, seed, rep) WHERE s.blk < w.n // w.b GROUP BY ALL),
+bt AS (SELECT bv.x_name, bv.y_name, seed, rep, (dd - delta) / sqrt(var) AS t, delta / se AS d FROM bv JOIN gp USING (x_name, y_name) WHERE var > 0)"""
+
+
+def contestants(s, d) -> DataFrame:
+    rows = P.complete_months(panel(s, d), "ret")
+    by_factor = rows.groupBy(F.col("factor").alias("series"), "month").agg(F.avg("ret").alias("ret"))
+    return settled(by_factor.unionByName(rows.groupBy("month").agg(F.avg("ret").alias("ret")).withColumn("series", F.lit("1/N"))))
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("series").alias("x_name")).distinct().filter("x_name <> '1/N'").withColumn("y_name", F.lit("1/N"))
+
+
+@query(f"{_PAIRS}, {_GAPS} SELECT rep, blk AS block, pos, src FROM {_draws('(7)', 'gw', 'x_name')} WHERE x_name = 'Reference'")
+def block_index(s, d):
+    n = contestants(s, d).filter("series = 'Reference'").agg(F.count("*").cast("int").alias("n")).filter("n >= 24")
+    return I.block_index(n, REPS).select("rep", F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), F.col("src").cast("long").alias("src")).withColumn("rep", F.col("rep").cast("long"))
+
+
+@query(f"{_PAIRS}, {_GAPS} SELECT rep, {_r('avg(x) AS mean_ret', 'max(x) AS best')} FROM {_draws('(7)', 'gw', 'x_name')} i JOIN pq ON pq.x_name = i.x_name AND pq.pos = src WHERE i.x_name = 'Reference' GROUP BY rep")
+def resample(s, d):
+    rows = I.pair_rows(contestants(s, d), pairs_of(contestants(s, d))).filter("x_name = 'Reference'")
+    index = I.block_index(rows.agg(F.count("*").cast("int").alias("n")).filter("n >= 24"), REPS)
+    return I.resample(rows.select("pos", "x"), index).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.avg("x").alias("mean_ret"), F.max("x").alias("best"))
+
+
+_P = "(1 + count(*) FILTER (WHERE abs(t) >= abs(d))) / (1 + count(*))"
+
+
+@query(
+    f"""{_PAIRS}, {_GAPS}, {_boot()}, bp AS (SELECT x_name, y_name, seed, {_P} AS p_boot, count(*) AS used FROM bt GROUP BY ALL)
+  SELECT x_name, y_name, seed, n, {_r("mx / sx AS sharpe_x", "my / sy AS sharpe_y", "delta", "se", f"2 * ({_CDF.format('(-abs(delta / se))')}) AS p_hac", "p_boot")}, used FROM gp JOIN bp USING (x_name, y_name)"""
+)
+def sharpe_diff_test(s, d):
+    rows = contestants(s, d)
+    return I.sharpe_diff_test(rows, pairs_of(rows), REPS)
+
+
+@query(
+    f"""{_PAIRS}, {_GAPS}, {_boot("(1), (2), (3)")}, bp AS (SELECT x_name, y_name, seed, {_P} AS p FROM bt GROUP BY ALL)
+  SELECT x_name, y_name, count(p) AS n_seeds, {_r("min(p) AS p_min", "max(p) AS p_max", "avg(p) AS p_mean", "stddev_samp(p) AS p_sd")} FROM bp GROUP BY ALL"""
+)
+def seed_stability(s, d):
+    rows = contestants(s, d)
+    return I.seed_stability(I.sharpe_diff_test(rows, pairs_of(rows), REPS, (1, 2, 3)))
+
+
+def _ratio_sql(f: str) -> str:
+    """The gap of a ratio written with {{c}} for the column; m is the market."""
+    gap = f"{f.format(c='x')} - {f.format(c='y')}"
+    return f"""{X.FACTORS_SQL}{_PAIRS}, re AS (SELECT x_name, y_name, pos, x - rf AS x, y - rf AS y, mkt_rf AS m FROM pq JOIN fc USING (month)),
+  ro AS (SELECT x_name, y_name, count(*) AS n, greatest(3, CAST(round_even(pow(count(*), 1 / 3.0), 0) AS BIGINT)) AS b, {gap} AS delta FROM re GROUP BY ALL),
+  rb2 AS (SELECT i.x_name, i.y_name, rep, {gap} AS g FROM {_draws("(7)", "ro", "x_name, y_name")} i JOIN re ON re.x_name = i.x_name AND re.y_name = i.y_name AND re.pos = src GROUP BY ALL),
+  rc2 AS (SELECT *, avg(g) OVER (PARTITION BY x_name, y_name) AS centre FROM rb2 WHERE g IS NOT NULL)
+  SELECT x_name, y_name, {_r("max(delta) AS delta", "quantile_cont(g, 0.025) AS ci_lo", "quantile_cont(g, 0.975) AS ci_hi", "(1 + count(*) FILTER (WHERE abs(round(g - centre, 12)) >= round(abs(delta), 12))) / (1 + count(*)) AS p_boot")}, count(*) AS used
+  FROM rc2 JOIN ro USING (x_name, y_name) GROUP BY ALL"""
+
+
+def _ratio_test(s, d, stat):
+    rows = contestants(s, d)
+    return I.ratio_diff_test(rows, pairs_of(rows), X.research_factors(panel(s, d)), stat, REPS)
+
+
+@query(_ratio_sql("avg({c}) * sqrt(12.0) / nullif(sqrt(avg(pow(least({c}, 0), 2))), 0)"))
+def sortino_diff_test(s, d):
+    return _ratio_test(s, d, "sortino")
+
+
+@query(_ratio_sql("CASE WHEN covar_pop({c}, m) / nullif(var_pop(m), 0) > 0 THEN avg({c}) * 12 / (covar_pop({c}, m) / var_pop(m)) END"))
+def treynor_diff_test(s, d):
+    return _ratio_test(s, d, "treynor")
+
+
+@query(_ratio_sql("(avg({c}) - 2.5 * var_samp({c})) * 12"))
+def cer_diff_test(s, d):
+    return _ratio_test(s, d, "cer5")
+
+
+@query(
+    f"""{_PAIRS}, {_GAPS}, {_boot()}, ob AS (SELECT x_name, delta / se AS t0, row_number() OVER (ORDER BY round(abs(delta / se), 12) DESC, x_name) AS rank FROM gp),
+  ms AS (SELECT x_name, rep, t, t0, rank, max(abs(t)) OVER (PARTITION BY rep ORDER BY rank DESC) AS most FROM bt JOIN ob USING (x_name)),
+  ct AS (SELECT x_name, t0, rank, count(*) FILTER (WHERE most >= abs(t0)) AS k, count(*) FILTER (WHERE abs(t) >= abs(t0)) AS k1, count(*) FILTER (WHERE t >= t0) AS k2 FROM ms GROUP BY ALL), rn AS (SELECT count(DISTINCT rep) AS reps FROM bt)
+  SELECT x_name, {_r("t0 AS t", "(1 + k1) / (1 + reps) AS p_single", "(1 + k2) / (1 + reps) AS p_one_sided", "max((1 + k) / (1 + reps)) OVER (ORDER BY rank) AS p_rw")} FROM ct, rn"""
+)
+def sharpe_romano_wolf(s, d):
+    return I.sharpe_romano_wolf(contestants(s, d), "1/N", REPS)
+
+
+#: For the six contestants: (1 - g) z(1 - 1/6) + g z(1 - 1/(6 e)).
+_BEST_OF_SIX = (1 - I.EULER) * I.NormalDist().inv_cdf(1 - 1 / 6) + I.EULER * I.NormalDist().inv_cdf(1 - 1 / (6 * I.math.e))
+_DSR = f"""
+cs AS (SELECT series, count(*) AS months, avg(ret) / stddev_pop(ret) AS sr, (avg(pow(ret, 3)) - 3 * avg(ret) * avg(ret * ret) + 2 * pow(avg(ret), 3)) / pow(stddev_pop(ret), 3) AS g3, kurtosis_pop(ret) AS k FROM cn GROUP BY series),
+s0 AS (SELECT sqrt(var_samp(sr)) * {_BEST_OF_SIX} AS sr0 FROM cs),
+ds AS (SELECT series, months, sr, sr0, CASE WHEN months >= 3 AND den > 0 THEN (sr - sr0) * sqrt(months - 1) / sqrt(den) END AS z FROM (SELECT *, 1 - g3 * sr + (k + 2) / 4 * sr * sr AS den FROM cs, s0))"""
+
+
+@query(f", {_CN}, {_DSR} SELECT series, months, {_r('sr', 'sr0', f'CASE WHEN z IS NOT NULL THEN {_CDF.format("z")} END AS dsr')} FROM ds")
+def deflated_sharpe(s, d):
+    return I.deflated_sharpe(contestants(s, d))
+
+
+@query(
+    f"""{_PAIRS}, {_DSR}, {_GAPS}, {_boot()}, bp AS (SELECT x_name, y_name, {_P} AS p_boot FROM bt GROUP BY ALL)
+  SELECT series, {_r("sr * sqrt(12.0) AS sharpe_ann", f"{_CDF.format('z')} AS dsr")}, y_name AS bench, {_r("delta * sqrt(12.0) AS delta_ann", "p_boot", f"2 * ({_CDF.format('(-abs(delta / se))')}) AS p_hac")} FROM ds JOIN gp ON x_name = series JOIN bp USING (x_name, y_name)"""
+)
+def inference_table(s, d):
+    return I.inference_table(contestants(s, d), ("1/N",), REPS)
+
+
+@query(
+    f"""{_PAIRS.replace(_CN, f"c0 AS ({_CN[7:-1]}), cn AS (SELECT series, month, ret - {X.RF} AS ret FROM c0)")}, {_DSR}, {_GAPS}, {_boot()}, bp AS (SELECT x_name, y_name, {_P} AS p_boot FROM bt GROUP BY ALL),
+  l0 AS (SELECT series, month, 100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY series ORDER BY month)) AS level FROM c0), l1 AS (SELECT series, last_day(min(month) - INTERVAL 1 MONTH) AS month, 100.0 AS level FROM l0 GROUP BY series UNION ALL SELECT series, month, level FROM l0),
+  l2 AS (SELECT *, level / lag(level) OVER w - 1 AS r, level / max(level) OVER w - 1 AS dd FROM l1 WINDOW w AS (PARTITION BY series ORDER BY month)),
+  l3 AS (SELECT series, pow(arg_max(level, month) / 100, 12.0 / count(r)) - 1 AS cagr, stddev_samp(r) * sqrt(12.0) AS ann_vol, min(dd) AS max_drawdown FROM l2 GROUP BY series)
+  SELECT series, {_r("cagr", "ann_vol", "max_drawdown", "sr * sqrt(12.0) AS sharpe_ann", f"{_CDF.format('z')} AS dsr", "delta * sqrt(12.0) AS delta_ann", "p_boot")} FROM l3 JOIN ds USING (series) LEFT JOIN gp ON x_name = series LEFT JOIN bp USING (x_name, y_name)"""
+)
+def race_table(s, d):
+    rows = contestants(s, d)
+    return I.race_table(A.perf_stats(R.levels_of(rows)), rows.withColumn("ret", F.col("ret") - X.RF), "1/N", REPS)
+
+
+_SPLITS = f""", {_CN}, bk AS (SELECT series, CASE WHEN pos < (t % 16) * (t // 16 + 1) THEN pos // (t // 16 + 1) ELSE t % 16 + (pos - (t % 16) * (t // 16 + 1)) // greatest(t // 16, 1) END AS block, count(*) AS n, sum(ret) AS s1, sum(ret * ret) AS s2
+  FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS pos, count(*) OVER (PARTITION BY series) AS t FROM cn) WHERE t >= 32 GROUP BY ALL),
+sp2 AS (SELECT i AS id FROM range(65536) r(i) WHERE bit_count(i) = 8),
+hs AS (SELECT id, series, sum(n) FILTER (WHERE side) AS n1, sum(s1) FILTER (WHERE side) AS a1, sum(s2) FILTER (WHERE side) AS b1, sum(n) FILTER (WHERE NOT side) AS n2, sum(s1) FILTER (WHERE NOT side) AS a2, sum(s2) FILTER (WHERE NOT side) AS b2
+  FROM (SELECT *, (id & (1::BIGINT << block)) <> 0 AS side FROM sp2, bk) GROUP BY id, series),
+sh AS (SELECT id, series, a1 / n1 / sqrt((b1 - a1 * a1 / n1) / (n1 - 1)) AS own, a2 / n2 / sqrt((b2 - a2 * a2 / n2) / (n2 - 1)) AS other FROM hs),
+om AS (SELECT id, count(*) AS k, count(*) FILTER (WHERE round(other, 12) < round(star, 12)) / (count(*) - 1) AS omega FROM (SELECT *, first_value(other) OVER (PARTITION BY id ORDER BY round(own, 12) DESC, series) AS star FROM sh) GROUP BY id)"""
+
+
+@query(f"{_SPLITS} SELECT coalesce(max(k), 0) AS n_trials, count(*) AS n_combos, {_r('avg(CASE WHEN omega <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo')} FROM om")
+def pbo_cscv(s, d):
+    return I.pbo_cscv(contestants(s, d))
+
+
+@query(
+    f""", {_CN}, b0 AS (SELECT series, CAST(floor((p - 1) / 12) AS BIGINT) AS block, avg(ret) / nullif(stddev_samp(ret), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) AS p FROM cn) GROUP BY ALL HAVING count(*) >= 6),
+  rk AS (SELECT series, rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2.0 AS rank FROM b0)
+  SELECT series, {_r("avg(rank) AS avg_rank")}, count(*) AS n_blocks, (SELECT count(DISTINCT series) FROM rk) AS n_series FROM rk GROUP BY series"""
+)
+def average_ranks(s, d):
+    return I.average_ranks(contestants(s, d))
+
+
+@query(None)
+def friedman_nemenyi(s, d):
+    return I.friedman_nemenyi(contestants(s, d))
+
+
+_ST = "ss0 AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS pos, count(*) OVER () AS n FROM st)"
+_HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query(f"{_STATES}, {_ST} SELECT CAST(rep AS INTEGER) AS rep, strftime(b.month, '%Y-%m-%d') AS month, a.state FROM ss0 a, range(20) r(rep), ss0 b WHERE b.pos = (a.pos + 1 + {_HASH.format("'12345|' || rep")} % (a.n - 1)) % a.n", macro=True)
+def scramble_circular(s, d):
+    return I.scramble_states(_states(s, d).select("month", "state"), "circular", 20)
+
+
+_IID = f"sc2 AS (SELECT rep, b.month, a.state FROM (SELECT rep, state, row_number() OVER (PARTITION BY rep ORDER BY {_HASH.format(chr(39) + '12345|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || pos')}, pos) - 1 AS p FROM ss0, range(20) r(rep)) a JOIN ss0 b ON b.pos = a.p)"
+
+
+@query(f"{_STATES}, {_ST}, {_IID} SELECT CAST(rep AS INTEGER) AS rep, strftime(month, '%Y-%m-%d') AS month, state FROM sc2", macro=True)
+def scramble_iid(s, d):
+    return I.scramble_states(_states(s, d).select("month", "state"), "iid", 20)
+
+
+#: The race of a placebo: each replicate holds, out of sample, the factor whose worst mean over its own (scrambled) states was best in the first months.
+_PLACEBO = f"""{_STATES}, {_ST}, {_IID}, {_CN}, sa AS (SELECT 'placebo' AS arm, CAST(rep AS INTEGER) AS rep, month, state FROM sc2 UNION ALL SELECT 'real', -1, month, state FROM st),
+tr AS (SELECT arm, rep, series, state, avg(ret) AS m FROM cn JOIN sa USING (month) WHERE month < DATE '1999-07-01' AND series <> '1/N' GROUP BY ALL HAVING count(*) >= 3),
+pk2 AS (SELECT arm, rep, arg_max(series, struct_pack(f := round(f, 12), s := series)) AS series FROM (SELECT arm, rep, series, min(m) AS f FROM tr GROUP BY ALL) GROUP BY ALL),
+hd AS (SELECT arm, rep, 'Maximin' AS rule, month, ret FROM pk2 JOIN cn USING (series) WHERE month >= DATE '1999-07-01'),
+h2 AS (SELECT arm, rep, rule, month, ret FROM hd UNION ALL SELECT a.arm, a.rep, '1/N', c.month, c.ret FROM (SELECT DISTINCT arm, rep FROM sa) a, cn c WHERE c.series = '1/N' AND c.month >= DATE '1999-07-01'),
+fl AS (SELECT arm, rep, rule, min(m) AS v FROM (SELECT arm, rep, rule, state, avg(ret) AS m FROM h2 JOIN st USING (month) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
+ar AS (SELECT arm, rep, rule, 'floor' AS metric, v FROM fl UNION ALL SELECT arm, rep, rule, 'sharpe', avg(ret) / stddev_samp(ret) * sqrt(12.0) FROM h2 GROUP BY arm, rep, rule)"""
+
+def _placebo(s, d) -> DataFrame:
+    """arm, rep, rule, metric, value: real labels and twenty shuffles; 1/N is the control that must not move."""
+    states, rows, cut = settled(_states(s, d).select("month", "state")), contestants(s, d), F.lit("1999-07-01").cast("date")
+    labels = I.scramble_states(states, "iid", 20).withColumn("arm", F.lit("placebo")).unionByName(states.withColumns({"rep": F.lit(-1), "arm": F.lit("real")}))
+    means = rows.filter((F.col("month") < cut) & (F.col("series") != "1/N")).join(labels, "month").groupBy("arm", "rep", "series", "state").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).filter("n >= 3")
+    floors = means.groupBy("arm", "rep", "series").agg(F.min("m").alias("f"))
+    pick = floors.groupBy("arm", "rep").agg(F.max_by("series", F.struct(F.round("f", 12), F.col("series"))).alias("series"))
+    control = labels.select("arm", "rep").distinct().withColumn("series", F.lit("1/N"))
+    held = pick.withColumn("rule", F.lit("Maximin")).unionByName(control.withColumn("rule", F.col("series"))).join(rows.filter(F.col("month") >= cut), "series").select("arm", "rep", "rule", "month", "ret")
+    held = settled(held)
+    by = ("arm", "rep", "rule")
+    floor = I.realised_floor(held, states, by).select(*by, F.lit("floor").alias("metric"), F.col("floor").alias("value"))
+    sharpe = held.groupBy(*by).agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("value")).select(*by, F.lit("sharpe").alias("metric"), "value")
+    return floor.unionAll(sharpe)
+
+
+@query(f"{_PLACEBO} SELECT arm, rep, rule, metric, {_r('v AS value')} FROM ar", macro=True)
+def placebo(s, d):
+    return _placebo(s, d)
+
+
+@query(
+    f"""{_PLACEBO} SELECT a.rule, a.metric, 'iid' AS mode, {_r("max(b.v) AS real", "avg(a.v) AS null_mean", "stddev_samp(a.v) AS null_sd", "quantile_cont(a.v, 0.05) AS null_p05", "quantile_cont(a.v, 0.95) AS null_p95")}, count(*) AS n,
+  {_r("(1 + count(*) FILTER (WHERE round(a.v, 12) >= round(b.v, 12))) / (1 + count(*)) AS p")} FROM ar a JOIN ar b ON a.arm = 'placebo' AND b.arm = 'real' AND a.rule = b.rule AND a.metric = b.metric GROUP BY a.rule, a.metric""",
+    macro=True,
+)
+def permutation_verdict(s, d):
+    return I.permutation_verdict(_placebo(s, d).withColumn("mode", F.lit("iid")))
+
+
+@query(
+    f"""{_PLACEBO}, ab AS (SELECT x.arm, x.rep, x.metric, x.v - y.v AS g FROM ar x JOIN ar y USING (arm, rep, metric) WHERE x.rule = 'Maximin' AND y.rule = '1/N')
+  SELECT 'Maximin' AS rule, a.metric, {_r("max(b.g) AS delta_real", "avg(a.g) AS null_mean", "stddev_samp(a.g) AS null_sd", "avg(CASE WHEN a.g > 0 THEN 1.0 ELSE 0.0 END) AS share_positive")}, count(*) AS n,
+  {_r("(1 + count(*) FILTER (WHERE round(a.g, 12) >= round(b.g, 12))) / (1 + count(*)) AS p")} FROM ab a JOIN ab b ON a.arm = 'placebo' AND b.arm = 'real' AND a.metric = b.metric GROUP BY a.metric""",
+    macro=True,
+)
+def paired_ab(s, d):
+    """The switch is the rule against its control, on the same labels."""
+    arms = _placebo(s, d).withColumn("switch", F.when(F.col("rule") == "Maximin", "on").otherwise("off")).withColumn("rule", F.lit("Maximin"))
+    return I.paired_ab(arms)
+
+
+@query(None)
+def dr2_bootstrap(s, d):
+    """Independent bets of equal weights for two menus on the same draws, the covariance shrunk again in each: interval and paired p."""
+    rows = R.positions(panel(s, d).filter("ret IS NOT NULL")).withColumn("pos", F.col("pos") - 1)
+    whole = settled(rows.withColumn("menu", F.lit("all")).unionByName(rows.filter("factor = 'Reference'").withColumn("menu", F.lit("references"))).select("menu", "series", "month", "pos", "ret"))
+    n = rows.agg((F.max("pos") + 1).cast("int").alias("n")).filter("n IS NOT NULL")
+    drawn = I.resample(whole.select("menu", "series", "pos", "ret"), I.block_index(n, 39)).withColumn("month", F.col("pos"))
+    by = ("menu", "rep")
+    both = drawn.select(*by, "series", "month", "ret").unionByName(whole.select("menu", F.lit(-1).alias("rep"), "series", F.col("pos").alias("month"), "ret"))
+    cov = V.shrink_constant_correlation(V.covariance_pairs(both, by, complete=False), by)
+    own = F.when(F.col("i") == F.col("j"), F.sqrt("cov"))
+    wide = settled(cov.groupBy(*by).agg((F.pow(F.sum(own), 2) / F.sum("cov")).alias("dr2")).groupBy("rep").pivot("menu", ["all", "references"]).agg(F.first("dr2")).withColumn("d", F.col("all") - F.col("references")))
+    real = wide.filter("rep = -1").select(F.col("all").alias("dr2_all"), F.col("references").alias("dr2_references"), F.col("d").alias("delta"))
+    reps = wide.filter("rep >= 0").crossJoin(F.broadcast(wide.filter("rep >= 0").agg(F.avg("d").alias("centre")))).crossJoin(F.broadcast(real))  # one row each
+    far = lambda c: F.avg(c.cast("double"))
+    tail = F.least(far(F.col("d") - F.col("centre") >= F.abs("delta")), far(F.col("d") - F.col("centre") <= -F.abs("delta")))
+    return reps.groupBy("dr2_all", "dr2_references", "delta").agg(
+        F.count("*").alias("used"), *(F.percentile(c, F.lit(q)).alias(f"{n}_{e}") for c, n in (("all", "ci_all"), ("d", "ci_delta")) for q, e in ((0.025, "lo"), (0.975, "hi"))), F.greatest(2 * tail, 1.0 / (F.count("*") + 1)).alias("p")
+    )
+
+
+def _paths(s, d, mode="current", weights=None, trials=2000):
+    states = settled(_states(s, d))
+    return states, settled(I.state_block_paths(states, M.transition_matrix(states), mode, weights, trials))
+
+
+@query(None)
+def state_block_paths(s, d):
+    return _paths(s, d)[1]
+
+
+@query(None)
+def path_summary(s, d):
+    """Two thousand paths of ten years through every series."""
+    states, paths = _paths(s, d)
+    return I.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(I.month_positions(states), "month"))
+
+
+@query(
+    f"""{_STATES}, ps2 AS (SELECT month, row_number() OVER (ORDER BY month) AS pos, count(*) OVER () AS n FROM st), pa AS (SELECT trial, period, 1 + (trial * 7 + period * 3) % n AS pos FROM range(40) a(trial), range(1, 61) b(period), (SELECT DISTINCT n FROM ps2)),
+  pv AS (SELECT trial, series, period, sum(ln(1 + ret)) OVER (PARTITION BY trial, series ORDER BY period) AS l FROM pa JOIN ps2 USING (pos) JOIN rt USING (month) WHERE ret IS NOT NULL),
+  pw AS (SELECT *, exp(l - max(l) OVER (PARTITION BY trial, series ORDER BY period)) - 1 AS dd FROM pv),
+  px2 AS (SELECT trial, series, arg_max(l, period) AS total, min(dd) AS dd, exp(arg_max(l, period) * 12 / count(*)) - 1 AS cagr FROM pw GROUP BY ALL)
+  SELECT series, count(*) AS n_trials, {_r(*(f"quantile_cont(cagr, {q / 100}) AS cagr_p{q}" for q in (5, 25, 50, 75, 95)), *(f"quantile_cont(dd, {q / 100}) AS maxdd_p{q}" for q in (5, 50, 95)), "avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END) AS prob_loss")} FROM px2 GROUP BY series""",
+    macro=True,
+)
+def summary_of_fixed_paths(s, d):
+    """The summary alone, on paths that SQL can make too."""
+    months = settled(I.month_positions(_states(s, d)))
+    n = months.agg(F.count("*").alias("n"))
+    paths = s.range(40).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("period")).crossJoin(F.broadcast(n))
+    paths = paths.select("trial", "period", (1 + (F.col("trial") * 7 + F.col("period") * 3) % F.col("n")).cast("int").alias("pos"))
+    return I.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(months, "month"))
