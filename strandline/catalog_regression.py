@@ -1 +1,108 @@
-"""stub"""
+"""Queries on factor regressions; SQL for those with one regressor or none."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalog import _d, _r, panel, query
+from .catalog_inference import _CN, contestants
+from .catalog_states import _CDF
+from .operators import performance as A
+from .operators import regression as G
+from .plans import fixtures as X
+from .plans.scratch import settled
+
+MODELS = {"CAPM": ["mkt_rf"], "Three factors": ["mkt_rf", "hml", "mom"], "Regional": ["reg_AFRICA", "reg_AMERICA", "reg_ASIA", "reg_EUROPE", "reg_MIDDLE_EAST"], "Absent": ["bab"]}
+
+#: Least squares on one regressor x for each key k, with the influence of the intercept and its variance by Bartlett's kernel.
+_HAC = """
+zs AS (SELECT k, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, avg(y) - regr_slope(y, x) * avg(x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, greatest(1, CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS BIGINT)) AS lags FROM zd GROUP BY k HAVING count(*) > 2),
+zp AS (SELECT zd.k, pos, lags, (sxx - sx * x) / (n * sxx - sx * sx) * (y - a - b * x) AS pa, (n * x - sx) / (n * sxx - sx * sx) * (y - a - b * x) AS pb, y - a - b * x AS u FROM zd JOIN zs USING (k)),
+zv AS (SELECT p.k, sum(p.pa * q.pa * w) AS va, sum(p.pb * q.pb * w) AS vb FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM zp) p JOIN zp q ON q.k = p.k AND q.pos = p.pos - p.j, LATERAL (SELECT CASE WHEN p.j = 0 THEN 1 ELSE 2 * (1 - p.j / (p.lags + 1)) END AS w) GROUP BY p.k),
+zu AS (SELECT k, sqrt(sum(u * u) / (count(*) - 2)) AS rv FROM zp GROUP BY k)"""
+_CAPM = f"{X.FACTORS_SQL}, {_CN}, zd AS (SELECT series AS k, row_number() OVER (PARTITION BY series ORDER BY month) AS pos, mkt_rf AS x, ret - rf AS y FROM cn JOIN fc USING (month) WHERE series <> '1/N'), {_HAC}"
+
+
+def frame_of(s, d):
+    p = panel(s, d)
+    return settled(G.factor_frame(X.research_factors(p), p))
+
+
+@query(f"{X.FACTORS_SQL} SELECT {_d('month')}, {_r('mkt_rf', 'hml', 'mom', 'rf')}, {_r(*(f'''max(ret) FILTER (WHERE region = '{n}') - max(rf) AS reg_{n.replace(' ', '_')}''' for n in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')))} FROM fc LEFT JOIN (SELECT region, month, ret FROM rt WHERE factor = 'Reference' AND ret IS NOT NULL) USING (month) GROUP BY ALL")
+def factor_frame(s, d):
+    p = panel(s, d)
+    gaps = X.research_factors(p).withColumn("rf", F.when(F.month("month") != 3, F.col("rf")))
+    return G.factor_frame(gaps, p, X.research_factors(p).select("month", "rf"))
+
+
+@query(f"{_CAPM} SELECT k AS series, term, {_r('coef')}, n, {_r('r2')} FROM (SELECT k, 'alpha' AS term, a AS coef, n, r2 FROM zs UNION ALL SELECT k, 'mkt_rf', b, n, r2 FROM zs)")
+def ols(s, d):
+    rows = contestants(s, d).filter("series <> '1/N'").join(frame_of(s, d), "month").withColumn("y", F.col("ret") - F.col("rf"))
+    return G.ols(rows, ("series",), "y", ["mkt_rf"])
+
+
+_T = f"2 * ({_CDF.format('(-abs(t))')}) AS p"
+
+
+@query(f"{_CAPM} SELECT series, term, {_r('coef', 'se', 't', _T)}, n, {_r('r2', 'rv AS resid_vol')}, false AS singular FROM (SELECT *, coef / se AS t FROM (SELECT k AS series, 'alpha' AS term, a AS coef, sqrt(va) AS se, n, r2, rv FROM zs JOIN zv USING (k) JOIN zu USING (k) UNION ALL SELECT k, 'mkt_rf', b, sqrt(vb), n, r2, rv FROM zs JOIN zv USING (k) JOIN zu USING (k)))")
+def hac_ols(s, d):
+    rows = contestants(s, d).filter("series <> '1/N'").join(frame_of(s, d), "month").withColumn("y", F.col("ret") - F.col("rf"))
+    return G.hac_ols(rows, ("series",), "y", ["mkt_rf"])
+
+
+@query(
+    f""", zd AS (SELECT 1 AS k, row_number() OVER (ORDER BY month) AS pos, avg(e) AS y FROM (SELECT region, month, avg(a.ret) - max(b.ret) - 0.0015 / 12 AS e FROM (SELECT * FROM rt WHERE factor <> 'Reference' AND ret IS NOT NULL) a
+  JOIN (SELECT region, month, ret FROM rt WHERE factor = 'Reference' AND ret IS NOT NULL) b USING (region, month) GROUP BY region, month) GROUP BY month),
+  zm AS (SELECT count(*) AS n, avg(y) AS a, greatest(1, CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS BIGINT)) AS lags FROM zd), zc AS (SELECT pos, (y - a) / n AS g, lags FROM zd, zm),
+  zw AS (SELECT sum(p.g * q.g * CASE WHEN p.j = 0 THEN 1 ELSE 2 * (1 - p.j / (p.lags + 1)) END) AS v FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM zc) p JOIN zc q ON q.pos = p.pos - p.j)
+  SELECT n AS months, {_r("a * 12 AS premium_ann", "a / sqrt(v) AS t", f"2 * ({_CDF.format('(-abs(a / sqrt(v)))')}) AS p")} FROM zm, zw"""
+)
+def region_neutral_premium_test(s, d):
+    """The test of a mean: no regressors."""
+    fit = G.hac_ols(A.region_neutral_premium(panel(s, d), 0.0015), ("series",), "ret", [])
+    return fit.select(F.col("n").alias("months"), (F.col("coef") * 12).alias("premium_ann"), "t", "p")
+
+
+@query(f"{_CAPM} SELECT 'CAPM' AS model, k AS series, 'own' AS side, {_r('a * sqrt(12.0) / rv AS appraisal')} FROM zs JOIN zu USING (k)")
+def appraisal(s, d):
+    return G.appraisal(G.alpha_table(contestants(s, d), frame_of(s, d), {"CAPM": MODELS["CAPM"]})).filter("side = 'own' AND series <> '1/N'")
+
+
+_GAP = f"{X.FACTORS_SQL}, {_CN}, zd AS (SELECT c.series AS k, row_number() OVER (PARTITION BY c.series ORDER BY c.month) AS pos, mkt_rf AS x, c.ret - b.ret AS y, c.month FROM cn c JOIN cn b ON b.series = '1/N' AND b.month = c.month AND c.series <> '1/N' JOIN fc ON fc.month = c.month), {_HAC}"
+
+
+@query(
+    f"""{_GAP}, zf AS (SELECT k, avg(x) AS mx, avg(y) AS my FROM zd GROUP BY k) SELECT k AS series, component, {_r("loading", "factor_mean_ann", "contribution_ann")} FROM (
+  SELECT k, 'alpha' AS component, NULL::DOUBLE AS loading, NULL::DOUBLE AS factor_mean_ann, a * 12 AS contribution_ann FROM zs UNION ALL SELECT k, 'mkt_rf', b, mx * 12, b * mx * 12 FROM zs JOIN zf USING (k) UNION ALL SELECT k, 'raw gap', NULL, NULL, my * 12 FROM zf)"""
+)
+def alpha_decomposition(s, d):
+    return G.alpha_decomposition(contestants(s, d), frame_of(s, d), ["mkt_rf"])
+
+
+_SPANS = {"all": (None, None), "late": ("1998-06-30", None), "short": ("2001-01-31", None)}
+
+
+@query(
+    f"""{_GAP.replace("c.series AS k", "sn || '#' || c.series AS k").replace("PARTITION BY c.series", "PARTITION BY sn, c.series").replace("JOIN fc ON", "JOIN (VALUES ('all', DATE '1900-01-01'), ('late', DATE '1998-06-30'), ('short', DATE '2001-01-31')) v(sn, since) ON c.month >= since JOIN fc ON")}
+  SELECT split_part(k, '#', 1) AS span, split_part(k, '#', 2) AS series, {_r("a * 12 AS alpha_ann", "a / sqrt(va) AS t", f"2 * ({_CDF.format('(-abs(a / sqrt(va)))')}) AS p")}, n FROM zs JOIN zv USING (k) WHERE n >= 36"""
+)
+def alpha_stability(s, d):
+    return G.alpha_stability(contestants(s, d), frame_of(s, d), ["mkt_rf"], _SPANS)
+
+
+# Several regressors need a solve: tested against numpy.
+
+
+@query(None)
+def alpha_table(s, d):
+    return G.alpha_table(contestants(s, d), frame_of(s, d), MODELS).drop("resid_vol")
+
+
+@query(None)
+def alpha_bootstrap(s, d):
+    return G.alpha_bootstrap(contestants(s, d), frame_of(s, d), MODELS["Three factors"], replicates=199)
+
+
+@query(None)
+def romano_wolf(s, d):
+    return G.romano_wolf(contestants(s, d), frame_of(s, d), {m: MODELS[m] for m in ("CAPM", "Three factors")}, replicates=199)

@@ -1 +1,117 @@
-"""stub"""
+"""Queries on candidate portfolios, nearest past months and the outlook's record, with the same rows in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalog import _d, _r, panel, query
+from .catalog_exposure import _EXPOSURE, _MOMENTS, _covariance
+from .catalog_states import _STATES, _states
+from .operators import history as H
+from .operators import search as S
+from .plans import fixtures as X
+from .plans.scratch import settled
+
+_SERIES = [f"ASIA | {f}" for f in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Reference")]
+_PARTS = 4
+_IMPORTANCE = {"return": 6.0, "risk": 2.0, "diversification": 4.0}
+
+_DEALT = ", ".join(f"range({_PARTS + 1}) r{i}(n{i})" for i in range(5))
+_CAND = f"""ca AS (SELECT concat_ws('-', {", ".join(f"n{i}" for i in range(5))}) AS portfolio, unnest([{", ".join(f"'{s}'" for s in _SERIES)}]) AS series, unnest([{", ".join(f"n{i}" for i in range(5))}]) / {_PARTS}.0 AS weight
+  FROM {_DEALT} WHERE {" + ".join(f"n{i}" for i in range(5))} = {_PARTS}), cw AS (SELECT portfolio, series, CAST(weight AS DOUBLE) AS weight FROM ca WHERE weight > 0)"""
+
+
+@query(f", {_CAND} SELECT portfolio, series, {_r('weight')} FROM cw WHERE series IN (SELECT series FROM rt)")
+def compositions(s, d):
+    return S.compositions(s, _SERIES, _PARTS).join(panel(s, d).select("series").distinct(), "series", "left_semi")
+
+
+_SCORED = f"""{_STATES}{_MOMENTS}{_EXPOSURE[_EXPOSURE.index(", sl AS") : _EXPOSURE.index("xp AS")].rstrip().rstrip(",")}, {_CAND},
+cg AS (SELECT portfolio, sum(weight * m) AS g FROM cw JOIN (SELECT series, avg(ret) AS m FROM rt WHERE ret IS NOT NULL GROUP BY series) USING (series) GROUP BY portfolio),
+cr2 AS (SELECT a.portfolio, -sqrt(sum(a.weight * sk.cov * b.weight)) * sqrt(12.0) AS r FROM cw a JOIN sk ON sk.i = a.series JOIN cw b ON b.portfolio = a.portfolio AND b.series = sk.j GROUP BY a.portfolio),
+cd AS (SELECT portfolio, exp(avg(-ln(h))) AS b FROM (SELECT portfolio, dim, sum(p * p) / 10000 AS h FROM (SELECT portfolio, dim, category, sum(weight * weight_pct) AS p FROM cw JOIN lt USING (series) GROUP BY ALL) GROUP BY ALL) GROUP BY portfolio),
+cf2 AS (SELECT portfolio, min(m) AS f FROM (SELECT portfolio, state, sum(weight * mean_ret) AS m FROM (SELECT *, count(*) OVER (PARTITION BY portfolio) AS nh FROM cw) JOIN sp USING (series) GROUP BY portfolio, state HAVING count(*) = max(nh)) GROUP BY portfolio),
+cv2 AS (SELECT portfolio, g AS "return", r AS risk, b AS diversification, f AS floor, {", ".join(f"100 * ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS score_{n}" for c, n in (("g", "return"), ("r", "risk"), ("b", "diversification"), ("f", "floor")))}
+  FROM cg JOIN cr2 USING (portfolio) JOIN cd USING (portfolio) JOIN cf2 USING (portfolio)),
+ct2 AS (SELECT *, 6 / 12.0 * score_return + 2 / 12.0 * score_risk + 4 / 12.0 * score_diversification AS total FROM cv2)"""
+_SCORES = _r('"return"', "risk", "diversification", "floor", "score_return", "score_risk", "score_diversification", "score_floor", "total")
+
+
+def _scores(s, d):
+    p, candidates = panel(s, d), settled(S.compositions(s, _SERIES, _PARTS))
+    means = p.filter("ret IS NOT NULL").groupBy("series").agg(F.avg("ret").alias("mean_ret"))
+    scores = S.candidate_scores(candidates, means, _covariance(s, d), X.look_through(s, d), H.state_means(p, _states(s, d)), _IMPORTANCE)
+    return candidates, settled(scores)
+
+
+@query(f"{_SCORED} SELECT portfolio, {_SCORES} FROM ct2", macro=True)
+def candidate_scores(s, d):
+    return _scores(s, d)[1]
+
+
+#: Half of a portfolio in a series at most, and three quarters in a group of factors.
+_GROUPED = ["MACHINERY", "FURNITURE"]
+_ALLOWED = f"""al AS (SELECT portfolio, max(weight) = 0.5 OR max(gh) = 0.75 AS at_cap FROM (SELECT portfolio, series, weight, greatest(sum(CASE WHEN split_part(series, ' | ', 2) IN ('MACHINERY', 'FURNITURE') THEN weight ELSE 0 END) OVER p, sum(CASE WHEN split_part(series, ' | ', 2) NOT IN ('MACHINERY', 'FURNITURE') THEN weight ELSE 0 END) OVER p) AS gh
+  FROM cw WINDOW p AS (PARTITION BY portfolio)) GROUP BY portfolio HAVING max(weight) <= 0.5 AND max(gh) <= 0.75)"""
+
+
+def _allowed(s, candidates):
+    group = F.when(F.split("series", r" \| ", 2)[1].isin(*_GROUPED), "goods").otherwise("rest")
+    groups = candidates.select("series").distinct().select("series", F.lit("kind").alias("dim"), group.alias("category"), F.lit(1.0).alias("share"))
+    return S.within_caps(candidates, {"series": 0.5, "group": 0.75}, groups)
+
+
+@query(f"{_SCORED}, {_ALLOWED} SELECT portfolio, {_SCORES}, at_cap FROM ct2 JOIN al USING (portfolio) ORDER BY round(total, 12) DESC, portfolio LIMIT 1", macro=True)
+def pick_candidate(s, d):
+    candidates, scores = _scores(s, d)
+    return S.pick_candidate(scores, _allowed(s, candidates))
+
+
+@query(f"{_SCORED}, {_ALLOWED} SELECT portfolio, {_SCORES}, at_cap FROM ct2 JOIN al USING (portfolio) WHERE risk >= -0.9 ORDER BY round(floor, 12) DESC, portfolio LIMIT 1", macro=True)
+def pick_maximin(s, d):
+    candidates, scores = _scores(s, d)
+    return S.pick_candidate(scores, _allowed(s, candidates), "floor", {"risk": -0.9})
+
+
+@query(
+    f"""{_SCORED}, {_ALLOWED} SELECT n AS profile, (SELECT portfolio FROM ct2 JOIN al USING (portfolio) ORDER BY round(CASE n WHEN 'balanced' THEN total ELSE floor END, 12) DESC, portfolio LIMIT 1) AS best,
+  (SELECT portfolio FROM ct2 ORDER BY round(CASE n WHEN 'balanced' THEN total ELSE floor END, 12) DESC, portfolio LIMIT 1) AS twin,
+  round((SELECT max(CASE n WHEN 'balanced' THEN total ELSE floor END) FROM ct2) - (SELECT max(CASE n WHEN 'balanced' THEN total ELSE floor END) FROM ct2 JOIN al USING (portfolio)), 6) + 0.0 AS price FROM (VALUES ('balanced'), ('defensive')) v(n)""",
+    macro=True,
+)
+def profiles(s, d):
+    candidates, scores = _scores(s, d)
+    return S.profiles({"balanced": scores, "defensive": scores}, _allowed(s, candidates), {"balanced": "total", "defensive": "floor"})
+
+
+_FEATURES = """, af AS (SELECT *, vg - lag(vg, 3) OVER o AS ag, vi - lag(vi, 3) OVER o AS ai FROM (SELECT month, state, growth_score AS g, inflation_score AS i, row_number() OVER o AS pos, (growth_score - lag(growth_score, 6) OVER o) / 6 AS vg,
+  (inflation_score - lag(inflation_score, 6) OVER o) / 6 AS vi, lead(state, 3) OVER o AS outcome FROM st WINDOW o AS (ORDER BY month)) WINDOW o AS (ORDER BY month)),
+ak AS (SELECT * FROM af WHERE ag IS NOT NULL), asd AS (SELECT stddev_pop(g) AS s1, stddev_pop(i) AS s2, stddev_pop(vg) AS s3, stddev_pop(vi) AS s4, stddev_pop(ag) AS s5, stddev_pop(ai) AS s6 FROM ak),
+an AS (SELECT * FROM (SELECT a.month, b.month AS analog, b.outcome, d AS distance, row_number() OVER (PARTITION BY a.month ORDER BY round(d, 9), b.pos) AS rank FROM ak a JOIN ak b ON abs(a.pos - b.pos) > 6 AND b.outcome IS NOT NULL, asd,
+  LATERAL (SELECT sqrt(pow((a.g - b.g) / s1, 2) + pow((a.i - b.i) / s2, 2) + pow((a.vg - b.vg) / s3, 2) + pow((a.vi - b.vi) / s4, 2) + pow((a.ag - b.ag) / s5, 2) + pow((a.ai - b.ai) / s6, 2)) AS d)) WHERE rank <= 20)"""
+
+
+@query(f"{_STATES}{_FEATURES} SELECT {_d('month')}, rank, strftime(analog, '%Y-%m-%d') AS analog, {_r('distance')}, outcome FROM an", macro=True)
+def analogs(s, d):
+    return S.analogs(settled(_states(s, d)))
+
+
+@query(f"{_STATES}{_FEATURES} SELECT {_d('month')}, outcome AS state, {_r('count(*) / max(k) AS p')} FROM (SELECT *, count(*) OVER (PARTITION BY month) AS k FROM an) GROUP BY month, outcome", macro=True)
+def analog_outlook(s, d):
+    return S.analog_outlook(S.analogs(settled(_states(s, d))))
+
+
+@query(
+    f"""{_STATES}, bk2 AS (SELECT month, state, row_number() OVER (ORDER BY month) AS t, lead(state) OVER (ORDER BY month) AS nx, lead(state, 3) OVER (ORDER BY month) AS outcome FROM st),
+  ask AS (SELECT t, state, outcome FROM bk2 WHERE t > 24 AND outcome IS NOT NULL),
+  ch AS (SELECT t, a, b, n / sum(n) OVER (PARTITION BY t, a) AS q FROM (SELECT ask.t, m.state AS a, m.nx AS b, count(*) AS n FROM ask JOIN bk2 m ON m.t < ask.t AND m.nx IS NOT NULL GROUP BY ALL)),
+  n1 AS (SELECT t, coalesce(b, a) AS a, sum(coalesce(q, 1)) AS p FROM (SELECT t, state AS a FROM ask) LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
+  n2 AS (SELECT t, coalesce(b, a) AS a, sum(p * coalesce(q, 1)) AS p FROM n1 LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
+  n3 AS (SELECT t, coalesce(b, a) AS a, sum(p * coalesce(q, 1)) AS p FROM n2 LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
+  fo AS (SELECT 'markov' AS method, ask.t, outcome, name, coalesce(p, 0) AS p FROM ask CROSS JOIN sn LEFT JOIN n3 ON n3.t = ask.t AND n3.a = name UNION ALL SELECT 'persistence', t, outcome, name, CASE WHEN name = state THEN 1.0 ELSE 0.0 END FROM ask CROSS JOIN sn),
+  fm AS (SELECT method, t, outcome, sum(pow(p - CASE WHEN name = outcome THEN 1 ELSE 0 END, 2)) AS br, arg_max(name, struct_pack(p := round(p, 12), n := name)) AS call FROM fo GROUP BY ALL)
+  SELECT method, count(*) AS n, {_r("avg(CASE WHEN call = outcome THEN 1.0 ELSE 0.0 END) AS hit_rate", "avg(br) AS brier")} FROM fm GROUP BY method""",
+    macro=True,
+)
+def outlook_backtest(s, d):
+    return S.outlook_backtest(settled(_states(s, d)))
