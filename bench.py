@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from strandline import catalog
 
-HEADLINE = ("perf_stats", "corr_matrix", "macro_correlations", "regime_performance", "factor_vs_reference", "block_ranks", "asof_backward", "factor_attribution")
+HEADLINE = ("perf_stats", "corr_matrix", "macro_correlations", "regime_performance", "factor_vs_reference", "block_ranks", "asof_backward", "factor_attribution", "walk_forward", "sharpe_diff_test", "pbo_cscv", "path_summary")
 
 
 def main() -> None:
