@@ -105,4 +105,4 @@ def alpha_bootstrap(s, d):
 
 @query(None)
 def romano_wolf(s, d):
-    return G.romano_wolf(contestants(s, d), frame_of(s, d), {m: MODELS[m] for m in ("CAPM", "Three factors")}, replicates=199)
+    return G.romano_wolf(contestants(s, d), frame_of(s, d), {m: MODELS[m] for m in ("CAPM", "Three factors")}, replicates=49)
