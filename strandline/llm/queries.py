@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality, rules, secrets, sharding, toxicity
+from . import clustering, decontamination, language_model, line_dedup, mixing, near_dedup, packing, quality, rules, secrets, sharding, toxicity, whitening
 from .common import table
 
 _BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
@@ -62,8 +62,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustering_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"))
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.number_sequences(digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_classifier, op2_decontamination, op3_sharding, op4_quality_rules, op5_secret_scan, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_mixing, op10_lm_scoring)
+    ops = (op1_quality_classifier, op2_decontamination, op3_sharding, op4_quality_rules, op5_secret_scan, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_mixing, op10_lm_scoring, op11_centroid_clustering, op12_whitening, op13_packing)
     return {f.__name__: f for f in ops} | {"rule_ablations": rule_ablations}
 
 
@@ -92,4 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_near_dedup": near_dedup.shingle_links_sql(3, 85),
         "op8_line_dedup": line_dedup.LINES_SQL,
         "op9_mixing": mixing.MIX_SQL,
+        "op11_centroid_clustering": clustering.clustering_sql(),
     }
