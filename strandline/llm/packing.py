@@ -12,11 +12,15 @@ number in the written table, so copies of one document spread like any other row
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from public_tokenizers import path
+import tiktoken
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,33 +32,56 @@ END = 1
 MOST = 2_048
 #: A space before anything but white space begins a token of its own in byte-level BPE, so text may be cut there.
 _STEP = re.compile(r" (?=\S)")
-_CHUNK, _LONGEST, _HELD = 1 << 20, 48, 1 << 18
+_CHUNK = 1 << 20
+#: Fixed values of byte-level BPE: bytes that stand for themselves in its vocabulary; the others are the characters from 256 on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def _byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Ids by the bytes of their token, if ids are in the order of the merges, as a merge by rank needs; else None."""
+    vocabulary = model["vocab"]
+    own = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [vocabulary.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))) or sorted(vocabulary[c] for c in own) != list(range(256)):
+        return None
+    return {bytes(own[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(pairs)}
+
+
+@lru_cache(maxsize=2)  # once for each Python worker
 def encoder(file: str) -> Callable[[str], bytes]:
-    """A function from text to its ids as little-endian 32-bit numbers; words met before come from a bounded table."""
+    """A function from text to the ids of the tokenizer in ``file``, as little-endian 32-bit numbers.
+
+    The ids are those of the library tokenizers. Where the file is a byte-level BPE with ids in the order of its merges, tiktoken
+    merges the same vocabulary in a third of the time; text that it can't take (its expressions have a limit of depth) goes to tokenizers.
+    """
     tokenizer = Tokenizer.from_file(file)
-    known: dict[str, bytes] = {}
+    plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    splits = spec.get("pre_tokenizer") or {}
+    simple = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space") and spec.get("normalizer") is None and not spec["model"].get("ignore_merges")
+    ranks = _byte_ranks(spec["model"]) if simple and spec["model"]["type"] == "BPE" else None
+    fast = None
+    if ranks is not None:
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(part: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(part, add_special_tokens=False).ids)
-
-    def learned(word: str) -> bytes:
-        found = ids(" " + word)
-        if len(word) <= _LONGEST:
-            if len(known) >= _HELD:
-                known.clear()
-            known[word] = found
-        return found
+        if fast is None:
+            return plain(part)
+        try:
+            return fast.encode_to_numpy(part, allowed_special="all").astype("<u4").tobytes()
+        except BaseException as e:
+            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            return plain(part)
 
     def encode(text: str) -> bytes:
         out, start = [], 0
         while start < len(text):
-            step = _STEP.search(text, start + _CHUNK)  # one chunk's words at a time, for very long texts
+            step = _STEP.search(text, start + _CHUNK)  # very long texts a chunk at a time
             end = step.start() if step else len(text)
-            first, *words = _STEP.split(text[start:end])
-            out.append(ids(first) if first else b"")
-            out.extend(found if (found := known.get(w)) is not None else learned(w) for w in words)
+            out.append(ids(text[start:end]))
             start = end
         return b"".join(out)
 
