@@ -11,13 +11,13 @@ separates them (their second paper).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,20 +98,34 @@ def _products(z: np.ndarray) -> np.ndarray:
     return z.astype(object).T @ z.astype(object)
 
 
-def _added(fit: DataFrame, of: callable, width: int) -> list[int]:
-    """Sums over all rows of ``of(x)``, ``width`` integers: one row for each of them and task, added exactly."""
+def _added(fit: DataFrame, of: Callable[[pa.Array], np.ndarray], width: int, parts: int = 64) -> list[int]:
+    """Sums over all rows of ``of(x)``, ``width`` integers, added exactly: a row from each task, then one for each of ``parts`` sets of tasks."""
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(part: int, total: np.ndarray) -> pa.RecordBatch:
+        packed = b"".join(int(t).to_bytes(24, "little", signed=True) for t in total)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "v"])
+
+    def unpacked(packed: bytes) -> np.ndarray:
+        return np.array([int.from_bytes(packed[i : i + 24], "little", signed=True) for i in range(0, len(packed), 24)], dtype=object)
+
+    def of_task(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in slices(rows):
-            part = of(batch.column("x"))
+            part = of(batch.column("x")).astype(object)
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(width)), pa.array([Decimal(int(t)) for t in total], pa.decimal128(38, 0))], names=["at", "v"])
+            yield row(TaskContext.get().partitionId() % parts, total)
 
-    sums = fit.mapInArrow(run, "at bigint, v decimal(38,0)").groupBy("at").agg(F.sum("v").alias("v")).collect()  # `width` rows
-    found = {r["at"]: int(r["v"]) for r in sums}
-    return [found.get(i, 0) for i in range(width)]
+    def of_part(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in rows:
+            for packed in batch.column("v"):
+                total = unpacked(packed.as_py()) if total is None else total + unpacked(packed.as_py())
+        yield row(key[0].as_py(), total)
+
+    schema = "part int, v binary"
+    sums = fit.mapInArrow(of_task, schema).groupBy("part").applyInArrow(of_part, schema).collect()  # `parts` rows
+    return sum((unpacked(r["v"]) for r in sums), np.zeros(width, dtype=object)).tolist()
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -160,18 +174,14 @@ def fit_whitening(fit: DataFrame, dims: int, components: int = 16) -> Whitening
 
 
 def _identity_error(fit: DataFrame, model: Whitening) -> float:
-    """The largest entry of the whitened fit list's covariance less the identity; sums of products by task."""
-    width = len(model.values)
+    """The largest entry of the whitened fit list's covariance less the identity; a batch's sums are rounded at 2^-40, so their order is no matter."""
+    width, unit = len(model.values), float(1 << 40)
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, width))
-        for batch in slices(rows):
-            w = model.projected(matrix(batch.column("x"), model.dims))
-            total += np.vstack([w.T @ w, w.sum(axis=0)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(total.size)), pa.array(total.reshape(-1))], names=["at", "v"])
+    def moments(x: pa.Array) -> np.ndarray:
+        w = model.projected(matrix(x, model.dims))
+        return np.array([int(v) for v in np.rint(np.vstack([w.T @ w, w.sum(axis=0)]).reshape(-1) * unit)], dtype=object)
 
-    sums = {r["at"]: r["v"] for r in fit.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}  # width^2 rows
-    total = np.array([sums[i] for i in range(width * (width + 1))]).reshape(width + 1, width) / model.n
+    total = np.array([t / unit / model.n for t in _added(fit, moments, width * (width + 1))]).reshape(width + 1, width)
     return float(np.abs(total[:-1] - np.outer(total[-1], total[-1]) - np.eye(width)).max())
 
 
