@@ -286,7 +286,7 @@ def top_betas(s, d):
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """All registered queries; the modules register theirs when they are imported."""
-    for name in ("exposure", "states", "more", "shape", "files", "history", "race", "inference", "regression", "search"):
+    for name in ("exposure", "states", "more", "shape", "files", "history", "race", "inference", "regression", "search", "placebo"):
         import_module(f".catalog_{name}", __package__)
     return _FOUND
 

@@ -211,57 +211,6 @@ def scramble_iid(s, d):
     return I.scramble_states(_states(s, d).select("month", "state"), "iid", 20)
 
 
-#: The race of a placebo: each replicate holds, out of sample, the factor whose worst mean over its own (scrambled) states was best in the first months.
-_PLACEBO = f"""{_STATES}, {_ST}, {_IID}, {_CN}, sa AS (SELECT 'placebo' AS arm, CAST(rep AS INTEGER) AS rep, month, state FROM sc2 UNION ALL SELECT 'real', -1, month, state FROM st),
-tr AS (SELECT arm, rep, series, state, avg(ret) AS m FROM cn JOIN sa USING (month) WHERE month < DATE '1999-07-01' AND series <> '1/N' GROUP BY ALL HAVING count(*) >= 3),
-pk2 AS (SELECT arm, rep, arg_max(series, struct_pack(f := round(f, 12), s := series)) AS series FROM (SELECT arm, rep, series, min(m) AS f FROM tr GROUP BY ALL) GROUP BY ALL),
-hd AS (SELECT arm, rep, 'Maximin' AS rule, month, ret FROM pk2 JOIN cn USING (series) WHERE month >= DATE '1999-07-01'),
-h2 AS (SELECT arm, rep, rule, month, ret FROM hd UNION ALL SELECT a.arm, a.rep, '1/N', c.month, c.ret FROM (SELECT DISTINCT arm, rep FROM sa) a, cn c WHERE c.series = '1/N' AND c.month >= DATE '1999-07-01'),
-fl AS (SELECT arm, rep, rule, min(m) AS v FROM (SELECT arm, rep, rule, state, avg(ret) AS m FROM h2 JOIN st USING (month) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
-ar AS (SELECT arm, rep, rule, 'floor' AS metric, v FROM fl UNION ALL SELECT arm, rep, rule, 'sharpe', avg(ret) / stddev_samp(ret) * sqrt(12.0) FROM h2 GROUP BY arm, rep, rule)"""
-
-def _placebo(s, d) -> DataFrame:
-    """arm, rep, rule, metric, value: real labels and twenty shuffles; 1/N is the control that must not move."""
-    states, rows, cut = settled(_states(s, d).select("month", "state")), contestants(s, d), F.lit("1999-07-01").cast("date")
-    labels = I.scramble_states(states, "iid", 20).withColumn("arm", F.lit("placebo")).unionByName(states.withColumns({"rep": F.lit(-1), "arm": F.lit("real")}))
-    means = rows.filter((F.col("month") < cut) & (F.col("series") != "1/N")).join(labels, "month").groupBy("arm", "rep", "series", "state").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).filter("n >= 3")
-    floors = means.groupBy("arm", "rep", "series").agg(F.min("m").alias("f"))
-    pick = floors.groupBy("arm", "rep").agg(F.max_by("series", F.struct(F.round("f", 12), F.col("series"))).alias("series"))
-    control = labels.select("arm", "rep").distinct().withColumn("series", F.lit("1/N"))
-    held = pick.withColumn("rule", F.lit("Maximin")).unionByName(control.withColumn("rule", F.col("series"))).join(rows.filter(F.col("month") >= cut), "series").select("arm", "rep", "rule", "month", "ret")
-    held = settled(held)
-    by = ("arm", "rep", "rule")
-    floor = I.realised_floor(held, states, by).select(*by, F.lit("floor").alias("metric"), F.col("floor").alias("value"))
-    sharpe = held.groupBy(*by).agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("value")).select(*by, F.lit("sharpe").alias("metric"), "value")
-    return floor.unionAll(sharpe)
-
-
-@query(f"{_PLACEBO} SELECT arm, rep, rule, metric, {_r('v AS value')} FROM ar", macro=True)
-def placebo(s, d):
-    return _placebo(s, d)
-
-
-@query(
-    f"""{_PLACEBO} SELECT a.rule, a.metric, 'iid' AS mode, {_r("max(b.v) AS real", "avg(a.v) AS null_mean", "stddev_samp(a.v) AS null_sd", "quantile_cont(a.v, 0.05) AS null_p05", "quantile_cont(a.v, 0.95) AS null_p95")}, count(*) AS n,
-  {_r("(1 + count(*) FILTER (WHERE round(a.v, 12) >= round(b.v, 12))) / (1 + count(*)) AS p")} FROM ar a JOIN ar b ON a.arm = 'placebo' AND b.arm = 'real' AND a.rule = b.rule AND a.metric = b.metric GROUP BY a.rule, a.metric""",
-    macro=True,
-)
-def permutation_verdict(s, d):
-    return I.permutation_verdict(_placebo(s, d).withColumn("mode", F.lit("iid")))
-
-
-@query(
-    f"""{_PLACEBO}, ab AS (SELECT x.arm, x.rep, x.metric, x.v - y.v AS g FROM ar x JOIN ar y USING (arm, rep, metric) WHERE x.rule = 'Maximin' AND y.rule = '1/N')
-  SELECT 'Maximin' AS rule, a.metric, {_r("max(b.g) AS delta_real", "avg(a.g) AS null_mean", "stddev_samp(a.g) AS null_sd", "avg(CASE WHEN a.g > 0 THEN 1.0 ELSE 0.0 END) AS share_positive")}, count(*) AS n,
-  {_r("(1 + count(*) FILTER (WHERE round(a.g, 12) >= round(b.g, 12))) / (1 + count(*)) AS p")} FROM ab a JOIN ab b ON a.arm = 'placebo' AND b.arm = 'real' AND a.metric = b.metric GROUP BY a.metric""",
-    macro=True,
-)
-def paired_ab(s, d):
-    """The switch is the rule against its control, on the same labels."""
-    arms = _placebo(s, d).withColumn("switch", F.when(F.col("rule") == "Maximin", "on").otherwise("off")).withColumn("rule", F.lit("Maximin"))
-    return I.paired_ab(arms)
-
-
 @query(None)
 def dr2_bootstrap(s, d):
     """Independent bets of equal weights for two menus on the same draws, the covariance shrunk again in each: interval and paired p."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _d, _r, panel, query
 from .catalog_exposure import _EXPOSURE, _MOMENTS, _covariance
 from .catalog_states import _STATES, _states
 from .operators import history as H
+from .operators import panel as P
 from .operators import search as S
 from .plans import fixtures as X
 from .plans.scratch import settled
@@ -58,7 +63,7 @@ _ALLOWED = f"""al AS (SELECT portfolio, max(weight) = 0.5 OR max(gh) = 0.75 AS a
 def _allowed(s, candidates):
     group = F.when(F.split("series", r" \| ", 2)[1].isin(*_GROUPED), "goods").otherwise("rest")
     groups = candidates.select("series").distinct().select("series", F.lit("kind").alias("dim"), group.alias("category"), F.lit(1.0).alias("share"))
-    return S.within_caps(candidates, {"series": 0.5, "group": 0.75}, groups)
+    return S.within_caps(candidates, {"series": 0.5, "kind": 0.75}, groups)
 
 
 @query(f"{_SCORED}, {_ALLOWED} SELECT portfolio, {_SCORES}, at_cap FROM ct2 JOIN al USING (portfolio) ORDER BY round(total, 12) DESC, portfolio LIMIT 1", macro=True)
@@ -73,15 +78,92 @@ def pick_maximin(s, d):
     return S.pick_candidate(scores, _allowed(s, candidates), "floor", {"risk": -0.9})
 
 
+#: Growth and the deepest fall of every candidate at constant weights, on the panel's complete months.
+_PATHS = """cp0 AS (SELECT portfolio, month, sum(weight * ret) AS r FROM cw JOIN rc USING (series) GROUP BY ALL), cp1 AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY month)) AS v FROM cp0),
+cp2 AS (SELECT portfolio, pow(arg_max(v, month), 12.0 / count(*)) - 1 AS cagr, min(dd) AS max_drawdown FROM (SELECT *, v / max(v) OVER (PARTITION BY portfolio ORDER BY month) - 1 AS dd FROM cp1) GROUP BY portfolio)"""
+
+
+def _paths(s, d, candidates):
+    return S.candidate_paths(candidates, P.complete_months(panel(s, d), "ret"))
+
+
+@query(f", {_CAND}, {_PATHS} SELECT portfolio, {_r('cagr', 'max_drawdown')} FROM cp2")
+def candidate_paths(s, d):
+    return _paths(s, d, S.compositions(s, _SERIES, _PARTS))
+
+
+_TARGETED = "SELECT portfolio, {}, at_cap, {} FROM ct2 JOIN al USING (portfolio) JOIN cp2 USING (portfolio) WHERE {} ORDER BY round({}, 12) DESC, portfolio LIMIT 1"
+
+
+def _pick(s, d, by, least):
+    candidates, scores = _scores(s, d)
+    return S.pick_candidate(scores, _allowed(s, candidates), by, least, _paths(s, d, candidates))
+
+
+@query(f"{_SCORED}, {_ALLOWED}, {_PATHS} {_TARGETED.format(_SCORES, _r('cagr', 'max_drawdown'), 'max_drawdown >= -0.6001', 'total')}", macro=True)
+def pick_within_drawdown(s, d):
+    """No candidate that ever fell by more than 60 %."""
+    return _pick(s, d, "total", {"max_drawdown": -0.6})
+
+
+@query(f"{_SCORED}, {_ALLOWED}, {_PATHS} {_TARGETED.format(_SCORES, _r('cagr', 'max_drawdown'), 'cagr >= -0.0201 AND max_drawdown >= -0.7501', 'floor')}", macro=True)
+def pick_by_two_targets(s, d):
+    """The best worst state among candidates that meet a target of growth and one of drawdown."""
+    return _pick(s, d, "floor", {"cagr": -0.02, "max_drawdown": -0.75})
+
+
+# Presets: two menus, each with scores, groupings and caps of its own.
+
+_MENUS = {"ASIA": _SERIES, "EUROPE": [n.replace("ASIA", "EUROPE") for n in _SERIES]}
+_PRESETS = [("growth", "ASIA", "total", 6, 2, 4, 0), ("balanced", "ASIA", "total", 4, 4, 4, 0), ("with floor", "EUROPE", "total", 4, 2, 2, 6), ("defensive", "EUROPE", "floor", 0, 0, 0, 1), ("free", "EUROPE", "total", 6, 2, 4, 0), ("narrow", "ASIA", "total", 6, 2, 4, 0), ("empty", "ASIA", "floor", 0, 0, 0, 1)]
+_CAPS = [("growth", "series", 0.5), ("growth", "zone", 0.55), ("growth", "kind", 0.75), ("balanced", "series", 0.5), ("balanced", "kind", 0.5), ("with floor", "zone", 0.5), ("defensive", "series", 0.25), ("defensive", "kind", 0.75), ("narrow", "series", 0.1), ("empty", "zone", 0.34), ("empty", "series", 0.25)]
+_IN = f"split_part(series, ' | ', 2) IN ({', '.join(f"'{g}'" for g in _GROUPED)})"
+_GROUPS_SQL = f"""gr AS (SELECT series, 'kind' AS dim, CASE WHEN {_IN} THEN 'goods' ELSE 'rest' END AS category, 1.0 AS share FROM (SELECT DISTINCT series FROM rt) UNION ALL
+  SELECT series, 'zone', CASE WHEN CAST(right(category, 1) AS INTEGER) % 3 = 0 THEN 'zone 0' WHEN CAST(right(category, 1) AS INTEGER) % 3 = 1 THEN 'zone 1' ELSE 'zone 2' END, sum(weight_pct) / 100 FROM lt WHERE dim = 'country' GROUP BY 1, 2, 3)"""
+
+
+def _menu_sql(menu: str) -> str:
+    """The candidates and scores of a menu, its tables named by the menu."""
+    own = _SCORED[_SCORED.index(_CAND) :].replace("'ASIA | ", f"'{menu} | ")
+    return re.sub(r"\b(ca|cw|cg|cr2|cd|cf2|cv2|ct2)\b", rf"\1_{menu}", own)
+
+
+_EVERY = " UNION ALL ".join(f"SELECT '{m}' AS menu, * FROM {{0}}_{m}" for m in _MENUS)
+_PROFILES = f"""{_SCORED[: _SCORED.index(_CAND)]}{", ".join(_menu_sql(m) for m in _MENUS)}, {_GROUPS_SQL}, cw AS ({_EVERY.format("cw")}), ct2 AS ({_EVERY.format("ct2")}),
+ps0 AS (SELECT * FROM (VALUES {", ".join(map(str, _PRESETS))}) p(preset, menu, objective, i1, i2, i3, i4)), cb AS (SELECT preset, dim, min(cap) AS cap FROM (SELECT * FROM (VALUES {", ".join(map(str, _CAPS))}) c(preset, dim, cap) UNION ALL SELECT preset, 'series', 1.0 FROM ps0) GROUP BY ALL),
+ho AS (SELECT menu, portfolio, 'series' AS dim, series AS category, weight AS held FROM cw UNION ALL SELECT menu, portfolio, dim, category, sum(weight * share) FROM cw JOIN gr USING (series) GROUP BY ALL),
+rm AS (SELECT preset, menu, portfolio, min(cap - held) AS room FROM (SELECT menu, portfolio, dim, max(held) AS held FROM ho GROUP BY ALL) JOIN cb USING (dim) JOIN ps0 USING (preset, menu) GROUP BY ALL HAVING min(cap - held) >= -1e-9),
+vl AS (SELECT preset, menu, objective, portfolio, round(CASE WHEN objective = 'floor' THEN "floor" ELSE (i1 * score_return + i2 * score_risk + i3 * score_diversification + i4 * score_floor) / (i1 + i2 + i3 + i4) END, 12) AS v, room FROM ct2 JOIN ps0 USING (menu) LEFT JOIN rm USING (preset, menu, portfolio)),
+bd AS (SELECT preset, menu, 'caps below 100 %: ' || string_agg(dim, ', ' ORDER BY dim) AS problem FROM cb JOIN ps0 USING (preset) JOIN (SELECT menu, dim, count(DISTINCT category) AS n FROM ho GROUP BY ALL) USING (menu, dim) WHERE cap * n < 1 - 1e-9 GROUP BY ALL)"""
+
+
+def menu_groups(s, d):
+    """Two kinds of factors, and three zones of countries by the share that each series has of them."""
+    series = panel(s, d).select("series").distinct()
+    kind = F.when(F.split("series", r" \| ", 2)[1].isin(*_GROUPED), "goods").otherwise("rest")
+    zone = F.concat(F.lit("zone "), F.substring("category", -1, 1).cast("int") % 3)
+    zones = X.look_through(s, d).filter("dim = 'country'").groupBy("series", zone.alias("category")).agg((F.sum("weight_pct") / 100).alias("share"))
+    return series.select("series", F.lit("kind").alias("dim"), kind.alias("category"), F.lit(1.0).alias("share")).unionByName(zones.withColumn("dim", F.lit("zone")))
+
+
+def menu_candidates(s) -> DataFrame:
+    return reduce(DataFrame.unionByName, [S.compositions(s, names, _PARTS).withColumn("menu", F.lit(m)) for m, names in _MENUS.items()])
+
+
 @query(
-    f"""{_SCORED}, {_ALLOWED} SELECT n AS profile, (SELECT portfolio FROM ct2 JOIN al USING (portfolio) ORDER BY round(CASE n WHEN 'balanced' THEN total ELSE floor END, 12) DESC, portfolio LIMIT 1) AS best,
-  (SELECT portfolio FROM ct2 ORDER BY round(CASE n WHEN 'balanced' THEN total ELSE floor END, 12) DESC, portfolio LIMIT 1) AS twin,
-  round((SELECT max(CASE n WHEN 'balanced' THEN total ELSE floor END) FROM ct2) - (SELECT max(CASE n WHEN 'balanced' THEN total ELSE floor END) FROM ct2 JOIN al USING (portfolio)), 6) + 0.0 AS price FROM (VALUES ('balanced'), ('defensive')) v(n)""",
+    f"""{_PROFILES} SELECT preset, menu, objective, arg_min(portfolio, struct_pack(v := -v, p := portfolio)) FILTER (WHERE room IS NOT NULL) AS best, round(max(v) FILTER (WHERE room IS NOT NULL), 6) + 0.0 AS value, arg_min(portfolio, struct_pack(v := -v, p := portfolio)) AS twin, round(max(v), 6) + 0.0 AS twin_value,
+  round(max(v) - max(v) FILTER (WHERE room IS NOT NULL), 6) + 0.0 AS price, arg_min(room <= 1e-9, struct_pack(v := -v, p := portfolio)) FILTER (WHERE room IS NOT NULL) AS at_cap,
+  coalesce(max(problem), CASE WHEN max(v) FILTER (WHERE room IS NOT NULL) IS NULL THEN 'no candidate inside the caps' END) AS problem FROM vl LEFT JOIN bd USING (preset, menu) WHERE v IS NOT NULL GROUP BY preset, menu, objective""",
     macro=True,
 )
 def profiles(s, d):
-    candidates, scores = _scores(s, d)
-    return S.profiles({"balanced": scores, "defensive": scores}, _allowed(s, candidates), {"balanced": "total", "defensive": "floor"})
+    p, candidates = panel(s, d), settled(menu_candidates(s))
+    means = settled(p.filter("ret IS NOT NULL").groupBy("series").agg(F.avg("ret").alias("mean_ret")))
+    cov, lookup, states = _covariance(s, d), settled(X.look_through(s, d)), settled(H.state_means(p, _states(s, d)))
+    scores = [S.candidate_scores(candidates.filter(F.col("menu") == m).drop("menu"), means, cov, lookup, states, _IMPORTANCE).withColumn("menu", F.lit(m)) for m in _MENUS]
+    presets = s.createDataFrame([(*r[:3], *map(float, r[3:])) for r in _PRESETS], "preset string, menu string, objective string, " + ", ".join(f"importance_{c} double" for c in S.OBJECTIVES))
+    caps = s.createDataFrame(_CAPS, "preset string, dim string, cap double")
+    return S.profiles(settled(reduce(DataFrame.unionByName, scores)), presets, caps, candidates, settled(menu_groups(s, d)))
 
 
 _FEATURES = """, af AS (SELECT *, vg - lag(vg, 3) OVER o AS ag, vi - lag(vi, 3) OVER o AS ai FROM (SELECT month, state, growth_score AS g, inflation_score AS i, row_number() OVER o AS pos, (growth_score - lag(growth_score, 6) OVER o) / 6 AS vg,
@@ -101,16 +183,31 @@ def analog_outlook(s, d):
     return S.analog_outlook(S.analogs(settled(_states(s, d))))
 
 
+#: The nearest months known at t: deviations so far, outcomes seen by then.
+_ASOF = """, akk AS (SELECT *, """ + ", ".join(f"coalesce(nullif(stddev_samp({c}) OVER (ORDER BY pos), 0), 1) AS s{i}" for i, c in enumerate(("g", "i", "vg", "vi", "ag", "ai"))) + """ FROM ak),
+an2 AS (SELECT * FROM (SELECT a.pos AS t, b.pos AS u, b.outcome, d AS distance, row_number() OVER (PARTITION BY a.pos ORDER BY round(d, 9), b.pos) AS rank, count(*) OVER (PARTITION BY a.pos) AS k FROM akk a JOIN ak b ON b.pos <= a.pos - 3,
+  LATERAL (SELECT sqrt(pow((a.g - b.g) / s0, 2) + pow((a.i - b.i) / s1, 2) + pow((a.vg - b.vg) / s2, 2) + pow((a.vi - b.vi) / s3, 2) + pow((a.ag - b.ag) / s4, 2) + pow((a.ai - b.ai) / s5, 2)) AS d)) WHERE rank <= 20 AND k >= 12)"""
+
+
+@query(f"{_STATES}{_FEATURES}{_ASOF} SELECT CAST(t AS INTEGER) AS t, CAST(rank AS INTEGER) AS rank, CAST(u AS INTEGER) AS u, {_r('distance')}, outcome FROM an2", macro=True)
+def asof_analogs(s, d):
+    return S.asof_analogs(settled(_states(s, d)))
+
+
 @query(
-    f"""{_STATES}, bk2 AS (SELECT month, state, row_number() OVER (ORDER BY month) AS t, lead(state) OVER (ORDER BY month) AS nx, lead(state, 3) OVER (ORDER BY month) AS outcome FROM st),
-  ask AS (SELECT t, state, outcome FROM bk2 WHERE t > 24 AND outcome IS NOT NULL),
+    f"""{_STATES}{_FEATURES}{_ASOF}, bk2 AS (SELECT month, state, row_number() OVER (ORDER BY month) AS t, lead(state) OVER (ORDER BY month) AS nx, lead(state, 3) OVER (ORDER BY month) AS outcome FROM st),
+  mo3 AS (SELECT pos AS t, CASE WHEN g + 3 * vg > 0 AND i + 3 * vi > 0 THEN 'Reflation' WHEN i + 3 * vi > 0 THEN 'Stagflation' WHEN g + 3 * vg > 0 THEN 'Goldilocks' ELSE 'Deflationary bust' END AS a FROM af WHERE vg IS NOT NULL),
+  sh2 AS (SELECT t, outcome AS a, count(*) / sum(count(*)) OVER (PARTITION BY t) AS p FROM an2 GROUP BY t, outcome),
+  ask AS (SELECT t, state, outcome FROM bk2 WHERE t > 24 AND outcome IS NOT NULL AND t IN (SELECT t FROM an2) AND t IN (SELECT t FROM mo3)),
   ch AS (SELECT t, a, b, n / sum(n) OVER (PARTITION BY t, a) AS q FROM (SELECT ask.t, m.state AS a, m.nx AS b, count(*) AS n FROM ask JOIN bk2 m ON m.t < ask.t AND m.nx IS NOT NULL GROUP BY ALL)),
   n1 AS (SELECT t, coalesce(b, a) AS a, sum(coalesce(q, 1)) AS p FROM (SELECT t, state AS a FROM ask) LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
   n2 AS (SELECT t, coalesce(b, a) AS a, sum(p * coalesce(q, 1)) AS p FROM n1 LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
   n3 AS (SELECT t, coalesce(b, a) AS a, sum(p * coalesce(q, 1)) AS p FROM n2 LEFT JOIN ch USING (t, a) GROUP BY 1, 2),
-  fo AS (SELECT 'markov' AS method, ask.t, outcome, name, coalesce(p, 0) AS p FROM ask CROSS JOIN sn LEFT JOIN n3 ON n3.t = ask.t AND n3.a = name UNION ALL SELECT 'persistence', t, outcome, name, CASE WHEN name = state THEN 1.0 ELSE 0.0 END FROM ask CROSS JOIN sn),
-  fm AS (SELECT method, t, outcome, sum(pow(p - CASE WHEN name = outcome THEN 1 ELSE 0 END, 2)) AS br, arg_max(name, struct_pack(p := round(p, 12), n := name)) AS call FROM fo GROUP BY ALL)
-  SELECT method, count(*) AS n, {_r("avg(CASE WHEN call = outcome THEN 1.0 ELSE 0.0 END) AS hit_rate", "avg(br) AS brier")} FROM fm GROUP BY method""",
+  fa AS (SELECT 'markov' AS method, t, a, p FROM n3 UNION ALL SELECT 'persistence', t, state, 1.0 FROM ask UNION ALL SELECT 'analog', t, a, p FROM sh2 UNION ALL SELECT 'momentum', t, a, 1.0 FROM mo3),
+  fo AS (SELECT method, ask.t, state, outcome, name, coalesce(p, 0) AS p FROM ask CROSS JOIN sn CROSS JOIN (SELECT DISTINCT method FROM fa) LEFT JOIN fa USING (method, t) WHERE fa.a IS NULL OR fa.a = name
+    UNION ALL SELECT m.method, ask.t, state, outcome, name, 0 FROM ask CROSS JOIN sn CROSS JOIN (SELECT DISTINCT method FROM fa) m WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.method = m.method AND fa.t = ask.t AND fa.a = name)),
+  fm AS (SELECT method, t, state, outcome, sum(pow(p - CASE WHEN name = outcome THEN 1 ELSE 0 END, 2)) AS br, arg_max(name, struct_pack(p := round(p, 12), n := name)) AS call FROM fo GROUP BY ALL)
+  SELECT method, count(*) AS n, {_r("avg(CASE WHEN call = outcome THEN 1.0 ELSE 0.0 END) AS hit_rate", "avg(br) AS brier")}, count(*) FILTER (WHERE state <> outcome) AS turns, {_r("avg(CASE WHEN call = outcome THEN 1.0 ELSE 0.0 END) FILTER (WHERE state <> outcome) AS turns_caught")} FROM fm GROUP BY method""",
     macro=True,
 )
 def outlook_backtest(s, d):

@@ -96,16 +96,16 @@ def state_means(panel: DataFrame, states: DataFrame, least: int = 3, start: str
     return rows.groupBy("state", "series").agg(F.avg("ret").alias("mean_ret"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def blend_report(means: DataFrame, factors: DataFrame | None = None, proxies: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
-    """state, series, n, n_long, gate, modern, mapped_long, weight_on_long, final for every cell of the state means.
+def blend_report(means: DataFrame, factors: DataFrame | None = None, proxies: DataFrame | None = None, markets: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, state, series, n, n_long, gate, modern, mapped_long, weight_on_long, final for every cell of the state means.
 
     With ``markets`` (of :func:`market_prior`) each region's Reference is drawn to its long mean first, where the eras agree. A
     factor's series is its Reference, so drawn or not, plus its excess, drawn to ``factors``' long_diff where the eras
     agree; without a Reference it stays as it is. Proxies (region Asset) are drawn to their own long mean. A draw weighs by
-    months: (n * modern + n_long * long) / (n + n_long).
+    months: (n * modern + n_long * long) / (n + n_long). ``keys`` (replicates, refits) name means that are blended side by side.
     """
     parts = F.split("series", r" \| ", 2)
-    cells = means.select("state", "series", "n", F.col("mean_ret").alias("m"), parts[0].alias("region"), parts[1].alias("factor"))
+    cells = means.select(*keys, "state", "series", "n", F.col("mean_ret").alias("m"), parts[0].alias("region"), parts[1].alias("factor"))
     none = {"n_long": "bigint", "agree": "boolean"}
 
     def joined(df: DataFrame, prior: DataFrame | None, on: list[str], value: str, prefix: str) -> DataFrame:
@@ -117,8 +117,8 @@ def blend_report(means: DataFrame, factors: DataFrame | None = None, proxies: Da
     drawn = lambda m, n, long, n_long: (n * m + n_long * long) / (n + n_long)
     refs = joined(cells.filter(F.col("factor") == REFERENCE), markets, ["region", "state"], "long_mean", "k")
     anchored = F.when(F.col("k_agree"), drawn(F.col("m"), F.col("n"), F.col("k_long"), F.col("k_n"))).otherwise(F.col("m"))
-    refs = refs.select("region", "state", F.col("m").alias("ref"), anchored.alias("ref_anchored"), "k_long", "k_n", "k_agree")
-    rows = joined(joined(cells.join(refs, ["region", "state"], "left"), factors, ["factor", "state"], "long_diff", "f"), proxies, ["series", "state"], "long_mean", "p")
+    refs = refs.select(*keys, "region", "state", F.col("m").alias("ref"), anchored.alias("ref_anchored"), "k_long", "k_n", "k_agree")
+    rows = joined(joined(cells.join(refs, [*keys, "region", "state"], "left"), factors, ["factor", "state"], "long_diff", "f"), proxies, ["series", "state"], "long_mean", "p")
     proxy, reference, own = F.col("region") == "Asset", F.col("factor") == REFERENCE, F.col("ref").isNotNull()
     gate = F.coalesce(F.when(proxy, F.col("p_agree")).when(reference, F.col("k_agree")).otherwise(F.col("f_agree") & own), F.lit(False))
     modern = F.when(~proxy & ~reference & own, F.col("m") - F.col("ref")).otherwise(F.col("m"))
@@ -127,12 +127,12 @@ def blend_report(means: DataFrame, factors: DataFrame | None = None, proxies: Da
     value = F.when(F.col("gate"), drawn(F.col("modern"), F.col("n"), F.col("mapped_long"), F.col("n_long"))).otherwise(F.col("modern"))
     base = F.when(~proxy & ~reference, F.coalesce("ref_anchored", F.lit(0.0))).otherwise(0.0)
     weight = F.when(F.col("gate"), F.col("n_long") / (F.col("n") + F.col("n_long"))).otherwise(0.0)
-    return rows.select("state", "series", "n", "n_long", "gate", "modern", "mapped_long", weight.alias("weight_on_long"), (base + value).alias("final"))
+    return rows.select(*keys, "state", "series", "n", "n_long", "gate", "modern", "mapped_long", weight.alias("weight_on_long"), (base + value).alias("final"))
 
 
-def blend_means(means: DataFrame, factors: DataFrame | None = None, proxies: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
-    """state, series, mean_ret, n: the state means after :func:`blend_report`."""
-    return blend_report(means, factors, proxies, markets).select("state", "series", F.col("final").alias("mean_ret"), "n")
+def blend_means(means: DataFrame, factors: DataFrame | None = None, proxies: DataFrame | None = None, markets: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, state, series, mean_ret, n: the state means after :func:`blend_report`."""
+    return blend_report(means, factors, proxies, markets, keys).select(*keys, "state", "series", F.col("final").alias("mean_ret"), "n")
 
 
 def view_loadings(series: DataFrame) -> DataFrame:

@@ -400,7 +400,7 @@ def paired_ab(arms: DataFrame) -> DataFrame:
     real = wide.filter("arm = 'real'").select("rule", "metric", F.col("d").alias("delta_real"))
     null = wide.filter("arm = 'placebo'").join(real, ["rule", "metric"])
     return null.groupBy("rule", "metric", "delta_real").agg(
-        F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_sd"), F.avg((F.col("d") > 0).cast("double")).alias("share_positive"), F.count("*").alias("n"),
+        F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_sd"), F.avg((F.round("d", 12) > 0).cast("double")).alias("share_positive"), F.count("*").alias("n"),
         ((1 + F.count_if(F.round("d", 12) >= F.round("delta_real", 12))) / (1 + F.count("*"))).alias("p"),
     )
 

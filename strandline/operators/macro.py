@@ -119,13 +119,18 @@ def composite_score(trends: DataFrame, components: DataFrame) -> DataFrame:
     return masked.select("axis", "month", (F.col("s") / F.nullif(F.stddev_samp("s").over(W.partitionBy("axis")), F.lit(0.0))).alias("score"))
 
 
+def state_label(up: Column, hot: Column) -> Column:
+    """The state's name from the directions of growth and inflation."""
+    return F.when(up & hot, STATES[0]).when(~up & hot, STATES[1]).when(~up & ~hot, STATES[2]).otherwise(STATES[3])
+
+
 def quadrant(scores: DataFrame) -> DataFrame:
     """Scores by month as probabilities of four states, directions and the label; 0 counts as down."""
     wide = scores.groupBy("month").pivot("axis", ["growth", "inflation"]).agg(F.max("score"))
     known = wide.toDF("month", "growth_score", "inflation_score").dropna()
     g, i = norm_cdf(F.col("growth_score")), norm_cdf(F.col("inflation_score"))
     up, hot = F.col("growth_score") > 0, F.col("inflation_score") > 0
-    label = F.when(up & hot, STATES[0]).when(~up & hot, STATES[1]).when(~up & ~hot, STATES[2]).otherwise(STATES[3])
+    label = state_label(up, hot)
     return known.select(
         "month", "growth_score", "inflation_score",
         (g * (1 - i)).alias("p_goldilocks"), (g * i).alias("p_reflation"), ((1 - g) * i).alias("p_stagflation"), ((1 - g) * (1 - i)).alias("p_deflationary_bust"),

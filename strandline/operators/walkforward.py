@@ -117,17 +117,19 @@ def held_rows(weights: DataFrame, placed: DataFrame, schedule: DataFrame, by: tu
     return weights.join(months.select(*by, "refit", "series", "pos", "month", "ret"), [*by, "refit", "series"])
 
 
-def walk_forward(weights: DataFrame, placed: DataFrame, schedule: DataFrame, by: tuple[str, ...] = (), bps: float = BPS) -> DataFrame:
-    """``by``, rule, month, refit, gross, turnover, net: the rules' monthly returns out of sample.
+def walk_forward(weights: DataFrame, placed: DataFrame, schedule: DataFrame, by: tuple[str, ...] = (), bps: float = BPS, arm: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, ``arm``, rule, month, refit, gross, turnover, net: the rules' monthly returns out of sample.
 
     Weights are held constant between refits; a refit's turnover is traded, at ``bps``, in its first month.
-    A rule that skips a refit has no returns for the months of that refit.
+    A rule that skips a refit has no returns for the months of that refit. ``arm`` names further keys of the weights, which
+    share their race's panel and schedule.
     """
-    gross = held_rows(weights, placed, schedule, by).groupBy(*by, "rule", "refit", "pos", "month").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"))
+    keys = (*by, *arm)
+    gross = held_rows(weights, placed, schedule, by).groupBy(*keys, "rule", "refit", "pos", "month").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"))
     starts = schedule.select(*by, "refit", "hold_lo")
-    rows = gross.join(turnover(weights, by), [*by, "rule", "refit"]).join(starts, [*by, "refit"])
+    rows = gross.join(turnover(weights, keys), [*keys, "rule", "refit"]).join(starts, [*by, "refit"])
     paid = F.when(F.col("pos") == F.col("hold_lo"), F.col("turnover")).otherwise(0.0)
-    return rows.select(*by, "rule", "month", "refit", "gross", paid.alias("turnover"), (F.col("gross") - bps / 1e4 * paid).alias("net"))
+    return rows.select(*keys, "rule", "month", "refit", "gross", paid.alias("turnover"), (F.col("gross") - bps / 1e4 * paid).alias("net"))
 
 
 def levels_of(returns_: DataFrame, by: tuple[str, ...] = (), value: str = "ret") -> DataFrame:
