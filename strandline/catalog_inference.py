@@ -16,7 +16,8 @@ from .operators import walkforward as R
 from .plans import fixtures as X
 from .plans.scratch import settled
 
-REPS = 499
+#: Replicates of the bootstraps; the queries that show every drawn month have fewer.
+REPS, SHOWN = 4999, 499
 
 #: Contestants: the regions' mean of each factor, and the mean of all series.
 _CN = "cn AS (SELECT factor AS series, month, avg(ret) AS ret FROM rc GROUP BY factor, month UNION ALL SELECT '1/N', month, avg(ret) FROM rc GROUP BY month)"
@@ -32,10 +33,10 @@ hg AS (SELECT a.x_name, a.y_name, max(a.n) AS n, sum(a.u * b.u * CASE WHEN a.pos
 gp AS (SELECT gw.*, sqrt(g) / gw.n AS se FROM gw JOIN hg USING (x_name, y_name))"""
 
 
-def _draws(seeds: str, of: str, keys: str) -> str:
+def _draws(seeds: str, of: str, keys: str, reps: int = REPS, block: str = "b") -> str:
     """Blocks' draws for every key of a table that has n and b."""
     return f"""(SELECT {keys}, seed, rep, n, b, blk, blk * b + o AS pos, (start + o) % n AS src FROM (SELECT *, unnest(range(0, least(b, n - blk * b))) AS o FROM (
-  SELECT {keys}, seed, rep, n, b, blk, CAST('0x' || substr(md5(seed || '|' || rep || '|' || blk), 1, 8) AS BIGINT) % n AS start FROM (SELECT {keys}, n, b, unnest(range(0, CAST(ceil(n / b) AS BIGINT))) AS blk FROM {of}), (VALUES {seeds}) s(seed), range({REPS}) r(rep))))"""
+  SELECT {keys}, seed, rep, n, b, blk, CAST('0x' || substr(md5(seed || '|' || rep || '|' || blk), 1, 8) AS BIGINT) % n AS start FROM (SELECT {keys}, n, b, unnest(range(0, CAST(ceil(n / b) AS BIGINT))) AS blk FROM {of}), (VALUES {seeds}) s(seed), range({reps}) r(rep))))"""
 
 
 def _boot(seeds: str = "(7)") -> str:
@@ -58,16 +59,16 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("series").alias("x_name")).distinct().filter("x_name <> '1/N'").withColumn("y_name", F.lit("1/N"))
 
 
-@query(f"{_PAIRS}, {_GAPS} SELECT rep, blk AS block, pos, src FROM {_draws('(7)', 'gw', 'x_name')} WHERE x_name = 'Reference'")
+@query(f"{_PAIRS}, {_GAPS} SELECT rep, blk AS block, pos, src FROM {_draws('(7)', 'gw', 'x_name', SHOWN)} WHERE x_name = 'Reference'")
 def block_index(s, d):
     n = contestants(s, d).filter("series = 'Reference'").agg(F.count("*").cast("int").alias("n")).filter("n >= 24")
-    return I.block_index(n, REPS).select("rep", F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), F.col("src").cast("long").alias("src")).withColumn("rep", F.col("rep").cast("long"))
+    return I.block_index(n, SHOWN).select("rep", F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), F.col("src").cast("long").alias("src")).withColumn("rep", F.col("rep").cast("long"))
 
 
-@query(f"{_PAIRS}, {_GAPS} SELECT rep, {_r('avg(x) AS mean_ret', 'max(x) AS best')} FROM {_draws('(7)', 'gw', 'x_name')} i JOIN pq ON pq.x_name = i.x_name AND pq.pos = src WHERE i.x_name = 'Reference' GROUP BY rep")
+@query(f"{_PAIRS}, {_GAPS} SELECT rep, {_r('avg(x) AS mean_ret', 'max(x) AS best')} FROM {_draws('(7)', 'gw', 'x_name', SHOWN)} i JOIN pq ON pq.x_name = i.x_name AND pq.pos = src WHERE i.x_name = 'Reference' GROUP BY rep")
 def resample(s, d):
     rows = I.pair_rows(contestants(s, d), pairs_of(contestants(s, d))).filter("x_name = 'Reference'")
-    index = I.block_index(rows.agg(F.count("*").cast("int").alias("n")).filter("n >= 24"), REPS)
+    index = I.block_index(rows.agg(F.count("*").cast("int").alias("n")).filter("n >= 24"), SHOWN)
     return I.resample(rows.select("pos", "x"), index).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.avg("x").alias("mean_ret"), F.max("x").alias("best"))
 
 

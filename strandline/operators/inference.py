@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import norm_cdf
 from .panel import complete_months
 from .performance import block_ranks, psr
+from .replicates import block_sums, over_replicates
 
 #: Longest lag that the kernels know; enough for some 14 000 months.
 MOST_LAGS = 12
@@ -51,8 +52,7 @@ def block_index(sizes: DataFrame, replicates: int, by: tuple[str, ...] = (), see
     """
     length = block_length(F.col("n")) if block is None else F.lit(block)
     seeded = sizes if "seed" in sizes.columns else sizes.withColumn("seed", F.lit(seed))
-    reps = seeded.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    rows = reps.crossJoin(F.broadcast(seeded.withColumn("b", length)))  # a row for each key, spread over the replicates
+    rows = seeded.withColumn("b", length).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("b")).cast("int") - 1)))
     start = F.pmod(draw(F.col("seed"), F.col("rep"), F.col("block")), F.col("n"))
     offset = F.explode(F.sequence(F.lit(0), F.least(F.col("b"), F.col("n") - F.col("block") * F.col("b")).cast("int") - 1)).alias("o")
@@ -112,26 +112,28 @@ def sharpe_gaps(rows: DataFrame) -> DataFrame:
     return out.withColumn("p_hac", 2 * norm_cdf(-F.abs(F.col("delta") / F.col("se"))))
 
 
+def _studentised(values: np.ndarray, first: np.ndarray, block: int) -> dict[str, np.ndarray]:
+    """d, the gap in Sharpe ratios of each replicate, and v, the variance of it from the sums of its influence over whole blocks."""
+    n, whole = len(values), len(values) // block
+    x, y = values.T
+    sums = block_sums(np.column_stack([x, y, x * x, y * y]), first, block)
+    mx, my, gx, gy = sums.sum(axis=1).T / n
+    sx, sy = (np.sqrt(np.where(g - m * m > 1e-18, g - m * m, np.nan)) for m, g in ((mx, gx), (my, gy)))
+    weights = np.column_stack([gx / sx**3, -gy / sy**3, -mx / (2 * sx**3), my / (2 * sy**3)])
+    middle = block * np.column_stack([mx, my, gx, gy])
+    z = np.einsum("rbc,rc->rb", sums[:, :whole] - middle[:, None, :], weights)
+    var = (z * z).sum(axis=1) / block / whole / n if whole else np.full(len(first), np.nan)
+    return {"d": mx / sx - my / sy, "v": np.where(var > 0, var, np.nan)}
+
+
 def sharpe_draws(rows: DataFrame, gaps: DataFrame, replicates: int, seeds: tuple[int, ...] = (7,), block: int | None = None) -> DataFrame:
     """x_name, y_name, seed, rep, t: the studentised gap of every replicate, centred on the pair's own.
 
     A replicate's error comes from the sums of its influence over whole blocks; one without volatility or error is left out.
     """
-    sizes = gaps.filter("delta IS NOT NULL").select(*_PAIR, "n").withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    drawn = resample(rows.select(*_PAIR, "pos", "x", "y"), block_index(sizes, replicates, _PAIR, block=block), _PAIR)
-    x, y, whole = F.col("x"), F.col("y"), F.floor(F.col("n") / F.col("b"))
-    keys = (*_PAIR, "seed", "rep")
-    blocks = drawn.groupBy(*keys, "block", "n", "b").agg(F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
-    n = F.col("n")
-    reps = blocks.groupBy(*keys, "n", "b").agg(
-        (F.sum("x") / n).alias("mx"), (F.sum("y") / n).alias("my"), (F.sum("xx") / n).alias("mxx"), (F.sum("yy") / n).alias("myy"),
-        F.collect_list(F.when(F.col("block") < whole, F.struct("x", "y", "xx", "yy"))).alias("blocks"),  # n / b of them
-    )
-    reps = reps.withColumns({f"d_{c}" if c == "delta" else c: v for c, v in _sharpe_moments().items()})
-    z = lambda s: F.col("wx") * (s["x"] - F.col("b") * F.col("mx")) + F.col("wy") * (s["y"] - F.col("b") * F.col("my")) + F.col("wxx") * (s["xx"] - F.col("b") * F.col("mxx")) + F.col("wyy") * (s["yy"] - F.col("b") * F.col("myy"))
-    var = F.aggregate("blocks", F.lit(0.0), lambda acc, s: acc + z(s) * z(s)) / F.col("b") / F.floor(n / F.col("b")) / n
-    scored = reps.withColumn("var", var).filter("var > 0").join(gaps.select(*_PAIR, "delta"), list(_PAIR))
-    return scored.select(*keys, ((F.col("d_delta") - F.col("delta")) / F.sqrt("var")).alias("t"))
+    known = gaps.filter("delta IS NOT NULL").select(*_PAIR, "delta")
+    drawn = over_replicates(rows.join(known.select(*_PAIR), list(_PAIR), "left_semi"), _PAIR, "pos", ["x", "y"], replicates, _studentised, "d double, v double", seeds, block)
+    return drawn.join(known, list(_PAIR)).select(*_PAIR, "seed", "rep", ((F.col("d") - F.col("delta")) / F.sqrt("v")).alias("t"))
 
 
 def sharpe_diff_test(returns_: DataFrame, pairs: DataFrame, replicates: int = 4999, seeds: tuple[int, ...] = (7,), block: int | None = None) -> DataFrame:
@@ -172,10 +174,23 @@ def ratio_diff_test(returns_: DataFrame, pairs: DataFrame, factors: DataFrame, s
             return (F.avg(c) - float(stat[3:]) / 2 * F.var_samp(c)) * 12
         raise ValueError(f"unknown ratio {stat!r}: sortino, treynor or cer<gamma>")
 
-    gap = (ratio("x") - ratio("y")).alias("delta")
-    seen = rows.groupBy(*_PAIR).agg(gap, F.count("*").cast("int").alias("n"))
-    drawn = resample(rows, block_index(seen.select(*_PAIR, "n"), replicates, _PAIR, seed), _PAIR)
-    reps = drawn.groupBy(*_PAIR, "rep").agg(gap).filter("delta IS NOT NULL").select(*_PAIR, "rep", F.col("delta").alias("d"))
+    def replicated(values: np.ndarray, first: np.ndarray, length: int) -> dict[str, np.ndarray]:
+        n, (x, y, m) = len(values), values.T
+        down = lambda v: np.minimum(v, 0) ** 2
+        means = block_sums(np.column_stack([x, y, x * x, y * y, down(x), down(y), x * m, y * m, m, m * m]), first, length).sum(axis=1).T / n
+
+        def one(v: np.ndarray, vv: np.ndarray, low: np.ndarray, vm: np.ndarray) -> np.ndarray:
+            if stat == "sortino":
+                return v * math.sqrt(12) / np.sqrt(np.where(low > 0, low, np.nan))
+            if stat == "treynor":
+                beta = (vm - v * means[8]) / np.where(means[9] - means[8] ** 2 > 0, means[9] - means[8] ** 2, np.nan)
+                return np.where(beta > 0, v * 12 / beta, np.nan)
+            return (v - float(stat[3:]) / 2 * (vv - v * v) * n / (n - 1)) * 12
+
+        return {"d": one(means[0], means[2], means[4], means[6]) - one(means[1], means[3], means[5], means[7])}
+
+    seen = rows.groupBy(*_PAIR).agg((ratio("x") - ratio("y")).alias("delta"))
+    reps = over_replicates(rows, _PAIR, "pos", ["x", "y", "m"], replicates, replicated, "d double", (seed,))
     centre = reps.groupBy(*_PAIR).agg(F.avg("d").alias("centre"), F.percentile("d", F.lit(0.025)).alias("ci_lo"), F.percentile("d", F.lit(0.975)).alias("ci_hi"))
     both = reps.join(centre.join(seen, list(_PAIR)), list(_PAIR))
     far = F.count_if(F.abs(F.round(F.col("d") - F.col("centre"), 12)) >= F.round(F.abs("delta"), 12))
@@ -255,15 +270,20 @@ def pbo_cscv(returns_: DataFrame, blocks: int = 16) -> DataFrame:
     cut = longer * (size + 1)
     block = F.when(F.col("pos") < cut, F.floor(F.col("pos") / (size + 1))).otherwise(longer + F.floor((F.col("pos") - cut) / F.greatest(size, F.lit(1))))
     sums = rows.filter(F.col("t") >= 2 * blocks).groupBy("series", block.cast("int").alias("block")).agg(F.count("*").alias("n"), F.sum("ret").alias("s1"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
-    splits = returns_.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2)
-    inside = F.expr("(id & shiftleft(1L, block)) <> 0")
-    halves = splits.crossJoin(F.broadcast(sums)).groupBy("id", "series")  # series times blocks
-
-    def sharpe(side: Column) -> Column:
-        n, s1, s2 = (F.sum(F.when(side, F.col(c))) for c in ("n", "s1", "s2"))
-        return s1 / n / F.sqrt(F.nullif((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
-
-    scored = halves.agg(sharpe(inside).alias("own"), sharpe(~inside).alias("other"))
+    splits = returns_.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2)  # as many as blocks allow, whatever the data
+    packed = sums.groupBy("series").agg(F.collect_list(F.struct("block", "n", "s1", "s2")).alias("sums"))
+    halves = packed.repartition("series").crossJoin(F.broadcast(splits))
+
+    def sharpe(side: int) -> Column:
+        inside = lambda s: F.getbit("id", s["block"]) == side
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+        add = lambda acc, s: F.when(inside(s), F.struct((acc["n"] + s["n"]).alias("n"), (acc["s1"] + s["s1"]).alias("s1"), (acc["s2"] + s["s2"]).alias("s2"))).otherwise(acc)
+        t = F.aggregate("sums", zero, add)
+        return F.struct(t["n"].alias("n"), t["s1"].alias("s1"), t["s2"].alias("s2"))
+
+    ratio = lambda c: F.col(f"{c}.s1") / F.col(f"{c}.n") / F.sqrt(F.nullif((F.col(f"{c}.s2") - F.col(f"{c}.s1") * F.col(f"{c}.s1") / F.col(f"{c}.n")) / (F.col(f"{c}.n") - 1), F.lit(0.0)))
+    folded = halves.select("id", "series", sharpe(1).alias("a"), sharpe(0).alias("b"))
+    scored = folded.select("id", "series", ratio("a").alias("own"), ratio("b").alias("other"))
     w = W.partitionBy("id")
     best = F.row_number().over(w.orderBy(F.desc(F.round("own", 12)), "series"))
     star = scored.withColumn("b", best).withColumn("star", F.max(F.when(F.col("b") == 1, F.col("other"))).over(w))
