@@ -99,7 +99,8 @@ def sharpe_gaps(rows: DataFrame) -> DataFrame:
     v = lambda c, m, w: F.col(w) * (c - F.col(m))
     x, y = F.col("x"), F.col("y")
     influence = v(x, "mx", "wx") + v(y, "my", "wy") + v(x * x, "mxx", "wxx") + v(y * y, "myy", "wyy")
-    u = rows.join(stats, list(_PAIR)).withColumn("u", influence).withColumn("m", lags_of(F.col("n")))
+    most = F.when(lags_of(F.col("n")) > MOST_LAGS, F.raise_error(F.lit(f"a pair needs more than {MOST_LAGS} lags"))).otherwise(lags_of(F.col("n")))
+    u = rows.join(stats, list(_PAIR)).withColumn("u", influence).withColumn("m", most)
     w = W.partitionBy(*_PAIR).orderBy("pos")
     lagged = [2 * parzen(F.lit(j) / F.col("m")) * F.col("u") * F.coalesce(F.lag("u", j).over(w), F.lit(0.0)) for j in range(1, MOST_LAGS + 1)]
     psi = u.withColumn("g", sum(lagged, F.col("u") * F.col("u"))).groupBy(*_PAIR).agg(F.sum("g").alias("g"))

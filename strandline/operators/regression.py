@@ -15,9 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf
-from .inference import MOST_LAGS, block_index, lags_of, resample, step_down
-from .panel import window_slice
+from .inference import MOST_LAGS, lags_of, step_down
+from .panel import complete_months, window_slice
 from .performance import REFERENCE
+from .replicates import block_sums, over_replicates, places
+
+
+#: Regressors are columns; a frame of more regions than this is an error.
+MOST_REGIONS = 1000
 
 
 def factor_frame(factors: DataFrame, panel: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
@@ -29,7 +34,9 @@ def factor_frame(factors: DataFrame, panel: DataFrame, fallback: DataFrame | Non
     if fallback is not None:
         base = factors.join(fallback.select("month", F.col("rf").alias("_rf")), "month", "left").withColumn("rf", F.coalesce("rf", "_rf")).drop("_rf")
     refs = panel.filter((F.col("factor") == REFERENCE) & F.col("ret").isNotNull())
-    names = sorted(r["region"] for r in refs.select("region").distinct().limit(1000).collect())
+    names = sorted(r["region"] for r in refs.select("region").distinct().limit(MOST_REGIONS + 1).collect())
+    if len(names) > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions: a regressor for each would be a column")
     wide = refs.groupBy("month").pivot("region", names).agg(F.first("ret"))
     joined = base.join(wide, "month", "left")
     return joined.select(*base.columns, *((F.col(f"`{n}`") - F.col("rf")).alias(f"reg_{n.replace(' ', '_')}") for n in names))
@@ -42,6 +49,8 @@ def hac_ols(rows: DataFrame, by: tuple[str, ...], y: str, names: list[str], lags
     regressor are left out; groups with no more rows than terms too. Collinear regressors get the least-norm solution and
     are marked ``singular``; a perfect fit has no errors. ``names=[]`` is the test of a mean.
     """
+    if lags is not None and lags > MOST_LAGS:
+        raise ValueError(f"at most {MOST_LAGS} lags")
     known = reduce(lambda a, c: a & F.col(c).isNotNull(), [y, *names], F.lit(True))
     z = ["_one", *(f"_z{i}" for i in range(len(names)))]
     k = len(z)
@@ -69,6 +78,7 @@ def hac_ols(rows: DataFrame, by: tuple[str, ...], y: str, names: list[str], lags
     terms = joined.withColumn("_u", u).select(*by, "_o", "_n", "_u", (F.col("_y") - F.col("_m")).alias("_d"), "singular", "_b", F.posexplode(psi).alias("_c", "_h")).withColumn("_g", F.col("_h") * F.col("_u"))
     w = W.partitionBy(*by, "_c").orderBy("_o")
     most = lags_of(F.col("_n")) if lags is None else F.lit(lags)
+    most = F.when(most > MOST_LAGS, F.raise_error(F.lit(f"a group needs more than {MOST_LAGS} lags"))).otherwise(most)
     lagged = [2 * F.greatest(F.lit(0.0), 1 - F.lit(j) / (most + 1)) * F.col("_g") * F.coalesce(F.lag("_g", j).over(w), F.lit(0.0)) for j in range(1, MOST_LAGS + 1)]
     stats = terms.withColumn("_s", sum(lagged, F.col("_g") * F.col("_g"))).groupBy(*by, "_c", "_n", "singular", "_b").agg(F.sum("_s").alias("_s"), F.sum(F.col("_u") * F.col("_u")).alias("_uu"), F.sum(F.col("_d") * F.col("_d")).alias("_dd"))
     name = F.array(F.lit("alpha"), *(F.lit(c) for c in names))[F.col("_c")]
@@ -127,43 +137,71 @@ def alpha_stability(returns_: DataFrame, frame: DataFrame, names: list[str], spa
     return fit.filter(F.col("n") >= least).select("span", "series", (F.col("coef") * 12).alias("alpha_ann"), "t", "p", "n")
 
 
-def _drawn(rows: DataFrame, names: list[str], replicates: int, seed: int, block: int | None) -> DataFrame:
-    """Months drawn in blocks: all series and regressors of a month travel together."""
-    columns = ["series", "y", *names]
-    months = rows.dropna(subset=names).select("month", *columns)
-    order = months.select("month").distinct().withColumn("pos", (F.row_number().over(W.orderBy("month")) - 1).cast("int"))  # a row for each month
-    index = block_index(order.agg(F.count("*").cast("int").alias("n")).filter("n > 0"), replicates, (), seed, block)
-    return resample(months.join(order, "month").select("pos", *columns), index)
+def _refitted(values: np.ndarray, first: np.ndarray, block: int) -> dict[str, np.ndarray]:
+    """a, the intercept of each replicate: its normal equations are sums over blocks of the months' products."""
+    y, z = values[:, 0], np.column_stack([np.ones(len(values)), values[:, 1:]])
+    k = z.shape[1]
+    products = np.column_stack([(z[:, :, None] * z[:, None, :]).reshape(len(z), k * k), z * y[:, None]])
+    sums = block_sums(products, first, block).sum(axis=1)
+    return {"a": np.einsum("rj,rj->r", np.linalg.pinv(sums[:, : k * k].reshape(-1, k, k), hermitian=True)[:, 0], sums[:, k * k :])}
+
+
+def _refitted_with_errors(values: np.ndarray, first: np.ndarray, block: int) -> dict[str, np.ndarray]:
+    """a, the intercept of each replicate, and e, its error by Newey and West's kernel over the drawn months in their new order."""
+    n = len(values)
+    drawn = values[places(first, n, block)]
+    y, z = drawn[:, :, 0], np.concatenate([np.ones((*drawn.shape[:2], 1)), drawn[:, :, 1:]], axis=2)
+    inverse = np.linalg.pinv(np.einsum("rti,rtj->rij", z, z), hermitian=True)
+    coef = np.einsum("rij,rtj,rt->ri", inverse, z, y, optimize=True)
+    u = y - np.einsum("rti,ri->rt", z, coef)
+    g = np.einsum("rj,rtj->rt", inverse[:, 0], z) * u
+    lags = max(1, int(4 * (n / 100) ** (2 / 9)))
+    var = (g * g).sum(axis=1)
+    for j in range(1, lags + 1):
+        var = var + 2 * (1 - j / (lags + 1)) * (g[:, j:] * g[:, :-j]).sum(axis=1)
+    spread = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    return {"a": coef[:, 0], "e": np.sqrt(np.where((var > 0) & ((u * u).sum(axis=1) > 1e-20 * spread), var, np.nan))}
+
+
+def _common(returns_: DataFrame, frame: DataFrame, names: list[str], bench: str) -> DataFrame:
+    """series, month, y and regressors of the gaps to ``bench``, on the months that have all of them, so that all series share their draws."""
+    rows = _sides(returns_, frame, bench).filter("side = 'gap'").dropna(subset=names) if names else _sides(returns_, frame, bench).filter("side = 'gap'")
+    return complete_months(rows, "y").select("series", "month", "y", *names)
 
 
 def alpha_bootstrap(returns_: DataFrame, frame: DataFrame, names: list[str], bench: str = "1/N", replicates: int = 4999, seed: int = 7, block: int | None = None) -> DataFrame:
-    """series, alpha_ann, p_boot, used of the gap to ``bench``: replicates whose alpha is at least as far from their mean as the estimate from zero."""
-    rows = _sides(returns_, frame, bench).filter("side = 'gap'")
+    """series, alpha_ann, p_boot, used of the gap to ``bench``: replicates whose alpha is at least as far from their mean as the estimate from zero.
+
+    Whole months are drawn, those that all series and regressors have. A group's row holds its months; fits are batches of small solves.
+    """
+    rows = _common(returns_, frame, names, bench)
     seen = hac_ols(rows, ("series",), "y", names, 0).filter("term = 'alpha'").select("series", F.col("coef").alias("a0"))
-    reps = hac_ols(_drawn(rows, names, replicates, seed, block), ("series", "rep"), "y", names, 0, "pos").filter("term = 'alpha'").select("series", "rep", F.col("coef").alias("a"))
+    reps = over_replicates(rows, ("series",), "month", ["y", *names], replicates, _refitted, "a double", (seed,), block, len(names) + 2)
     centre = reps.groupBy("series").agg(F.avg("a").alias("centre"))
     both = reps.join(centre, "series").join(seen, "series").groupBy("series", "a0")
-    return both.agg(((1 + F.count_if(F.abs(F.col("a") - F.col("centre")) >= F.abs("a0"))) / (1 + F.count("*"))).alias("p_boot"), F.count("*").alias("used")).select("series", (F.col("a0") * 12).alias("alpha_ann"), "p_boot", "used")
+    far = F.count_if(F.round(F.abs(F.col("a") - F.col("centre")), 12) >= F.round(F.abs("a0"), 12))
+    return both.agg(((1 + far) / (1 + F.count("*"))).alias("p_boot"), F.count("*").alias("used")).select("series", (F.col("a0") * 12).alias("alpha_ann"), "p_boot", "used")
 
 
 def romano_wolf(returns_: DataFrame, frame: DataFrame, models: dict[str, list[str]], bench: str = "1/N", replicates: int = 4999, seed: int = 7, block: int = 6) -> DataFrame:
-    """series, model, alpha_ann, t, p_single, p_rw, ci_lo_ann, ci_hi_ann, mde80_ann of the gaps' alphas, family-wise over all series and models.
+    """series, model, months, alpha_ann, t, p_hac, p_single, p_rw, ci_lo_ann, ci_hi_ann, mde80_ann, mde80_boot_ann of the gaps' alphas, family-wise over all series and models.
 
-    Months that have all regressors are drawn in blocks; each replicate's t is centred on the alpha of the data. The interval turns round
-    the 2.5 and 97.5 % points of t; the least detectable alpha is the 95 % point of |t| plus 0.8416 deviations of t, in errors.
+    Months that have all regressors of all models are drawn in blocks; each replicate's t is centred on the alpha of the data. The interval
+    turns round the 2.5 and 97.5 % points of t. The least detectable alpha is 2.8 errors, or from the replicates the 95 % point
+    of |t| plus 0.8416 deviations of t, in errors.
     """
     every = sorted({c for names in models.values() for c in names})
-    rows = _sides(returns_, frame, bench).filter("side = 'gap'").dropna(subset=every)
-    drawn = _drawn(rows, every, replicates, seed, block)
+    rows = _common(returns_, frame, every, bench)
     cell = ("series", "model")
-    fits = lambda data, by, order: reduce(DataFrame.unionByName, [hac_ols(data, by, "y", names, order=order).filter("term = 'alpha'").withColumn("model", F.lit(m)) for m, names in models.items()])
-    seen = fits(rows, ("series",), "month").filter("se IS NOT NULL").select(*cell, F.col("coef").alias("a0"), F.col("se").alias("se0"), "t")
-    reps = fits(drawn, ("series", "rep"), "pos").join(seen.select(*cell, "a0"), list(cell)).select(*cell, "rep", ((F.col("coef") - F.col("a0")) / F.col("se")).alias("t")).filter("t IS NOT NULL")
+    fits = [hac_ols(rows, ("series",), "y", names).filter("term = 'alpha'").withColumn("model", F.lit(m)) for m, names in models.items()]
+    seen = reduce(DataFrame.unionByName, fits).filter("se IS NOT NULL").select(*cell, "n", F.col("coef").alias("a0"), F.col("se").alias("se0"), "t", "p")
+    drawn = [over_replicates(rows, ("series",), "month", ["y", *names], replicates, _refitted_with_errors, "a double, e double", (seed,), block, len(names) + 2).withColumn("model", F.lit(m)) for m, names in models.items()]
+    reps = reduce(DataFrame.unionByName, drawn).join(seen.select(*cell, "a0"), list(cell)).select(*cell, "rep", ((F.col("a") - F.col("a0")) / F.col("e")).alias("t"))
     p = step_down(seen.select(*cell, "t"), reps, cell).drop("p_one_sided", "t")
     spread = reps.groupBy(*cell).agg(F.percentile("t", F.lit(0.025)).alias("lo"), F.percentile("t", F.lit(0.975)).alias("hi"), F.percentile(F.abs("t"), F.lit(0.95)).alias("crit"), F.stddev_pop("t").alias("sd"))
     joined = seen.join(p, list(cell)).join(spread, list(cell))
     year = lambda c: c * 12
     return joined.select(
-        *cell, year(F.col("a0")).alias("alpha_ann"), "t", "p_single", "p_rw", year(F.col("a0") - F.col("hi") * F.col("se0")).alias("ci_lo_ann"), year(F.col("a0") - F.col("lo") * F.col("se0")).alias("ci_hi_ann"),
-        year((F.col("crit") + 0.8416 * F.col("sd")) * F.col("se0")).alias("mde80_ann"),
+        *cell, F.col("n").alias("months"), year(F.col("a0")).alias("alpha_ann"), "t", F.col("p").alias("p_hac"), "p_single", "p_rw", year(F.col("a0") - F.col("hi") * F.col("se0")).alias("ci_lo_ann"), year(F.col("a0") - F.col("lo") * F.col("se0")).alias("ci_hi_ann"),
+        year(2.8 * F.col("se0")).alias("mde80_ann"), year((F.col("crit") + 0.8416 * F.col("sd")) * F.col("se0")).alias("mde80_boot_ann"),
     )
