@@ -209,7 +209,8 @@ def excess_by_factor(s, d):
 
 @query(f", c AS (SELECT i, j, corr(x, y) AS corr FROM pr GROUP BY i, j) SELECT i, j, {_r('corr')} FROM (SELECT * FROM c UNION ALL SELECT j, i, corr FROM c UNION ALL SELECT DISTINCT series, series, 1.0 FROM rc)")
 def corr_matrix(s, d):
-    return A.corr_matrix(A.corr_pairs(panel(s, d)))
+    rows = P.complete_months(panel(s, d), "ret")
+    return A.corr_matrix(A.corr_pairs(rows, complete=False), names=rows)
 
 
 @query(f", c AS (SELECT i, j, corr(x, y) AS corr FROM pr GROUP BY i, j), k AS (SELECT corr, CASE WHEN split_part(i, ' | ', 2) = 'Reference' AND split_part(j, ' | ', 2) = 'Reference' THEN 'references' WHEN split_part(i, ' | ', 1) = split_part(j, ' | ', 1) THEN 'same region' WHEN split_part(i, ' | ', 2) = split_part(j, ' | ', 2) THEN 'same factor' ELSE 'other' END AS relation FROM c) SELECT relation, count(*) AS n_pairs, {_r('avg(corr) AS mean_corr', 'min(corr) AS min_corr')} FROM (SELECT corr, relation FROM k UNION ALL SELECT corr, 'all' FROM k) GROUP BY relation")

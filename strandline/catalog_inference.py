@@ -212,25 +212,39 @@ def scramble_iid(s, d):
     return I.scramble_states(_states(s, d).select("month", "state"), "iid", 20)
 
 
-@query(None)
+#: The covariance's moments of each replicate, a month counting as often as it is drawn.
+_DR2 = f""", mm AS (SELECT 'all' AS menu, series, month, ret FROM rc UNION ALL SELECT 'references', series, month, ret FROM rc WHERE factor = 'Reference'),
+dm AS (SELECT menu, series, row_number() OVER (PARTITION BY menu, series ORDER BY month) - 1 AS pos, ret - avg(ret) OVER (PARTITION BY menu, series) AS x FROM mm),
+dn AS (SELECT 1 AS one, n, greatest(3, CAST(round_even(pow(n, 1 / 3.0), 0) AS BIGINT)) AS b FROM (SELECT count(DISTINCT pos) AS n FROM dm)),
+dc AS (SELECT rep, src AS pos, count(*) AS c FROM {_draws("(7)", "dn", "one")} GROUP BY ALL UNION ALL SELECT -1, pos, 1 FROM (SELECT DISTINCT pos FROM dm)),
+de AS (SELECT menu, series, rep, sum(c * x) / max(n) AS m FROM dm JOIN dc USING (pos), dn GROUP BY ALL), dv AS (SELECT menu, series, rep, sum(c * pow(x - m, 2)) / max(n) AS v FROM dm JOIN dc USING (pos) JOIN de USING (menu, series, rep), dn GROUP BY ALL),
+dz AS (SELECT dm.menu, dm.series, rep, pos, c, x - m AS x FROM dm JOIN dc USING (pos) JOIN de USING (menu, series, rep)),
+dp AS (SELECT a.menu, a.rep, a.series AS i, b.series AS j, sum(a.c * a.x * b.x) / max(n) AS s, sum(a.c * a.x * a.x * b.x * b.x) / max(n) AS m22, sum(a.c * a.x * a.x * a.x * b.x) / max(n) AS m31, sum(a.c * a.x * b.x * b.x * b.x) / max(n) AS m13
+  FROM dz a JOIN dz b ON a.menu = b.menu AND a.rep = b.rep AND a.pos = b.pos AND a.series < b.series, dn GROUP BY ALL),
+dq AS (SELECT dp.*, a.v AS vi, b.v AS vj, sqrt(a.v * b.v) AS root FROM dp JOIN dv a ON a.menu = dp.menu AND a.rep = dp.rep AND a.series = i JOIN dv b ON b.menu = dp.menu AND b.rep = dp.rep AND b.series = j),
+dr2 AS (SELECT menu, rep, avg(s / root) AS r, sum(2 * (m22 - s * s)) AS pi, sum(sqrt(vj / vi) * (m31 - vi * s) + sqrt(vi / vj) * (m13 - vj * s)) AS th, 2 * sum(s * s) AS ss, 2 * sum(s * root) AS sr, 2 * sum(root * root) AS rr, 2 * sum(s) AS s, 2 * sum(root) AS root FROM dq GROUP BY ALL),
+dd2 AS (SELECT *, least(1, greatest(0, (pi - r * th) / (ss - 2 * r * sr + r * r * rr) / n)) AS delta FROM dr2, dn),
+dw AS (SELECT menu, rep, delta, pow(sd, 2) / (v + delta * r * root + (1 - delta) * s) AS dr2 FROM dd2 JOIN (SELECT menu, rep, sum(v) AS v, sum(sqrt(v)) AS sd FROM dv GROUP BY ALL) USING (menu, rep)),
+dx3 AS (SELECT rep, max(dr2) FILTER (WHERE menu = 'references') AS a, max(dr2) FILTER (WHERE menu = 'all') AS b FROM dw GROUP BY rep), dy AS (SELECT *, b - a AS d, avg(b - a) FILTER (WHERE rep >= 0) OVER () AS m, max(b - a) FILTER (WHERE rep < 0) OVER () AS o FROM dx3)"""
+
+
+def _two_menus(s, d) -> DataFrame:
+    rows = P.complete_months(panel(s, d), "ret")
+    return settled(rows.withColumn("menu", F.lit("all")).unionByName(rows.filter("factor = 'Reference'").withColumn("menu", F.lit("references"))).select("menu", "series", "month", "ret"))
+
+
+@query(f"{_DR2} SELECT menu, CAST(rep AS INTEGER) AS rep, {_r('dr2', 'delta')} FROM dw")
+def dr2_draws(s, d):
+    return V.dr2_draws(_two_menus(s, d), ("menu",), REPS)
+
+
+@query(
+    f"""{_DR2} SELECT {_r("max(a) FILTER (WHERE rep < 0) AS dr2_a", "max(b) FILTER (WHERE rep < 0) AS dr2_b", "max(o) AS delta")}, count(*) FILTER (WHERE rep >= 0) AS used, {_r("quantile_cont(a, 0.025) FILTER (WHERE rep >= 0) AS ci_a_lo", "quantile_cont(a, 0.975) FILTER (WHERE rep >= 0) AS ci_a_hi",
+  "quantile_cont(d, 0.025) FILTER (WHERE rep >= 0) AS ci_delta_lo", "quantile_cont(d, 0.975) FILTER (WHERE rep >= 0) AS ci_delta_hi",
+  "greatest(2 * least(count(*) FILTER (WHERE rep >= 0 AND round(d - m, 12) >= round(abs(o), 12)), count(*) FILTER (WHERE rep >= 0 AND round(d - m, 12) <= -round(abs(o), 12))) / count(*) FILTER (WHERE rep >= 0), 1 / (count(*) FILTER (WHERE rep >= 0) + 1)) AS p")} FROM dy"""
+)
 def dr2_bootstrap(s, d):
-    """Independent bets of equal weights for two menus on the same draws, the covariance shrunk again in each: interval and paired p."""
-    rows = R.positions(panel(s, d).filter("ret IS NOT NULL")).withColumn("pos", F.col("pos") - 1)
-    whole = settled(rows.withColumn("menu", F.lit("all")).unionByName(rows.filter("factor = 'Reference'").withColumn("menu", F.lit("references"))).select("menu", "series", "month", "pos", "ret"))
-    n = rows.agg((F.max("pos") + 1).cast("int").alias("n")).filter("n IS NOT NULL")
-    drawn = I.resample(whole.select("menu", "series", "pos", "ret"), I.block_index(n, 39)).withColumn("month", F.col("pos"))
-    by = ("menu", "rep")
-    both = drawn.select(*by, "series", "month", "ret").unionByName(whole.select("menu", F.lit(-1).alias("rep"), "series", F.col("pos").alias("month"), "ret"))
-    cov = V.shrink_constant_correlation(V.covariance_pairs(both, by, complete=False), by)
-    own = F.when(F.col("i") == F.col("j"), F.sqrt("cov"))
-    wide = settled(cov.groupBy(*by).agg((F.pow(F.sum(own), 2) / F.sum("cov")).alias("dr2")).groupBy("rep").pivot("menu", ["all", "references"]).agg(F.first("dr2")).withColumn("d", F.col("all") - F.col("references")))
-    real = wide.filter("rep = -1").select(F.col("all").alias("dr2_all"), F.col("references").alias("dr2_references"), F.col("d").alias("delta"))
-    reps = wide.filter("rep >= 0").crossJoin(F.broadcast(wide.filter("rep >= 0").agg(F.avg("d").alias("centre")))).crossJoin(F.broadcast(real))  # one row each
-    far = lambda c: F.avg(c.cast("double"))
-    tail = F.least(far(F.col("d") - F.col("centre") >= F.abs("delta")), far(F.col("d") - F.col("centre") <= -F.abs("delta")))
-    return reps.groupBy("dr2_all", "dr2_references", "delta").agg(
-        F.count("*").alias("used"), *(F.percentile(c, F.lit(q)).alias(f"{n}_{e}") for c, n in (("all", "ci_all"), ("d", "ci_delta")) for q, e in ((0.025, "lo"), (0.975, "hi"))), F.greatest(2 * tail, 1.0 / (F.count("*") + 1)).alias("p")
-    )
+    return V.dr2_bootstrap(_two_menus(s, d), "menu", "references", "all", REPS)
 
 
 def _paths(s, d, mode="current", weights=None, trials=2000):

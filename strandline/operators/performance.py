@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,29 +102,82 @@ def excess_by_factor(perf: DataFrame) -> DataFrame:
     return perf.filter(F.col("excess_vs_ref").isNotNull()).groupBy("regime", "factor").agg(F.avg("excess_vs_ref").alias("mean_excess"), F.count("*").alias("n_regions"))
 
 
-def pair_self_join(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = (), chunks: int = 16) -> DataFrame:
-    """All unordered pairs of series (i < j) on the same month, values x and y.
+#: Series of a chunk: a cell of two chunks makes some four thousand pairs in one task.
+CHUNK = 64
+
+
+def series_arrays(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, series, x, first, n_series: each series' values as one array over the months of its group (null where it has none), the number of its first month, and the group's series.
 
-    The left side is dealt by series over ``chunks`` keys of each month and the right side copied to all of
-    them, so that no task holds a month's square and parallelism does not end at the number of months.
+    Months are numbered 12 * year + month; a series' row has as many entries as the calendar has months.
     """
-    known = panel.filter(F.col(value).isNotNull())
-    left = known.select(*by, "month", F.col("series").alias("i"), F.col(value).alias("x"), F.pmod(F.hash("series"), F.lit(chunks)).alias("_chunk"))
-    right = known.select(*by, "month", F.col("series").alias("j"), F.col(value).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-    return left.join(right, [*by, "month", "_chunk"]).filter("i < j").select(*by, "month", "i", "j", "x", "y")
+    number = F.year("month") * 12 + F.month("month")
+    known = panel.filter(F.col(value).isNotNull()).select(*by, "series", number.alias("m"), F.col(value).alias("v"))
+    packed = known.groupBy(*by, "series").agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("e"))
+    group = packed.groupBy(*by).agg(F.min(F.col("e")[0]["m"]).alias("first"), F.max(F.element_at("e", -1)["m"]).alias("last"), F.count("*").alias("n_series"))
+    rows = packed.join(group, list(by)) if by else packed.crossJoin(F.broadcast(group))  # one row
+    none = F.lit(None).cast("double")
+    before = F.concat(F.array(F.col("first") - 1), F.transform(F.slice("e", 1, F.size("e") - 1), lambda e: e["m"]))
+    dense = F.flatten(F.zip_with("e", before, lambda e, p: F.concat(F.array_repeat(none, e["m"] - p - 1), F.array(e["v"]))))
+    return rows.select(*by, "series", F.concat(dense, F.array_repeat(none, F.col("last") - F.element_at("e", -1)["m"])).alias("x"), "first", "n_series")
+
+
+def pair_arrays(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """``by``, i, j, x, y, first: all unordered pairs of series (i < j) with both arrays of values over the group's months.
+
+    Series are dealt into chunks; a task makes the pairs of two chunks from whole series, so the shuffle carries each series once for each
+    chunk and no pair is put together after it. The number of chunks follows the number of series.
+    """
+    rows = series_arrays(panel, value, by).withColumn("_c", F.ceil(F.col("n_series") / chunk).cast("int")).withColumn("_k", F.pmod(F.hash("series"), F.col("_c")))
+    left = rows.select(*by, "first", F.col("series").alias("p"), F.col("x").alias("px"), F.col("_k").alias("_a"), F.explode(F.sequence(F.col("_k"), F.col("_c") - 1)).alias("_b"))
+    right = rows.select(*by, F.col("series").alias("q"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_a"), F.col("_k").alias("_b"))
+    pairs = left.join(right, [*by, "_a", "_b"]).filter("_a < _b OR p < q")
+    ahead = F.col("p") < F.col("q")
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    return pairs.select(*by, pick("p", "q").alias("i"), pick("q", "p").alias("j"), pick("px", "qx").alias("x"), pick("qx", "px").alias("y"), "first")
+
+
+def pair_self_join(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
+    """All unordered pairs of series (i < j) on the same month, values x and y: a row for each pair and month."""
+    both = pair_arrays(panel, value, by).select(*by, "i", "j", "first", F.posexplode(F.arrays_zip("x", "y")).alias("at", "v"))
+    number = F.col("first") + F.col("at") - 1
+    month = F.last_day(F.make_date(F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"), F.lit(1)))
+    return both.filter("v.x IS NOT NULL AND v.y IS NOT NULL").select(*by, month.alias("month"), "i", "j", "v.x", "v.y")
+
+
+def sums_over(both: Column, sums: dict[str, Callable[[Column, Column], Column]]) -> Column:
+    """A struct of n and of the sums of functions of x and y over an array of pairs x, y."""
+    zero = F.struct(F.lit(0).alias("n"), *(F.lit(0.0).alias(c) for c in sums))
+    return F.aggregate(both, zero, lambda acc, p: F.struct((acc["n"] + 1).alias("n"), *((acc[c] + f(p["x"], p["y"])).alias(c) for c, f in sums.items())))
+
+
+def known_pairs(x: str = "x", y: str = "y") -> Column:
+    """The months of two arrays where both have a value, as an array of x, y."""
+    return F.filter(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+
+def correlated(df: DataFrame, both: str) -> DataFrame:
+    """``df`` with n and corr of an array of pairs x, y; corr is null without variation."""
+    means = df.withColumn("_s", sums_over(F.col(both), {"x": lambda x, y: x, "y": lambda x, y: y}))
+    mx, my = F.col("_s.x") / F.col("_s.n"), F.col("_s.y") / F.col("_s.n")
+    moments = means.withColumn("_m", sums_over(F.col(both), {"xy": lambda x, y: (x - mx) * (y - my), "xx": lambda x, y: (x - mx) * (x - mx), "yy": lambda x, y: (y - my) * (y - my)}))
+    corr = F.col("_m.xy") / F.nullif(F.sqrt(F.col("_m.xx") * F.col("_m.yy")), F.lit(0.0))
+    return moments.withColumn("corr", corr).withColumn("n", F.col("_s.n").cast("long")).drop("_s", "_m")
 
 
 def corr_pairs(panel: DataFrame, by: tuple[str, ...] = (), complete: bool = True) -> DataFrame:
     """Correlation of each pair i < j, on complete months (or on those that the pair has)."""
     rows = complete_months(panel, "ret", by) if complete else panel
-    return pair_self_join(rows, by=by).groupBy(*by, "i", "j").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    pairs = pair_arrays(rows, by=by).withColumn("both", known_pairs()).filter(F.size("both") > 0)
+    return correlated(pairs, "both").select(*by, "i", "j", "corr", "n")
 
 
-def corr_matrix(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The whole matrix in long form, with the diagonal."""
-    both = pairs.select(*by, "i", "j", "corr").unionAll(pairs.select(*by, F.col("j"), F.col("i"), "corr"))
-    names = both.select(*by, "i").distinct().select(*by, "i", F.col("i").alias("j"), F.lit(1.0).alias("corr"))
-    return both.unionAll(names)
+def corr_matrix(pairs: DataFrame, by: tuple[str, ...] = (), names: DataFrame | None = None) -> DataFrame:
+    """The whole matrix in long form, with the diagonal; ``names`` (``by``, series) are the pairs' series, found from the pairs if not given."""
+    cell = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"), "corr")
+    both = pairs.select(*by, F.explode(F.array(cell("i", "j"), cell("j", "i"))).alias("c")).select(*by, "c.i", "c.j", "c.corr")
+    own = both.select(*by, F.col("i").alias("series")).distinct() if names is None else names.select(*by, "series").distinct()
+    return both.unionByName(own.select(*by, F.col("series").alias("i"), F.col("series").alias("j"), F.lit(1.0).alias("corr")))
 
 
 def corr_by_regime(panel: DataFrame, regimes: DataFrame, least: int = 4) -> DataFrame:
@@ -147,9 +202,12 @@ def avg_pairwise_corr(pairs: DataFrame) -> DataFrame:
 def rolling_avg_pairwise_corr(panel: DataFrame, window: int = 36) -> DataFrame:
     """Mean correlation of all pairs of References in each trailing window of complete months."""
     refs = complete_months(panel.filter((F.col("factor") == REFERENCE) & F.col("ret").isNotNull()), "ret")
-    w = W.partitionBy("i", "j").orderBy("month").rowsBetween(1 - window, 0)
-    rolled = pair_self_join(refs).withColumn("c", F.corr("x", "y").over(w)).withColumn("k", F.count("*").over(w))
-    return rolled.filter(F.col("k") == window).groupBy("month").agg(F.avg("c").alias("avg_corr"))
+    pairs = pair_arrays(refs).withColumn("both", known_pairs())
+    ends = pairs.filter(F.size("both") >= window).select("i", "j", F.explode(F.sequence(F.lit(window), F.size("both"))).alias("end"), "both")
+    rolled = correlated(ends.withColumn("part", F.slice("both", F.col("end") - window + 1, F.lit(window))), "part")
+    means = rolled.groupBy("end").agg(F.avg("corr").alias("avg_corr"))
+    order = refs.select("month").distinct().withColumn("end", F.row_number().over(W.orderBy("month")))  # a row for each month
+    return means.join(order, "end").select("month", "avg_corr")
 
 
 def cube_summary(panel: DataFrame) -> DataFrame:

@@ -53,6 +53,16 @@ def places(first: np.ndarray, n: int, block: int) -> np.ndarray:
     return (np.repeat(first, sizes(n, block), axis=1) + offsets) % n
 
 
+@lru_cache(maxsize=4)  # groups of one length share their draws
+def month_counts(seed: int, replicates: int, n: int, block: int) -> np.ndarray:
+    """(replicate, month): how often each replicate draws a month; the first row is the data itself, every month once."""
+    drawn = places(starts(seed, 0, replicates, n, block), n, block) if replicates else np.zeros((0, n), dtype=int)
+    counts = np.zeros((replicates + 1, n))
+    counts[0] = 1
+    np.add.at(counts, (np.arange(1, replicates + 1)[:, None], drawn), 1)
+    return counts
+
+
 def over_replicates(
     rows: DataFrame, by: tuple[str, ...], order: str, columns: list[str], replicates: int, of: Callable[..., dict[str, np.ndarray]], kinds: str, seeds: tuple[int, ...] = (7,), block: int | None = None, least: int = 1
 ) -> DataFrame:
