@@ -11,6 +11,7 @@ from .operators import covariance as V
 from .operators import inference as I
 from .operators import macro as M
 from .operators import panel as P
+from .operators import paths as H
 from .operators import performance as A
 from .operators import walkforward as R
 from .plans import fixtures as X
@@ -247,35 +248,81 @@ def dr2_bootstrap(s, d):
     return V.dr2_bootstrap(_two_menus(s, d), "menu", "references", "all", REPS)
 
 
-def _paths(s, d, mode="current", weights=None, trials=2000):
+#: Paths of history: what each state's spells are drawn from (wb), and the walk, month by month (wk).
+def _walk(months: int, trials: int, seed: int = 42) -> str:
+    u = f"(CAST('0x' || substr(md5('{seed}|' || {{}} || '|' || {{}}), {{}}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    move, place = u.format("trial", "t + 1", 1), u.format("trial", "t + 1", 9)
+    return f"""wp AS (SELECT month, state, row_number() OVER (ORDER BY month) AS pos FROM st),
+  wa AS (SELECT state, list(pos ORDER BY pos) AS places, coalesce(max(tm.p), 0) AS stay FROM wp LEFT JOIN tm ON from_state = state AND to_state = state GROUP BY state HAVING count(*) >= 3),
+  wm AS (SELECT a.state, b.state AS dest, CASE WHEN a.state = b.state THEN 0 ELSE coalesce(tm.p, 0) END AS w FROM wa a CROSS JOIN wa b LEFT JOIN tm ON from_state = a.state AND to_state = b.state),
+  wn AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY state) > 0 THEN w ELSE 1 END AS v FROM wm),
+  wb AS (SELECT state, any_value(stay) AS stay, any_value(places) AS places, list(c ORDER BY dest) AS cum, list(dest ORDER BY dest) AS dests FROM (SELECT wn.state, dest, sum(v) OVER (PARTITION BY wn.state ORDER BY dest) / sum(v) OVER (PARTITION BY wn.state) AS c FROM wn) JOIN wa USING (state) GROUP BY state),
+  wk AS (WITH RECURSIVE w AS (
+    SELECT CAST(i AS BIGINT) AS trial, 1 AS t, s.state, s.places[CAST(floor({u.format("i", "1", 9)} * len(s.places)) AS BIGINT) + 1] AS pos FROM range({trials}) r(i), (SELECT * FROM wb WHERE state = (SELECT arg_max(state, pos) FROM wp)) s
+    UNION ALL
+    SELECT trial, t, z.state, CASE WHEN stays AND list_contains(z.places, pos + 1) THEN pos + 1 ELSE z.places[CAST(floor(place * len(z.places)) AS BIGINT) + 1] END FROM (
+      SELECT trial, t + 1 AS t, pos, {place} AS place, {move} < h.stay AS stays, CASE WHEN {move} < h.stay THEN h.state ELSE h.dests[least(len(list_filter(h.cum, lambda c: c <= ({move} - h.stay) / (1 - h.stay))), len(h.cum) - 1) + 1] END AS ns
+      FROM w JOIN wb h USING (state) WHERE t < {months}) n JOIN wb z ON z.state = n.ns)
+    SELECT trial, CAST(t AS INTEGER) AS period, CAST(pos AS INTEGER) AS pos FROM w)"""
+
+
+def _summary(rows: str, key: str = "series", keys: str = "series") -> str:
+    """The summary of months on paths (trial, key, period, ret)."""
+    return f"""pv AS (SELECT trial, {keys}, period, sum(ln(1 + ret)) OVER (PARTITION BY trial, {keys} ORDER BY period) AS l FROM {rows}),
+  pw AS (SELECT *, exp(l - max(l) OVER (PARTITION BY trial, {keys} ORDER BY period)) - 1 AS dd FROM pv),
+  px2 AS (SELECT trial, {keys}, arg_max(l, period) AS total, min(dd) AS dd, exp(arg_max(l, period) * 12 / count(*)) - 1 AS cagr FROM pw GROUP BY ALL)
+  SELECT {keys}, count(*) AS n_trials, {_r(*(f"quantile_cont(cagr, {q / 100}) AS cagr_p{q}" for q in (5, 25, 50, 75, 95)), *(f"quantile_cont(dd, {q / 100}) AS maxdd_p{q}" for q in (5, 50, 95)), "avg(CASE WHEN round(exp(total), 12) < 1 THEN 1.0 ELSE 0.0 END) AS prob_loss")} FROM px2 GROUP BY {keys}"""
+
+
+def _paths(s, d, months: int = 120, trials: int = 2000) -> tuple[DataFrame, DataFrame]:
     states = settled(_states(s, d))
-    return states, settled(I.state_block_paths(states, M.transition_matrix(states), mode, weights, trials))
+    return settled(H.month_positions(states)), settled(H.state_block_arrays(states, M.transition_matrix(states), None, trials, months))
 
 
-@query(None)
+@query(f"{_STATES}, {_walk(120, 2000)} SELECT trial, period, pos FROM wk", macro=True)
 def state_block_paths(s, d):
-    return _paths(s, d)[1]
+    states = settled(_states(s, d))
+    return H.state_block_paths(states, settled(M.transition_matrix(states)))
 
 
-@query(None)
+@query(f"{_STATES}, {_walk(120, 2000)}, pr2 AS (SELECT trial, series, period, ret FROM wk JOIN wp USING (pos) JOIN rt USING (month) WHERE ret IS NOT NULL), {_summary('pr2')}", macro=True)
 def path_summary(s, d):
     """Two thousand paths of ten years through every series."""
-    states, paths = _paths(s, d)
-    return I.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(I.month_positions(states), "month"))
+    months, paths = _paths(s, d)
+    return H.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(months, "month"))
+
+
+@query(
+    f"""{_STATES}, {_walk(240, 500)}, pr2 AS (SELECT trial, series, y AS years, period, ret FROM wk JOIN wp USING (pos) JOIN rt USING (month), (VALUES (5), (10), (20)) h(y) WHERE ret IS NOT NULL AND region = 'ASIA' AND period <= 12 * y), {_summary("pr2", keys="series, years")}""",
+    macro=True,
+)
+def horizons(s, d):
+    """One region's series after five, ten and twenty years of the same paths."""
+    months, paths = _paths(s, d, 240, 500)
+    return H.path_summary(paths, panel(s, d).filter("ret IS NOT NULL AND region = 'ASIA'").join(months, "month"), (5, 10, 20))
+
+
+@query(
+    f"""{_STATES}, {_walk(240, 2000)}, pb2 AS (SELECT portfolio, month, sum(weight * ret) AS ret FROM (VALUES ('one region', 'ASIA | Reference', 0.5), ('one region', 'ASIA | MACHINERY', 0.5), ('sixty forty', 'AMERICA | Reference', 0.6), ('sixty forty', 'EUROPE | Reference', 0.4)) w(portfolio, series, weight)
+    JOIN rt USING (series) WHERE ret IS NOT NULL GROUP BY ALL HAVING count(*) = 2),
+  pr2 AS (SELECT trial, portfolio, y AS years, period, ret FROM wk JOIN wp USING (pos) JOIN pb2 USING (month), (VALUES (5), (10), (20)) h(y) WHERE period <= 12 * y), {_summary("pr2", keys="portfolio, years")}""",
+    macro=True,
+)
+def portfolio_cones(s, d):
+    months, paths = _paths(s, d, 240)
+    valid = X.portfolios(s).filter("portfolio IN ('one region', 'sixty forty')")
+    return H.portfolio_cones(paths, valid, panel(s, d).filter("ret IS NOT NULL"), months)
 
 
 @query(
     f"""{_STATES}, ps2 AS (SELECT month, row_number() OVER (ORDER BY month) AS pos, count(*) OVER () AS n FROM st), pa AS (SELECT trial, period, 1 + (trial * 7 + period * 3) % n AS pos FROM range(40) a(trial), range(1, 61) b(period), (SELECT DISTINCT n FROM ps2)),
-  pv AS (SELECT trial, series, period, sum(ln(1 + ret)) OVER (PARTITION BY trial, series ORDER BY period) AS l FROM pa JOIN ps2 USING (pos) JOIN rt USING (month) WHERE ret IS NOT NULL),
-  pw AS (SELECT *, exp(l - max(l) OVER (PARTITION BY trial, series ORDER BY period)) - 1 AS dd FROM pv),
-  px2 AS (SELECT trial, series, arg_max(l, period) AS total, min(dd) AS dd, exp(arg_max(l, period) * 12 / count(*)) - 1 AS cagr FROM pw GROUP BY ALL)
-  SELECT series, count(*) AS n_trials, {_r(*(f"quantile_cont(cagr, {q / 100}) AS cagr_p{q}" for q in (5, 25, 50, 75, 95)), *(f"quantile_cont(dd, {q / 100}) AS maxdd_p{q}" for q in (5, 50, 95)), "avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END) AS prob_loss")} FROM px2 GROUP BY series""",
+  pr2 AS (SELECT trial, series, period, ret FROM pa JOIN ps2 USING (pos) JOIN rt USING (month) WHERE ret IS NOT NULL), {_summary("pr2")}""",
     macro=True,
 )
 def summary_of_fixed_paths(s, d):
-    """The summary alone, on paths that SQL can make too."""
-    months = settled(I.month_positions(_states(s, d)))
+    """The summary alone, on paths given by rows."""
+    months = settled(H.month_positions(_states(s, d)))
     n = months.agg(F.count("*").alias("n"))
-    paths = s.range(40).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("period")).crossJoin(F.broadcast(n))
+    paths = s.range(40).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("period")).crossJoin(F.broadcast(n))  # one row
     paths = paths.select("trial", "period", (1 + (F.col("trial") * 7 + F.col("period") * 3) % F.col("n")).cast("int").alias("pos"))
-    return I.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(months, "month"))
+    return H.path_summary(paths, panel(s, d).filter("ret IS NOT NULL").join(months, "month"))

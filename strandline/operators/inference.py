@@ -7,7 +7,6 @@ and in any engine. A variance of a smooth statistic is that of its influence, on
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -424,78 +423,3 @@ def paired_ab(arms: DataFrame) -> DataFrame:
         F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_sd"), F.avg((F.round("d", 12) > 0).cast("double")).alias("share_positive"), F.count("*").alias("n"),
         ((1 + F.count_if(F.round("d", 12) >= F.round("delta_real", 12))) / (1 + F.count("*"))).alias("p"),
     )
-
-
-def state_block_paths(states: DataFrame, transitions: DataFrame, mode: str = "current", weights: dict[str, float] | None = None, trials: int = 2000, months: int = 120, seed: int = 42) -> DataFrame:
-    """trial, period, pos: simulated sequences of historical months (pos numbers them from 1), a spell of one state after another.
-
-    A spell's length is geometric with the state's probability of staying. ``current`` starts in the last state and moves by the transition
-    matrix without its diagonal; ``weights`` draws states so that their shares of months tend to ``weights``. A spell is filled with
-    runs of consecutive months of its state. States seen in fewer than three months are left out. The history, a row
-    for each month, and the matrix are read by the driver; trials are spread over the cluster, each with random numbers of its own.
-    """
-    seen = [(r["month"], r["state"]) for r in states.select("month", "state").orderBy("month").collect()]
-    p = {(r["from_state"], r["to_state"]): r["p"] or 0.0 for r in transitions.collect()}
-    names = [s for s in sorted({s for _, s in seen}) if sum(x == s for _, x in seen) >= 3]
-    places = {s: np.array([i for i, (_, x) in enumerate(seen) if x == s]) for s in names}
-    stay = np.array([p.get((s, s), 0.0) for s in names])
-    if mode == "weights":
-        share = np.array([(weights or {}).get(s, 0.0) for s in names]) * (1 - stay)
-        if share.sum() <= 0:
-            raise ValueError("none of the weighted states has months")
-        first = share / share.sum()
-        moves = np.tile(first, (len(names), 1))
-    elif mode == "current":
-        first = np.array([float(s == seen[-1][1]) for s in names])
-        moves = np.array([[0.0 if a == b else p.get((a, b), 0.0) for b in names] for a in names])
-        empty = moves.sum(axis=1) == 0
-        moves[empty] = 1.0
-        moves /= moves.sum(axis=1, keepdims=True)
-    else:
-        raise ValueError(f"unknown mode {mode!r}: current or weights")
-
-    def path(rng: np.random.Generator) -> np.ndarray:
-        out: list[int] = []
-        s = rng.choice(len(names), p=first / first.sum())
-        while len(out) < months:
-            spell = int(rng.geometric(1 - stay[s])) if stay[s] < 1 else months
-            end, own = min(months, len(out) + spell), places[names[s]]
-            while len(out) < end:
-                k = int(rng.integers(len(own)))
-                out.append(int(own[k]))
-                while len(out) < end and k + 1 < len(own) and own[k + 1] == own[k] + 1:
-                    k += 1
-                    out.append(int(own[k]))
-            s = rng.choice(len(names), p=moves[s])
-        return np.array(out) + 1
-
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for trial in batch["id"].tolist():
-                yield pd.DataFrame({"trial": trial, "period": np.arange(1, months + 1), "pos": path(np.random.default_rng([seed, trial]))})
-
-    return states.sparkSession.range(trials).mapInPandas(simulate, "trial bigint, period int, pos int")
-
-
-def path_summary(paths: DataFrame, placed: DataFrame) -> DataFrame:
-    """series: percentiles of yearly growth (5, 25, 50, 75, 95) and drawdown (5, 50, 95) and the share of losses over paths (trial, period, pos).
-
-    ``placed`` (series, pos, ret) are series or portfolios on the months that the paths draw. The drawdown is of the compounded returns, without a base.
-    """
-    w = W.partitionBy("trial", "series").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
-    rows = paths.join(placed.select("series", "pos", "ret"), "pos").withColumn("l", F.sum(F.log1p("ret")).over(w))
-    rows = rows.withColumn("dd", F.exp(F.col("l") - F.max("l").over(w)) - 1)
-    trials = rows.groupBy("series", "trial").agg(F.max_by("l", "period").alias("total"), F.count("*").alias("n"), F.min("dd").alias("dd")).withColumn("cagr", F.exp(F.col("total") * 12 / F.col("n")) - 1)
-    cells = [F.percentile("cagr", F.lit(q / 100)).alias(f"cagr_p{q}") for q in (5, 25, 50, 75, 95)] + [F.percentile("dd", F.lit(q / 100)).alias(f"maxdd_p{q}") for q in (5, 50, 95)]
-    return trials.groupBy("series").agg(F.count("*").alias("n_trials"), *cells, F.avg((F.col("total") < 0).cast("double")).alias("prob_loss"))
-
-
-def horizons(paths: DataFrame, years: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """The paths cut off after each number of years, under the key ``years``; a path counts where it is long enough."""
-    spread = paths.withColumn("years", F.explode(F.array(*(F.lit(y) for y in years)))).withColumn("_n", F.max("period").over(W.partitionBy("trial", "years")))
-    return spread.filter((F.col("period") <= 12 * F.col("years")) & (F.col("_n") >= 12 * F.col("years"))).drop("_n")
-
-
-def month_positions(states: DataFrame) -> DataFrame:
-    """month, pos of the history that :func:`state_block_paths` draws from."""
-    return states.select("month", F.row_number().over(W.orderBy("month")).alias("pos"))  # a row for each month

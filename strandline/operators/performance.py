@@ -116,10 +116,15 @@ def series_arrays(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = ()
     packed = known.groupBy(*by, "series").agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("e"))
     group = packed.groupBy(*by).agg(F.min(F.col("e")[0]["m"]).alias("first"), F.max(F.element_at("e", -1)["m"]).alias("last"), F.count("*").alias("n_series"))
     rows = packed.join(group, list(by)) if by else packed.crossJoin(F.broadcast(group))  # one row
+    return rows.select(*by, "series", dense("e", F.col("first"), F.col("last")).alias("x"), "first", "n_series")
+
+
+def dense(entries: str, first: Column, last: Column) -> Column:
+    """An array over the numbers first to last from sorted entries (m, v), null where there is none."""
     none = F.lit(None).cast("double")
-    before = F.concat(F.array(F.col("first") - 1), F.transform(F.slice("e", 1, F.size("e") - 1), lambda e: e["m"]))
-    dense = F.flatten(F.zip_with("e", before, lambda e, p: F.concat(F.array_repeat(none, e["m"] - p - 1), F.array(e["v"]))))
-    return rows.select(*by, "series", F.concat(dense, F.array_repeat(none, F.col("last") - F.element_at("e", -1)["m"])).alias("x"), "first", "n_series")
+    before = F.concat(F.array(first - 1), F.transform(F.slice(entries, 1, F.size(entries) - 1), lambda e: e["m"]))
+    filled = F.flatten(F.zip_with(entries, before, lambda e, p: F.concat(F.array_repeat(none, e["m"] - p - 1), F.array(e["v"]))))
+    return F.concat(filled, F.array_repeat(none, last - F.element_at(entries, -1)["m"]))
 
 
 def pair_arrays(panel: DataFrame, value: str = "ret", by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:

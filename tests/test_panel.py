@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import catalog
-from strandline.operators import inference, macro, panel, performance, regression
+from strandline.operators import macro, panel, performance, regression
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["perf_stats", "returns", "asof_backward", "factor_vs_reference", "regime_performance", "corr_matrix", "macro_correlations", "block_ranks", "classify_states", "factor_attribution", "vol_target", "concentration", "diversification_ratio"]
@@ -16,7 +16,7 @@ CHECKED += ["corr_by_regime", "rolling_beats", "trend_overlay", "sleeve_table",
 CHECKED += ["look_through_with_home", "shrink_identity", "vol_target_with_cash", "tbill_gate", "top_drivers", "quality_checks", "align_months", "resample_with_gaps", "hold_forward", "extract_constituents", "extract_weight_pairs"]
 CHECKED += ["read_monthly_block", "read_chart_json", "write_table", "factor_prior", "blend_report", "zone_exposure", "scramble_iid"]
 #: These need the months of a larger table.
-CHECKED_LARGE = ["walk_forward", "rebalance_drift", "sharpe_diff_test", "pbo_cscv", "hac_ols"]
+CHECKED_LARGE = ["walk_forward", "rebalance_drift", "sharpe_diff_test", "pbo_cscv", "hac_ols", "romano_wolf", "dr2_bootstrap", "permutation_verdict", "profiles", "outlook_backtest", "portfolio_cones"]
 
 
 def rows(df):
@@ -93,13 +93,3 @@ def test_regression_equals_numpy(spark):
         assert math.isclose(got[term].coef, b[i], rel_tol=1e-9) and math.isclose(got[term].se, se[i], rel_tol=1e-9) and not got[term].singular
     twice = regression.hac_ols(rows.withColumn("x4", F.col("x1") * 2), ("series",), "y", ["x1", "x4"]).collect()
     assert all(r.singular for r in twice)
-
-
-def test_paths_draw_months_of_their_state(spark):
-    states = [("A" if i % 10 < 6 else "B", dt.date(2000 + i // 12, i % 12 + 1, 28)) for i in range(60)]
-    df = spark.createDataFrame(states, "state string, month date")
-    moves = spark.createDataFrame([("A", "A", 0.8), ("A", "B", 0.2), ("B", "A", 0.5), ("B", "B", 0.5)], "from_state string, to_state string, p double")
-    paths = inference.state_block_paths(df, moves, "weights", {"A": 0.7, "B": 0.3}, trials=200, months=60)
-    share = paths.join(inference.month_positions(df.select("month", "state")), "pos").join(df, "month").agg(F.avg((F.col("state") == "A").cast("double"))).first()[0]
-    assert paths.count() == 200 * 60 and abs(share - 0.7) < 0.06
-    assert paths.orderBy("trial", "period").collect() == inference.state_block_paths(df, moves, "weights", {"A": 0.7, "B": 0.3}, trials=200, months=60).repartition(5).orderBy("trial", "period").collect()
