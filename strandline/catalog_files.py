@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalog import _d, _r, panel, query
+from .operators import exposure as E
 from .operators import panel as P
 from .operators import performance as A
 from .plans import fixtures as X
@@ -105,3 +107,35 @@ def literal_regimes(s, d):
     """The fixed regimes on the panel: those that its months reach."""
     rows = A.join_regimes(panel(s, d).filter("ret IS NOT NULL"), files.literal_table(s, "regimes"))
     return rows.groupBy("regime").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))
+
+
+def _months(ranges: list[tuple[str, str, str]]) -> str:
+    return ", ".join(f"('{r}', DATE '{a}', DATE '{b}')" for r, a, b in ranges)
+
+
+@query(
+    f"""SELECT u AS universe, regime, count(DISTINCT month) AS n_months, count(*) AS n, {_r("avg(ret) AS mean_ret")} FROM rt JOIN (SELECT 'modern' AS u, * FROM (VALUES {_months(files.EPISODES_MODERN)}) UNION ALL SELECT 'historic', * FROM (VALUES {_months(files.EPISODES_HISTORIC)})) v(u, regime, s, e)
+  ON CASE WHEN u = 'modern' THEN month ELSE last_day(month - INTERVAL 240 MONTH) END BETWEEN s AND e WHERE ret IS NOT NULL GROUP BY ALL"""
+)
+def literal_episodes(s, d):
+    """The two universes of episodes, apart: the modern ones on the panel's months, the historic ones on months twenty years before."""
+    rows = panel(s, d).filter("ret IS NOT NULL").select("series", "month", "ret")
+    early = rows.withColumn("month", F.last_day(F.add_months("month", -240)))
+    both = [A.join_regimes(r, files.literal_table(s, f"episodes_{u}")).withColumn("universe", F.lit(u)) for u, r in (("modern", rows), ("historic", early))]
+    return both[0].unionByName(both[1]).groupBy("universe", "regime").agg(F.countDistinct("month").alias("n_months"), F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))
+
+
+_TRANSCRIBED = ", ".join(f"('{x}', '{dim}', '{c}', {w})" for x, dims in files.TRANSCRIBED.items() for dim, rows in dims.items() for c, w in rows)
+
+
+@query(
+    f"""SELECT dim, category, {_r("sum(w * pct) AS pct")} FROM (VALUES {_TRANSCRIBED}) t(series, dim, category, pct) JOIN (
+  SELECT 'AC_Asia_ex_Japan | ' || CASE factor WHEN 'MACHINERY' THEN 'Momentum' ELSE 'Enhanced Value' END AS series, sum(level) / sum(sum(level)) OVER () AS w FROM rt WHERE region = 'ASIA' AND factor IN ('MACHINERY', 'FURNITURE') GROUP BY factor) USING (series) GROUP BY dim, category"""
+)
+def transcribed_exposure(s, d):
+    """What a portfolio of the two transcribed indices holds; its weights are two series' shares of their levels."""
+    own = panel(s, d).filter("region = 'ASIA' AND factor IN ('MACHINERY', 'FURNITURE')")
+    name = F.concat(F.lit("AC_Asia_ex_Japan | "), F.when(F.col("factor") == "MACHINERY", "Momentum").otherwise("Enhanced Value"))
+    levels = own.groupBy(name.alias("series")).agg(F.sum("level").alias("l"))
+    weights = levels.select(F.lit("two").alias("portfolio"), "series", (F.col("l") / F.sum("l").over(W.partitionBy())).alias("weight"))
+    return E.look_through(weights, files.literal_table(s, "transcribed")).select("dim", "category", "pct")

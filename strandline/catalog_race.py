@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _d, _r, panel, query
+from .catalog_exposure import _MOMENTS
 from .catalog_states import _CASH, _cash
 from .functions import dense, finance
 from .operators import covariance as V
+from .operators import panel as P
 from .operators import performance as A
 from .operators import walkforward as R
+from .plans import fixtures as X
 from .plans.scratch import settled
 from .sources.files import FEES_BPS
 
@@ -280,6 +285,11 @@ def exposure_diagnostics(s, d):
     return R.exposure_diagnostics(rows, panel(s, d), rows.filter("series = '1/N'").select("month", F.col("ret").alias("bench")), 24)
 
 
+#: Two-sided p of a rank correlation rho of n menus, by Student's distribution as a finite sum.
+_SPEARMAN_P = """CASE WHEN n >= 3 THEN greatest(0, 1 - CASE WHEN n % 2 = 1 THEN 2 / pi() * (asin(least(abs(rho), 1)) + abs(rho) * coalesce(list_sum(list_transform(range(0, CAST((n - 3) / 2 AS BIGINT)), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(sqrt(greatest(1 - rho * rho, 0)), 2 * k + 1))), 0))
+  ELSE abs(rho) * coalesce(list_sum(list_transform(range(0, CAST((n - 2) / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(greatest(1 - rho * rho, 0), k))), 0) END) END AS p"""
+
+
 @query(
     f"""{_LOO}, cr AS (SELECT menu, avg(c) AS mean_corr FROM (SELECT a.menu, a.series, b.series, corr(a.ret, b.ret) AS c FROM ps a JOIN ps b ON a.menu = b.menu AND a.pos = b.pos AND a.series < b.series GROUP BY ALL) GROUP BY menu),
   sp AS (SELECT menu, stddev_samp(m) AS spread FROM (SELECT menu, series, avg(ret) AS m FROM ps GROUP BY ALL) GROUP BY menu),
@@ -287,7 +297,7 @@ def exposure_diagnostics(s, d):
   gp AS (SELECT a.menu, a.rule, a.sharpe - b.sharpe AS gap FROM ls a JOIN ls b ON b.menu = a.menu AND b.rule = '1/N' WHERE a.rule <> '1/N'),
   rk AS (SELECT rule, measure, rank() OVER (PARTITION BY rule, measure ORDER BY round(value, 12) DESC) + (count(*) OVER (PARTITION BY rule, measure, round(value, 12)) - 1) / 2.0 AS rx,
     rank() OVER (PARTITION BY rule, measure ORDER BY round(gap, 12) DESC) + (count(*) OVER (PARTITION BY rule, measure, round(gap, 12)) - 1) / 2.0 AS ry FROM me JOIN gp USING (menu))
-  SELECT rule, measure, count(*) AS n, {_r("corr(rx, ry) AS spearman")} FROM rk GROUP BY rule, measure"""
+  SELECT rule, measure, n, {_r("rho AS spearman", _SPEARMAN_P)} FROM (SELECT rule, measure, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY rule, measure)"""
 )
 def menu_study(s, d):
     """Menus without each region: does a rule's gap to 1/N go with the menu's correlation or spread?"""
@@ -300,6 +310,89 @@ def menu_study(s, d):
     return R.menu_study(pairs.unionAll(means), gaps)
 
 
+#: Menus of two eras: the whole panel, it without each region, and it with two proxies; the names are era/menu.
+_ERAS = {"all": "1990-01-31", "late": "1996-01-31"}
+_ERA_MENUS = race_sql(
+    " UNION ALL ".join(
+        f"""SELECT '{e}/' || menu AS menu, series, region, factor, month, ret FROM rt, (VALUES ('none'), {", ".join(f"('{g}')" for g in _GROUPS)}) m(menu) WHERE ret IS NOT NULL AND menu <> region AND month >= DATE '{since}'
+  UNION ALL SELECT '{e}/with assets', series, region, factor, month, ret FROM rt WHERE ret IS NOT NULL AND month >= DATE '{since}'
+  UNION ALL SELECT '{e}/with assets', series, 'Asset', split_part(series, ' | ', 2), month, ret FROM px WHERE month IN (SELECT month FROM rt WHERE ret IS NOT NULL) AND month >= DATE '{since}'"""
+        for e, since in _ERAS.items()
+    )
+)
+_PX = """, px AS (SELECT * FROM (SELECT CASE indicator WHEN 'unit_price' THEN 'Asset | Gold' ELSE 'Asset | Cash (T-bill)' END AS series, month, value / lag(value) OVER (PARTITION BY indicator ORDER BY month) - 1 AS ret FROM ind
+  WHERE indicator IN ('unit_price', 'avg_total') AND month < DATE '2001-11-30') WHERE ret IS NOT NULL)"""
+_RECONCILED = f"""{_PX}{_ERA_MENUS},
+ax AS (SELECT menu, series, pos, ret - avg(ret) OVER (PARTITION BY menu, series) AS x FROM ps),
+am AS (SELECT a.menu, a.series AS i, b.series AS j, count(*) AS n, avg(a.x * b.x) AS c, avg(a.x * a.x * b.x * b.x) AS m22, avg(a.x * a.x * a.x * b.x) AS m31 FROM ax a JOIN ax b ON a.menu = b.menu AND a.pos = b.pos GROUP BY ALL),
+a1 AS (SELECT am.*, a.c AS vi, b.c AS vj, sqrt(a.c * b.c) AS root FROM am JOIN am a ON a.menu = am.menu AND a.i = am.i AND a.j = am.i JOIN am b ON b.menu = am.menu AND b.i = am.j AND b.j = am.j),
+ar2 AS (SELECT menu, avg(c / root) FILTER (WHERE i < j) AS mean_corr, min(c / root) FILTER (WHERE i < j) AS min_corr, count(*) FILTER (WHERE i = j) AS n_series FROM a1 GROUP BY menu),
+a2 AS (SELECT a1.*, mean_corr AS r, CASE WHEN i = j THEN vi ELSE mean_corr * root END AS f, m22 - c * c AS pi, CASE WHEN i = j THEN 0 ELSE sqrt(vj / vi) * (m31 - vi * c) END AS th FROM a1 JOIN ar2 USING (menu)),
+a3 AS (SELECT menu, least(1, greatest(0, (sum(pi) - sum(pi) FILTER (WHERE i = j) - max(r) * sum(th)) / sum((c - f) * (c - f)) / max(n))) AS delta FROM a2 GROUP BY menu),
+a4 AS (SELECT menu, pow(sum(CASE WHEN i = j THEN sqrt(c) END), 2) / sum(delta * f + (1 - delta) * c) AS dr2 FROM a2 JOIN a3 USING (menu) GROUP BY menu),
+ag AS (SELECT a.menu, a.rule, a.m / a.s - b.m / b.s AS d FROM (SELECT menu, rule, avg(net) AS m, stddev_pop(net) AS s, count(*) AS n FROM rr GROUP BY ALL HAVING count(*) >= 24) a JOIN (SELECT menu, rule, avg(net) AS m, stddev_pop(net) AS s FROM rr GROUP BY ALL) b ON b.menu = a.menu AND b.rule = '1/N' AND a.rule <> '1/N'),
+me AS (UNPIVOT (SELECT menu, CAST(n_series AS DOUBLE) AS n_series, mean_corr, min_corr, 1 / mean_corr AS inv_mean_corr, dr2 FROM ar2 JOIN a4 USING (menu)) ON n_series, mean_corr, min_corr, inv_mean_corr, dr2 INTO NAME measure VALUE value)"""
+
+
+def _reconciled(s, d) -> tuple[DataFrame, DataFrame]:
+    """Measures and races' gaps of every menu of both eras; the menus of all eras are keys of one race."""
+    p = panel(s, d).filter("ret IS NOT NULL").select("series", "region", "factor", "month", "ret")
+    name = F.when(F.col("indicator") == "unit_price", "Asset | Gold").otherwise("Asset | Cash (T-bill)")
+    own = X.indicators(s, d).filter("indicator IN ('unit_price', 'avg_total') AND month < '2001-11-30'").select(name.alias("series"), "month", F.col("value").alias("level"))
+    proxies = P.split_key(P.returns(own)).filter("ret IS NOT NULL")
+    menus = R.drop_groups(p, _GROUPS).unionByName(P.append_proxies(p, proxies).withColumn("menu", F.lit("with assets")))
+    eras = [menus.filter(F.col("month") >= F.lit(since).cast("date")).withColumn("menu", F.concat(F.lit(f"{e}/"), "menu")) for e, since in _ERAS.items()]
+    placed = placed_of(s, d, ("menu",), eras[0].unionByName(eras[1]))
+    return R.menu_measures(placed, ("menu",)), R.menu_gaps(_menu_race(placed), ("menu",), replicates=0)
+
+
+@query(f"{_RECONCILED} SELECT split_part(menu, '/', 1) AS era, split_part(menu, '/', 2) AS menu, measure, {_r('value')} FROM (SELECT * FROM me UNION ALL SELECT menu, 'gap of ' || rule, d * sqrt(12.0) FROM ag)", macro=True)
+def menu_reconciliation(s, d):
+    """Every menu's measures and the rules' gaps to 1/N, by era."""
+    measures, gaps = _reconciled(s, d)
+    both = measures.unionByName(gaps.filter("gap IS NOT NULL").select("menu", F.concat(F.lit("gap of "), "rule").alias("measure"), F.col("gap").alias("value")))
+    parts = F.split("menu", "/")
+    return both.select(parts[0].alias("era"), parts[1].alias("menu"), "measure", "value")
+
+
+@query(
+    f"""{_RECONCILED}, sc2 AS (SELECT split_part(menu, '/', 1) AS era, scope, rule, measure, value, d FROM me JOIN ag USING (menu), (VALUES ('all menus'), ('equity menus')) s(scope) WHERE (scope = 'all menus' OR menu NOT LIKE '%assets') AND measure IN ('dr2', 'mean_corr')),
+  rk AS (SELECT *, rank() OVER (PARTITION BY era, scope, rule, measure ORDER BY round(value, 12)) + (count(*) OVER (PARTITION BY era, scope, rule, measure, round(value, 12)) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY era, scope, rule, measure ORDER BY round(d * sqrt(12.0), 12)) + (count(*) OVER (PARTITION BY era, scope, rule, measure, round(d * sqrt(12.0), 12)) - 1) / 2.0 AS ry FROM sc2)
+  SELECT era, scope, rule, measure, n, {_r("rho AS spearman", _SPEARMAN_P)} FROM (SELECT era, scope, rule, measure, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY ALL)""",
+    macro=True,
+)
+def menu_spearman(s, d):
+    """Does a rule's gap go with a menu's bets or correlation, by era and with or without the menus that hold assets?"""
+    measures, gaps = _reconciled(s, d)
+    scope = F.explode(F.when(F.col("menu").endswith("assets"), F.array(F.lit("all menus"))).otherwise(F.array(F.lit("all menus"), F.lit("equity menus"))))
+    keyed = measures.filter("measure IN ('dr2', 'mean_corr')").withColumn("era", F.split("menu", "/")[0]).withColumn("scope", scope)
+    return R.menu_study(keyed, gaps.withColumn("era", F.split("menu", "/")[0]).withColumn("scope", scope), ("era", "scope"))
+
+
+_CORRELATED = f"""{_RACE} SELECT rr.rule AS series, region, count(*) AS n, {_r("corr(net, ret) AS corr")} FROM rr JOIN (SELECT region, month, ret FROM rt WHERE factor = 'Reference' AND ret IS NOT NULL) USING (month) GROUP BY ALL"""
+
+
+@query(_CORRELATED)
+def region_correlations(s, d):
+    """Every rule with every region's Reference."""
+    return R.region_correlations(race_of(s, d)[3].select(F.col("rule").alias("series"), "month", F.col("net").alias("ret")), panel(s, d))
+
+
+_EVEN = "SELECT '{}' AS estimator, {} FROM (SELECT *, count(*) FILTER (WHERE i = j) OVER () AS k FROM {})"
+
+
+@query(
+    f"""{_MOMENTS}, ts AS (SELECT avg(c) FILTER (WHERE i = j) AS m, (sum(c * c) - count(*) FILTER (WHERE i = j) * pow(avg(c) FILTER (WHERE i = j), 2)) / count(*) FILTER (WHERE i = j) AS d2, (sum(m22) - sum(c * c)) / (max(n) * count(*) FILTER (WHERE i = j)) AS b2 FROM mo),
+  id2 AS (SELECT i, j, n, CASE WHEN d2 > 0 THEN least(b2, d2) / d2 ELSE 0 END AS delta, c, m FROM mo, ts), e2 AS (SELECT i, j, n, delta, delta * CASE WHEN i = j THEN m ELSE 0 END + (1 - delta) * c AS cov FROM id2), e3 AS (SELECT i, j, n, 0.0 AS delta, cs AS cov FROM mo)
+  {" UNION ALL ".join(_EVEN.format(n, _r("max(delta) AS delta", "sqrt(sum(cov) * 12) / max(k) AS ann_vol"), t) for n, t in (("constant_correlation", "sk"), ("identity", "e2"), ("sample", "e3")))}"""
+)
+def estimator_switch(s, d):
+    """The volatility of equal weights by each estimator."""
+    pairs = settled(V.covariance_pairs(panel(s, d)))
+    vol = F.sqrt(F.sum("cov") * 12) / F.count_if(F.col("i") == F.col("j"))
+    return reduce(DataFrame.unionByName, [V.estimate(pairs, e).agg(F.max("delta").alias("delta"), vol.alias("ann_vol")).withColumn("estimator", F.lit(e)) for e in V.ESTIMATORS])
+
+
 @query(f"{_RACE} SELECT rule, strftime(m.month, '%Y-%m-%d') AS month, h.series, {_r('h.w AS w')} FROM (SELECT DISTINCT month FROM ps) m JOIN (SELECT ws.*, q.month AS start FROM ws JOIN sd USING (menu, refit) JOIN (SELECT DISTINCT pos, month FROM ps) q ON pos = hi + 1 WHERE rule = 'Momentum') h ON start = (SELECT max(month) FROM sd JOIN (SELECT DISTINCT pos, month FROM ps) ON pos = hi + 1 WHERE month <= m.month)")
 def weights_held(s, d):
     placed = placed_of(s, d)
@@ -347,15 +440,22 @@ def walk_forward_dense(s, d):
 
 @query(None)
 def menu_diagnostics(s, d):
-    """Bets that each menu without a region holds, on the shrunk covariance."""
+    """Bets that each menu without a region holds: correlations and independent bets by pairs, the spectrum from each menu's correlation matrix, all on the shrunk covariance."""
     placed = placed_of(s, d, ("menu",), R.drop_groups(panel(s, d), _GROUPS))
+    cov = settled(V.shrink_constant_correlation(V.covariance_pairs(placed, ("menu",), complete=False), ("menu",)))
+    sd = cov.filter("i = j").select("menu", "i", F.sqrt("cov").alias("sd"))
+    corr = settled(cov.join(sd, ["menu", "i"]).join(sd.withColumnsRenamed({"i": "j", "sd": "sd_j"}), ["menu", "j"]).select("menu", "i", "j", (F.col("cov") / F.col("sd") / F.col("sd_j")).alias("corr"), "cov", "sd"))
+    off = F.when(F.col("i") != F.col("j"), F.col("corr"))
+    own = F.when(F.col("i") == F.col("j"), F.col("sd"))
+    bets = corr.groupBy("menu").agg(F.count(own).alias("n_series"), F.avg(off).alias("mean_corr"), F.min(off).alias("min_corr"), (F.pow(F.sum(own), 2) / F.sum("cov")).alias("dr2_equal"))
 
-    def diagnose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.pivot(index="pos", columns="series", values="ret").sort_index(axis=1).to_numpy()
-        return pd.DataFrame([{"menu": key[0], **dense.menu_diagnostics(x, dense.estimate(x)[0])}])
+    def shares(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        share = dense.spectrum(cells.pivot(index="i", columns="j", values="corr").to_numpy())
+        some = share[share > 1e-12]
+        return pd.DataFrame({"menu": [key[0]], "pc1_share": share[0], "n_pcs_90": int((share.cumsum() < 0.9).sum()) + 1, "entropy_bets": np.exp(-some @ np.log(some))})
 
-    schema = "menu string, n_series bigint, mean_corr double, min_corr double, pc1_share double, n_pcs_90 bigint, entropy_bets double, dr2_equal double"
-    return placed.select("menu", "series", "pos", "ret").groupBy("menu").applyInPandas(diagnose, schema)
+    found = corr.select("menu", "i", "j", "corr").groupBy("menu").applyInPandas(shares, "menu string, pc1_share double, n_pcs_90 bigint, entropy_bets double")
+    return bets.join(found, "menu").select("menu", "n_series", "mean_corr", "min_corr", "pc1_share", "n_pcs_90", "entropy_bets", "dr2_equal")
 
 
 @query(None)
@@ -363,18 +463,15 @@ def implied_and_posterior(s, d):
     """Implied and posterior monthly returns of each menu's series, with one view: the first series over the last, at its own mean gap."""
     placed = placed_of(s, d, ("menu",), R.drop_groups(panel(s, d), _GROUPS[:2]))
 
-    def blend(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot(index="pos", columns="series", values="ret").sort_index(axis=1)
-        x = wide.to_numpy()
-        cov, n = dense.estimate(x)[0], x.shape[1]
+    def blend(series: list[str], x: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
         anchor = dense.risk_budgets(cov)
         pi, _ = dense.implied_returns(cov, anchor, float((x @ anchor).mean()))
-        view = np.zeros((1, n))
+        view = np.zeros((1, len(series)))
         view[0, 0], view[0, -1] = 1.0, -1.0
         after = dense.posterior(pi, cov, len(x), view, view @ x.mean(axis=0), np.array([0.5]))
-        return pd.DataFrame({"menu": key[0], "series": wide.columns, "anchor": anchor, "implied": pi, "posterior": after})
+        return pd.DataFrame({"series": series, "anchor": anchor, "implied": pi, "posterior": after})
 
-    return placed.select("menu", "series", "pos", "ret").groupBy("menu").applyInPandas(blend, "menu string, series string, anchor double, implied double, posterior double")
+    return R.by_matrix(placed, ("menu",), blend, "series string, anchor double, implied double, posterior double")
 
 
 @query(

@@ -83,6 +83,22 @@ def shrink_identity(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return p.withColumn("delta", delta).select(*by, "i", "j", (F.col("delta") * target + (1 - F.col("delta")) * F.col("cov_pop")).alias("cov"), "delta", "n")
 
 
+def no_shrinkage(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, cov, delta, n: the sample's covariances as they are."""
+    return pairs.select(*by, "i", "j", "cov", F.lit(0.0).alias("delta"), "n")
+
+
+#: Estimators by name, over the pairs of :func:`covariance_pairs`.
+ESTIMATORS = {"constant_correlation": shrink_constant_correlation, "identity": shrink_identity, "sample": no_shrinkage}
+
+
+def estimate(pairs: DataFrame, estimator: str = "constant_correlation", by: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, cov, delta, n by the estimator of that name; an unknown name is an error that lists the known ones."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator!r}: {', '.join(ESTIMATORS)}")
+    return ESTIMATORS[estimator](pairs, by)
+
+
 _MOMENTS = ("corr", "ss", "s_root", "root2", "s", "root", "pi", "theta", "n_pairs", "var", "sd")
 
 

@@ -6,16 +6,21 @@ has complete months; positions number them from 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dense
+from ..functions.normal import correlation_p
+from .covariance import ESTIMATORS, covariance_pairs, dr2_draws, estimate
+from .inference import sharpe_diff_test
 from .panel import asof_backward, complete_months
-from .performance import REFERENCE, average_rank, half_split_sharpe, momentum_score, perf_stats, rolling_beats
+from .performance import REFERENCE, average_rank, corr_pairs, half_split_sharpe, momentum_score, perf_stats, rolling_beats
 
 BPS = 10.0
 
@@ -75,25 +80,39 @@ def naive_tilts(placed: DataFrame, schedule: DataFrame, factor: str, by: tuple[s
     return tilt.unionByName(own.filter("inv IS NOT NULL").select(*by, F.lit("Inverse variance").alias("rule"), "refit", "series", share.alias("w")))
 
 
+def by_matrix(rows: DataFrame, keys: tuple[str, ...], fit: Callable[[list[str], np.ndarray, np.ndarray], pd.DataFrame], schema: str, estimator: str = "constant_correlation") -> DataFrame:
+    """``keys`` and what ``fit(series, returns, covariance)`` finds (``schema``: its columns) for each group of rows (``keys``, series, pos, month, ret) without gaps.
+
+    Covariances are estimated from all pairs of all groups at once; a group's matrix and months meet in one task, the unit that a dense rule needs.
+    """
+    pairs = covariance_pairs(rows, keys, complete=False)
+    cov = estimate(pairs, "sample" if estimator == "nonlinear" else estimator, keys)
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(key: tuple, months: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        wide = months.pivot(index="pos", columns="series", values="ret").sort_index(axis=1)
+        matrix = cells.pivot(index="i", columns="j", values="cov").loc[wide.columns, wide.columns].to_numpy()
+        found = fit(list(wide.columns), wide.to_numpy(), dense.spectral(matrix, len(wide)) if estimator == "nonlinear" else matrix)
+        return found.assign(**dict(zip(keys, key, strict=True)))[[*keys, *found.columns]]
+
+    cells = cov.select(*(F.col(k).alias(f"_{k}") for k in keys), "i", "j", "cov").groupBy(*(f"_{k}" for k in keys))
+    return rows.select(*keys, "series", "pos", "ret").groupBy(*keys).cogroup(cells).applyInPandas(run, f"{own}, {schema}")
+
+
 def fit_weights(placed: DataFrame, schedule: DataFrame, rules: tuple[str, ...], by: tuple[str, ...] = (), estimator: str = "constant_correlation") -> DataFrame:
-    """``by``, rule, refit, series, w of the dense rules, all from one matrix of training months by series for each refit.
+    """``by``, rule, refit, series, w of the dense rules for each refit, on the covariance by ``estimator``: one of `covariance.ESTIMATORS`, or nonlinear.
 
-    The rules' names are those of ``functions.dense.RULES``; a group is one menu's training window, the unit that such a rule needs.
+    The rules' names are those of ``functions.dense.RULES``.
     """
     unknown = set(rules) - set(dense.RULES)
-    if unknown or estimator not in dense.ESTIMATORS:
+    if unknown or estimator not in (*ESTIMATORS, "nonlinear"):
         raise ValueError(f"unknown rules {sorted(unknown)} or estimator {estimator!r}")
-    rows = train_slices(placed, schedule, by).select(*by, "refit", "series", "pos", "ret")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, "refit").schema) + ", rule string, series string, w double"
+    rows = train_slices(placed, schedule, by).select(*by, "refit", "series", "pos", "month", "ret")
 
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot(index="pos", columns="series", values="ret").sort_index(axis=1)
-        x = wide.to_numpy()
-        cov, _ = dense.estimate(x, estimator)
-        parts = [pd.DataFrame({**dict(zip((*by, "refit"), key, strict=True)), "rule": rule, "series": wide.columns, "w": dense.RULES[rule](x, cov)}) for rule in rules]
-        return pd.concat(parts)[[*by, "refit", "rule", "series", "w"]]
+    def fit(series: list[str], x: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"rule": rule, "series": series, "w": dense.RULES[rule](x, cov)}) for rule in rules])
 
-    return rows.groupBy(*by, "refit").applyInPandas(fit, schema).select(*by, "rule", "refit", "series", "w")
+    return by_matrix(rows, (*by, "refit"), fit, "rule string, series string, w double", estimator).select(*by, "rule", "refit", "series", "w")
 
 
 def turnover(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -254,10 +273,15 @@ def sensitivity_flips(cells: DataFrame, leader: str, capped: str, uncapped: str,
     return told.withColumn("verdict", F.when(~F.col("_b"), "stale").when(~F.col("holds"), "flips").otherwise("holds")).drop("_b")
 
 
-def exposure_diagnostics(returns_: DataFrame, panel: DataFrame, bench: DataFrame, window: int = 36) -> DataFrame:
-    """series, first and second half's Sharpe, share of windows ahead of ``bench`` (month, bench) and region, the Reference it moves with most, and corr."""
+def region_correlations(returns_: DataFrame, panel: DataFrame) -> DataFrame:
+    """series, region, n, corr of returns with every region's Reference on the months that both have."""
     refs = panel.filter((F.col("factor") == REFERENCE) & F.col("ret").isNotNull()).select("region", "month", F.col("ret").alias("ref"))
-    corr = returns_.filter("ret IS NOT NULL").join(refs, "month").groupBy("series", "region").agg(F.corr("ret", "ref").alias("corr"))
+    return returns_.filter("ret IS NOT NULL").join(refs, "month").groupBy("series", "region").agg(F.count("*").alias("n"), F.corr("ret", "ref").alias("corr"))
+
+
+def exposure_diagnostics(returns_: DataFrame, panel: DataFrame, bench: DataFrame, window: int = 36) -> DataFrame:
+    """series, first and second half's Sharpe, share of windows ahead of ``bench`` (month, bench) and region, the Reference it moves with most, and corr; all regions: :func:`region_correlations`."""
+    corr = region_correlations(returns_, panel)
     nearest = corr.groupBy("series").agg(F.max_by(F.struct("region", "corr"), F.struct(F.round("corr", 9), "region")).alias("n")).select("series", F.col("n.region").alias("region"), F.col("n.corr").alias("corr"))
     return half_split_sharpe(returns_).join(rolling_beats(returns_, bench, window).drop("ahead"), "series", "left").join(nearest, "series", "left")
 
@@ -283,11 +307,35 @@ def protocol_grid(placed: DataFrame, protocols: list[tuple[str, int, int, int |
     return rows, reduce(DataFrame.unionByName, parts)
 
 
-def menu_study(menus: DataFrame, gaps: DataFrame) -> DataFrame:
-    """rule, measure, n, spearman: rank correlation over menus of a measure (menu, measure, value) with the rule's gap (menu, rule, gap)."""
-    rows = menus.join(gaps.filter("gap IS NOT NULL"), "menu")
-    ranked = rows.withColumn("rx", average_rank(F.round("value", 12), ["rule", "measure"])).withColumn("ry", average_rank(F.round("gap", 12), ["rule", "measure"]))
-    return ranked.groupBy("rule", "measure").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+def menu_study(menus: DataFrame, gaps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, rule, measure, n, spearman, p: rank correlation over menus of a measure (``by``, menu, measure, value) with the rule's gap (``by``, menu, rule, gap).
+
+    ``by`` are eras and scopes; p is two-sided by Student's distribution, null for fewer than three menus.
+    """
+    rows = menus.join(gaps.filter("gap IS NOT NULL"), [*by, "menu"])
+    keys = [*by, "rule", "measure"]
+    ranked = rows.withColumn("rx", average_rank(F.round("value", 12), keys)).withColumn("ry", average_rank(F.round("gap", 12), keys))
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    return out.withColumn("p", correlation_p(F.col("spearman"), F.col("n")))
+
+
+def menu_measures(placed: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``by``, measure, value of each menu: n_series, mean_corr, min_corr, inv_mean_corr, and dr2, the independent bets of equal weights on the shrunk covariance."""
+    pairs = corr_pairs(placed, by, complete=False).groupBy(*by).agg(F.avg("corr").alias("mean_corr"), F.min("corr").alias("min_corr"))
+    bets = dr2_draws(placed, by, 0).select(*by, "dr2")
+    sizes = placed.groupBy(*by).agg(F.countDistinct("series").cast("double").alias("n_series"))
+    rows = sizes.join(pairs, list(by)).join(bets, list(by)).withColumn("inv_mean_corr", 1 / F.nullif(F.col("mean_corr"), F.lit(0.0)))
+    return rows.unpivot(list(by), ["n_series", "mean_corr", "min_corr", "inv_mean_corr", "dr2"], "measure", "value")
+
+
+def menu_gaps(race: DataFrame, by: tuple[str, ...], bench: str = "1/N", replicates: int = 4999) -> DataFrame:
+    """``by``, rule, gap (yearly Sharpe ratio, monthly population figures, less the bench's) and p_boot of each rule in each race."""
+    name = lambda rule: F.to_json(F.struct(*by, rule.alias("rule")))
+    net = race.select(name(F.col("rule")).alias("series"), "month", F.col("net").alias("ret"))
+    rules = race.filter(F.col("rule") != bench).select(*by, "rule").distinct()
+    pairs = rules.withColumns({"x_name": name(F.col("rule")), "y_name": name(F.lit(bench))})
+    tests = sharpe_diff_test(net, pairs, replicates).select("x_name", (F.col("delta") * F.sqrt(F.lit(12.0))).alias("gap"), "p_boot")
+    return pairs.join(tests, "x_name").select(*by, "rule", "gap", "p_boot")
 
 
 def held_at(weights: DataFrame, schedule: DataFrame, months: DataFrame) -> DataFrame:

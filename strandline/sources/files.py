@@ -74,9 +74,10 @@ def read_monthly_block(spark: SparkSession, path: str) -> DataFrame:
     found = files.select(*keys, lines.alias("lines"), first.cast("int").alias("first")).filter("first > 1")
     rest = found.withColumn("rest", F.slice("lines", F.col("first"), F.size("lines"))).withColumn("end", F.array_position(F.transform("rest", lambda x: x.rlike(_MONTH_ROW)), F.lit(False)).cast("int"))
     n = F.when(F.col("end") == 0, F.size("rest")).otherwise(F.col("end") - 1)
-    names = F.slice(F.split(F.element_at("lines", F.col("first") - 1), ","), 2, 100_000)
+    head = F.split(F.element_at("lines", F.col("first") - 1), ",")
+    names = F.slice(head, F.lit(2), F.size(head))
     rows = rest.select(*keys, names.alias("names"), F.explode(F.slice("rest", F.lit(1), n)).alias("line")).withColumn("cells", F.split("line", ","))
-    cells = F.arrays_zip(F.col("names").alias("name"), F.slice("cells", 2, 100_000).alias("text"))
+    cells = F.arrays_zip(F.col("names").alias("name"), F.slice("cells", F.lit(2), F.size("cells")).alias("text"))
     flat = rows.select(*keys, F.last_day(F.to_date(F.trim(F.col("cells")[0]), "yyyyMM")).alias("month"), F.explode(cells).alias("cell"))
     percent = _double(F.trim("cell.text"))
     return flat.select(*keys, "month", F.trim("cell.name").alias("name"), F.when(~percent.isin(*SENTINELS), percent / 100).alias("value")).filter("name IS NOT NULL")
@@ -95,10 +96,38 @@ REGIMES = [
     ("post_gfc_rebound", "2009-03-31", "2011-06-30"), ("eurocrisis_us_turn", "2011-07-31", "2015-12-31"), ("us_megacap", "2016-01-31", "2020-01-31"),
     ("covid", "2020-02-29", "2021-12-31"), ("rate_shock", "2022-01-31", "2022-10-31"), ("ai_boom", "2022-11-30", "2026-06-30"),
 ]
-EPISODES = [
+EPISODES_MODERN = [
+    ("Dot-com bust", "2000-09-30", "2002-09-30"), ("Global Financial Crisis", "2007-11-30", "2009-02-28"), ("COVID crash", "2020-01-31", "2020-03-31"), ("2022 rate shock", "2022-01-31", "2022-09-30"),
+]
+EPISODES_HISTORIC = [
     ("OPEC stagflation", "1973-01-31", "1974-09-30"), ("Volcker squeeze", "1981-01-31", "1982-07-31"), ("Black Monday era", "1987-09-30", "1987-11-30"), ("Dot-com bust", "2000-09-30", "2002-09-30"),
-    ("Global Financial Crisis", "2007-11-30", "2009-02-28"), ("COVID crash", "2020-01-31", "2020-03-31"), ("2022 rate shock", "2022-01-31", "2022-09-30"),
+    ("Global Financial Crisis", "2007-11-30", "2009-02-28"), ("2022 rate shock", "2022-01-31", "2022-09-30"),
 ]
+#: Weights in percent of two indices that have no sheet, as published on a page with one decimal.
+TRANSCRIBED = {
+    "AC_Asia_ex_Japan | Enhanced Value": {
+        "sector": [
+            ("Information Technology", 53.1), ("Financials", 14.3), ("Industrials", 8.6), ("Consumer Discretionary", 7.9), ("Communication Services", 5.0), ("Materials", 2.4),
+            ("Health Care", 2.1), ("Consumer Staples", 1.8), ("Energy", 1.8), ("Utilities", 1.3), ("Real Estate", 1.1),
+        ],
+        "country": [("Korea", 65.1), ("China", 25.4), ("Taiwan", 4.2), ("Hong Kong", 3.4), ("Thailand", 0.7), ("Other", 1.2)],
+        "stock": [
+            ("SAMSUNG ELECTRONICS CO", 23.25), ("SK HYNIX", 22.44), ("CHINA CONSTRUCTION BK H", 4.94), ("SK SQUARE CO", 3.88), ("SAMSUNG ELECTRONICS PREF", 2.94), ("ICBC H", 2.76),
+            ("KIA CORP", 2.47), ("BANK OF CHINA H", 2.34), ("CHINA TOWER CORP H", 2.08), ("HYUNDAI MOBIS", 2.00),
+        ],
+    },
+    "AC_Asia_ex_Japan | Momentum": {
+        "sector": [
+            ("Information Technology", 78.4), ("Industrials", 10.3), ("Financials", 5.1), ("Materials", 2.1), ("Consumer Discretionary", 1.7), ("Energy", 1.0), ("Real Estate", 0.5),
+            ("Consumer Staples", 0.2), ("Utilities", 0.2), ("Communication Services", 0.1),
+        ],
+        "country": [("Korea", 51.6), ("Taiwan", 38.9), ("China", 4.6), ("Singapore", 2.2), ("Hong Kong", 1.3), ("Other", 1.4)],
+        "stock": [
+            ("SK HYNIX", 20.09), ("TAIWAN SEMICONDUCTOR MFG", 14.77), ("SAMSUNG ELECTRONICS CO", 14.50), ("DELTA ELECTRONICS", 4.63), ("SK SQUARE CO", 4.31), ("SAMSUNG ELECTRO-MECH. CO", 3.08),
+            ("ASE TECHNOLOGY HOLDING", 2.33), ("MEDIATEK INC", 2.24), ("ELITE MATERIAL CO", 2.08), ("UNIMICRON TECHNOLOGY", 1.69),
+        ],
+    },
+}
 ZONES = {
     "North America": ["United States", "Canada"],
     "Europe": ["France", "Germany", "Italy", "Netherlands", "Spain", "Switzerland", "United Kingdom"],
@@ -113,9 +142,10 @@ ARCHETYPES = {
 
 
 def literal_table(spark: SparkSession, kind: str) -> DataFrame:
-    """regimes or episodes (regime, start, end), zones (zone, country), fees (key, bps) or archetypes (portfolio, key, weight)."""
-    if kind in ("regimes", "episodes"):
-        rows = spark.createDataFrame(REGIMES if kind == "regimes" else EPISODES, "regime string, start string, end string")
+    """regimes, episodes_modern or episodes_historic (regime, start, end), zones (zone, country), fees (key, bps), archetypes (portfolio, key, weight) or transcribed (series, dim, category, weight_pct)."""
+    ranges = {"regimes": REGIMES, "episodes_modern": EPISODES_MODERN, "episodes_historic": EPISODES_HISTORIC}
+    if kind in ranges:
+        rows = spark.createDataFrame(ranges[kind], "regime string, start string, end string")
         return rows.select("regime", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
     if kind == "zones":
         return spark.createDataFrame([(z, c) for z, cs in ZONES.items() for c in cs], "zone string, country string")
@@ -123,7 +153,9 @@ def literal_table(spark: SparkSession, kind: str) -> DataFrame:
         return spark.createDataFrame(list(FEES_BPS.items()), "key string, bps double")
     if kind == "archetypes":
         return spark.createDataFrame([(p, k, w) for p, spec in ARCHETYPES.items() for k, w in spec.items()], "portfolio string, key string, weight double")
-    raise ValueError(f"unknown table {kind!r}: regimes, episodes, zones, fees or archetypes")
+    if kind == "transcribed":
+        return spark.createDataFrame([(s, dim, c, w) for s, dims in TRANSCRIBED.items() for dim, rows in dims.items() for c, w in rows], "series string, dim string, category string, weight_pct double")
+    raise ValueError(f"unknown table {kind!r}: {', '.join(ranges)}, zones, fees, archetypes or transcribed")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> None:
