@@ -51,9 +51,8 @@ bt AS (SELECT bv.x_name, bv.y_name, seed, rep, (dd - delta) / sqrt(var) AS t, de
 
 
 def contestants(s, d) -> DataFrame:
-    rows = P.complete_months(panel(s, d), "ret")
-    by_factor = rows.groupBy(F.col("factor").alias("series"), "month").agg(F.avg("ret").alias("ret"))
-    return settled(by_factor.unionByName(rows.groupBy("month").agg(F.avg("ret").alias("ret")).withColumn("series", F.lit("1/N"))))
+    rows = P.complete_months(panel(s, d), "ret").withColumn("series", F.explode(F.array("factor", F.lit("1/N"))))
+    return settled(rows.groupBy("series", "month").agg(F.avg("ret").alias("ret")))
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:

@@ -94,20 +94,22 @@ def sharpe_gaps(rows: DataFrame) -> DataFrame:
 
     delta, se and p are null for fewer than 24 months or without volatility; se and p also where the variance is not positive.
     """
-    stats = rows.groupBy(*_PAIR).agg(F.count("*").alias("n"), *_means()).withColumns(_sharpe_moments())
+    packed = F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("m")  # the pair's months
+    stats = rows.groupBy(*_PAIR).agg(F.count("*").alias("n"), *_means(), packed).withColumns(_sharpe_moments())
     v = lambda c, m, w: F.col(w) * (c - F.col(m))
-    x, y = F.col("x"), F.col("y")
-    influence = v(x, "mx", "wx") + v(y, "my", "wy") + v(x * x, "mxx", "wxx") + v(y * y, "myy", "wyy")
-    most = F.when(lags_of(F.col("n")) > MOST_LAGS, F.raise_error(F.lit(f"a pair needs more than {MOST_LAGS} lags"))).otherwise(lags_of(F.col("n")))
-    u = rows.join(stats, list(_PAIR)).withColumn("u", influence).withColumn("m", most)
-    w = W.partitionBy(*_PAIR).orderBy("pos")
-    lagged = [2 * parzen(F.lit(j) / F.col("m")) * F.col("u") * F.coalesce(F.lag("u", j).over(w), F.lit(0.0)) for j in range(1, MOST_LAGS + 1)]
-    psi = u.withColumn("g", sum(lagged, F.col("u") * F.col("u"))).groupBy(*_PAIR).agg(F.sum("g").alias("g"))
+    influence = F.transform("m", lambda e: v(e["x"], "mx", "wx") + v(e["y"], "my", "wy") + v(e["x"] * e["x"], "mxx", "wxx") + v(e["y"] * e["y"], "myy", "wyy"))
+    most = lags_of(F.col("n"))
+
+    def lagged(j: Column) -> Column:
+        rest = F.col("n").cast("int") - j
+        products = F.zip_with(F.slice("u", j + 1, rest), F.slice("u", F.lit(1), rest), lambda a, b: a * b)
+        return F.when(j == 0, 1.0).otherwise(2 * parzen(j / most)) * F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+
     root = lambda m, g: F.col(m) / F.when(F.col(g) - F.col(m) * F.col(m) > 1e-18, F.sqrt(F.col(g) - F.col(m) * F.col(m)))
     known = F.col("n") >= 24
-    out = stats.join(psi, list(_PAIR)).select(
-        *_PAIR, "n", root("mx", "mxx").alias("sharpe_x"), root("my", "myy").alias("sharpe_y"), F.when(known, F.col("delta")).alias("delta"),
-        F.when(known & (F.col("g") > 0), F.sqrt(F.col("g")) / F.col("n")).alias("se"),
+    g = F.aggregate(F.transform(F.sequence(F.lit(0), F.least(most, F.col("n").cast("int") - 1)), lagged), F.lit(0.0), lambda acc, p: acc + p)
+    out = stats.withColumn("u", influence).withColumn("g", F.when(known, g)).select(
+        *_PAIR, "n", root("mx", "mxx").alias("sharpe_x"), root("my", "myy").alias("sharpe_y"), F.when(known, F.col("delta")).alias("delta"), F.when(F.col("g") > 0, F.sqrt("g") / F.col("n")).alias("se"),
     )
     return out.withColumn("p_hac", 2 * norm_cdf(-F.abs(F.col("delta") / F.col("se"))))
 
@@ -132,7 +134,7 @@ def sharpe_draws(rows: DataFrame, gaps: DataFrame, replicates: int, seeds: tuple
     A replicate's error comes from the sums of its influence over whole blocks; one without volatility or error is left out.
     """
     known = gaps.filter("delta IS NOT NULL").select(*_PAIR, "delta")
-    drawn = over_replicates(rows.join(known.select(*_PAIR), list(_PAIR), "left_semi"), _PAIR, "pos", ["x", "y"], replicates, _studentised, "d double, v double", seeds, block)
+    drawn = over_replicates(rows, _PAIR, "pos", ["x", "y"], replicates, _studentised, "d double, v double", seeds, block, 24)
     return drawn.join(known, list(_PAIR)).select(*_PAIR, "seed", "rep", ((F.col("d") - F.col("delta")) / F.sqrt("v")).alias("t"))
 
 
