@@ -16,7 +16,7 @@ CHECKED += ["corr_by_regime", "rolling_beats", "trend_overlay", "sleeve_table",
 CHECKED += ["look_through_with_home", "shrink_identity", "vol_target_with_cash", "tbill_gate", "top_drivers", "quality_checks", "align_months", "resample_with_gaps", "hold_forward", "extract_constituents", "extract_weight_pairs"]
 CHECKED += ["read_monthly_block", "read_chart_json", "write_table", "factor_prior", "blend_report", "zone_exposure", "scramble_iid"]
 #: These need the months of a larger table.
-CHECKED_LARGE = ["walk_forward", "rebalance_drift", "sharpe_diff_test", "pbo_cscv", "hac_ols", "romano_wolf", "dr2_bootstrap", "permutation_verdict", "profiles", "outlook_backtest", "portfolio_cones"]
+CHECKED_LARGE = ["walk_forward", "rebalance_drift", "sharpe_diff_test", "pbo_cscv", "hac_ols", "outlook_backtest"]
 
 
 def rows(df):
