@@ -63,7 +63,8 @@ def maximin_weights(candidates: DataFrame, allowed: DataFrame, means: DataFrame,
     dealt = packed.withColumn("_piece", F.pmod(F.hash("portfolio"), F.lit(PIECES)))
     by_state = means.groupBy(*by, *arm, "refit", "state").agg(F.map_from_entries(F.collect_list(F.struct("series", "mean_ret"))).alias("m"))
     asked = by_state.groupBy(*by, *arm, "refit").agg(F.collect_list("m").alias("states")).filter(F.size("states") >= least_states)
-    asked = asked.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    parts = int(means.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data and much work: not to be put into few tasks
+    asked = asked.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))).repartition(parts, *by, *arm, "refit", "_piece")
     value = F.transform("states", lambda m: F.aggregate("held", F.lit(0.0), lambda acc, h: acc + h["weight"] * m[h["series"]]))
     known = F.filter(value, lambda v: v.isNotNull())
     scored = dealt.join(asked, [*by, "_piece"]).withColumn("_v", known).filter(F.size("_v") >= least_states).withColumn("floor", F.array_min("_v"))
