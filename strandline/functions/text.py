@@ -12,6 +12,7 @@ NOISE = ("Constituents", "Number", "of", "Weight", "Largest", "Smallest", "Avera
 NO_LABEL, NO_LABEL_PART = ("Since", "Dec"), ("WEIGHT", "SECTOR", "COUNTRY")
 _TOTALS = ("TOTAL", "NUMBER OF", "")
 
+#: Fixed values too: expressions of the sheets' layouts, which decide what text counts: "label nn.n%", and "name CC mktcap weight sector".
 PAIR = r"([A-Za-z][A-Za-z\.\&\-\s]+?)\s+(\d{1,2}(?:\.\d{1,2})?)%"
 LEADING = r"^(?:(?:" + "|".join(NOISE) + r"|[\d,]+\.?\d*) )+"
 _WITH_COUNTRY = r"^(.+?)\s+([A-Z]{2})\s+([\d,]+\.\d+)\s+(\d+\.\d+)\s+([A-Za-z].+)$"
