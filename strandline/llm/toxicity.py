@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mix
+from .common import Words, batches, cut, mix
 from .labelled import held_out, training_rows
 
 #: Size of the hash space.
 BITS = 22
 #: What separates words here: white space and punctuation.
 _BETWEEN = b" \t\n\v\f\r.,;:!?\"'()[]{}*"
-#: Documented bounds of the sample: rows in all, and rows that one task learns from.
-MOST_ROWS, SHARD_ROWS = 32_768, 16_384
+#: Documented bounds of the sample: rows in all, and about the rows and the bytes of coordinates that one task learns from.
+MOST_ROWS, SHARD_ROWS, SHARD_BYTES = 32_768, 16_384, 1 << 27
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -74,19 +74,31 @@ def train(
     l1: float = 4.0,
     l2: float = 0.0,
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates, weights and bias; without labels no weights and bias 0."""
+    """Coordinates, weights and bias; without labels no weights and bias 0.
+
+    Null labels and null ids are dropped, of repeated ids one row is learned from (see ``training_rows``), and a
+    null text has no feature. Texts of any length become at most 2^22 coordinates where they are read; more bytes of these make more shards.
+    """
     rows, n = training_rows(docs, labels, id_col, label_col, most_rows, {"text": text_col})
-    shards = max(1, -(-n // SHARD_ROWS))
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("_id", F.lit("shard")), F.lit(shards)))
+
+    def extract(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(batch_rows):
+            at = pa.array([np.unique(f).astype(np.int32).tobytes() for f in features(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("place"), batch.column("order"), at], names=["y", "place", "order", "at"])
+
+    placed = rows.select("text", "y", F.xxhash64("_id", F.lit("shard")).alias("place"), F.xxhash64("_id", F.lit("order")).alias("order"))
+    seen = cut(placed.mapInArrow(extract, "y int, place bigint, order bigint, at binary"))
+    n_bytes = seen.agg(F.coalesce(F.sum(F.octet_length("at").cast("long")), F.lit(0))).first()[0]
+    shards = max(1, -(-n // SHARD_ROWS), -(-n_bytes // SHARD_BYTES))
+    sharded = seen.select(F.pmod("place", F.lit(shards)).alias("shard"), "y", "order", "at")
 
     def learn(key: tuple, table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([("order", "ascending")])
-        seen = [(np.unique(f), y) for f, y in zip(features(ordered.column("text").combine_chunks()), ordered.column("y").to_pylist(), strict=True)]
-        at, w, bias = ftrl(seen, epochs, alpha, beta, l1, l2)
-        return pa.table([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), [bias], [len(seen)]], names=["at", "w", "bias", "n"])
+        in_order = np.argsort(table.column("order").to_numpy(), kind="stable")
+        at, y = table.column("at").to_pylist(), table.column("y").to_pylist()
+        at, w, bias = ftrl([(np.frombuffer(at[i], dtype=np.int32), y[i]) for i in in_order.tolist()], epochs, alpha, beta, l1, l2)
+        return pa.table([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), [bias], [len(y)]], names=["at", "w", "bias", "n"])
 
-    ordered = sharded.select("shard", "text", "y", F.xxhash64("_id", F.lit("order")).alias("order"))
-    learned = ordered.groupBy("shard").applyInArrow(learn, "at binary, w binary, bias double, n bigint").collect()  # a row for each shard
+    learned = sharded.groupBy("shard").applyInArrow(learn, "at binary, w binary, bias double, n bigint").collect()  # a row for each shard
     total, sums, bias = sum(r["n"] for r in learned), np.zeros(1 << BITS), 0.0
     for r in sorted(learned, key=lambda r: bytes(r["w"])):
         sums[np.frombuffer(r["at"], dtype=np.int64)] += np.frombuffer(r["w"], dtype=np.float64) * r["n"] / total
