@@ -5,7 +5,7 @@
    about ``draws`` rows at any input size and is the same in every run.
 2. Quantiles of the draws are the splitters of ``ranges`` key ranges.
 3. A range with more than ``rows_per_cell`` records (skewed keys, huge inputs) is subdivided by a
-   hash of doc_id, size and text into cells; rows without a doc_id by their place in the input.
+   hash of doc_id, size, text and place in the input into cells, so that repeated rows spread too.
 4. Exact bytes and rows of the cells, summed in order, give every record its exact byte position;
    the position decides the shard, so shards differ by less than two of the largest records.
 
@@ -33,7 +33,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_hash"),
         F.xxhash64(F.col(id_col)).alias("_id"),
-        F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_row"),
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -71,6 +71,7 @@ def shard_by_bytes(
     Law ``bytes``: shard sizes differ by less than two of the largest records. A record's size is its
     text's UTF-8 bytes plus 1. A null text counts as empty (size 1, crc32 0); doc_id may be of any type
     that can be hashed, or null; repeated rows are placed one by one; an empty table gives no rows.
+    Inside an overfull range a record's place also depends on how the input is partitioned.
     Other columns of ``docs`` are ignored.
     """
     sized = cut(_sizes(docs, id_col, text_col))
@@ -95,7 +96,7 @@ def shard_by_bytes(
     inside = W.partitionBy("_range", "_sub").orderBy("_hash", "_id", "size")
     start = F.col("_bytes_before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = cut(
-        celled.join(F.broadcast(cells), ["_range", "_sub"]).select(
+        celled.join(cells, ["_range", "_sub"]).select(  # the window below needs this shuffle anyway
             "doc_id",
             "size",
             "text_crc32",
