@@ -6,7 +6,8 @@ document is emitted once for each integer that its step crosses. As documents of
 neighbours, the words taken miss the target by about one document.
 
 The prefix sums never put a source into one task: rows are first counted by (source, size, salt),
-the small table of counts is summed in order, and only rows with the same three are ranked.
+the small table of counts is summed in order, and only rows with the same three are ranked. The
+salt comes from the id and the text, so rows without ids spread as well.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def mix_sources(
         rows = cut(rows)
     n = rows.count()
     salts = min(most_salts, max(1, -(-n // rows_per_salt)))
-    rows = rows.withColumn("_salt", F.pmod(_draw(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(salts)))
+    id_and_text = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text").cast("string"))
+    rows = rows.withColumn("_salt", F.pmod(_draw(id_and_text), F.lit(salts)))
 
     counts = rows.groupBy("source", "_source", "size", "_salt").agg(F.count("*").alias("n"))
     counts = counts if not keep else cut(counts)
@@ -135,7 +137,8 @@ WITH rows0 AS (
          coalesce('=' || source, '') AS g FROM documents),
 k AS (SELECT greatest(1, least(4096, CAST(ceil(count(*) / 16384.0) AS BIGINT))) AS salts FROM rows0),
 rows1 AS (
-  SELECT r.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % salts AS salt FROM rows0 r, k),
+  SELECT r.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || td), 1, 8) AS BIGINT) % salts AS salt
+  FROM (SELECT *, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS td FROM rows0) r, k),
 src AS (
   SELECT source, g, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS BIGINT) AS weight
@@ -150,7 +153,7 @@ tg AS (
          ELSE weight * max(CASE WHEN NOT stops THEN lvl END) OVER () END AS target FROM st),
 pl AS (
   SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY r.g ORDER BY r.size, r.salt, r.doc_id NULLS FIRST, CAST('0x' || substr(md5(r.t), 1, 8) AS BIGINT)) AS place,
+         row_number() OVER (PARTITION BY r.g ORDER BY r.size, r.salt, r.doc_id NULLS FIRST, r.td) AS place,
          CAST('0x' || substr(md5('0|' || r.g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS off
   FROM rows1 r JOIN tg t ON r.g = t.g),
 cp AS (
