@@ -13,9 +13,13 @@ Jobs, each a pass over the texts:
 2. pairs of two of the ``dense`` most frequent words, as rows of a small matrix, and the histogram
    for the weights, from the held-out counts of all words;
 3. every other pair goes, with its document's place in a batch, to a block of keys. A block sees all
-   occurrences of its pairs and so knows their counts; it sends one partial sum for each document
-   and batch back. Pairs that are frequent everywhere are in the matrix and are scored where they stand;
+   occurrences of its pairs and so knows their counts; it sends a partial sum back for each document of
+   a batch that it has an entry of. Pairs that are frequent everywhere are in the matrix and are scored where they stand;
 4. pairs of two rare words meet the context's count in a second block, to which the first sends both.
+
+What a block holds grows with its entries alone: documents that it has no entry of have no place in it, and the
+sums that a batch knows itself travel with a block of their own choice, so that blocks share them evenly. A batch
+sends a row to each block that gets an entry of it: batches times blocks at first, and never more rows than entries.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +46,6 @@ _LEAST = 1e-6
 _STEP = 40  # histogram steps for a factor of ten
 _NONE = -99_999
 
-_BLOCK_SCHEMA = "batch bigint, block bigint, hk binary, hd binary, hn binary, tk binary, tc binary, td binary, tn binary, uk binary, uc binary, ud binary, un binary, xk binary, xc binary, xd binary, xn binary, n_docs bigint, base binary, score binary, n_tokens binary, n_known binary"
 _KINDS = {
     "hk": np.uint64, "hd": np.uint32, "hn": np.uint32,  # both frequent
     "tk": np.uint64, "tc": np.uint32, "td": np.uint32, "tn": np.uint32,  # a rare word
@@ -51,7 +56,7 @@ _SECOND = {
     "wk": np.uint64, "wc": np.int64, "ws": np.int64,  # counts of rare words
     "xv": np.uint64, "cp": np.int64, "sp": np.int64, "cw": np.int64, "sw": np.int64, "xd": np.uint32, "xn": np.uint32, "xb": np.int64,  # pairs of two
 }
-_SECOND_SCHEMA = "".join(f", {name} binary" for name in _SECOND)
+_SUMS = {"dd": np.uint32, "db": np.float64, "ds": np.float64, "dn": np.float64}  # documents of a batch: base, score, known words
 
 
 def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
@@ -183,14 +188,29 @@ def _steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.zeros(1, dtype=values.dtype))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """The values byte by byte, all their lowest bytes first: high bytes are mostly zero and compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def _packed(columns: dict[str, np.ndarray], kinds: dict[str, type]) -> bytes:
+    """The columns as one value: the lengths by first letter, then each byte by byte, all its lowest bytes first: high bytes are mostly zero and compress."""
+    lengths = {name[0]: len(columns[name]) for name in kinds}
+    planes = (columns[name].view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in kinds.items())
+    return np.array(list(lengths.values()), dtype=np.uint32).tobytes() + b"".join(planes)
+
+
+def _unpacked(data: bytes, kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    letters = list(dict.fromkeys(name[0] for name in kinds))
+    lengths = dict(zip(letters, np.frombuffer(data, dtype=np.uint32, count=len(letters)).tolist(), strict=True))
+    at, out = 4 * len(letters), {}
+    for name, kind in kinds.items():
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, dtype=np.uint8, count=lengths[name[0]] * size, offset=at).reshape(size, -1)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
+        at += planes.size
+    return out
 
 
-def _unpacked(data: bytes | None, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data or b"", dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _by_key(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys and the sums of each of the values."""
+    where, distinct = pd.factorize(keys)
+    return distinct, [np.bincount(where, weights=v, minlength=len(distinct)) for v in values]
 
 
 def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> DataFrame:
@@ -209,13 +229,13 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         on_spot = (row >= 0) & (place >= 0) & (place < m.dense)
         known = place >= 0
         tail = ~known
-        sums = {}
+        sums = None
         if score:
             c_word = np.where(known, m.c[place], 0).astype(np.float64) if m.k else np.zeros(len(tokens))
             lp = np.zeros(len(tokens))
             lp[on_spot] = m.log10(m.c_pair[row[on_spot], place[on_spot]], m.c_context[context[on_spot]], m.classes[context[on_spot]], c_word[on_spot])
             add = lambda w: np.bincount(doc, weights=w, minlength=len(texts))
-            sums = {"base": add(np.where(known, m.base(c_word), 0)), "score": add(lp), "n_tokens": lengths.astype(np.float64), "n_known": add(known & (c_word > 0))}
+            sums = np.stack([add(np.where(known, m.base(c_word), 0)), add(lp), lengths.astype(np.float64), add(known & (c_word > 0))])
             sent = ~on_spot
         else:
             if m.dense:
@@ -224,7 +244,7 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
                 c = np.bincount(cell[train], minlength=(m.dense + 1) * m.dense).astype(np.uint32).reshape(m.dense + 1, m.dense)
                 s = np.bincount(cell[train & (role == 1)], minlength=(m.dense + 1) * m.dense).astype(np.uint32).reshape(m.dense + 1, m.dense)
                 for r in np.flatnonzero(c.any(axis=1)).tolist():
-                    yield _row(batch_id, -1 - r, hk=c[r].tobytes(), hn=s[r].tobytes())
+                    yield _row(batch_id, -1 - r, c[r].tobytes() + s[r].tobytes())
             sent = ~on_spot & (role > 0)
             doc = np.zeros_like(doc)  # the weights need counts, not documents
         # Of a rare word, whether the second block of its own pairs with rare words asks for its count.
@@ -241,24 +261,22 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         for kind, (key, of_doc, n, cuts[kind], other) in runs.items():
             columns |= {f"{kind}k": key, f"{kind}c": other, f"{kind}d": of_doc, f"{kind}n": n}
         block_of = {kind: _block_of(mixed, n_blocks) for kind, mixed in cuts.items()}
-        present = np.unique(np.concatenate([*block_of.values(), np.zeros(int(score), dtype=np.uint64)]))  # only blocks that get an entry, and one for the sums
+        home = int(mix(np.array([batch_id], dtype=np.uint64))[0]) % n_blocks  # takes the sums along
+        own_block = np.full(int(score), home, dtype=np.uint64)
+        present = np.unique(np.concatenate([*block_of.values(), own_block]))  # only blocks that get an entry, and that of the sums
         cuts = {kind: (np.searchsorted(b, present, "left"), np.searchsorted(b, present, "right")) for kind, b in block_of.items()}
         for i, b in enumerate(present.tolist()):
             own = {kind: slice(low[i], high[i]) for kind, (low, high) in cuts.items()}
-            parts = {name: _packed(_steps(values[own[name[0]]]) if name in _SORTED else values[own[name[0]]]) for name, values in columns.items()}
-            first = score and i == 0
-            yield _row(batch_id, b, **parts, n_docs=len(texts), **({k: v.tobytes() for k, v in sums.items()} if first else {}), ids=ids if first else None)
-
-    def _row(batch_id: int, block: int, ids: pa.Array | None = None, n_docs: int = 0, **parts: bytes) -> pa.RecordBatch:
-        columns = [pa.array([batch_id]), pa.array([block], pa.int64())]
-        columns += [pa.array([parts.get(k)], pa.binary()) for k in _KINDS]
-        columns += [pa.array([n_docs], pa.int64()), *(pa.array([parts.get(k)], pa.binary()) for k in ("base", "score", "n_tokens", "n_known"))]
-        names = ["batch", "block", *_KINDS, "n_docs", "base", "score", "n_tokens", "n_known"]
+            parts = {name: _steps(values[own[name[0]]]) if name in _SORTED else values[own[name[0]]] for name, values in columns.items()}
+            with_sums = (sums.tobytes(), ids) if score and b == home else ()
+            yield _row(batch_id, b, _packed(parts, _KINDS), *with_sums)
+
+    def _row(batch_id: int, block: int, entries: bytes, sums: bytes | None = None, ids: pa.Array | None = None) -> pa.RecordBatch:
+        columns = [pa.array([batch_id], pa.int64()), pa.array([block], pa.int64()), pa.array([entries], pa.binary())]
         if score:
             none = pa.array([None], pa.list_(id_type))
-            columns.append(none if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+            columns += [pa.array([sums], pa.binary()), none if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "block", "entries", "sums", "ids"][: len(columns)])
 
     def send(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -280,7 +298,7 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
 
     id_kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(id_kind)
-    return docs.select("doc_id", "text", "fold").mapInArrow(send, _BLOCK_SCHEMA + (f", ids array<{id_kind.simpleString()}>" if score else ""))
+    return docs.select("doc_id", "text", "fold").mapInArrow(send, "batch bigint, block bigint, entries binary" + (f", sums binary, ids array<{id_kind.simpleString()}>" if score else ""))
 
 
 def _block_of(mixed: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -299,9 +317,9 @@ def _tail_runs(key: np.ndarray, doc: np.ndarray, context: np.ndarray) -> tuple[n
 
 def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
     """The entries of a block in parts, all entries of a key in the same one, to bound the memory."""
-    out = {}
+    out, rows = {}, [_unpacked(x, _KINDS) for x in table.column("entries").to_pylist()]
     for name, kind in _KINDS.items():
-        parts = [_unpacked(x, kind) for x in table.column(name).to_pylist()]
+        parts = [row.pop(name) for row in rows]
         parts = [np.cumsum(x, dtype=kind) for x in parts] if name in _SORTED else parts
         out[name] = np.concatenate(parts)
         if name[1] == "k":
@@ -347,16 +365,17 @@ def _known_counts(m: Frequent, g: dict[str, np.ndarray]) -> dict[str, np.ndarray
     }
 
 
-def _to_second(parts: list[dict[str, np.ndarray]], n_blocks: int) -> dict[int, dict[str, bytes]]:
+def _to_second(parts: list[dict[str, np.ndarray]], n_blocks: int) -> dict[int, bytes]:
     """Pairs of two rare words and the counts of such contexts, by the context's block."""
     whole = {name: np.concatenate([p[name] for p in parts]).astype(kind) for name, kind in _SECOND.items()}
     to = {key: _block_of(mix(whole[key]), n_blocks).astype(np.int64) for key in ("wk", "xv")}
     order = {key: np.argsort(b, kind="stable") for key, b in to.items()}
-    cuts = {key: np.searchsorted(b[order[key]], np.arange(n_blocks + 1)) for key, b in to.items()}
+    present = np.union1d(to["wk"], to["xv"])
+    cuts = {key: [np.searchsorted(b[order[key]], present, side) for side in ("left", "right")] for key, b in to.items()}
     out = {}
-    for b in np.union1d(to["wk"], to["xv"]).tolist():
-        at = {key: order[key][cuts[key][b] : cuts[key][b + 1]] for key in to}
-        out[b] = {name: _packed(values[at["wk" if name[0] == "w" else "xv"]]) for name, values in whole.items()}
+    for i, b in enumerate(present.tolist()):
+        at = {key: order[key][cuts[key][0][i] : cuts[key][1][i]] for key in to}
+        out[b] = _packed({name: values[at["wk" if name[0] == "w" else "xv"]] for name, values in whole.items()}, _SECOND)
     return out
 
 
@@ -372,7 +391,8 @@ def _for_second(g: dict[str, np.ndarray], k: dict[str, np.ndarray], batch: np.nd
 
 def _met(table: pa.Table) -> dict[str, np.ndarray]:
     """The pairs of a second block with their contexts' counts, cc and sc."""
-    g = {name: np.concatenate([_unpacked(x, kind) for x in table.column(name).to_pylist()]) for name, kind in _SECOND.items()}
+    rows = [_unpacked(x, _SECOND) for x in table.column("second").to_pylist()]
+    g = {name: np.concatenate([row[name] for row in rows]) for name in _SECOND}
     order = np.argsort(g["wk"])  # a word has one block, so its count comes once
     at = order[np.searchsorted(g["wk"], g["xv"], sorter=order)]
     return g | {"cc": g["wc"][at].astype(np.float64), "sc": g["ws"][at].astype(np.float64)}
@@ -411,7 +431,7 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
 
     def reduce_block(key: tuple, table: pa.Table) -> pa.Table:
         if (block := key[0].as_py()) < 0:
-            c, s = (np.sum([np.frombuffer(x, dtype=np.uint32) for x in table.column(k).to_pylist()], axis=0, dtype=np.uint64) for k in ("hk", "hn"))
+            c, s = np.sum([np.frombuffer(x, dtype=np.uint32).reshape(2, -1) for x in table.column("entries").to_pylist()], axis=0, dtype=np.uint64)
             return rows_of([block], [0], [0], [0.0], c=[c.tobytes()], s=[s.tobytes()], to=block)
         parts, pairs = [], []
         batch = table.column("batch").to_numpy()
@@ -422,12 +442,12 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
             pairs.append(_for_second(g, k, batch, held=True))
         cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         out = [rows_of(*cells.T, n, to=-1 - block)]
-        return pa.concat_tables(out + [rows_of([0], [0], [0], [0.0], to=b, **{name: [x] for name, x in row.items()}) for b, row in _to_second(pairs, n_blocks).items()])
+        return pa.concat_tables(out + [rows_of([0], [0], [0], [0.0], to=b, second=[x]) for b, x in _to_second(pairs, n_blocks).items()])
 
     def rows_of(block: Iterable, pair: Iterable, word: Iterable, n: Iterable, to: int, **binary: list[bytes]) -> pa.Table:
         columns = {"block": pa.array(block, pa.int64()), "pair": pa.array(pair, pa.int64()), "word": pa.array(word, pa.int64()), "n": pa.array(n, pa.float64())}
         none = [None] * len(columns["n"])
-        columns |= {name: pa.array(binary.get(name, none), pa.binary()) for name in ("c", "s", *_SECOND)}
+        columns |= {name: pa.array(binary.get(name, none), pa.binary()) for name in ("c", "s", "second")}
         return pa.table(columns | {"to": pa.array([to] * len(none), pa.int64())})
 
     def second_block(key: tuple, table: pa.Table) -> pa.Table:
@@ -438,7 +458,7 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
         return rows_of(*cells.T, n, to=0).select(["block", "pair", "word", "n", "c", "s"])
 
     schema = "block bigint, pair bigint, word bigint, n double, c binary, s binary"
-    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, f"{schema}{_SECOND_SCHEMA}, to bigint").groupBy("to").applyInArrow(second_block, schema)
+    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
     # At most dense + 1 rows of the matrix, and the cells of the histogram.
     rows = found.groupBy("block", "pair", "word").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.first("s").alias("s")).toPandas()
     m.c_pair, m.s_pair = np.zeros((m.dense + 1, m.dense)), np.zeros((m.dense + 1, m.dense))
@@ -469,78 +489,75 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind, id_type = named.schema["doc_id"].dataType.simpleString(), to_arrow_type(named.schema["doc_id"].dataType)
     rows = _blocks(named, model, n_blocks, score=True)
 
+    types = {"batch": pa.int64(), "parts": pa.binary(), "sums": pa.binary(), "ids": pa.list_(id_type), "second": pa.binary(), "to": pa.int64()}
+
+    def rows_with(n: int, columns: list[str], **known: object) -> pa.Table:
+        """``n`` rows, null in the columns that are not given."""
+        filled = {c: known.get(c, [None] * n) for c in columns}
+        return pa.table({c: x.cast(types[c]) if isinstance(x, pa.ChunkedArray) else pa.array(x, types[c]) for c, x in filled.items()})
+
+    def part_rows(batch: np.ndarray, doc: np.ndarray, columns: list[str], **values: np.ndarray) -> pa.Table:
+        """A row with the partial sums of each batch, given in the order of batch and document."""
+        at = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(batch) else np.empty(0, dtype=np.int64)
+        whole = {"dd": doc.astype(np.uint32), **values}
+        parts = [_packed({name: x[a:b] for name, x in whole.items()}, _SUMS) for a, b in zip(at.tolist(), np.append(at[1:], len(batch)).tolist(), strict=True)]
+        return rows_with(len(at), columns, batch=batch[at], parts=parts, to=-1 - batch[at])
+
     def score_block(key: tuple, table: pa.Table) -> pa.Table:
         m = shared.value
-        first = np.concatenate([[0], np.cumsum(table.column("n_docs").to_numpy())])
-        sums = {name: np.zeros(first[-1]) for name in ("base", "score", "n_known", "entries")}
-        batch, pairs = table.column("batch").to_numpy(), []
+        batch, pairs, found = table.column("batch").to_numpy(), [], []
         for g in _gathered(table):
             k = _known_counts(m, g)
-            place = first[k["row"]] + (k["tag"] >> np.uint32(3)).astype(np.int64)
-            one_known = np.arange(len(place)) < k["first"]  # the others are scored in the second block
+            one_known = np.arange(len(k["n"])) < k["first"]  # the others are scored in the second block
             pairs.append(_for_second(g, k, batch, held=False))
-            for name, value in (
-                ("base", np.where(k["rare"], k["n"] * m.base(k["c_word"]), 0)),
-                ("score", np.where(one_known, k["n"] * m.log10(k["c_pair"], k["c_context"], k["classes"], k["c_word"]), 0)),
-                ("n_known", np.where(k["rare"] & (k["c_word"] > 0), k["n"], 0)),
-                ("entries", None),
-            ):
-                sums[name] += np.bincount(place, weights=value, minlength=first[-1])
-        parts = {"docs": [], "base": [], "score": [], "n_known": []}
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            at = np.flatnonzero(sums["entries"][a:b])
-            parts["docs"].append(at.astype(np.uint32).tobytes())
-            for name in ("base", "score", "n_known"):
-                parts[name].append(sums[name][a:b][at].tobytes())
-        here = sums_of(table.column("batch"), parts, {c: table.column(c) for c in ("base", "score", "n_tokens", "n_known")} | {"ids": table.column("ids").cast(pa.list_(id_type))}, to=-1 - batch)
-        return pa.concat_tables([here, *(sums_of([0], {}, {}, to=[b], **{name: [x] for name, x in row.items()}) for b, row in _to_second(pairs, n_blocks).items())])
-
-    def sums_of(batch: Iterable, parts: dict[str, list[bytes]], whole: dict[str, pa.Array], to: Iterable | None = None, **pairs: list[bytes]) -> pa.Table:
-        columns = {"batch": pa.chunked_array([pa.array(batch, pa.int64())]) if isinstance(batch, list) else batch}
-        none = [None] * len(columns["batch"])
-        columns |= {name: pa.array(parts.get(name, none), pa.binary()) for name in ("docs", "base", "score", "n_known")}
-        columns |= {f"{name}0": whole.get(name, pa.array(none, pa.binary())) for name in ("base", "score", "n_tokens", "n_known")}
-        columns["ids"] = whole.get("ids", pa.array(none, pa.list_(id_type)))
-        if to is not None:
-            columns |= {name: pa.array(pairs.get(name, none), pa.binary()) for name in _SECOND} | {"to": pa.array(to, pa.int64())}
-        return pa.table(columns)
+            values = [
+                np.where(k["rare"], k["n"] * m.base(k["c_word"]), 0),
+                np.where(one_known, k["n"] * m.log10(k["c_pair"], k["c_context"], k["classes"], k["c_word"]), 0),
+                np.where(k["rare"] & (k["c_word"] > 0), k["n"], 0),
+            ]
+            found.append(_by_key((k["row"].astype(np.int64) << 32) | (k["tag"] >> np.uint32(3)).astype(np.int64), values))
+        place, sums = _by_key(np.concatenate([keys for keys, _ in found]), [np.concatenate(x) for x in zip(*(values for _, values in found), strict=True)])
+        order = np.argsort(place)
+        place, (base, score, n_known) = place[order], (x[order] for x in sums)
+        here = part_rows(batch[place >> 32], place & 0xFFFFFFFF, list(types), db=base, ds=score, dn=n_known)
+        own = table.filter(pc.is_valid(table.column("sums")))
+        carried = rows_with(len(own), list(types), batch=own.column("batch"), sums=own.column("sums"), ids=own.column("ids"), to=-1 - own.column("batch").to_numpy())
+        return pa.concat_tables([here, carried, *(rows_with(1, list(types), to=[b], second=[x]) for b, x in _to_second(pairs, n_blocks).items())])
+
+    partial_columns = ["batch", "parts", "sums", "ids"]
 
     def second_block(key: tuple, table: pa.Table) -> pa.Table:
         m = shared.value
         if key[0].as_py() < 0:
             ids, sums = whole_sums(table)
-            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type))
-            return sums_of([-1 - key[0].as_py()], {}, {c: pa.array([x.tobytes()], pa.binary()) for c, x in sums.items()} | {"ids": ids})
+            return rows_with(1, partial_columns, batch=[-1 - key[0].as_py()], sums=[sums.tobytes()], ids=[ids])
         g = _met(table)
         lp = g["xn"] * m.log10(g["cp"], g["cc"], _class(g["cc"]), g["cw"])
-        order = np.lexsort((g["xd"], g["xb"]))
+        order = np.lexsort((g["xd"] >> np.uint32(3), g["xb"]))
         batch, doc, lp = g["xb"][order], (g["xd"] >> np.uint32(3))[order], lp[order]
-        at = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(batch) else np.empty(0, dtype=np.int64)
-        parts = {"docs": [], "base": [], "score": [], "n_known": []}
-        for a, b in zip(at.tolist(), np.append(at[1:], len(batch)).tolist(), strict=True):
-            docs_here, where = np.unique(doc[a:b], return_inverse=True)
-            parts["docs"].append(docs_here.tobytes())
-            parts["score"].append(np.bincount(where, weights=lp[a:b]).tobytes())
-            for name in ("base", "n_known"):
-                parts[name].append(np.zeros(len(docs_here)).tobytes())
-        return sums_of(batch[at].tolist(), parts, {})
-
-    def whole_sums(table: pa.Table) -> tuple[list, dict[str, np.ndarray]]:
-        whole = next(r for r in table.select(["base0", "score0", "n_tokens0", "n_known0", "ids"]).to_pylist() if r["base0"] is not None)
-        sums = {c: np.frombuffer(whole[f"{c}0"], dtype=np.float64).copy() for c in ("base", "score", "n_tokens", "n_known")}
-        for r in table.select(["docs", "base", "score", "n_known"]).to_pylist():
-            at = np.frombuffer(r["docs"] or b"", dtype=np.uint32)
-            for c in ("base", "score", "n_known"):
-                sums[c][at] += np.frombuffer(r[c] or b"", dtype=np.float64)
-        return whole["ids"], sums
+        first = np.flatnonzero(np.concatenate([[True], (batch[1:] != batch[:-1]) | (doc[1:] != doc[:-1])])) if len(batch) else np.empty(0, dtype=np.int64)
+        score = np.add.reduceat(lp, first) if len(batch) else lp
+        none = np.zeros(len(first))
+        return part_rows(batch[first], doc[first], partial_columns, db=none, ds=score, dn=none)
+
+    def whole_sums(table: pa.Table) -> tuple[list, np.ndarray]:
+        """The ids of a batch and its base, score, n_tokens and n_known, all parts added."""
+        own = table.filter(pc.is_valid(table.column("sums")))
+        sums = np.frombuffer(own.column("sums")[0].as_py(), dtype=np.float64).reshape(4, -1).copy()
+        for data in table.column("parts").drop_null().to_pylist():
+            part = _unpacked(data, _SUMS)
+            for i, name in ((0, "db"), (1, "ds"), (3, "dn")):
+                sums[i, part["dd"]] += part[name]  # a document comes once in a part
+        return own.column("ids")[0].as_py(), sums
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
         ids, sums = whole_sums(table)
         as_long = lambda x: pa.array(np.rint(x).astype(np.int64))
-        return pa.table([pa.array(ids, id_type), as_long(sums["n_tokens"]), as_long(sums["n_known"]), pa.array(sums["base"]), pa.array(sums["score"])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        base, score, n_tokens, n_known = sums
+        return pa.table([pa.array(ids, id_type), as_long(n_tokens), as_long(n_known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    schema = f"batch bigint, docs binary, base binary, score binary, n_known binary, base0 binary, score0 binary, n_tokens0 binary, n_known0 binary, ids array<{kind}>"
-    partial = rows.groupBy("block").applyInArrow(score_block, f"{schema}{_SECOND_SCHEMA}, to bigint").groupBy("to").applyInArrow(second_block, schema)
+    schema = f"batch bigint, parts binary, sums binary, ids array<{kind}>"
+    partial = rows.groupBy("block").applyInArrow(score_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
     scored = partial.groupBy("batch").applyInArrow(add_up, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     held_out = F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
