@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -40,7 +40,7 @@ from .common import Words, batches, crc32_of, mix
 _END = np.uint64(0x656E64)  # stands for the end of a text
 _BATCH = 1_000_000
 _BLOCK = 3_000_000
-_PARTS = 4
+_PART = 1 << 17  # entries of a block, or tokens of a batch, that are worked on at once
 _CLASSES = 33  # 32 of frequency, start
 _LEAST = 1e-6
 _STEP = 40  # histogram steps for a factor of ten
@@ -71,6 +71,10 @@ def _role(fold: int) -> int:
     return min(fold, 2)
 
 
+def _slices(n: int) -> Iterator[slice]:
+    yield from (slice(i, i + _PART) for i in range(0, n, _PART))
+
+
 def _bin(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 1024, counts, 1024 + (np.log2(np.maximum(counts, 1)) * 64).astype(np.int64))
 
@@ -99,10 +103,11 @@ class Frequent:
 
     def places(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token among the frequent words, or -1."""
-        if not self.k:
-            return np.full(len(tokens), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hash, tokens), self.k - 1)
-        return np.where(self.hash[at] == tokens, self.place[at], -1)
+        out = np.full(len(tokens), -1, dtype=np.int32)
+        for part in _slices(len(tokens) if self.k else 0):
+            at = np.minimum(np.searchsorted(self.hash, tokens[part]), self.k - 1)
+            out[part] = np.where(self.hash[at] == tokens[part], self.place[at], -1)
+        return out
 
     def dense_row(self, context: np.ndarray) -> np.ndarray:
         """Row of the matrix of a context, or -1; the start is the last."""
@@ -116,6 +121,15 @@ class Frequent:
         return np.log10((c_word + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
+def _counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and their counts; empties the list, so that the words are there once."""
+    words = np.concatenate([np.empty(0, dtype=np.uint64), *texts])
+    texts.clear()
+    words.sort()
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, dtype=np.int64)
+    return words[first], np.diff(np.append(first, len(words)))
+
+
 def _count_words(docs: DataFrame) -> DataFrame:
     """word, c (training), s (of these, held out), summed over all texts."""
 
@@ -124,12 +138,11 @@ def _count_words(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            words = np.concatenate([*held[1], *held[2]])
-            is_held = np.arange(len(words)) < sum(map(len, held[1]))
-            values, where, c = np.unique(words, return_inverse=True, return_counts=True)
-            s = np.bincount(where, weights=is_held, minlength=len(values)).astype(np.int64)
-            held[1].clear(), held[2].clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(s)], names=["word", "c", "s"])
+            (words_1, c_1), (words_2, c_2) = (_counted(held[role]) for role in (1, 2))
+            values, where = np.unique(np.concatenate([words_1, words_2]), return_inverse=True)
+            c = np.bincount(where, weights=np.concatenate([c_1, c_2])).astype(np.int64)
+            s = np.bincount(where[: len(c_1)], weights=c_1, minlength=len(values)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c), pa.array(s)], names=["word", "c", "s"])
 
         for batch in batches(rows):
             for tokens, fold in zip(_tokens(batch.column("text")), batch.column("fold").to_pylist(), strict=True):
@@ -217,25 +230,38 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
     """Rows for the blocks; with ``score`` all pairs and the sums known on the spot, else what the weights need."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def own_sums(m: Frequent, doc: np.ndarray, lengths: np.ndarray, place: np.ndarray, context: np.ndarray, row: np.ndarray, on_spot: np.ndarray) -> np.ndarray:
+        """Base, score, tokens and known words of each document of a batch, as far as the broadcast counts tell."""
+        sums = np.zeros((4, len(lengths)))
+        sums[2] = lengths
+        for part in _slices(len(doc)):
+            first = doc[part][0]  # documents lie in order
+            at, spot, known = doc[part] - first, on_spot[part], place[part] >= 0
+            c_word = np.where(known, m.c[place[part]], 0).astype(np.float64) if m.k else np.zeros(len(at))
+            lp = np.zeros(len(at))
+            pair = row[part][spot], place[part][spot], context[part][spot]
+            lp[spot] = m.log10(m.c_pair[pair[0], pair[1]], m.c_context[pair[2]], m.classes[pair[2]], c_word[spot])
+            for i, w in ((0, np.where(known, m.base(c_word), 0)), (1, lp), (3, known & (c_word > 0))):
+                here = np.bincount(at, weights=w)
+                sums[i, first : first + len(here)] += here
+        return sums
+
     def emit(m: Frequent, batch_id: int, texts: list[np.ndarray], roles: list[int], ids: pa.Array | None) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for t in texts])
         tokens = np.concatenate(texts)
         doc = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
+        texts.clear()  # the caller's list: they are in ``tokens`` now
         role = np.repeat(np.array(roles, dtype=np.uint32), lengths)
         place = m.places(tokens)
         context = np.roll(place, 1)
         context[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = m.start
-        row = m.dense_row(context)
+        row = m.dense_row(context).astype(np.int32)
         on_spot = (row >= 0) & (place >= 0) & (place < m.dense)
         known = place >= 0
         tail = ~known
         sums = None
         if score:
-            c_word = np.where(known, m.c[place], 0).astype(np.float64) if m.k else np.zeros(len(tokens))
-            lp = np.zeros(len(tokens))
-            lp[on_spot] = m.log10(m.c_pair[row[on_spot], place[on_spot]], m.c_context[context[on_spot]], m.classes[context[on_spot]], c_word[on_spot])
-            add = lambda w: np.bincount(doc, weights=w, minlength=len(texts))
-            sums = np.stack([add(np.where(known, m.base(c_word), 0)), add(lp), lengths.astype(np.float64), add(known & (c_word > 0))])
+            sums = own_sums(m, doc, lengths, place, context, row, on_spot)
             sent = ~on_spot
         else:
             if m.dense:
@@ -250,6 +276,7 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         # Of a rare word, whether the second block of its own pairs with rare words asks for its count.
         asked = tail & np.roll(tail, -1) & (score | (role == 1))
         tag = (doc << np.uint32(3)) | (asked.astype(np.uint32) << np.uint32(2)) | role
+        del doc, role, row, on_spot, asked
         rare_context = context < 0
         before = np.roll(tokens, 1)
         h, t, u, x = sent & known & ~rare_context, sent & tail & ~rare_context, sent & known & rare_context, sent & tail & rare_context
@@ -257,6 +284,7 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
         hk, hd, hn, h_mixed, _ = _runs(key, tag[h])
         # A rare word's pairs stay together, on either side: its own count is found in its block.
         runs = {"t": _tail_runs(tokens[t], tag[t], context[t].astype(np.uint32)), "u": _tail_runs(before[u], tag[u], place[u].astype(np.uint32)), "x": _tail_runs(tokens[x], tag[x], before[x])}
+        del tokens, tag, place, context, before, known, tail, rare_context, sent, key, h, t, u, x
         columns, cuts = {"hk": hk, "hd": hd, "hn": hn}, {"h": h_mixed}
         for kind, (key, of_doc, n, cuts[kind], other) in runs.items():
             columns |= {f"{kind}k": key, f"{kind}c": other, f"{kind}d": of_doc, f"{kind}n": n}
@@ -301,6 +329,12 @@ def _blocks(docs: DataFrame, model: Frequent, n_blocks: int, score: bool) -> Dat
     return docs.select("doc_id", "text", "fold").mapInArrow(send, "batch bigint, block bigint, entries binary" + (f", sums binary, ids array<{id_kind.simpleString()}>" if score else ""))
 
 
+def _dealt(rows: DataFrame, n_blocks: int) -> GroupedData:
+    """The rows by (home, block), the blocks dealt in turn: by a hash, several blocks would meet in one task while others have none."""
+    n = min(n_blocks, 20_000)
+    return rows.withColumn("home", F.pmod("block", F.lit(n)).cast("int")).repartitionById(n, "home").groupBy("home", "block")
+
+
 def _block_of(mixed: np.ndarray, n_blocks: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
 
@@ -316,18 +350,57 @@ def _tail_runs(key: np.ndarray, doc: np.ndarray, context: np.ndarray) -> tuple[n
 
 
 def _gathered(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of a block in parts, all entries of a key in the same one, to bound the memory."""
-    out, rows = {}, [_unpacked(x, _KINDS) for x in table.column("entries").to_pylist()]
+    """The entries of a block in parts of about ``_PART``, all entries of a key in the same one: what is made of them takes several times their bytes."""
+    out, rows = {}, [_unpacked(x.as_buffer(), _KINDS) for x in table.column("entries")]
     for name, kind in _KINDS.items():
         parts = [row.pop(name) for row in rows]
         parts = [np.cumsum(x, dtype=kind) for x in parts] if name in _SORTED else parts
         out[name] = np.concatenate(parts)
         if name[1] == "k":
             out[f"{name[0]}_row"] = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    part_of = {k: (mix(out[f"{k}k"]) % np.uint64(_PARTS)).astype(np.uint8) for k in "htux"}
-    for i in range(_PARTS):
-        at = {k: part_of[k] == i for k in "htux"}
-        yield {name: values[at[name[0]]] for name, values in out.items()}
+    n_parts = max(1, -(-sum(len(out[f"{k}k"]) for k in "htux") // _PART))
+    ends = {}
+    for k in "htux":
+        part = _part_of(out[f"{k}k"], n_parts)
+        ends[k] = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+        order = np.argsort(part, kind="stable")
+        for name in [x for x in out if x[0] == k]:
+            out[name] = out[name][order]
+    for i in range(n_parts):
+        yield {name: values[ends[name[0]][i] : ends[name[0]][i + 1]] for name, values in out.items()}
+
+
+def _part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of each key, by its mixed low half: the high one has chosen the block. An Arrow value holds 2 GiB, so there are never 65,536 parts."""
+    out = np.empty(len(keys), dtype=np.uint16)
+    for part in _slices(len(keys)):
+        out[part] = ((mix(keys[part]) & np.uint64(0xFFFFFFFF)) * np.uint64(n_parts)) >> np.uint64(32)
+    return out
+
+
+def _joined(found: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sums of several parts as one."""
+    return _by_key(np.concatenate([keys for keys, _ in found]), [np.concatenate(x) for x in zip(*(values for _, values in found), strict=True)])
+
+
+def _scored_block(m: Frequent, table: pa.Table, n_blocks: int) -> tuple[np.ndarray, list[np.ndarray], dict[int, bytes]]:
+    """Row of ``table`` << 32 | document, in order; its base, score and known words; and what the second blocks need."""
+    batch, pairs, found = table.column("batch").to_numpy(), [], []
+    for g in _gathered(table):
+        k = _known_counts(m, g)
+        one_known = np.arange(len(k["n"])) < k["first"]  # the others are scored in the second block
+        pairs.append(_for_second(g, k, batch, held=False))
+        values = [
+            np.where(k["rare"], k["n"] * m.base(k["c_word"]), 0),
+            np.where(one_known, k["n"] * m.log10(k["c_pair"], k["c_context"], k["classes"], k["c_word"]), 0),
+            np.where(k["rare"] & (k["c_word"] > 0), k["n"], 0),
+        ]
+        found.append(_by_key((k["row"].astype(np.int64) << 32) | (k["tag"] >> np.uint32(3)).astype(np.int64), values))
+        if sum(len(keys) for keys, _ in found[1:]) > max(len(found[0][0]), _PART):
+            found = [_joined(found)]
+    place, sums = _joined(found)
+    order = np.argsort(place)
+    return place[order], [x[order] for x in sums], _to_second(pairs, n_blocks)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +440,7 @@ def _known_counts(m: Frequent, g: dict[str, np.ndarray]) -> dict[str, np.ndarray
 
 def _to_second(parts: list[dict[str, np.ndarray]], n_blocks: int) -> dict[int, bytes]:
     """Pairs of two rare words and the counts of such contexts, by the context's block."""
-    whole = {name: np.concatenate([p[name] for p in parts]).astype(kind) for name, kind in _SECOND.items()}
+    whole = {name: np.concatenate([p.pop(name) for p in parts]) for name in _SECOND}
     to = {key: _block_of(mix(whole[key]), n_blocks).astype(np.int64) for key in ("wk", "xv")}
     order = {key: np.argsort(b, kind="stable") for key, b in to.items()}
     present = np.union1d(to["wk"], to["xv"])
@@ -383,10 +456,11 @@ def _for_second(g: dict[str, np.ndarray], k: dict[str, np.ndarray], batch: np.nd
     at = np.arange(k["first"], len(k["n"]))
     if held:
         at = at[(k["tag"][at] & np.uint32(3)) == 1]
-    return {
+    columns = {
         "wk": k["words"], "wc": k["c"], "ws": k["s"], "xv": g["xc"][at - k["first"]], "cp": k["c_pair"][at], "sp": k["s_pair"][at], "cw": k["c_word"][at], "sw": k["s_word"][at],
         "xd": k["tag"][at], "xn": k["n"][at], "xb": batch[k["row"][at]],
     }
+    return {name: columns[name].astype(kind) for name, kind in _SECOND.items()}
 
 
 def _met(table: pa.Table) -> dict[str, np.ndarray]:
@@ -430,7 +504,7 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def reduce_block(key: tuple, table: pa.Table) -> pa.Table:
-        if (block := key[0].as_py()) < 0:
+        if (block := key[1].as_py()) < 0:
             c, s = np.sum([np.frombuffer(x, dtype=np.uint32).reshape(2, -1) for x in table.column("entries").to_pylist()], axis=0, dtype=np.uint64)
             return rows_of([block], [0], [0], [0.0], c=[c.tobytes()], s=[s.tobytes()], to=block)
         parts, pairs = [], []
@@ -441,6 +515,8 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
             parts.append(_cells(shared.value, *(k[x][held] for x in ("classes", "c_context", "s_context", "c_pair", "s_pair", "c_word", "s_word", "n"))))
             pairs.append(_for_second(g, k, batch, held=True))
         cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cells, where = np.unique(cells, axis=0, return_inverse=True)
+        n = np.bincount(where.ravel(), weights=n, minlength=len(cells))
         out = [rows_of(*cells.T, n, to=-1 - block)]
         return pa.concat_tables(out + [rows_of([0], [0], [0], [0.0], to=b, second=[x]) for b, x in _to_second(pairs, n_blocks).items()])
 
@@ -458,7 +534,7 @@ def _fit(docs: DataFrame, m: Frequent) -> Frequent:
         return rows_of(*cells.T, n, to=0).select(["block", "pair", "word", "n", "c", "s"])
 
     schema = "block bigint, pair bigint, word bigint, n double, c binary, s binary"
-    found = _blocks(docs, m, n_blocks, score=False).groupBy("block").applyInArrow(reduce_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
+    found = _dealt(_blocks(docs, m, n_blocks, score=False), n_blocks).applyInArrow(reduce_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
     # At most dense + 1 rows of the matrix, and the cells of the histogram.
     rows = found.groupBy("block", "pair", "word").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.first("s").alias("s")).toPandas()
     m.c_pair, m.s_pair = np.zeros((m.dense + 1, m.dense)), np.zeros((m.dense + 1, m.dense))
@@ -504,25 +580,12 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return rows_with(len(at), columns, batch=batch[at], parts=parts, to=-1 - batch[at])
 
     def score_block(key: tuple, table: pa.Table) -> pa.Table:
-        m = shared.value
-        batch, pairs, found = table.column("batch").to_numpy(), [], []
-        for g in _gathered(table):
-            k = _known_counts(m, g)
-            one_known = np.arange(len(k["n"])) < k["first"]  # the others are scored in the second block
-            pairs.append(_for_second(g, k, batch, held=False))
-            values = [
-                np.where(k["rare"], k["n"] * m.base(k["c_word"]), 0),
-                np.where(one_known, k["n"] * m.log10(k["c_pair"], k["c_context"], k["classes"], k["c_word"]), 0),
-                np.where(k["rare"] & (k["c_word"] > 0), k["n"], 0),
-            ]
-            found.append(_by_key((k["row"].astype(np.int64) << 32) | (k["tag"] >> np.uint32(3)).astype(np.int64), values))
-        place, sums = _by_key(np.concatenate([keys for keys, _ in found]), [np.concatenate(x) for x in zip(*(values for _, values in found), strict=True)])
-        order = np.argsort(place)
-        place, (base, score, n_known) = place[order], (x[order] for x in sums)
+        batch = table.column("batch").to_numpy()
+        place, (base, score, n_known), second = _scored_block(shared.value, table, n_blocks)
         here = part_rows(batch[place >> 32], place & 0xFFFFFFFF, list(types), db=base, ds=score, dn=n_known)
-        own = table.filter(pc.is_valid(table.column("sums")))
+        own = table.select(["batch", "sums", "ids"]).filter(pc.is_valid(table.column("sums")))
         carried = rows_with(len(own), list(types), batch=own.column("batch"), sums=own.column("sums"), ids=own.column("ids"), to=-1 - own.column("batch").to_numpy())
-        return pa.concat_tables([here, carried, *(rows_with(1, list(types), to=[b], second=[x]) for b, x in _to_second(pairs, n_blocks).items())])
+        return pa.concat_tables([here, carried, *(rows_with(1, list(types), to=[b], second=[x]) for b, x in second.items())])
 
     partial_columns = ["batch", "parts", "sums", "ids"]
 
@@ -557,7 +620,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.table([pa.array(ids, id_type), as_long(n_tokens), as_long(n_known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"batch bigint, parts binary, sums binary, ids array<{kind}>"
-    partial = rows.groupBy("block").applyInArrow(score_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
+    partial = _dealt(rows, n_blocks).applyInArrow(score_block, f"{schema}, second binary, to bigint").groupBy("to").applyInArrow(second_block, schema)
     scored = partial.groupBy("batch").applyInArrow(add_up, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     held_out = F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,6 +1,7 @@
 """What the corpus operators hold in one task, on hot keys, repeated rows and long texts."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,56 @@ def test_blocks_grow_with_their_entries(spark, monkeypatch):
     assert most_docs[-1] < most_docs[0]
 
 
+def test_a_block_is_worked_on_in_small_parts(spark, monkeypatch):
+    """What a task makes of a block's entries is bounded beside them, and a key's entries stay together."""
+    monkeypatch.setattr(language_model, "_PART", 5_000, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    named = docs.select("doc_id", "text", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)).cast("int").alias("fold")).repartition(3)
+    model = language_model._frequent(named, 400, 5)
+    model.weights, model.c_pair = np.full((33, 3), 1 / 3), np.zeros((6, 5))
+    block = language_model._blocks(named, model, 1, score=True).select("batch", "entries").toArrow()
+    whole = [language_model._unpacked(x, language_model._KINDS) for x in block.column("entries").to_pylist()]
+    n, seen, sizes = sum(len(e[f"{k}k"]) for e in whole for k in "htux"), {k: [] for k in "htux"}, []
+    tracemalloc.start()
+    try:
+        for g in language_model._gathered(block):
+            counts = language_model._known_counts(model, g)
+            sizes.append(len(counts["n"]))
+            for k, keys in seen.items():
+                keys.append(np.unique(g[f"{k}k"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == n > 50_000 and max(sizes) < 10_000
+    assert all(len(np.unique(x := np.concatenate(keys))) == len(x) for keys in seen.values())
+    assert peak < 3 * block.nbytes, peak / block.nbytes
+
+
+def test_words_are_counted_in_few_copies():
+    """A task's words are held some three times while they are counted, not eight times."""
+    texts = pa.array([" ".join(f"w{(i * 7 + j) % 5_000}" for j in range(500)) for i in range(4_000)])
+    found = []
+
+    class Docs:  # takes the function that Spark would run
+        select = groupBy = agg = lambda self, *a: self
+
+        def mapInArrow(self, count, schema):
+            batch = pa.RecordBatch.from_arrays([texts, pa.array([i % 10 for i in range(len(texts))], pa.int32())], names=["text", "fold"])
+            tracemalloc.start()
+            try:
+                found.extend(count(iter([batch])))
+                found.append(tracemalloc.get_traced_memory()[1])
+            finally:
+                tracemalloc.stop()
+            return self
+
+    language_model._count_words(Docs())
+    *rows, peak = found
+    assert sum(sum(r["c"].to_pylist()) for r in rows) == 501 * 3_600 and sum(sum(r["s"].to_pylist()) for r in rows) == 501 * 400
+    assert len({w for r in rows for w in r["word"].to_pylist()}) == 5_001
+    assert peak < 70_000_000, peak
+
+
 @pytest.mark.parametrize("contexts", [40, 1 << 18])
 def test_scores_over_many_batches_and_blocks(spark, monkeypatch, contexts):
     small(monkeypatch, 1_500, 2_500)
